@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, substring_dedup
 
 QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
 }
 ORACLES = {
     "op5_substring_dedup": r"""
@@ -20,4 +21,19 @@ ORACLES = {
     SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
     FROM w LEFT JOIN kept USING (doc_id)
     """,
+    "op7_decontaminate": r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    bp AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0),
+    bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS s FROM bp),
+    sizes AS (SELECT DISTINCT n FROM bw),
+    dp AS (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM d, sizes WHERE len(ws) >= n),
+    hit AS (SELECT doc_id, item_id, i, bw.n AS n FROM dp JOIN bw ON bw.n = dp.n AND bw.s = array_to_string(ws[i:i + dp.n - 1], ' ')),
+    places AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM hit),
+    n_hits AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+    items AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM hit GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
