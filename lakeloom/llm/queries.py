@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {
     "op5_substring_dedup": r"""
