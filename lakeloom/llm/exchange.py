@@ -28,8 +28,8 @@ def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
 
 
 def parts(spark: SparkSession, size: int, each: int) -> int:
-    """Groups for an exchange of `size` bytes with about `each` bytes in a group: at least some for every shuffle partition."""
-    return max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each), 1)
+    """Groups for an exchange of `size` bytes with about `each` bytes in a group: at least one for every shuffle partition."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each), 1)
 
 
 def put(columns: list[np.ndarray]) -> bytes:

@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, words: int = 13, base: int = 7, with_text: b
     """
     spark = docs.sparkSession
     _, size = X.text_size(docs, text)
-    shards, buckets = X.parts(spark, size, 4 << 20), X.parts(spark, size, 8 << 20)
+    shards, buckets = X.parts(spark, size, 8 << 20), X.parts(spark, size, 16 << 20)
     held = X.sharded(docs, shards, id_column, text)
     levels = lengths(words, base)
     plain = held.select("id", "text")

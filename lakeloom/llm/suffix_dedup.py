@@ -315,7 +315,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, batches: int = 4,
     spark = docs.sparkSession
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("id"), F.col(text).alias("text"))
     _, size = X.text_size(given)
-    shards, buckets = X.parts(spark, size, 4 << 20), X.parts(spark, size, 16 << 20)
+    shards, buckets = X.parts(spark, size, 8 << 20), X.parts(spark, size, 32 << 20)
     arrays = spill.write(given.select("id", "text").mapInArrow(_array_of(length, buckets, batches), "batch int, part int, payload binary"), "suffix-arrays", "batch")
     family, matches = IndexFamily(spark, buckets, shards), None
     for b in range(batches):
