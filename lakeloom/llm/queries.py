@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup, suffix_dedup
+from . import decontaminate, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 ORACLES = {
     "op5_substring_dedup": r"""
