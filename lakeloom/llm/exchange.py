@@ -83,8 +83,8 @@ def dealt(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, by
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    """Even ranges of the upper 32 bits of a hash."""
-    return ((h >> _U(32)) * _U(n) >> _U(32)).astype(np.int32)
+    """Even shares of hashes, also where only small hashes are left (as the least ones of windows are)."""
+    return (((h * _U(0x9E3779B97F4A7C15)) >> _U(32)) * _U(n) >> _U(32)).astype(np.int32)
 
 
 def _murmur(x: np.ndarray) -> np.ndarray:
