@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 ORACLES = {
+    "op4_chat_format": r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, 17 + length(regexp_replace(role, '([<\[])(\\*(?:/?INST\]|/?s>))', '\1\\\2', 'g')) + length(regexp_replace(text, '([<\[])(\\*(?:/?INST\]|/?s>))', '\1\\\2', 'g')) AS size FROM c),
+    p AS (SELECT *, sum(size) OVER w + 3 AS upto, turn = max(turn) OVER (PARTITION BY conv_id) AS is_last FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(upto) FILTER (role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+    FROM p GROUP BY conv_id
+    """,
     "op5_substring_dedup": r"""
     WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
     places AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 12)) AS i, ws FROM w WHERE len(ws) >= 13),
