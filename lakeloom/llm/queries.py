@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dedup, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, html_extract, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op6_html_extract": html_extract.op6_html_extract,
 }
 ORACLES = {
     "op4_chat_format": r"""
