@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, near_dedup, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, embedding_dedup, html_extract, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
 }
 ORACLES = {
     "op4_chat_format": r"""
