@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, near_dedup, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, embedding_dedup, html_extract, near_dedup, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
@@ -12,6 +12,8 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op6_html_extract": html_extract.op6_html_extract,
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_toxicity": toxicity.op3_toxicity,
 }
 ORACLES = {
     "op4_chat_format": r"""
