@@ -39,6 +39,7 @@ from . import textkit as K
 
 _U = np.uint64
 GRAM = 32
+LARGE = 256  # kinds of runs with one anchor
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _PLACE = 22  # bits for a place in a chunk
@@ -142,12 +143,12 @@ def _array_of(length: int, buckets: int, n_batches: int):
 
 def _scan(shards: int):
     """Merge-scan of one bucket: the levels' arrays and the batch's. Gives spans (kind 0: document, start, count) of runs that
-    repeat as a whole, and runs to be settled string by string (kind 1), by shard."""
+    repeat as a whole, and runs to be settled string by string (kind 1; kind 2 in groups of over LARGE kinds), by shard."""
 
     def run(table: pa.Table) -> pa.Table:
         new_blobs = table.filter(table.column("fresh")).column("payload").to_pylist()
         if not new_blobs:
-            return _kinds([], [])
+            return _kinds()
         old_blobs = table.filter(pa.compute.invert(table.column("fresh"))).column("payload").to_pylist()
         new, old = X.get_all(new_blobs, 5), X.get_all(old_blobs, 5)
         gram, context, doc, place, count = (np.concatenate(x) for x in zip(new, old, strict=True))
@@ -161,19 +162,23 @@ def _scan(shards: int):
         again = np.repeat(sizes > 1, sizes) & any_fresh  # groups of equal anchors with something new in them
         gram, context, doc, place, count, fresh = (c[again] for c in (gram, context, doc, place, count, fresh))
         if not len(gram):
-            return _kinds([], [])
+            return _kinds()
         c = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])))
         c_sizes = np.diff(np.append(c, len(gram)))
         c_fresh = np.logical_or.reduceat(fresh, c)
         same = np.repeat((c_sizes > 1) & c_fresh, c_sizes)
         whole = X.dealt(X.shard_of(doc[same].view(np.int64), shards), [doc[same], place[same], count[same]])
-        c_gram = gram[c]
-        several = np.zeros(len(c), bool)
-        several[1:] = c_gram[1:] == c_gram[:-1]
-        several[:-1] |= several[1:]
-        rep = c[several]  # the first run of each kind
-        some = X.dealt(X.shard_of(doc[rep].view(np.int64), shards), [doc[rep], place[rep], count[rep], gram[rep]])
-        return _kinds(whole, some)
+        c_gram, c_old = gram[c], ~np.logical_and.reduceat(fresh, c)
+        g = np.flatnonzero(np.append(True, c_gram[1:] != c_gram[:-1]))
+        n_kinds, n_old = np.diff(np.append(g, len(c))), np.add.reduceat(c_old.astype(np.int64), g)
+        n_kinds, n_old = np.repeat(n_kinds, np.diff(np.append(g, len(c)))), np.repeat(n_old, np.diff(np.append(g, len(c))))
+        # old kinds of a group that had two of them, and was as large then, were handed on by an earlier scan
+        told = c_old & (n_old > 1) & ((n_old > LARGE) == (n_kinds > LARGE))
+        blobs = [(p, 0, b) for p, b in whole]
+        for kind, sel in ((1, (n_kinds > 1) & (n_kinds <= LARGE) & ~told), (2, (n_kinds > LARGE) & ~told)):
+            rep = c[sel]  # the first run of each kind
+            blobs += [(p, kind, b) for p, b in X.dealt(X.shard_of(doc[rep].view(np.int64), shards), [doc[rep], place[rep], count[rep], gram[rep]])]
+        return _kinds(blobs)
 
     return run
 
@@ -181,8 +186,8 @@ def _scan(shards: int):
 _KINDS = "part int, kind int, payload binary"
 
 
-def _kinds(whole, some) -> pa.Table:
-    blobs = [(p, 0, b) for p, b in whole] + [(p, 1, b) for p, b in some]
+def _kinds(blobs=()) -> pa.Table:
+    blobs = list(blobs)
     return pa.table({"part": pa.array([x[0] for x in blobs], pa.int32()), "kind": pa.array([x[1] for x in blobs], pa.int32()), "payload": pa.array([x[2] for x in blobs], pa.binary())})
 
 
@@ -217,50 +222,87 @@ class IndexFamily:
 
 
 def _settle(length: int, buckets: int):
-    """Of a shard: the hash of every string of the runs to be settled."""
+    """Of a shard: what settles its runs. Of most runs the bytes travel (kind 1: gram, document, place, count, then the bytes), which
+    is less than the hashes of all their strings; of runs in a large group the hashes (kind 2), so that no bucket gets the group."""
 
     def run(docs: pa.Table, runs: pa.Table) -> pa.Table:
-        runs = runs.filter(pa.compute.equal(runs.column("kind"), 1))
-        doc, place, count, gram = X.get_all(runs.column("payload").to_pylist(), 4)
+        kinds = np.array(runs.column("kind").to_pylist(), np.int64)
+        payload = runs.column("payload").to_pylist()
+        cols = [X.get_all([payload[i] for i in np.flatnonzero(kinds == k)], 4) for k in (1, 2)]
+        large = np.repeat([False, True], [len(c[0]) for c in cols])
+        doc, place, count, gram = (np.concatenate(x) for x in zip(*cols, strict=True))
         if not len(doc):
-            return X.blob_table([])
-        order = np.lexsort((gram, count, place, doc))
-        doc, place, count, gram = (c[order] for c in (doc, place, count, gram))
+            return _kinds()
+        order = np.lexsort((~large, gram, count, place, doc))
+        doc, place, count, gram, large = (c[order] for c in (doc, place, count, gram, large))
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]) | (gram[1:] != gram[:-1])
-        doc, place, count, gram = doc[new].view(np.int64), place[new].astype(np.int64), count[new].astype(np.int64), gram[new]
+        same = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (gram[1:] == gram[:-1])
+        new[1:] = ~same | (large[1:] != large[:-1])  # a group may have become large later: then both ways are needed
+        doc, place, count, gram, large = doc[new].view(np.int64), place[new].astype(np.int64), count[new].astype(np.int64), gram[new], large[new]
         ids = docs.column("id").to_numpy()
         sel = np.flatnonzero(np.isin(ids, doc))
         texts = K.as_bytes(docs.column("text").combine_chunks().take(pa.array(sel)))
-        out = []
-        for k, i in enumerate(sel):
-            t = texts[k]
-            a, b = np.searchsorted(doc, ids[i], "left"), np.searchsorted(doc, ids[i], "right")
-            for lo in range(0, max(1, len(t) - length + 1), K.CHUNK):  # a long text piece by piece
-                buf = np.frombuffer(t[lo : lo + K.CHUNK + length + 400], np.uint8)
-                own = np.arange(a, b)[(place[a:b] >= lo) & (place[a:b] < lo + K.CHUNK)]
-                if not len(own) or len(buf) < length:
-                    continue
-                n = count[own]
-                starts = np.repeat(place[own] - lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                fine = starts <= len(buf) - length
-                h = K.Grams(buf, salt=7).of(starts[fine], starts[fine] + length) ^ np.repeat(K.mix(gram[own]), n)[fine]
-                out.append([h, np.full(len(h), ids[i]).astype(np.int64).view(_U), (starts[fine] + lo).astype(_U)])
-        if not out:
-            return X.blob_table([])
-        cols = [np.concatenate([x[i] for x in out]) for i in range(3)]
-        return X.blob_table(X.dealt(X.bucket_of(cols[0], buckets), cols))
+        hashed, sent = [], []
+        for t, i in zip(texts, ids[sel].tolist(), strict=True):
+            own = np.arange(np.searchsorted(doc, i, "left"), np.searchsorted(doc, i, "right"))
+            own = own[place[own] + count[own] + length - 1 <= len(t)]
+            sent += [(int(k), t[place[k] : place[k] + count[k] + length - 1]) for k in own[~large[own]]]
+            own = own[large[own]]
+            if len(own):
+                hashed.append(_strings([t[place[k] : place[k] + count[k] + length - 1] for k in own], gram[own], np.full(len(own), i), place[own], count[own], length))
+        blobs = []
+        if sent:
+            k = np.array([x[0] for x in sent])
+            part = X.bucket_of(gram[k], buckets)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for group in np.split(order, cuts):
+                head = X.put([gram[k[group]], doc[k[group]], place[k[group]], count[k[group]]])
+                blobs.append((int(part[group[0]]), 1, len(head).to_bytes(8, "little") + head + b"".join(sent[g][1] for g in group)))
+        if hashed:
+            cols = [np.concatenate([x[i] for x in hashed]) for i in range(3)]
+            blobs += [(p, 2, x) for p, x in X.dealt(X.bucket_of(cols[0], buckets), cols)]
+        return _kinds(blobs)
 
     return run
 
 
-def _equal(shards: int):
+def _strings(pieces: list[bytes], gram, doc, place, count, length: int) -> list[np.ndarray]:
+    """Hash, document and place of every string of the runs whose bytes are given."""
+    out = []
+    for first, group in K.runs(pieces):
+        n = count[first : first + len(group)]
+        sizes = np.array([len(x) for x in group])
+        ahead = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.repeat(np.cumsum(sizes) - sizes, n) + ahead
+        h = K.Grams(np.frombuffer(b"".join(group), np.uint8), salt=7).of(starts, starts + length)
+        own = slice(first, first + len(group))
+        out.append((h ^ np.repeat(K.mix(gram[own]), n), np.repeat(doc[own], n).astype(np.int64).view(_U), (np.repeat(place[own], n) + ahead).astype(_U)))
+    return [np.concatenate([x[i] for x in out]) for i in range(3)]
+
+
+def _equal(shards: int, length: int):
     """Of a bucket: strings with equal hashes in two places, as spans by shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, doc, place = X.get_all(table.column("payload").to_pylist(), 3)
-        order = np.argsort(h, kind="stable")
+        got = []
+        hashed = []
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            if kind == 2:
+                hashed.append(blob)
+                continue
+            size = int.from_bytes(blob[:8], "little")
+            gram, doc, place, count = X.get(blob[8 : 8 + size])
+            ends = 8 + size + np.cumsum(count.astype(np.int64) + length - 1)
+            pieces = [blob[a:b] for a, b in zip([8 + size, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            got.append(_strings(pieces, gram, doc.view(np.int64), place.astype(np.int64), count.astype(np.int64), length))
+        got.append(X.get_all(hashed, 3))
+        h, doc, place = (np.concatenate([x[i] for x in got]) for i in range(3))
+        order = np.lexsort((place, doc, h))
         h, doc, place = h[order], doc[order], place[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])  # a string that came both ways is one place
+        h, doc, place = h[new], doc[new], place[new]
         again = np.zeros(len(h), bool)
         if len(h):
             again[1:] = h[1:] == h[:-1]
@@ -269,11 +311,11 @@ def _equal(shards: int):
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
         if not len(doc):
-            return _kinds([], [])
+            return _kinds()
         cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + _U(1))))
         ends = np.append(cut[1:], len(doc))
         doc, place, count = doc[cut], place[cut], (ends - cut).astype(_U)
-        return _kinds(X.dealt(X.shard_of(doc.view(np.int64), shards), [doc, place, count]), [])
+        return _kinds((p, 0, b) for p, b in X.dealt(X.shard_of(doc.view(np.int64), shards), [doc, place, count]))
 
     return run
 
@@ -325,7 +367,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, batches: int = 4,
         if b < batches - 1:
             family.add(batch)
     held = given.select(X.shard_column(shards, "id").alias("part"), "id", "doc_id", "text")
-    settled = X.by_bucket(X.by_shard(held, matches, _settle(length, buckets), X.BLOB), buckets, _equal(shards), _KINDS)
+    settled = X.by_bucket(X.by_shard(held, matches, _settle(length, buckets), _KINDS), buckets, _equal(shards, length), _KINDS)
     return X.by_shard(held, matches.unionByName(settled), _finish(length), RESULT)
 
 
