@@ -113,9 +113,10 @@ def shard_column(n: int, id_column: str = "doc_id"):
     return F.pmod(F.hash(F.col(id_column).cast("long")), F.lit(n)).cast("int")
 
 
-def sharded(docs: DataFrame, n: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, id, text) for a cogroup by shard. Spark exchanges it once for all cogroups of one plan."""
-    return docs.select(shard_column(n, id_column).alias("part"), F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+def sharded(docs: DataFrame, n: int, id_column: str = "doc_id", text: str = "text", row=None) -> DataFrame:
+    """(part, id, text, and row if given) for a cogroup by shard. Spark exchanges it once for all cogroups of one plan."""
+    more = [] if row is None else [row.alias("row")]
+    return docs.select(shard_column(n, id_column).alias("part"), F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), *more)
 
 
 def by_bucket(entries: DataFrame, n: int, fn, schema: str = BLOB) -> DataFrame:

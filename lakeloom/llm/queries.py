@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, near_dedup, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, decontaminate, embedding_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
     "op4_chat_format": r"""

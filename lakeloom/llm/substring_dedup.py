@@ -20,7 +20,9 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import textkit as K
@@ -28,7 +30,6 @@ from . import textkit as K
 _U = np.uint64
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-WITH_TEXT_ARROW = RESULT_ARROW.append(pa.field("kept_text", pa.string()))
 
 
 def lengths(words: int, base: int) -> list[int]:
@@ -183,62 +184,100 @@ def _has(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
-def _finish(words: int, with_text: bool):
+def _removed(docs: pa.Table, replies: pa.Table, words: int):
+    """For groups of a shard's texts: the texts, and by text number the words and the mask of the removed ones, where any is."""
+    ids, hashes = X.get_all(replies.column("payload").to_pylist(), 2)
+    known = np.sort(_tagged(hashes, ids))
+    column = docs.column("id").combine_chunks()
+    own = column.fill_null(0).to_numpy(zero_copy_only=False)
+    hit = column.is_valid().to_numpy(zero_copy_only=False) & np.isin(own, np.unique(ids.view(np.int64)))
+    for first, group in K.runs(K.as_bytes(docs.column("text").combine_chunks())):
+        sel = np.flatnonzero(hit[first : first + len(group)])
+        masks = {}
+        if len(sel):
+            w = K.Words([group[i] for i in sel], K.BLANK_WORD)
+            at, h = w.windows(words)
+            gone = _has(known, _tagged(h, own[first + sel][w.text_of()[at]]))
+            mask = K.covered(at[gone], at[gone] + words, len(w.starts))
+            for k, i in enumerate(sel):
+                a, b = w.first[k], w.first[k + 1]
+                if mask[a:b].any():
+                    masks[int(i)] = (w.starts[a:b] - w.text_start[k], mask[a:b])
+        yield group, masks
+
+
+def _finish(words: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, hashes = X.get_all(replies.column("payload").to_pylist(), 2)
-        known = np.sort(_tagged(hashes, ids))
-        wanted = np.unique(ids.view(np.int64))
-        column = docs.column("id").combine_chunks()
-        valid = column.is_valid().to_numpy(zero_copy_only=False)
-        own = column.fill_null(0).to_numpy(zero_copy_only=False)
-        hit = valid & np.isin(own, wanted)
-        n_words, n_removed, sha, kept = [], [], [], []
-        for first, group in K.runs(K.as_bytes(docs.column("text").combine_chunks())):
-            sel = np.flatnonzero(hit[first : first + len(group)])
-            masks = {}
-            if len(sel):
-                w = K.Words([group[i] for i in sel], K.BLANK_WORD)
-                at, h = w.windows(words)
-                gone = _has(known, _tagged(h, own[first + sel][w.text_of()[at]]))
-                mask = K.covered(at[gone], at[gone] + words, len(w.starts))
-                masks = {int(i): mask[w.first[k] : w.first[k + 1]] for k, i in enumerate(sel)}
+        n_words, n_removed, sha = [], [], []
+        for group, masks in _removed(docs, replies, words):
             for i, t in enumerate(group):
-                all_words = t.split()
-                n_words.append(len(all_words))
-                if (m := masks.get(i)) is not None and m.any():
-                    text = b" ".join(compress(all_words, (~m).tolist()))
-                    n_removed.append(int(m.sum()))
-                else:
-                    text = b" ".join(all_words)
-                    n_removed.append(0)
-                sha.append(hashlib.sha256(text).hexdigest())
-                if with_text:
-                    kept.append(text.decode("utf-8", "replace"))
-        out = [column, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
-        return pa.Table.from_arrays([*out, pa.array(kept, pa.string())], schema=WITH_TEXT_ARROW) if with_text else pa.Table.from_arrays(out, schema=RESULT_ARROW)
+                own = t.split()
+                n_words.append(len(own))
+                mask = masks[i][1] if i in masks else None
+                n_removed.append(0 if mask is None else int(mask.sum()))
+                sha.append(hashlib.sha256(b" ".join(own if mask is None else compress(own, (~mask).tolist()))).hexdigest())
+        return pa.Table.from_arrays([docs.column("id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], schema=RESULT_ARROW)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, words: int = 13, base: int = 7, with_text: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 (and kept_text).
+def _cut(words: int):
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        texts = []
+        for group, masks in _removed(docs, replies, words):
+            for i, t in enumerate(group):
+                if i in masks:
+                    starts, mask = masks[i]
+                    edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+                    ends = np.append(starts, len(t))
+                    at, kept = 0, []
+                    for a, b in zip(edges[::2], edges[1::2], strict=True):
+                        kept.append(t[at : ends[a]])
+                        at = ends[b]
+                    t = b"".join([*kept, t[at:]]).rstrip()
+                texts.append(t)
+        column = docs.column("text").combine_chunks()
+        new = pa.array(texts, pa.binary()).cast(pa.string())
+        new = pa.compute.if_else(column.is_valid(), new, pa.nulls(len(new), pa.string()))
+        return pa.Table.from_arrays([docs.column("row").combine_chunks(), new], names=["row", "text"])
 
-    Removed is each word covered by a window of `words` words that also starts in a document with a
-    smaller id; windows are judged on the input.
-    """
+    return run
+
+
+def _levels(docs: DataFrame, words: int, base: int, id_column: str, text: str, row=None) -> tuple[DataFrame, DataFrame]:
+    """The documents by shard, and the last level's replies: hashes of windows that repeat an earlier document."""
     spark = docs.sparkSession
     _, size = X.text_size(docs, text)
     shards, buckets = X.parts(spark, size, 8 << 20), X.parts(spark, size, 16 << 20)
-    held = X.sharded(docs, shards, id_column, text)
+    held = X.sharded(docs, shards, id_column, text, row)
     levels = lengths(words, base)
-    plain = held.select("id", "text")
-    entries = plain.mapInArrow(_base_entries(levels[0], words, buckets), X.BLOB)
+    entries = held.select("id", "text").mapInArrow(_base_entries(levels[0], words, buckets), X.BLOB)
     replies = X.by_bucket(entries, buckets, _repeated(shards, len(levels) == 1))
     for i, length in enumerate(levels[1:], 1):
         last = i == len(levels) - 1
         entries = X.by_shard(held, replies, _next_entries(levels[0], length, words, buckets, last), X.BLOB)
         replies = X.by_bucket(entries, buckets, _repeated(shards, last))
-    return X.by_shard(held, replies, _finish(words, with_text), (RESULT + ", kept_text string" if with_text else RESULT))
+    return held, replies
+
+
+def remove_repeats(docs: DataFrame, words: int = 13, base: int = 7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256.
+
+    Removed is each word covered by a window of `words` words that also starts in a document with a
+    smaller id; windows are judged on the input.
+    """
+    held, replies = _levels(docs, words, base, id_column, text)
+    return X.by_shard(held, replies, _finish(words), RESULT)
+
+
+def cut(docs: DataFrame, words: int = 13, base: int = 7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the words that remove_repeats() removes, each with the blanks after it; other texts and all other columns stay as
+    they are."""
+    others = [c for c in docs.columns if c != text]
+    held, replies = _levels(docs, words, base, id_column, text, F.struct(*others))
+    kind = held.schema["row"].dataType.simpleString()
+    out = X.by_shard(held, replies, _cut(words), f"row {kind}, text string")
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
