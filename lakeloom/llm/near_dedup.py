@@ -4,12 +4,14 @@
    Documents with equal sets are one class, represented by the smallest id.
 2. Registers are banded; classes that share a band key are candidates. In a bucket of at most SMALL
    classes all pairs are tested. In a larger one only pairs with its hub are, where the hub is the
-   class with the least share of elements that no other class of the large buckets has.
+   class with the least share of rare elements: those that at most RARE classes of the large buckets have.
 3. The candidates are verified on their full sets (the hub's set travels to the shards of its partners).
-4. Classes of a large bucket that are not yet in its hub's component are compared with all others of other
-   components in that bucket, in blocks. Bounds that hold for certain come first (set sizes, and the elements that
-   nobody else has), then the joint likelihood of the two sketches, at FAR standard errors under the threshold; what is left
-   is verified like the others. So no bucket is cut off and no pair list of a whole group is made.
+4. What may still link two components inside large buckets is found in two ways. Pairs that share a rare element
+   come from an inverted index of the rare elements, whose lists have at most RARE classes. For a pair that shares none, both
+   classes' rare elements lie outside the intersection, which bounds its similarity: classes that are not yet
+   in their hub's component are compared in blocks with all others of the bucket by this bound, then by the joint
+   likelihood of the two sketches, at FAR standard errors under the threshold. What is left is verified
+   like the others. So no bucket is cut off and no pair list of a whole group is made.
 
 With 24 bands of 4 registers a pair at similarity 0.85 shares no band with probability 2e-8.
 
@@ -31,7 +33,7 @@ from . import setsketch as S
 from . import textkit as K
 
 _U = np.uint64
-REGISTERS, ROWS, SMALL, FAR, BLOCK = 96, 4, 24, 5.0, 1024
+REGISTERS, ROWS, SMALL, RARE, FAR, BLOCK = 96, 4, 24, 64, 5.0, 1024
 _SKETCH = "id long, n_shingles long, key1 long, key2 long, registers binary, bands array<long>"
 
 
@@ -93,31 +95,39 @@ def _sets(k: int):
     return run
 
 
-def _unique_entries(buckets: int):
-    """Elements of the given sets, for counting those that one set alone has."""
+def _elements(buckets: int, columns: list[str]):
+    """Elements of the given sets, with the set's id and further columns."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("id").to_numpy()
             sets = [np.frombuffer(x, _U) for x in b.column("payload").to_pylist()]
             if sets:
-                h = np.concatenate(sets)
-                d = np.repeat(ids, [len(s) for s in sets]).view(_U)
-                yield X.rows(X.dealt(X.bucket_of(h, buckets), [h, d]))
+                h, n = np.concatenate(sets), [len(s) for s in sets]
+                yield X.rows(X.dealt(X.bucket_of(h, buckets), [h, *(np.repeat(b.column(c).to_numpy(), n).view(_U) for c in columns)]))
 
     return run
 
 
-def _alone(shards: int):
+def _lists(table: pa.Table, columns: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A bucket's elements sorted, where each one's list starts, and its length."""
+    cols = X.get_all(table.column("payload").to_pylist(), columns)
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+    cols = [c[new] for c in cols]
+    start = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])) if len(cols[0]) else np.zeros(0, np.int64)
+    return cols, start, np.diff(np.append(start, len(cols[0])))
+
+
+def _rare(shards: int):
+    """Numbers of rare elements, by set."""
+
     def run(table: pa.Table) -> pa.Table:
-        h, d = X.get_all(table.column("payload").to_pylist(), 2)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        one = np.ones(len(h), bool)
-        one[1:] &= (h[1:] != h[:-1]) | (d[1:] == d[:-1])
-        one[:-1] &= (h[1:] != h[:-1]) | (d[1:] == d[:-1])
-        ids, n = np.unique(d[one], return_counts=True)
-        return X.blob_table(X.dealt(X.shard_of(ids.view(np.int64), shards), [ids, n.astype(_U)]))
+        (_, d), _, n = _lists(table, 2)
+        ids = np.sort(d[np.repeat(n <= RARE, n)])
+        at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+        return X.blob_table(X.dealt(X.shard_of(ids[at].view(np.int64), shards), [ids[at], np.diff(np.append(at, len(ids))).astype(_U)]))
 
     return run
 
@@ -125,7 +135,43 @@ def _alone(shards: int):
 def _summed(table: pa.Table) -> pa.Table:
     ids, n = X.get_all(table.column("payload").to_pylist(), 2)
     u, at = np.unique(ids, return_inverse=True)
-    return pa.table({"id": pa.array(u.view(np.int64)), "n_alone": pa.array(np.bincount(at, n.astype(np.float64), len(u)).astype(np.int64))})
+    return pa.table({"id": pa.array(u.view(np.int64)), "n_rare": pa.array(np.bincount(at, n.astype(np.float64), len(u)).astype(np.int64))})
+
+
+def _sharing(shards: int):
+    """Pairs of sets of different components that share a rare element, by the shard of the second."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (_, d, comp), start, n = _lists(table, 3)
+        found = []
+        for size in range(2, RARE + 1):  # all lists of one length at once
+            at = start[n == size]
+            if not len(at):
+                continue
+            i, j = np.triu_indices(size, 1)
+            for k in range(0, len(at), 4096):
+                a, b = (at[k : k + 4096, None] + i).reshape(-1), (at[k : k + 4096, None] + j).reshape(-1)
+                cross = comp[a] != comp[b]
+                found.append(_distinct(d[a[cross]], d[b[cross]]))
+        if not found:
+            return X.blob_table([])
+        a, b = _distinct(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+        return X.blob_table(X.dealt(X.shard_of(b.view(np.int64), shards), [a, b]))
+
+    return run
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _as_pairs(table: pa.Table) -> pa.Table:
+    a, b = _distinct(*X.get_all(table.column("payload").to_pylist(), 2))
+    return pa.table({"hub": pa.array(a.view(np.int64)), "leaf": pa.array(b.view(np.int64))})
 
 
 _MAIL = "part int, hub long, leaf long, payload binary"
@@ -175,13 +221,13 @@ def _rest(threshold: float):
     error = FAR * np.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(table: pa.Table) -> pa.Table:
-        node, size, alone, comp = (table.column(c).to_numpy() for c in ("node", "n_shingles", "n_alone", "component"))
+        node, size, rare, comp = (table.column(c).to_numpy() for c in ("node", "n_shingles", "n_rare", "component"))
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         mine = np.flatnonzero(table.column("mine").to_numpy(zero_copy_only=False))
         out_a, out_b = [], []
         for i in mine:
-            most = np.minimum(size - alone, size[i] - alone[i])
-            least = np.maximum(np.maximum(size + alone[i], size[i] + alone), size + size[i] - most)
+            most = np.minimum(size - rare, size[i] - rare[i])
+            least = np.maximum(np.maximum(size + rare[i], size[i] + rare), size + size[i] - most)
             j = np.flatnonzero((comp != comp[i]) & (most >= threshold * least))
             if len(j):
                 est = S.joint_jaccard(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), size[i]), size[j])
@@ -239,30 +285,31 @@ def _links(spark, given: DataFrame, nodes: DataFrame, met: DataFrame, shingle: i
     if large.isEmpty():
         return verified(pairs.distinct())
     inside = spill.write(large.select(F.col("node").alias("id")).distinct(), "inside")
-    entries = graph.only(sets, inside, "id").select("id", "payload").mapInArrow(_unique_entries(buckets), X.BLOB)
-    alone = X.by_bucket(X.by_bucket(entries, buckets, _alone(shards)), shards, _summed, "id long, n_alone long")
+    own = graph.only(sets, inside, "id").select("id", "payload")
+    entries = own.mapInArrow(_elements(buckets, ["id"]), X.BLOB)
+    rare = X.by_bucket(X.by_bucket(entries, buckets, _rare(shards)), shards, _summed, "id long, n_rare long")
     stats = spill.write(
-        inside.join(alone, "id", "left").join(nodes.select(F.col("node").alias("id"), "n_shingles", "registers"), "id").select(F.col("id").alias("node"), "n_shingles", F.coalesce("n_alone", F.lit(0)).alias("n_alone"), "registers"), "inside-stats"
+        inside.join(rare, "id", "left").join(nodes.select(F.col("node").alias("id"), "n_shingles", "registers"), "id").select(F.col("id").alias("node"), "n_shingles", F.coalesce("n_rare", F.lit(0)).alias("n_rare"), "registers"), "inside-stats"
     )
-    rank = F.struct(F.col("n_alone") / F.col("n_shingles"), F.col("node"))
+    rank = F.struct(F.col("n_rare") / F.col("n_shingles"), F.col("node"))
     hubs = spill.write(large.select("band", "node").join(stats.drop("registers"), "node").groupBy("band").agg(F.min_by("node", rank).alias("hub")), "hubs")
     stars = large.select("band", "node").join(hubs, "band").where("hub <> node").select("hub", F.col("node").alias("leaf"))
     first = verified(pairs.unionByName(stars).select(F.least("hub", "leaf").alias("x"), F.greatest("hub", "leaf").alias("y"), "hub", "leaf").dropDuplicates(["x", "y"]).select("hub", "leaf"))
     comp = graph.components(first)
-    # What may still link: elements that no other class has bound the similarity from above.
-    may = stats.where((F.col("n_shingles") - F.col("n_alone")) * 100 >= F.col("n_shingles") * percent).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    entries = own.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "payload", F.coalesce("component", "id").alias("component")).mapInArrow(_elements(buckets, ["id", "component"]), X.BLOB)
+    sharing = X.by_bucket(X.by_bucket(entries, buckets, _sharing(shards)), shards, _as_pairs, "hub long, leaf long")
+    # Pairs that share no rare element: these lie outside the intersection and bound the similarity from above.
+    may = stats.where((F.col("n_shingles") - F.col("n_rare")) * 100 >= F.col("n_shingles") * percent).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = large.select("band", "node").join(may.drop("registers"), "node")
     split = open_.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     hub_comp = hubs.join(split, "band").join(comp.select(F.col("node").alias("hub"), "component"), "hub", "left").select("band", F.coalesce("component", "hub").alias("main"))
-    open_ = spill.write(open_.join(hub_comp, "band").select("band", "node", "n_shingles", "n_alone", "component", (F.col("component") != F.col("main")).alias("mine")), "open")
-    if open_.isEmpty():
-        return first
+    open_ = spill.write(open_.join(hub_comp, "band").select("band", "node", "n_shingles", "n_rare", "component", (F.col("component") != F.col("main")).alias("mine")), "open")
     counts = open_.where("mine").groupBy("band").agg(F.count(F.lit(1)).alias("n_mine"))
     blocks = open_.join(counts, "band").withColumn("n_blocks", F.ceil(F.col("n_mine") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("mine", F.col("mine") & (F.pmod(F.hash("node"), F.col("n_blocks")) == F.col("block")))
-    blocks = blocks.drop("n_shingles", "n_alone").join(stats, "node")
-    rest = blocks.groupBy("band", "block").applyInArrow(_rest(percent / 100), "hub long, leaf long").distinct()
-    return first.unionByName(verified(rest))
+    blocks = blocks.drop("n_shingles", "n_rare").join(stats, "node")
+    rest = blocks.groupBy("band", "block").applyInArrow(_rest(percent / 100), "hub long, leaf long")
+    return first.unionByName(verified(rest.unionByName(sharing).distinct()))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
