@@ -1,25 +1,22 @@
-"""Word tokenization and vocabularies as column expressions."""
+"""Word tokens and decoding as column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: A word with inner apostrophes, or one other visible character; (?U) gives Java the Unicode classes.
+#: A word with inner apostrophes, or one other visible character.
 WORD_PATTERN = r"(?U)\w+(?:'\w+)*|[^\w\s]"
+# Characters before which decoding puts no blank, and the default special tokens.
+PUNCTUATION = [".", ",", "!", "?", ";", ":", "-", "(", ")", "[", "]", "{", "}", "\\", '"']
+UNKNOWN, END_OF_TEXT = "<|UNK|>", "<|endoftext|>"
 
 
 def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
-def vocabulary_counts(df: DataFrame, column: str, min_frequency: int = 1) -> DataFrame:
-    """(token, id, n_occurrences): tokens by code point order with ids from 0."""
-    counts = (
-        df.select(F.explode(word_tokens(F.col(column))).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n_occurrences"))
-        .where(F.col("n_occurrences") >= min_frequency)
-    )
-    return counts.select("token", (F.row_number().over(W.orderBy("token")) - 1).cast("bigint").alias("id"), "n_occurrences")
+def join_words(tokens: Column) -> Column:
+    """Tokens with a blank before each that is not punctuation; without blanks at the ends."""
+    marks = F.array(*[F.lit(p) for p in PUNCTUATION])
+    return F.trim(F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(marks, t), t).otherwise(F.concat(F.lit(" "), t))), ""))

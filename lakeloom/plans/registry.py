@@ -1,33 +1,6 @@
 """The core library's queries and their SQL, by name."""
 
-from __future__ import annotations
+from . import instruct_queries, model_queries, text_queries, token_queries
+from .base import ORACLES, QUERIES
 
-from lakeloom.functions import words
-from lakeloom.sources.tables import table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query; sql is the equivalent DuckDB statement."""
-
-    def put(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return put
-
-
-@query(
-    "word_vocab",
-    r"""
-    WITH t AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:''[\p{L}\p{M}\p{N}_]+)*|[^\p{L}\p{M}\p{N}_\s]')) AS token FROM documents),
-    v AS (SELECT token, count(*) AS n_occurrences FROM t GROUP BY token)
-    SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS BIGINT) AS id, n_occurrences FROM v
-    """,
-)
-def word_vocab(spark, sf_dir):
-    return words.vocabulary_counts(table(spark, sf_dir, "documents"), "text")
+__all__ = ["ORACLES", "QUERIES", "instruct_queries", "model_queries", "text_queries", "token_queries"]
