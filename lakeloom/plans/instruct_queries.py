@@ -1,0 +1,193 @@
+"""Queries on instruction data, prompts, parsing and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lakeloom.operators import blocks as B
+from lakeloom.operators import instruct as I
+from lakeloom.operators import prompts as T
+from lakeloom.sources.tables import table
+
+from .base import query
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_ROWS = """rows_ AS (SELECT conv_id, turn, text AS instruction, coalesce(first(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER w, '') AS input, lead(text) OVER w AS output, role, lead(role) OVER w AS next
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    samples AS (SELECT conv_id, turn, instruction, input, output FROM rows_ WHERE role = 'user' AND next = 'assistant')"""
+_PROMPT = _q(T.PREAMBLE + "\n\n### Instruction:\n") + " || instruction || CASE WHEN input <> '' THEN " + _q("\n\n### Input:\n") + " || input ELSE '' END"
+
+
+def _samples(spark, sf_dir):
+    return I.instruction_rows(table(spark, sf_dir, "conversations"))
+
+
+@query("instruction_rows", f"WITH {_ROWS} SELECT * FROM samples")
+def instruction_rows(spark, sf_dir):
+    return _samples(spark, sf_dir)
+
+
+@query("instruction_prompts", f"WITH {_ROWS} SELECT conv_id, turn, {_PROMPT} AS prompt, {_PROMPT} || {_q(chr(10) * 2 + '### Response:' + chr(10))} || output AS sample FROM samples")
+def instruction_prompts(spark, sf_dir):
+    return _samples(spark, sf_dir).select("conv_id", "turn", I.format_input().alias("prompt"), I.format_sample().alias("sample"))
+
+
+@query("response_prompts", f"WITH {_ROWS} SELECT conv_id, turn, instruction || {_q(chr(10) * 2)} || CASE WHEN input <> '' THEN input || {_q(chr(10) * 2)} ELSE '' END || 'Answer directly and concisely.' AS prompt FROM samples")
+def response_prompts(spark, sf_dir):
+    return _samples(spark, sf_dir).select("conv_id", "turn", I.response_prompt().alias("prompt"))
+
+
+_BLOCK = f"""{_q("[Instruction]" + chr(10))} || instruction || CASE WHEN input <> '' THEN {_q(chr(10) * 2 + "[The Start of Input]" + chr(10))} || input || {_q(chr(10) + "[The End of Input]")} ELSE '' END
+    || {_q(chr(10) * 2 + "[The Start of Answer]" + chr(10))} || output || {_q(chr(10) + "[The End of Answer]")}"""
+
+
+@query(
+    "reflection_prompts",
+    f"""WITH {_ROWS} SELECT conv_id, turn, {_q(T.RESPONSE_SYSTEM)} AS response_system, md5({_q(T.RESPONSE_TASK + chr(10) * 2 + T.RESPONSE_EXAMPLE + chr(10) * 2 + "Now do the same for the following:" + chr(10) * 2)} || {_BLOCK}) AS response_prompt,
+    {_q(T.INSTRUCTION_SYSTEM)} AS instruction_system, md5({_q(T.INSTRUCTION_TASK + chr(10) * 2 + T.INSTRUCTION_EXAMPLE + chr(10) * 2 + T.INSTRUCTION_RULES + chr(10) * 2)} || {_BLOCK}) AS instruction_prompt FROM samples""",
+)
+def reflection_prompts(spark, sf_dir):
+    (s1, p1), (s2, p2) = I.reflection_prompt("response"), I.reflection_prompt("instruction")
+    return _samples(spark, sf_dir).select("conv_id", "turn", s1.alias("response_system"), F.md5(p1).alias("response_prompt"), s2.alias("instruction_system"), F.md5(p2).alias("instruction_prompt"))
+
+
+@query(
+    "judge_prompts",
+    f"""WITH {_ROWS} SELECT conv_id, turn, md5(replace(replace(replace({_q(T.JUDGE)}, '{{reference}}', output), '{{answer}}', instruction), '{{instruction}}',
+    'Given the input `' || {_PROMPT} || '` and correct output `' || output || '`, score the model response `' || instruction || '` on a scale from 1 to 5.')) AS prompt FROM samples""",
+)
+def judge_prompts(spark, sf_dir):
+    return _samples(spark, sf_dir).withColumn("generated_response", F.col("instruction")).select("conv_id", "turn", F.md5(I.judge_prompt()).alias("prompt"))
+
+
+@query("task_prompts")
+def task_prompts(spark, sf_dir):
+    return I.planned_tasks(spark, 1000, 7)
+
+
+_RAW = """raw AS (SELECT conv_id, turn, instruction, input, output, CASE (conv_id + turn) % 3
+    WHEN 0 THEN 'x **[New Instruction]** ' || instruction || chr(10) || ' [End] y [New Answer] ' || output || ' [End] z' WHEN 1 THEN '[Better Answer]  ' || output || ' [End]' ELSE '[New Instruction] ' || instruction || ' [End]' END AS raw FROM samples)"""
+
+
+def _raw(spark, sf_dir):
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    both = F.concat(F.lit("x **[New Instruction]** "), "instruction", F.lit("\n [End] y [New Answer] "), "output", F.lit(" [End] z"))
+    text = F.when(k == 0, both).when(k == 1, F.concat(F.lit("[Better Answer]  "), "output", F.lit(" [End]"))).otherwise(F.concat(F.lit("[New Instruction] "), "instruction", F.lit(" [End]")))
+    return _samples(spark, sf_dir).withColumn("raw", text)
+
+
+@query(
+    "reflection_extract",
+    f"""WITH {_ROWS}, {_RAW} SELECT conv_id, turn, input, CASE WHEN raw LIKE 'x %' THEN 'success' ELSE 'failed' END AS status, CASE WHEN raw LIKE 'x %' THEN regexp_replace(regexp_replace(instruction, '^\\s+', ''), '\\s+$', '') ELSE instruction END AS instruction,
+    CASE WHEN raw LIKE 'x %' THEN regexp_replace(regexp_replace(output, '^\\s+', ''), '\\s+$', '') ELSE output END AS output FROM raw""",
+)
+def reflection_extract(spark, sf_dir):
+    return I.reflected(_raw(spark, sf_dir)).select("conv_id", "turn", "input", "status", "instruction", "output")
+
+
+@query("reflection_extract_response", f"WITH {_ROWS}, {_RAW} SELECT conv_id, turn, CASE WHEN raw LIKE '[Better%' THEN 'success' ELSE 'failed' END AS status FROM raw")
+def reflection_extract_response(spark, sf_dir):
+    return I.reflected(_raw(spark, sf_dir), mode="response").select("conv_id", "turn", "status")
+
+
+@query("reflection_retry", f"WITH {_ROWS}, {_RAW} SELECT conv_id, turn FROM raw WHERE raw NOT LIKE 'x %'")
+def reflection_retry(spark, sf_dir):
+    rows = _raw(spark, sf_dir).withColumn("pos", F.col("conv_id") * 1000000 + F.col("turn"))
+    return I.to_retry(rows, I.reflected(rows)).select("conv_id", "turn")
+
+
+_SCORED = """scored AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'no score here' ELSE 'Feedback: fine. Score: ' || ((conv_id * 3 + turn) % 5 + 1) || ' Score: 9' END AS reply,
+    'Score: ' || ((conv_id + 2 * turn) % 5 + 1) AS other FROM samples),
+    parsed AS (SELECT *, coalesce(CAST(nullif(regexp_extract(reply, 'Score: (\\d+)', 1), '') AS INTEGER), 0) AS score, CAST(regexp_extract(other, 'Score: (\\d+)', 1) AS INTEGER) AS score_b FROM scored)"""
+
+
+def _replies(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    reply = F.when((c + t) % 7 == 0, "no score here").otherwise(F.concat(F.lit("Feedback: fine. Score: "), ((c * 3 + t) % 5 + 1).cast("string"), F.lit(" Score: 9")))
+    return _samples(spark, sf_dir).select("conv_id", "turn", reply.alias("reply"), F.concat(F.lit("Score: "), ((c + 2 * t) % 5 + 1).cast("string")).alias("other"))
+
+
+@query("score_parse", f"WITH {_ROWS}, {_SCORED} SELECT conv_id, turn, score FROM parsed")
+def score_parse(spark, sf_dir):
+    return _replies(spark, sf_dir).select("conv_id", "turn", I.parse_score(F.col("reply")).alias("score"))
+
+
+@query("score_mean", f"WITH {_ROWS}, {_SCORED} SELECT count(*) AS n, count(CASE WHEN score > 0 THEN 1 END) AS n_parsed, round(avg(score), 2) AS mean_score FROM parsed")
+def score_mean(spark, sf_dir):
+    return I.mean_score(_replies(spark, sf_dir).select(I.parse_score(F.col("reply")).alias("score")))
+
+
+@query("score_compare", f"WITH {_ROWS}, {_SCORED} SELECT round(avg(score), 2) AS baseline, round(avg(score_b), 2) AS reflection, round(avg(score_b) - avg(score), 2) AS delta FROM parsed")
+def score_compare(spark, sf_dir):
+    rows = _replies(spark, sf_dir).withColumn("pos", F.col("conv_id") * 1000000 + F.col("turn"))
+    return I.compare(rows.select("pos", I.parse_score(F.col("reply")).alias("score")), rows.select("pos", I.parse_score(F.col("other")).alias("score")))
+
+
+_NUMBERED = "numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, count(*) OVER () AS n FROM samples)"
+
+
+def _numbered(spark, sf_dir):
+    """Samples with their position in order (conv_id, turn): conversations' sizes are summed up first."""
+    from lakeloom.operators.ranking import prefix_sum
+
+    rows = _samples(spark, sf_dir)
+    sizes = prefix_sum(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")), "conv_id", "k", "before").select("conv_id", "before")
+    return rows.withColumn("at", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).join(sizes, "conv_id").withColumn("pos", F.col("before") + F.col("at")).drop("before", "at")
+
+
+@query("instruction_split", f"WITH {_ROWS}, {_NUMBERED} SELECT conv_id, turn, pos, CASE WHEN pos < floor(n * 0.85) THEN 'train' WHEN pos < floor(n * 0.85) + floor(n * 0.1) THEN 'test' ELSE 'val' END AS split FROM numbered")
+def instruction_split(spark, sf_dir):
+    rows = _numbered(spark, sf_dir)
+    return B.fraction_split(rows, "pos", rows.count()).select("conv_id", "turn", "pos", "split")
+
+
+@query(
+    "collate",
+    f"""WITH {_ROWS}, {_NUMBERED}, t AS (SELECT pos, pos // 8 AS batch, list_transform(generate_series(1, CAST(least(length(instruction), 63) AS BIGINT)), lambda i: ascii(instruction[i])) AS s FROM numbered),
+    l AS (SELECT *, least(max(len(s) + 1) OVER (PARTITION BY batch), 64) AS size FROM t),
+    f AS (SELECT pos, size, list_concat(s, list_transform(generate_series(1, CAST(size - len(s) AS BIGINT)), lambda i: 101)) AS full_ FROM l),
+    g AS (SELECT pos, size, full_[1:size - 1] AS inputs, full_[2:size] AS targets FROM f)
+    SELECT pos, CAST(size - 1 AS INTEGER) AS n, CAST(list_sum(list_transform(inputs, lambda x, i: x * i)) AS BIGINT) AS input_sum,
+        CAST(list_sum(list_transform(targets, lambda x, i: CASE WHEN x = 101 AND i > list_position(targets, 101) THEN -100 ELSE x END * i)) AS BIGINT) AS target_sum FROM g""",
+)
+def collate(spark, sf_dir):
+    chars = F.transform(F.filter(F.split(F.substring("instruction", 1, 63), F.lit(""), F.lit(-1)), lambda c: c != ""), F.ascii)
+    rows = _numbered(spark, sf_dir).select("pos", F.floor(F.col("pos") / 8).alias("batch"), chars.alias("ids"))
+    got = B.collate(rows, "batch", "ids", pad=101, longest=64)
+    weighted = lambda c: F.aggregate(F.transform(c, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("pos", F.size("inputs").alias("n"), weighted("inputs").alias("input_sum"), weighted("targets").alias("target_sum"))
+
+
+@query("chat_chatml", "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS text FROM conversations GROUP BY conv_id")
+def chat_chatml(spark, sf_dir):
+    return I.chat_template(table(spark, sf_dir, "conversations"), "chatml")
+
+
+@query(
+    "chat_llama3",
+    "SELECT conv_id, '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>', '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+)
+def chat_llama3(spark, sf_dir):
+    return I.chat_template(table(spark, sf_dir, "conversations"), "llama3", prompt_for_reply=False)
+
+
+@query("provider_calls", f"WITH {_ROWS}, {_NUMBERED} SELECT pos, CAST(pos % 3 AS BIGINT) || ':' || length(instruction) AS raw FROM numbered")
+def provider_calls(spark, sf_dir):
+    """A deterministic provider stands in for a model."""
+
+    def make(i):
+        return lambda system, prompt: f"{i}:{len(prompt)}"
+
+    rows = _numbered(spark, sf_dir).select("pos", F.lit("").alias("system"), F.col("instruction").alias("prompt"))
+    return I.call_provider(rows, "pos", make, endpoints=3).select("pos", "raw")
+
+
+@query("stream_assembly", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def stream_assembly(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("line"))
+    return I.assemble_stream(rows, "conv_id", "turn")
