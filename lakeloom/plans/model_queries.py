@@ -1,0 +1,163 @@
+"""Queries on sampling, model mathematics and training control."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakeloom.functions import vectors as V
+from lakeloom.operators import model as M
+from lakeloom.operators import training as R
+from lakeloom.sources.tables import table
+
+from .base import query
+
+
+def _logits(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("x"))
+
+
+_L = "l AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
+_SOFT = "list_transform({x}, lambda v: exp(v - list_max({x})) / list_sum(list_transform({x}, lambda u: exp(u - list_max({x})))))"
+
+
+def _long(df, column, name, digits=6):
+    return df.select("vec_id", F.posexplode(column).alias("idx", "_v")).select("vec_id", "idx", (F.round("_v", digits) + 0.0).alias(name))
+
+
+def _long_sql(x, name, digits=6):
+    return f"SELECT vec_id, CAST(unnest(generate_series(0, len({x}) - 1)) AS INTEGER) AS idx, round(unnest({x}), {digits}) + 0.0 AS {name}"
+
+
+@query("softmax", f"WITH {_L}, p AS (SELECT vec_id, {_SOFT.format(x='x')} AS p FROM l) {_long_sql('p', 'p')} FROM p")
+def softmax(spark, sf_dir):
+    return _long(_logits(spark, sf_dir), V.softmax(F.col("x")), "p")
+
+
+@query("temperature_softmax", f"WITH {_L}, t AS (SELECT vec_id, list_transform(x, lambda v: v / 0.5) AS x FROM l), p AS (SELECT vec_id, {_SOFT.format(x='x')} AS p FROM t) {_long_sql('p', 'p')} FROM p")
+def temperature_softmax(spark, sf_dir):
+    return _long(_logits(spark, sf_dir), V.softmax(V.temperature(F.col("x"), 0.5)), "p")
+
+
+@query("top_k", f"WITH {_L}, e AS (SELECT vec_id, unnest(generate_series(0, len(x) - 1)) AS idx, unnest(x) AS v FROM l), r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY v DESC) AS r FROM e) SELECT vec_id, CAST(idx AS INTEGER) AS idx, round(v, 6) AS logit FROM r WHERE r <= 10")
+def top_k(spark, sf_dir):
+    kept = V.top_k(F.col("x"), 10)
+    return _long(_logits(spark, sf_dir), kept, "logit").where(F.col("logit") > V.NEGATIVE)
+
+
+@query(
+    "top_p",
+    f"""WITH {_L}, s AS (SELECT vec_id, list_transform(x, lambda v: v * 8) AS x FROM l), e AS (SELECT vec_id, unnest(generate_series(0, len(x) - 1)) AS idx, unnest(x) AS v FROM s),
+    p AS (SELECT *, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM e), c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY v DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
+    SELECT vec_id, CAST(idx AS INTEGER) AS idx, round(v, 6) AS logit FROM c WHERE before IS NULL OR before <= 0.9""",
+)
+def top_p(spark, sf_dir):
+    scaled = _logits(spark, sf_dir).select("vec_id", F.transform("x", lambda v: v * 8).alias("x"))
+    return _long(scaled, V.top_p(F.col("x"), 0.9), "logit").where(F.col("logit") > V.NEGATIVE)
+
+
+@query("greedy", f"WITH {_L} SELECT vec_id, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS token FROM l")
+def greedy(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", V.pick(F.col("x"), "greedy").alias("token"))
+
+
+@query("multinomial")
+def multinomial(spark, sf_dir):
+    u = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
+    return _logits(spark, sf_dir).select("vec_id", V.pick(F.col("x"), "sample", 0.7, 40, 0.95, u).alias("token"))
+
+
+@query("layer_norm", f"WITH {_L}, m AS (SELECT vec_id, x, list_avg(x) AS m, list_avg(list_transform(x, lambda v: v * v)) - list_avg(x) ** 2 AS var FROM l), n AS (SELECT vec_id, list_transform(x, lambda v: (v - m) / sqrt(var + 1e-5)) AS y FROM m) {_long_sql('y', 'y')} FROM n")
+def layer_norm(spark, sf_dir):
+    return _long(_logits(spark, sf_dir), V.layer_norm(F.col("x")), "y")
+
+
+@query("rms_norm", f"WITH {_L}, n AS (SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_avg(list_transform(x, lambda u: u * u)) + 1e-6)) AS y FROM l) {_long_sql('y', 'y')} FROM n")
+def rms_norm(spark, sf_dir):
+    return _long(_logits(spark, sf_dir), V.rms_norm(F.col("x")), "y")
+
+
+@query("swiglu", f"WITH {_L}, n AS (SELECT vec_id, list_transform(generate_series(1, 32), lambda i: x[i] / (1 + exp(-x[i])) * x[i + 32]) AS y FROM l) {_long_sql('y', 'y')} FROM n")
+def swiglu(spark, sf_dir):
+    x = F.col("x")
+    return _long(_logits(spark, sf_dir), V.swiglu(F.slice(x, 1, 32), F.slice(x, 33, 32)), "y")
+
+
+@query(
+    "rope",
+    f"""WITH {_L}, n AS (SELECT vec_id, list_transform(generate_series(0, 63), lambda i: x[i + 1] * cos((vec_id % 100) * pow(10000.0, -(i % 32) / 32.0)) + CASE WHEN i < 32 THEN -x[i + 33] ELSE x[i - 31] END * sin((vec_id % 100) * pow(10000.0, -(i % 32) / 32.0))) AS y FROM l)
+    {_long_sql('y', 'y')} FROM n""",
+)
+def rope(spark, sf_dir):
+    return _long(_logits(spark, sf_dir), V.rope(F.col("x"), F.col("vec_id") % 100), "y")
+
+
+@query("gelu")
+def gelu(spark, sf_dir):
+    return _long(_logits(spark, sf_dir), V.gelu(F.col("x")), "y")
+
+
+def _sequences(spark, sf_dir):
+    """The vectors as sequences of 16 positions."""
+    return _logits(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("seq"), (F.col("vec_id") % 16).alias("pos"), "x")
+
+
+_SEQ = f"{_L}, q AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, x FROM l)"
+
+
+def _attention_sql(heads: int) -> str:
+    w = 64 // heads
+    return f"""WITH {_SEQ}, h AS (SELECT seq, pos, head, x[head * {w} + 1:head * {w} + {w}] AS x FROM q, (SELECT unnest(generate_series(0, {heads - 1})) AS head)),
+    s AS (SELECT a.seq, a.pos, a.head, b.x AS v, list_dot_product(a.x, b.x) / sqrt({w}) AS s FROM h a JOIN h b ON a.seq = b.seq AND a.head = b.head AND b.pos <= a.pos),
+    p AS (SELECT *, exp(s - max(s) OVER w) / 1.0 AS e, max(s) OVER w AS m FROM s WINDOW w AS (PARTITION BY seq, pos, head)),
+    n AS (SELECT seq, pos, head, e / sum(e) OVER (PARTITION BY seq, pos, head) AS w, v FROM p),
+    y AS (SELECT seq, pos, head * {w} + i - 1 AS idx, sum(w * v[i]) AS y FROM n, (SELECT unnest(generate_series(1, {w})) AS i) GROUP BY seq, pos, head, i)
+    SELECT seq, pos, CAST(idx AS INTEGER) AS idx, round(y, 5) + 0.0 AS y FROM y"""
+
+
+def _attention(spark, sf_dir, heads):
+    rows = _sequences(spark, sf_dir).select("seq", "pos", F.col("x").alias("q"), F.col("x").alias("k"), F.col("x").alias("v"))
+    got = M.attention(rows, "seq", "pos", heads=heads)
+    return got.select("seq", "pos", F.posexplode("y").alias("idx", "_y")).select("seq", "pos", "idx", (F.round("_y", 5) + 0.0).alias("y"))
+
+
+@query("causal_attention", _attention_sql(1))
+def causal_attention(spark, sf_dir):
+    return _attention(spark, sf_dir, 1)
+
+
+@query("multi_head_attention", _attention_sql(4))
+def multi_head_attention(spark, sf_dir):
+    return _attention(spark, sf_dir, 4)
+
+
+@query("cross_entropy", f"WITH {_L}, e AS (SELECT ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[vec_id % 64 + 1] AS loss FROM l WHERE vec_id % 7 <> 0) SELECT round(avg(loss), 6) AS loss, count(*) AS n FROM e")
+def cross_entropy(spark, sf_dir):
+    rows = _logits(spark, sf_dir).select(F.col("x").alias("logits"), F.when(F.col("vec_id") % 7 == 0, -100).otherwise(F.col("vec_id") % 64).cast("int").alias("target"))
+    return M.cross_entropy(rows).select(F.round("loss", 6).alias("loss"), "n")
+
+
+@query(
+    "embedding_sum",
+    f"WITH {_L}, s AS (SELECT a.vec_id, list_transform(generate_series(1, 64), lambda i: a.x[i] + b.x[i]) AS y FROM l a JOIN l b ON b.vec_id = a.vec_id % 16) {_long_sql('y', 'y')} FROM s",
+)
+def embedding_sum(spark, sf_dir):
+    rows = _logits(spark, sf_dir)
+    tokens = rows.select("vec_id", F.col("vec_id").alias("token_id"), (F.col("vec_id") % 16).alias("pos"))
+    got = M.embed(tokens, rows.select(F.col("vec_id").alias("token_id"), F.col("x").alias("vector")), rows.where("vec_id < 16").select(F.col("vec_id").alias("pos"), F.col("x").alias("vector")), ["vec_id"], 16)
+    return _long(got, F.col("x"), "y")
+
+
+@query("parameter_count", "SELECT count(*) * 64 / 1e6 AS millions FROM embeddings")
+def parameter_count(spark, sf_dir):
+    return M.parameter_count(_logits(spark, sf_dir).select(F.col("x").alias("data")))
+
+
+@query("learning_rates", "SELECT i AS iter, round(CASE WHEN i < 100 THEN 6e-4 * (i + 1) / 101 WHEN i > 1000 THEN 6e-5 ELSE 6e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 900.0)) * (6e-4 - 6e-5) END, 12) AS lr FROM (SELECT unnest(generate_series(0, 1199)) AS i)")
+def learning_rates(spark, sf_dir):
+    return R.learning_rates(spark, 1200, 6e-4, 100, 1000, 6e-5).select("iter", F.round("lr", 12).alias("lr"))
+
+
+@query("best_so_far", "SELECT user_id, event_id, coalesce(value < min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM events")
+def best_so_far(spark, sf_dir):
+    """Events stand in for evaluation steps."""
+    return R.best_so_far(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "is_best")
