@@ -1,6 +1,6 @@
 """The core library's queries and their SQL, by name."""
 
-from . import instruct_queries, model_queries, text_queries, token_queries
+from . import instruct_queries, model_queries, stream_queries, text_queries, token_queries
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "instruct_queries", "model_queries", "text_queries", "token_queries"]
+__all__ = ["ORACLES", "QUERIES", "instruct_queries", "model_queries", "stream_queries", "text_queries", "token_queries"]
