@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NEGATIVE = float("-inf")
 
@@ -112,7 +113,7 @@ def rope(x: Column, position: Column, base: float = 10000.0) -> Column:
     return F.transform(x, lambda v, i: v * F.cos(angle(i)) + F.when(i < half, -F.element_at(x, (i + half + 1).cast("int"))).otherwise(F.element_at(x, (i - half + 1).cast("int"))) * F.sin(angle(i)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def gelu(x: pd.Series) -> pd.Series:
     """Exact GELU (SQL has no erf)."""
     erf = np.vectorize(math.erf, otypes=[float])

@@ -95,7 +95,8 @@ def remap_weights(weights: DataFrame) -> DataFrame:
     transposed = F.transform(F.sequence(F.lit(0), width * rows_n - 1), lambda x: F.element_at(F.col("data"), ((x % rows_n) * cols_n + first + F.floor(x / rows_n) + 1).cast("int")))
     vector = F.when(F.col("fused"), F.slice("data", first + 1, width)).otherwise(F.col("data"))
     shape = F.when(F.col("matrix"), F.array(width, rows_n)).when(F.col("fused"), F.array(width)).otherwise(F.col("shape"))
-    return parts.select(own.alias("name"), shape.alias("shape"), F.when(F.col("matrix"), transposed).otherwise(vector).alias("data"))
+    # other names at first: inside lambdas, a column would resolve to an output of the same name
+    return parts.select(own.alias("_name"), shape.alias("_shape"), F.when(F.col("matrix"), transposed).otherwise(vector).alias("_data")).toDF("name", "shape", "data")
 
 
 class Gpt2:
