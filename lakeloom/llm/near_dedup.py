@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     comp = graph.components(links) if links is not None else spark.createDataFrame([], "node long, component long")
     by_class = classes.join(comp, "node", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("id", "n_shingles", "key1", "key2").join(by_class, ["key1", "key2", "n_shingles"], "left")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def _links(spark, given: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, percent: int) -> DataFrame | None:

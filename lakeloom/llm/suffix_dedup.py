@@ -18,9 +18,8 @@ different bytes (the ends of a repeated passage) are settled string by string: o
 hashed at all its places, and equal hashes in two places are repeats. Both are exact up to equality of
 64-bit hashes that are compared only where another 64-bit hash agrees.
 
-Defined cases: null texts are empty; a null id is a document of its own number -1; texts under `length`
-bytes keep everything; repeated rows repeat each other (a string that starts in two rows starts elsewhere,
-whatever the rows' ids); empty tables give empty results; other columns are ignored.
+Defined cases: null texts are empty; texts under `length` bytes keep everything; repeated rows repeat each other (a string
+that starts in two rows starts elsewhere, whatever the rows' ids, null ones too); empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -234,12 +233,13 @@ def _settle(length: int, buckets: int):
         doc, place, count, gram = (np.concatenate(x) for x in zip(*cols, strict=True))
         if not len(doc):
             return _kinds()
+        doc = doc.view(np.int64)  # ids may be negative
         order = np.lexsort((~large, gram, count, place, doc))
         doc, place, count, gram, large = (c[order] for c in (doc, place, count, gram, large))
         new = np.ones(len(doc), bool)
         same = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (gram[1:] == gram[:-1])
         new[1:] = ~same | (large[1:] != large[:-1])  # a group may have become large later: then both ways are needed
-        doc, place, count, gram, large = doc[new].view(np.int64), place[new].astype(np.int64), count[new].astype(np.int64), gram[new], large[new]
+        doc, place, count, gram, large = doc[new], place[new].astype(np.int64), count[new].astype(np.int64), gram[new], large[new]
         ids = docs.column("id").to_numpy()
         sel = np.flatnonzero(np.isin(ids, doc))
         texts = K.as_bytes(docs.column("text").combine_chunks().take(pa.array(sel)))
@@ -351,12 +351,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, batches: int = 4,
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a `length`-byte string that also starts anywhere else in docs;
-    strings are judged on the input. length is at least 64. Ids are taken as the rows' identity.
+    strings are judged on the input. length is at least 64.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
-    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("id"), F.col(text).alias("text"))
+    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    twice = given.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    # ids that do not tell rows apart are replaced by a hash of id and text
+    given = given.withColumn("id", F.col("doc_id") if twice.isEmpty() else F.xxhash64("doc_id", "text"))
     _, size = X.text_size(given)
     shards, buckets = X.parts(spark, size, 8 << 20), X.parts(spark, size, 32 << 20)
     arrays = spill.write(given.select("id", "text").mapInArrow(_array_of(length, buckets, batches), "batch int, part int, payload binary"), "suffix-arrays", "batch")
