@@ -12,7 +12,7 @@ recomputes them from the documents' posteriors and no state is kept anywhere tha
 
 Copies are floor(r + u), u uniform from a hash of the id, so their expected number is r.
 
-Defined cases: null texts are empty, have no tokens and rate 1 times the pull of the domains (rates need no tokens); null
+Defined cases: null texts are empty and have no tokens, their rates follow from their posteriors like the others; null
 ids draw the same u; domains without labelled rows get no posterior, their targets stay unmet; without any labelled row all
 rates are 1; repeated rows get equal rates; an empty table gives an empty result; a column named like a result column is an error.
 """
@@ -36,6 +36,8 @@ class Model:
         self.domains, self.weights, self.bias = domains, weights, bias
 
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
+        if not texts or not self.domains:
+            return np.zeros((len(texts), len(self.domains)))
         z = T.score(texts, T.grams, self.weights, self.bias)
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
@@ -75,7 +77,8 @@ def replay(p: np.ndarray, history: list[np.ndarray], step: float, penalty: float
 
 
 def _posteriors(p: pa.Array) -> np.ndarray:
-    return p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
+    flat = p.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(p), -1) if len(p) else np.zeros((0, 0))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], penalty: float = 1e-3, steps: int = 40, tolerance: float = 1e-4, most: int = SAMPLE, text: str = "text") -> DataFrame:
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], penalty
     def judge(batches):
         for b in batches:
             texts = K.as_bytes(b.column(text))
-            p = model.value.posteriors(texts) if texts else np.zeros((0, len(model.value.domains)))
+            p = model.value.posteriors(texts)
             k = p.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * k, pa.int32()), pa.array(p.reshape(-1), pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(t.split()) for t in texts], pa.int64()), lists], names=[*names, "n_tokens", "posteriors"])
@@ -111,6 +114,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], penalty
             def sums(batches, history=tuple(history)):
                 got = np.zeros(len(wanted))
                 for b in batches:
+                    if not b.num_rows:
+                        continue
                     p = _posteriors(b.column("posteriors"))
                     _, y = replay(p, history, step, penalty)
                     got += (y * b.column("n_tokens").to_numpy()) @ p
