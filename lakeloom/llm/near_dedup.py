@@ -149,8 +149,9 @@ def _sharing(shards: int):
             if not len(at):
                 continue
             i, j = np.triu_indices(size, 1)
-            for k in range(0, len(at), 4096):
-                a, b = (at[k : k + 4096, None] + i).reshape(-1), (at[k : k + 4096, None] + j).reshape(-1)
+            few = max(1, (1 << 18) // len(i))  # lists at a time, for bounded memory
+            for k in range(0, len(at), few):
+                a, b = (at[k : k + few, None] + i).reshape(-1), (at[k : k + few, None] + j).reshape(-1)
                 cross = comp[a] != comp[b]
                 found.append(_distinct(d[a[cross]], d[b[cross]]))
         if not found:
