@@ -25,32 +25,33 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[at], np.diff(np.append(at, len(key)))
 
 
+def gram_shares(texts: list[bytes], n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte n-grams by the square root of their share of the text; texts of fewer bytes have none."""
+    buf = np.frombuffer(b"\n".join(texts), np.uint8)
+    if len(buf) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    h = (K.Grams(buf).every(n) >> _U(64 - GRAM_BITS)).astype(np.int64)
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    ends = np.cumsum(sizes + 1) - 1
+    own = np.repeat(np.arange(len(texts)), sizes + 1)[: len(h)]
+    whole = np.arange(n, len(h) + n) <= ends[own]
+    key, count = _counted(((own << GRAM_BITS) | h)[whole])
+    row = key >> GRAM_BITS
+    return row, key & ((1 << GRAM_BITS) - 1), np.sqrt(count / np.maximum(sizes - n + 1, 1)[row])
+
+
 def grams(texts: list[bytes], n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte n-grams by their share of the text, and the share of distinct words as a bin of its own; empty texts have no features."""
+    """gram_shares, and the share of distinct words as a bin of its own; texts without words and grams have no features."""
+    row, col, val = gram_shares(texts, n)
     w = K.Words(texts, K.BLANK_WORD)
-    rows, cols, vals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    if len(w.buf) >= n:
-        h = (K.Grams(w.buf).every(n) >> _U(64 - GRAM_BITS)).astype(np.int64)
-        sizes = w.text_end - w.text_start
-        own = np.repeat(np.arange(len(texts)), sizes + 1)[: len(h)]
-        whole = np.arange(len(h)) + n <= w.text_end[own]
-        key, count = _counted((own[whole] << GRAM_BITS) | h[whole])
-        row = key >> GRAM_BITS
-        rows.append(row)
-        cols.append(key & ((1 << GRAM_BITS) - 1))
-        vals.append(np.sqrt(count / np.maximum(np.bincount(row, count, len(texts)), 1)[row]))
     some = np.flatnonzero(w.counts)
     if len(some):
-        of = w.text_of()
-        order = np.lexsort((w.hash, of))
-        h, of = w.hash[order], of[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
+        key, _ = _counted((w.text_of().astype(_U) << _U(40)) | (w.hash >> _U(24)))
+        distinct = np.bincount((key >> _U(40)).astype(np.int64), minlength=len(texts))
         # long texts repeat common words: the number of words that would be distinct grows about with the 3/4th power
-        share = np.minimum(np.bincount(of, new, len(texts))[some] / w.counts[some] ** 0.75, 1.0)
-        rows.append(some)
-        cols.append((1 << GRAM_BITS) + np.floor(share * (REPEAT_BINS - 1)).astype(np.int64))
-        vals.append(np.ones(len(some)))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+        share = np.minimum(distinct[some] / w.counts[some] ** 0.75, 1.0)
+        row, col, val = np.append(row, some), np.append(col, (1 << GRAM_BITS) + np.floor(share * (REPEAT_BINS - 1)).astype(np.int64)), np.append(val, np.ones(len(some)))
+    return row, col, val
 
 
 GRAM_COLUMNS = (1 << GRAM_BITS) + REPEAT_BINS
@@ -74,15 +75,15 @@ WORD_COLUMNS = 1 << WORD_BITS
 
 
 def score(texts: list[bytes], make, weights: np.ndarray, bias) -> np.ndarray:
-    """Linear scores of whole texts: (n,) for a vector of weights, (n, k) for a matrix of k columns."""
+    """Linear scores of whole texts: (n,) for a vector of weights, (n, k) for a matrix of k rows."""
     out = []
     for _, group in K.runs(texts):
         row, col, val = make(group)
         if weights.ndim == 1:
             out.append(np.bincount(row, val * weights[col], len(group)) + bias)
         else:
-            out.append(np.stack([np.bincount(row, val * weights[col, k], len(group)) for k in range(weights.shape[1])], 1) + bias)
-    return np.concatenate(out) if out else np.zeros((0,) + weights.shape[1:])
+            out.append(np.stack([np.bincount(row, val * w[col], len(group)) for w in weights], 1) + bias)
+    return np.concatenate(out) if out else np.zeros((0,) + weights.shape[:-1])
 
 
 class Sample:

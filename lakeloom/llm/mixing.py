@@ -7,7 +7,7 @@ r n p over all documents; the rates solve
     min 1/2 |totals / T - targets|^2 + penalty / 2 * sum (n / T) (r - 1)^2,  r >= 0
 
 (T: all tokens) by accelerated projected gradient. A step needs one number for each domain from all documents, summed in a
-distributed pass; the rates follow from the history of these numbers (steps x domains, a bounded size), so each pass
+distributed pass; steps end when two in a row change no domain's share by the tolerance. The rates follow from the history of these numbers (steps x domains, a bounded size), so each pass
 recomputes them from the documents' posteriors and no state is kept anywhere that could be lost.
 
 Copies are floor(r + u), u uniform from a hash of the id, so their expected number is r.
@@ -38,18 +38,18 @@ class Model:
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
         if not texts or not self.domains:
             return np.zeros((len(texts), len(self.domains)))
-        z = T.score(texts, T.grams, self.weights, self.bias)
+        z = T.score(texts, T.gram_shares, self.weights, self.bias)
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE, steps: int = 60, penalty: float = 1e-5) -> Model:
     """labelled: (id, y) with y the domain's name; at most `most` rows are read."""
-    x, y = T.sample(docs, labelled, T.grams, most)
+    x, y = T.sample(docs, labelled, T.gram_shares, most)
     domains = sorted(set(y.tolist()))
-    k, d = len(domains), T.GRAM_COLUMNS
+    k, d = len(domains), 1 << T.GRAM_BITS
     if not k:
-        return Model([], np.zeros((d, 0)), np.zeros(0))
+        return Model([], np.zeros((0, d)), np.zeros(0))
     at = np.searchsorted(domains, y)
     hot = np.eye(k)[at]
     w, b = np.zeros((d, k)), np.log(hot.mean(0))
@@ -62,14 +62,16 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE, steps: int = 6
         err = (e / e.sum(1, keepdims=True) - hot) / len(y)
         g = np.stack([x.back(err[:, j], d) for j in range(k)], 1) + penalty * w
         adam.step(flat, np.append(g.reshape(-1), err.sum(0)))
-    return Model(domains, flat[:-k].reshape(d, k).copy(), flat[-k:].copy())
+    return Model(domains, flat[:-k].reshape(d, k).T.copy(), flat[-k:].copy())
 
 
 def replay(p: np.ndarray, history: list[np.ndarray], step: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """(rates, the point of the next gradient) after the steps whose residuals are given."""
     r = y = np.ones(len(p))
-    t = 1.0
+    t, last = 1.0, np.inf
     for residual in history:
+        size = float(residual @ residual)
+        t, last = (1.0 if size > last else t), size  # momentum starts anew where it overshot
         new = np.maximum(0.0, y - step * (p @ residual + penalty * (y - 1)))
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y, r = new + (before - 1) / t * (new - r), new
@@ -105,10 +107,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], penalty
     total = float(judged.agg(F.sum("n_tokens")).first()[0] or 0)
     wanted = np.array([float(targets.get(d, 0.0)) for d in fitted.domains])
     history: list[np.ndarray] = []
+    step = 1.0
     small = judged.select("n_tokens", "posteriors")
     if total > 0 and len(wanted):
         wanted = wanted / max(sum(targets.values()), 1e-300)
-        step = 1.0 / (1.0 + penalty)
+        step = 1.0 / (_curvature(small, len(wanted)) / total + penalty)
         for _ in range(steps):
 
             def sums(batches, history=tuple(history)):
@@ -124,18 +127,33 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], penalty
             rows = small.mapInArrow(sums, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()
             residual = np.array([x["total"] for x in sorted(rows, key=lambda x: x["k"])]) / total - wanted
             history.append(residual)
-            if np.abs(residual).max() < tolerance:
+            if len(history) > 2 and max(np.abs(history[-1] - history[-2]).max(), np.abs(history[-2] - history[-3]).max()) < tolerance:
                 break
 
     def rates(batches):
         for b in batches:
             p = _posteriors(b.column("posteriors"))
-            r, _ = replay(p, history, 1.0 / (1.0 + penalty), penalty)
+            r, _ = replay(p, history, step, penalty)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.float64())], names=[*names, "n_tokens", "posteriors", "rate"])
 
     return judged.mapInArrow(rates, typed + ", rate double")
 
 
+def _curvature(judged: DataFrame, k: int) -> float:
+    """The largest eigenvalue of the sum of n p p', which bounds the steps."""
+
+    def run(batches):
+        got = np.zeros((k, k))
+        for b in batches:
+            if b.num_rows:
+                p = _posteriors(b.column("posteriors"))
+                got += (p * b.column("n_tokens").to_numpy()[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array(range(k * k), pa.int32()), pa.array(got.reshape(-1), pa.float64())], names=["k", "total"])
+
+    rows = judged.mapInArrow(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()
+    return float(np.linalg.eigvalsh(np.array([x["total"] for x in sorted(rows, key=lambda x: x["k"])]).reshape(k, k))[-1])
+
+
 def copies(rate, id_column):
     """Number of copies of a document: floor(rate + u), u in [0, 1) from a hash of the id."""
     u = F.pmod(F.xxhash64(id_column, F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
