@@ -55,4 +55,40 @@ ORACLES = {
         sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op1_embedding_dedup": r"""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+    ok AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_max(list_transform(x, lambda y: abs(y))) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+    reach AS (SELECT vec_id AS node, vec_id AS r FROM v UNION SELECT node, b FROM reach JOIN links ON r = a),
+    comp AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node),
+    n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON node = vec_id LEFT JOIN n ON a = vec_id
+    """,
+    "op8_near_dedup": r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    p AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM p),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS node, doc_id AS r FROM w UNION SELECT node, b FROM reach JOIN links ON r = a),
+    comp AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
+    SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN comp ON node = w.doc_id LEFT JOIN n USING (doc_id)
+    """,
+    "op10_suffix_dedup": r"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+    c AS (SELECT doc_id, h, n, unnest(generate_series(0, CAST(n AS BIGINT) - 200, 256)) AS c FROM d WHERE n >= 200),
+    e AS (SELECT doc_id, c, h[2 * c + 1:2 * c + 910] AS h, least(256, n - 199 - c) AS n FROM c),
+    p AS (SELECT doc_id, c, h, unnest(generate_series(1, CAST(n AS BIGINT))) AS i FROM e),
+    win AS (SELECT doc_id, c + i AS i, md5_number(h[2 * i - 1:2 * i + 398]) AS m FROM p),
+    again AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+    starts AS (SELECT doc_id, i FROM win SEMI JOIN again USING (m)),
+    edges AS (SELECT doc_id, i, i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS fresh FROM starts),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS b FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM edges) GROUP BY doc_id, k),
+    cuts AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY doc_id),
+    kept AS (SELECT doc_id, n_spans, n_removed, unnest(generate_series(1, len(a) + 1)) AS k, list_concat([0], b) AS begins, list_concat(a, [1000000000]) AS ends, h FROM cuts JOIN d USING (doc_id)),
+    rest AS (SELECT doc_id, n_spans, n_removed, string_agg(h[2 * begins[k] + 1:2 * ends[k] - 2], '' ORDER BY k) AS h FROM kept GROUP BY ALL)
+    SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
+    FROM d LEFT JOIN rest USING (doc_id)
+    """,
 }
