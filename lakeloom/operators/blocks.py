@@ -58,6 +58,25 @@ def batches(stream: DataFrame, block_size: int, batch_size: int, by: list[str] |
     return out.join(full, [*by, "batch_id"], "left_semi").select(*by, "batch_id", "row", F.slice("ids", 1, block_size).alias("x"), F.slice("ids", 2, block_size).alias("y"))
 
 
+def batches_of(placed: DataFrame, block_size: int, batch_size: int) -> DataFrame:
+    """(batch_id, row, x, y) as batches() gives, straight from positions(): documents are cut at the rows' borders first, so a row moves a few
+    arrays instead of one record for each token."""
+    width = block_size + 1
+    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n") - 1) / width)
+
+    def piece(b):
+        low = F.greatest(b * width - F.col("start"), F.lit(0))
+        high = F.least((b + 1) * width - F.col("start"), F.col("n"))
+        return F.struct(b.alias("block"), (F.col("start") + low).alias("at"), F.slice("ids", (low + 1).cast("int"), (high - low).cast("int")).alias("ids"))
+
+    pieces = placed.where("n > 0").select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*")
+    rows = pieces.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("all")).select("block", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids")).where(F.size("ids") == width)
+    n = placed.agg(F.sum("n")).first()[0] or 0
+    full = epoch_batches(int(n), block_size, batch_size)
+    out = rows.select(F.floor(F.col("block") / batch_size).cast("long").alias("batch_id"), (F.col("block") % batch_size).cast("int").alias("row"), "ids").where(F.col("batch_id") < full)
+    return out.select("batch_id", "row", F.slice("ids", 1, block_size).alias("x"), F.slice("ids", 2, block_size).alias("y"))
+
+
 def epoch_batches(n: int, block_size: int, batch_size: int) -> int:
     return n // (batch_size * (block_size + 1))
 

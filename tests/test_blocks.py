@@ -40,3 +40,11 @@ def test_collate(spark):
 def test_fraction_split(spark):
     got = {r["split"]: r["count"] for r in B.fraction_split(spark.range(40), "id", 40).groupBy("split").count().collect()}
     assert got == {"train": 34, "test": 4, "val": 2}
+
+
+def test_blocks_of_documents(spark):
+    docs = spark.createDataFrame([(k, list(range(k * 100, k * 100 + n))) for k, n in enumerate([3, 0, 11, 1, 7, 40, 2])], "doc_id long, token_ids array<int>")
+    placed = B.positions(docs, "doc_id")
+    for t, b in ((4, 1), (4, 3), (2, 2), (30, 1)):
+        a = sorted(map(str, B.batches_of(placed, t, b).collect()))
+        assert a == sorted(map(str, B.batches(B.long_tokens(placed), t, b).collect()))

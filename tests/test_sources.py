@@ -64,3 +64,14 @@ def test_vocabulary_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         D.load_vocabulary(spark, str(tmp_path / "w.json"))
     assert D.loss_series({"train": [1.0, 0.5]}, spark).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lakeloom import cli
+
+    (tmp_path / "s.json").write_text(json.dumps([{"instruction": "i", "input": "x", "output": "o"}]))
+    cli.main(["prompts", str(tmp_path / "s.json"), str(tmp_path / "out")])
+    assert "### Input:\nx" in spark.read.json(str(tmp_path / "out")).first()["prompt"]
+    (tmp_path / "t.txt").write_text("abc")
+    cli.main(["summary", str(tmp_path / "t.txt")])
+    assert "0.00 MB" in capsys.readouterr().out
