@@ -48,3 +48,20 @@ def test_pipeline(spark):
         texts = {r["doc_id"]: r["text"] for r in rows}
     last = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "rate", "copy"} <= set(last.columns) and last.count() > 0
+
+
+def test_stages_take_any_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").withColumn("part", F.when(F.col("doc_id") >= 0, 1)).withColumn("kept", F.when(F.col("doc_id") >= 0, "x"))
+    kind = docs.schema
+    odd = spark.createDataFrame([(None, None, None, None, None, None, None), (7001, None, "en", "s", 0, 1, "k"), (7002, "", None, "s", 0, 1, "k"), (7003, "word " * 30000, "en", "s", None, 1, None), (7003, "word " * 30000, "en", "s", None, 1, None)], kind)
+    given = docs.unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, SF)
+        assert name == "mixing" or out.columns == given.columns
+        rows = out.collect()
+        assert rows, name
+        if name == "near_dedup":
+            assert any(r["doc_id"] is None for r in rows) and any(r["doc_id"] == 7001 for r in rows)
+        assert stage(spark, given.limit(0), SF).count() == 0, name
