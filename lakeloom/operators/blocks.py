@@ -133,6 +133,20 @@ def fraction_split(df: DataFrame, position: str, n: int, train: float = 0.85, te
     return df.withColumn("split", F.when(F.col(position) < a, "train").when(F.col(position) < b, "test").otherwise("val"))
 
 
+def sample_batches(df: DataFrame, position: str, batch_size: int, n: int, drop_last: bool = False, seed: int | None = None) -> DataFrame:
+    """df with batch_id and row: batch_size samples in order of position (0 to n - 1), or in a seeded order; with drop_last the incomplete
+    last batch goes."""
+    if seed is None:
+        placed = df.withColumn("_at", F.col(position).cast("long"))
+    else:
+        from .documents import permutation
+
+        order = df.sparkSession.createDataFrame([(old, new) for new, old in enumerate(permutation(n, seed))], "_old long, _at long")
+        placed = df.join(order, F.col(position) == F.col("_old")).drop("_old")
+    out = placed.withColumn("batch_id", F.floor(F.col("_at") / batch_size).cast("long")).withColumn("row", (F.col("_at") % batch_size).cast("int")).drop("_at")
+    return out.where(F.col("batch_id") < n // batch_size) if drop_last else out
+
+
 def collate(df: DataFrame, batch: str, ids: str, pad: int = 50256, ignore: int = -100, longest: int = 1024) -> DataFrame:
     """df with inputs and targets: each sample cut and padded to its batch's length; targets are shifted by one, and every pad after the
     first is ignored."""

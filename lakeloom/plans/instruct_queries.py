@@ -163,6 +163,12 @@ def collate(spark, sf_dir):
     return got.select("pos", F.size("inputs").alias("n"), weighted("inputs").alias("input_sum"), weighted("targets").alias("target_sum"))
 
 
+@query("sample_batches", f"WITH {_ROWS}, {_NUMBERED} SELECT conv_id, turn, CAST(pos // 8 AS BIGINT) AS batch_id, CAST(pos % 8 AS INTEGER) AS row FROM numbered WHERE pos // 8 < n // 8")
+def sample_batches(spark, sf_dir):
+    rows = _numbered(spark, sf_dir)
+    return B.sample_batches(rows, "pos", 8, rows.count(), drop_last=True).select("conv_id", "turn", "batch_id", "row")
+
+
 @query("chat_chatml", "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS text FROM conversations GROUP BY conv_id")
 def chat_chatml(spark, sf_dir):
     return I.chat_template(table(spark, sf_dir, "conversations"), "chatml")

@@ -48,3 +48,10 @@ def test_blocks_of_documents(spark):
     for t, b in ((4, 1), (4, 3), (2, 2), (30, 1)):
         a = sorted(map(str, B.batches_of(placed, t, b).collect()))
         assert a == sorted(map(str, B.batches(B.long_tokens(placed), t, b).collect()))
+
+
+def test_sample_batches(spark):
+    df = spark.range(10)
+    got = B.sample_batches(df, "id", 3, 10, drop_last=True, seed=1).collect()
+    assert len(got) == 9 and sorted((r["batch_id"], r["row"]) for r in got) == [(b, k) for b in range(3) for k in range(3)]
+    assert B.sample_batches(df, "id", 3, 10).where("batch_id = 3").count() == 1

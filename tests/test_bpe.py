@@ -122,3 +122,10 @@ def test_distinct_chunks(spark):
     a = {r["k"]: r["token_ids"] for r in P.encode_distinct(df, bpe, ["k"]).collect()}
     b = {r["k"]: r["x"] for r in df.select("k", P.encode(F.col("text"), bpe).alias("x")).collect()}
     assert a == b
+
+
+def test_published_ranks(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([(0, "hello world"), (1, "")], "k long, text string")
+    got = {r["k"]: r["token_ids"] for r in P.tiktoken_encode(df, ["k"], tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, {"<|endoftext|>": 50256}).collect()}
+    assert len(got[0]) == 2 and got[1] == []
