@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _U = np.uint64
 _P = 0x9E3779B97F4A7C17 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
