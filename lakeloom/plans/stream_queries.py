@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,10 +16,10 @@ from .token_queries import small_bpe
 
 @query("stream_encode", "SELECT item_id, len(text) > 0 AS same FROM benchmark")
 def stream_encode(spark, sf_dir):
-    """Encoding a stream gives the ids of the batch plan. The stream's state goes to the session's shared folder if it has one."""
+    """Encoding a stream gives the ids of the batch plan. The stream's state goes to the folder that executors share."""
     batch = table(spark, sf_dir, "benchmark")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{shared}/stream-{spark.sparkContext.applicationId}-{id(batch)}" if shared else tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     batch.write.parquet(f"{folder}/in")
     stream = S.read_documents(spark, f"{folder}/in", batch.schema)
     S.write_encoded(stream, small_bpe(), f"{folder}/out", f"{folder}/state", "item_id").awaitTermination()
