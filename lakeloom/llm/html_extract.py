@@ -232,11 +232,9 @@ def extract(page: str | None) -> str:
     first = last = -1
     start = 0
     seen = []
-    told = False
     for i, token in enumerate(tokens(page)):
         seen.append(token)
-        feature, n, _, _, kind = token
-        told = told or (kind == "main" and n > 0)
+        feature, n, *_ = token
         if feature is None:
             continue
         total += _score(feature, n, table)
@@ -248,13 +246,8 @@ def extract(page: str | None) -> str:
         return ""
     blocks: list[list[str]] = []
     now = None
-    # A page that tells its main container is taken from there; the region is widened to that container's ends.
-    if told:
-        inside = [i for i, t in enumerate(seen) if t[4] == "main" and t[1]]
-        if any(first <= i <= last for i in inside):
-            first, last = inside[0], inside[-1]
     for _, _, text, block, kind in seen[first : last + 1]:
-        if text is None or (kind != "main" if told else kind != "plain"):
+        if text is None or kind not in ("plain", "main"):
             continue
         if block != now:
             blocks.append([])

@@ -64,6 +64,19 @@ def test_extract_frame(spark):
     assert H.main_text(df.limit(0)).count() == 0
 
 
+def test_named_containers_do_not_replace_the_region():
+    prose = "<p>Long prose that is the body of this page and stands in a container without any name.</p><p>And more of the same prose, which goes on for a while.</p>"
+    want = ["Long prose that is the body of this page and stands in a container without any name.", "And more of the same prose, which goes on for a while."]
+    got = H.extract(f'<body><nav><ul><li><a>a</a></li></ul></nav><p class="post-date">3 May</p><div>{prose}</div><footer>bye</footer></body>').split("\n")
+    assert got == ["3 May", *want]
+    got = H.extract(f'<body><div>{prose}</div><article><p>Teaser of another story.</p></article><footer>bye</footer></body>').split("\n")
+    assert got == [*want, "Teaser of another story."]
+    got = H.extract(f'<body><div>{prose}<div class="ad">Buy this now</div>{prose}</div><article><p>Teaser.</p></article></body>').split("\n")
+    assert got == [*want, *want, "Teaser."]
+    cards = "".join(f'<div class="story"><p>Card {i}</p></div>' for i in range(2))
+    assert H.extract(f"<body>{cards}<div>{prose}</div></body>").split("\n") == ["Card 0", "Card 1", *want]
+
+
 @pytest.mark.parametrize("seed", [11, 12])
 def test_region_on_other_layouts(seed):
     good = 0
