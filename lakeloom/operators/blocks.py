@@ -147,11 +147,12 @@ def sample_batches(df: DataFrame, position: str, batch_size: int, n: int, drop_l
     return out.where(F.col("batch_id") < n // batch_size) if drop_last else out
 
 
-def collate(df: DataFrame, batch: str, ids: str, pad: int = 50256, ignore: int = -100, longest: int = 1024) -> DataFrame:
+def collate(df: DataFrame, batch: str, ids: str, pad: int = 50256, ignore: int = -100, longest: int | None = 1024) -> DataFrame:
     """df with inputs and targets: each sample cut and padded to its batch's length; targets are shifted by one, and every pad after the
-    first is ignored."""
-    cut = F.slice(F.col(ids), 1, longest - 1)
-    size = df.groupBy(batch).agg(F.least(F.max(F.size(cut) + 1), F.lit(longest)).alias("_length"))
+    first is ignored. Where longest is None nothing is cut."""
+    cut = F.col(ids) if longest is None else F.slice(F.col(ids), 1, longest - 1)
+    size = F.max(F.size(cut) + 1)
+    size = df.groupBy(batch).agg((size if longest is None else F.least(size, F.lit(longest))).alias("_length"))
     full = F.concat(cut, F.array_repeat(F.lit(pad), F.col("_length") - F.size(cut)))
     joined = df.join(size, batch).withColumn("_full", full)
     target = F.slice("_full", F.lit(2), F.col("_length") - 1)

@@ -156,13 +156,34 @@ def instruction_split(spark, sf_dir):
         CAST(list_sum(list_transform(targets, lambda x, i: CASE WHEN x = 101 AND i > list_position(targets, 101) THEN -100 ELSE x END * i)) AS BIGINT) AS target_sum FROM g""",
 )
 def collate(spark, sf_dir):
+    """Prefixes of 63 characters of the instructions, as the SQL has them; collate_samples takes whole samples."""
     chars = F.transform(F.filter(F.split(F.substring("instruction", 1, 63), F.lit(""), F.lit(-1)), lambda c: c != ""), F.ascii)
     rows = _numbered(spark, sf_dir).select("pos", F.floor(F.col("pos") / 8).alias("batch"), chars.alias("ids"))
-    got = B.collate(rows, "batch", "ids", pad=101, longest=64)
+    return _sums(B.collate(rows, "batch", "ids", pad=101, longest=64))
+
+
+def _sums(got):
     weighted = lambda c: F.aggregate(F.transform(c, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return got.select("pos", F.size("inputs").alias("n"), weighted("inputs").alias("input_sum"), weighted("targets").alias("target_sum"))
 
 
+@query(
+    "collate_samples",
+    f"""WITH {_ROWS}, {_NUMBERED}, w AS (SELECT pos, {_PROMPT} || {_q(chr(10) * 2 + '### Response:' + chr(10))} || output AS sample FROM numbered),
+    t AS (SELECT pos, pos // 8 AS batch, list_transform(generate_series(1, CAST(length(sample) AS BIGINT)), lambda i: ascii(sample[i])) AS s FROM w),
+    l AS (SELECT *, max(len(s) + 1) OVER (PARTITION BY batch) AS size FROM t),
+    f AS (SELECT pos, size, list_concat(s, list_transform(generate_series(1, CAST(size - len(s) AS BIGINT)), lambda i: 50256)) AS full_ FROM l),
+    g AS (SELECT pos, size, full_[1:size - 1] AS inputs, full_[2:size] AS targets FROM f)
+    SELECT pos, CAST(size - 1 AS INTEGER) AS n, CAST(list_sum(list_transform(inputs, lambda x, i: x * i)) AS BIGINT) AS input_sum,
+        CAST(list_sum(list_transform(targets, lambda x, i: CASE WHEN x = 50256 AND i > list_position(targets, 50256) THEN -100 ELSE x END * i)) AS BIGINT) AS target_sum FROM g""",
+)
+def collate_samples(spark, sf_dir):
+    """All characters of the formatted samples, instruction, input and response; nothing is cut."""
+    rows = _numbered(spark, sf_dir).withColumn("sample", I.format_sample())
+    chars = F.transform(F.filter(F.split("sample", F.lit(""), F.lit(-1)), lambda c: c != ""), F.ascii)
+    return _sums(B.collate(rows.select("pos", F.floor(F.col("pos") / 8).alias("batch"), chars.alias("ids")), "batch", "ids", longest=None))
+
+
 @query("sample_batches", f"WITH {_ROWS}, {_NUMBERED} SELECT conv_id, turn, CAST(pos // 8 AS BIGINT) AS batch_id, CAST(pos % 8 AS INTEGER) AS row FROM numbered WHERE pos // 8 < n // 8")
 def sample_batches(spark, sf_dir):
     rows = _numbered(spark, sf_dir)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.errors import DataLoaderError
 from lakeloom.operators import blocks as B
+from lakeloom.operators import instruct as I
 
 
 def test_shifted_blocks(spark):
@@ -37,6 +38,24 @@ def test_collate(spark):
     assert short[0] == [1, 2]
 
 
+def test_collate_whole_samples(spark):
+    from lakeloom.plans.instruct_queries import _numbered, collate_samples
+
+    df = spark.createDataFrame([(0, 0, list(range(3000))), (0, 1, [4])], "b long, k long, ids array<int>")
+    got = {r["k"]: (r["inputs"], r["targets"]) for r in B.collate(df, "b", "ids", pad=9000, longest=None).collect()}
+    assert got[0] == (list(range(3000)), [*range(1, 3000), 9000])
+    assert got[1] == ([4] + [9000] * 2999, [9000] + [-100] * 2999)
+    sf = "/root/testdata/sf0.001"
+    sample = {r["pos"]: r["s"] for r in _numbered(spark, sf).select("pos", I.format_sample().alias("s")).collect()}
+    rows = {r["pos"]: r for r in collate_samples(spark, sf).collect()}
+    assert set(rows) == set(sample)
+    for pos, text in sample.items():
+        size = max(len(t) for p, t in sample.items() if p // 8 == pos // 8)
+        full = [ord(c) for c in text] + [50256] * (size + 1 - len(text))
+        targets = [x if i <= len(text) - 1 else -100 for i, x in enumerate(full[1:])]
+        assert (rows[pos]["n"], rows[pos]["input_sum"], rows[pos]["target_sum"]) == (size, sum(x * i for i, x in enumerate(full[:-1], 1)), sum(x * i for i, x in enumerate(targets, 1)))
+
+
 def test_fraction_split(spark):
     got = {r["split"]: r["count"] for r in B.fraction_split(spark.range(40), "id", 40).groupBy("split").count().collect()}
     assert got == {"train": 34, "test": 4, "val": 2}
