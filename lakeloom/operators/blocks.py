@@ -116,14 +116,62 @@ def refill_starts(n: int, buffer: int, need: int, count: int) -> list[list[int]]
     return out
 
 
-def refill_batches(spark, stream: DataFrame, n: int, config: LoaderConfig, count: int) -> DataFrame:
-    """(batch_id, row, x, y) of the historic loader."""
-    need, width = config.batch_size * (config.block_size + 1), config.block_size + 1
-    places = [(b, k // width, k % width, p) for b, ps in enumerate(refill_starts(n, config.buffer, need, count)) for k, p in enumerate(ps)]
-    wanted = spark.createDataFrame(places, "batch_id long, row int, col int, pos long")
-    rows = F.broadcast(wanted).join(stream, "pos").groupBy("batch_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "token_id"))).alias("t"))
-    ids = F.transform("t", lambda x: x["token_id"])
-    return rows.select("batch_id", "row", F.slice(ids, 1, config.block_size).alias("x"), F.slice(ids, 2, config.block_size).alias("y"))
+def refill_runs(n: int, buffer: int, need: int, count: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(runs, period) of refill_starts() without its lists. A run is (first batch, batches of a refill, refills, tokens from one refill to
+    the next, position of the first token); batch b takes the tokens of batch b mod period. Data that fill the buffer need at most two runs:
+    whole refills, which leave nothing of what was held, and the refill that the end of the data cuts short. Smaller data need one for each refill."""
+    if n <= 0 < count:
+        raise DataLoaderError("no tokens to fill the buffer with")
+    if n >= buffer:
+        each, (refills, rest) = buffer // need, divmod(n, buffer)
+        held = min(buffer % need + rest, buffer) if rest else 0
+        runs = [(0, each, refills, buffer, 0)]
+        if held >= need:
+            runs.append((each * refills, held // need, 1, held, n - held))
+        return runs, each * refills + held // need
+    runs, b, read, held = [], 0, 0, 0
+    while b < count:
+        read, held = read + n, min(held + n, buffer)
+        if k := min(held // need, count - b):
+            runs.append((b, k, 1, k * need, read - held))
+            b, held = b + k, held - k * need
+    return [(b, k, q, stride, at % n) for b, k, q, stride, at in runs], max(count, 1)
+
+
+def refill_batches(placed: DataFrame, n: int, config: LoaderConfig, count: int | None = None) -> DataFrame:
+    """(batch_id, row, x, y) of the first `count` batches of the historic loader (refill_starts), by default of a whole epoch, from
+    positions() of n tokens. Rows are found by arithmetic on each document's positions, so the driver holds no positions."""
+    per, width = config.batch_size, config.block_size + 1
+    count = epoch_batches(n, config.block_size, per) if count is None else count
+    runs, period = refill_runs(n, config.buffer, per * width, count)
+    start, end = F.col("start"), F.col("start") + F.col("n")
+
+    def pieces(first, rows, refills, stride, at):
+        """Of a document, what is in the rows of a run that begins at position `at`."""
+        since = lambda x: F.greatest(x - at, F.lit(-1))
+        inside = lambda y: F.least(F.floor(y % stride / width) + 1, F.lit(rows))
+        begun = lambda x: F.when(since(x) < 0, F.lit(0)).otherwise(F.least(F.floor(since(x) / stride) * rows + inside(since(x)), F.lit(rows * refills))).cast("long")
+        low, high = begun(start - width), begun(end - 1)
+
+        def piece(k):
+            own = F.floor(k / rows) * stride + k % rows * width + at
+            skip = F.greatest(own - start, F.lit(0))
+            size = F.least(own + width, end) - start - skip
+            return F.struct((F.floor(k / per) + first).cast("long").alias("b"), (k % per).cast("int").alias("row"), (start + skip - own).cast("long").alias("at"), F.slice("ids", (skip + 1).cast("int"), size.cast("int")).alias("ids"))
+
+        return F.when(high > low, F.transform(F.sequence(low, high - 1), piece))
+
+    found = []
+    for b, k, q, stride, at in runs:
+        for lap in range((at + (q - 1) * stride + k * per * width - 1) // n + 1):  # a run that goes on over the end of the data meets each document again
+            found.append(pieces(b, k * per, q, stride, at - lap * n))
+    if not found or count <= 0:
+        return placed.sparkSession.createDataFrame([], "batch_id long, row int, x array<int>, y array<int>")
+    none = F.array().cast("array<struct<b:bigint,row:int,at:bigint,ids:array<int>>>")
+    parts = placed.where("n > 0").select(F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("p")).select("p.*").where(F.col("b") < count)
+    rows = parts.groupBy("b", "row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("all")).select("b", "row", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
+    again = F.explode(F.sequence(F.col("b"), F.lit(count - 1).cast("long"), F.lit(period).cast("long")))
+    return rows.select(again.alias("batch_id"), "row", F.slice("ids", 1, config.block_size).alias("x"), F.slice("ids", 2, config.block_size).alias("y"))
 
 
 def fraction_split(df: DataFrame, position: str, n: int, train: float = 0.85, test: float = 0.10) -> DataFrame:

@@ -163,6 +163,6 @@ def epoch_length(spark, sf_dir):
 def refill_batches(spark, sf_dir):
     placed = _stream(spark, sf_dir)
     n = int(placed.agg(F.sum("n")).first()[0])
-    return B.refill_batches(spark, B.long_tokens(placed), n, B.LoaderConfig(64, 4, 1000), 20)
+    return B.refill_batches(placed, n, B.LoaderConfig(64, 4, 1000))
 
 

@@ -29,6 +29,39 @@ def test_refill():
     assert B.refill_starts(12, 24, 5, 3)[2] == [10, 11, 0, 1, 2]
 
 
+def test_refill_runs():
+    for n in range(1, 60):
+        for buffer in range(1, 25):
+            for need in range(1, buffer + 1):
+                runs, period = B.refill_runs(n, buffer, need, 40)
+                starts = {b + i * k + j: (at + i * stride + j * need) % n for b, k, q, stride, at in runs for i in range(q) for j in range(k)}
+                assert [starts[b % period] for b in range(40)] == [p[0] for p in B.refill_starts(n, buffer, need, 40)]
+
+
+@pytest.mark.parametrize("buffer,count", [(8, None), (23, None), (23, 40), (64, None), (64, 25), (100, 25), (700, 9)])
+def test_refill_batches_of_documents(spark, buffer, count):
+    ids = list(range(1000, 1064))
+    cuts = [0, 3, 3, 14, 15, 22, 62, 64]
+    docs = spark.createDataFrame([(k, ids[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], "doc_id long, token_ids array<int>").repartition(3)
+    config = B.LoaderConfig(3, 2, buffer)
+    got = {(r["batch_id"], r["row"]): (r["x"], r["y"]) for r in B.refill_batches(B.positions(docs, "doc_id"), 64, config, count).collect()}
+    want = {}
+    for b, places in enumerate(B.refill_starts(64, buffer, 8, 8 if count is None else count)):
+        for row in range(2):
+            own = [ids[p] for p in places[row * 4 : row * 4 + 4]]
+            want[b, row] = (own[:-1], own[1:])
+    assert got == want
+
+
+def test_refill_query_is_a_whole_epoch(spark):
+    from lakeloom.plans.token_queries import _stream, refill_batches
+
+    sf = "/root/testdata/sf0.001"
+    n = int(_stream(spark, sf).agg(F.sum("n")).first()[0])
+    rows = refill_batches(spark, sf)
+    assert rows.count() == rows.select("batch_id", "row").distinct().count() == 4 * B.epoch_batches(n, 64, 4)
+
+
 def test_collate(spark):
     df = spark.createDataFrame([(0, 0, [1, 2, 3]), (0, 1, [4]), (1, 2, [5, 9, 6, 7])], "b long, k long, ids array<int>")
     got = {r["k"]: (r["inputs"], r["targets"]) for r in B.collate(df, "b", "ids", pad=9).collect()}
