@@ -84,6 +84,33 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0), labelled, targets).count() == 0
 
 
+@pytest.mark.parametrize("shares", [(0.62, 0.145, 0.129, 0.106), (0.95, 0.03, 0.015, 0.005), (0.97, 0.02, 0.009, 0.001)])
+def test_rates_of_rare_domains(shares):
+    wanted, penalty, n = np.array([0.4, 0.2, 0.2, 0.2]), 1e-3, 1000 * np.array(shares)
+    gap = mixing.solve(lambda points: mixing.dual_sums(np.eye(4), n, points, penalty), wanted, n.sum(), penalty, 40, 1e-4)
+    assert np.allclose(mixing.rates_at(np.eye(4), gap, penalty), (wanted + penalty) / (np.array(shares) / sum(shares) + penalty), atol=1e-3)
+    r = np.random.default_rng(4)
+    p = r.dirichlet(np.array(shares) * 2, 3000)
+    n = r.integers(0, 500, 3000).astype(float)
+    gap = mixing.solve(lambda points: mixing.dual_sums(p, n, points, penalty), wanted, n.sum(), penalty, 40, 1e-4)
+    assert np.allclose((mixing.rates_at(p, gap, penalty) * n) @ p / n.sum() - wanted, gap, atol=1e-6)
+    with pytest.raises(RuntimeError):
+        mixing.solve(lambda points: mixing.dual_sums(p, n, points, penalty), wanted, n.sum(), penalty, 1, 1e-4)
+
+
+def test_mixing_with_a_rare_domain(spark):
+    r = random.Random(5)
+    kinds = {"w": "abcd", "x": "mnop", "y": "uvwx", "z": "efgh"}
+    own = ["w"] * 950 + ["x"] * 30 + ["y"] * 15 + ["z"] * 5
+    rows = [(i, text(r, 40, kinds[k])) for i, k in enumerate(own)]
+    labelled = spark.createDataFrame(list(enumerate(own)), "id long, y string")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        got = mixing.mix(frame(spark, rows), labelled, {"w": 0.4, "x": 0.2, "y": 0.2, "z": 0.2}).collect()
+    p, n, rate = np.array([x["posteriors"] for x in got]), np.array([x["n_tokens"] for x in got]), np.array([x["rate"] for x in got])
+    left = (rate * n) @ p / n.sum() - np.array([0.4, 0.2, 0.2, 0.2])
+    assert np.allclose(rate, np.maximum(0, 1 - p @ left / 1e-3), atol=1e-2)
+
+
 def brute_links(rows, similarity):
     ok = {}
     for k, (i, v) in enumerate(rows):
