@@ -18,6 +18,7 @@ item; each document row is judged by itself, whatever its id; an empty benchmark
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ def blocks(benchmark: DataFrame, words: int = 10, id_column: str = "item_id", te
     return out
 
 
-def _judge(indexes, texts: list[bytes]):
+def _judge(indexes, texts: Iterable[bytes]):
     """Per text: number of words, of hit words, its items."""
     for _, group in K.runs(texts):
         hits, items, w = None, [set() for _ in group], None
@@ -152,12 +153,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, words: int = 10, text: str = "t
     """The rows of docs, with their columns, that hit nothing."""
     indexes = blocks(benchmark, words)
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array([x[1] == 0 for x in _judge(indexes, K.as_bytes(b.column(text)))], pa.bool_()))
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in column:
+            yield pa.array([x[1] == 0 for x in _judge(indexes, K.each_bytes(c))], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(run, "boolean")(F.col(text)))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

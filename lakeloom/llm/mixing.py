@@ -8,7 +8,7 @@ r n p over all documents; the rates solve
 
 (T: all tokens). At the minimum r = max(0, 1 - p g / penalty), where g is the domains' gap totals / T - targets that these very rates
 leave; this is the minimum of a strictly convex function of g (the dual), which Newton steps find. A step sums, in one distributed pass, the
-dual's value, slope and curvature at several lengths of the step (numbers by domains x domains); steps end when g is the gap to within
+dual's value, slope and curvature at several lengths of the step (numbers by domains x domains); they begin at the gap of a bounded sample and end when g is the gap to within
 tolerance x penalty, and it is an error if the bound on steps comes first. Rates follow from g and a document's posteriors, so no state is kept anywhere
 that could be lost. The penalty holds rates near 1: a domain that has to be used r times ends penalty x (r - 1) below its target.
 Gaps over MISSED are warned about.
@@ -17,13 +17,13 @@ Copies are floor(r + u), u uniform from a hash of the id, so their expected numb
 
 Defined cases: null texts are empty and have no tokens, their rates follow from their posteriors like the others; null
 ids draw the same u; domains without labelled rows get no posterior, their targets stay unmet; without any labelled row all
-rates are 1; repeated rows get equal rates; an empty table gives an empty result; a column named like a result column is an error.
+rates are 1; repeated rows get equal rates; an empty table gives an empty result; a column named like one of the result is replaced by that.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ from . import textkit as K
 SAMPLE = 6000
 #: A domain's share that is further than this from its target is warned about.
 MISSED = 0.01
+RESULT = ("n_tokens", "posteriors", "rate")
 #: Lengths of a Newton step that are tried in one pass.
 LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
@@ -90,12 +91,14 @@ def dual_sums(p: np.ndarray, n: np.ndarray, points: np.ndarray, penalty: float)
     return np.array(out)
 
 
-def solve(gather: Callable[[np.ndarray], np.ndarray], wanted: np.ndarray, total: float, penalty: float, steps: int, tolerance: float) -> np.ndarray:
-    """The gap at the minimum; gather(points) gives the sums of dual_sums() over all rows."""
+def solve(gather: Callable[[np.ndarray], np.ndarray], wanted: np.ndarray, total: float, penalty: float, steps: int, tolerance: float, near: np.ndarray | None = None) -> np.ndarray:
+    """The gap at the minimum; gather(points) gives the sums of dual_sums() over all rows. near: a gap to try at the start beside 0."""
     if penalty <= 0:
         raise ValueError("the penalty must be positive")
     k = len(wanted)
     points, value, least, gap = np.zeros((1, k)), np.inf, max(tolerance * penalty, 1e-12), None
+    if near is not None:
+        points = np.stack([points[0], near])
     for _ in range(steps):
         sums = gather(points) / total
         values = penalty / 2 * sums[:, 0] + points @ wanted + (points * points).sum(1) / 2
@@ -118,45 +121,67 @@ def _posteriors(p: pa.Array) -> np.ndarray:
     return flat.reshape(len(p), -1) if len(p) else np.zeros((0, 0))
 
 
+def rate_of(posteriors, gap: np.ndarray, penalty: float):
+    """rates_at() as a column expression on an array of posteriors; 1 where there are no domains."""
+    if not len(gap):
+        return F.lit(1.0)
+    terms = F.zip_with(posteriors, F.array(*[F.lit(float(g)) for g in gap]), lambda p, g: p * g)
+    return F.greatest(F.lit(0.0), 1 - F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.lit(penalty))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], penalty: float = 1e-3, steps: int = 40, tolerance: float = 1e-4, most: int = SAMPLE, text: str = "text") -> DataFrame:
     """docs with n_tokens, posteriors (array, domains in sorted order) and rate."""
+    return rated(docs, labelled, targets, docs.columns, penalty, steps, tolerance, most, text)[0]
+
+
+def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], columns: list[str], penalty: float = 1e-3, steps: int = 40, tolerance: float = 1e-4, most: int = SAMPLE, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """The given columns of docs with n_tokens, posteriors and rate, and the domains that the posteriors stand for.
+
+    Texts go to Python once, alone, and only (n_tokens, posteriors) come back; the table that the passes read holds the given columns, of
+    which they read none. Rates are a column expression on the posteriors.
+    """
     spark = docs.sparkSession
-    clash = {"n_tokens", "posteriors", "rate"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns of docs clash with the result's: {sorted(clash)}")
+    columns = [c for c in columns if c not in RESULT]
     fitted = fit(docs, labelled, most)
     model = spark.sparkContext.broadcast(fitted)
-    schema = docs.schema
-    names = docs.columns
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_tokens long, posteriors array<double>"
 
-    def judge(batches):
-        for b in batches:
-            texts = K.as_bytes(b.column(text))
-            p = model.value.posteriors(texts)
+    def judge(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in column:
+            sizes, found = [], []
+            for _, group in K.runs(K.each_bytes(c)):
+                sizes += K.word_counts(group)
+                found.append(model.value.posteriors(group))
+            p = np.concatenate(found) if found else np.zeros((0, len(model.value.domains)))
             k = p.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * k, pa.int32()), pa.array(p.reshape(-1), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(t.split()) for t in texts], pa.int64()), lists], names=[*names, "n_tokens", "posteriors"])
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), lists], names=["n_tokens", "posteriors"])
 
-    judged = spill.write(docs.mapInArrow(judge, typed), "posteriors")
-    total = float(judged.agg(F.sum("n_tokens")).first()[0] or 0)
+    judged = F.arrow_udf(judge, "n_tokens long, posteriors array<double>")(F.col(text))
+    own = [F.col(c) for c in columns]
+    table = spill.write(docs.select(F.struct(*own).alias("row"), judged.alias("judged")), "posteriors")
+    table = table.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("judged.n_tokens").alias("n_tokens"), F.col("judged.posteriors").alias("posteriors"))
+    total = float(table.agg(F.sum("n_tokens")).first()[0] or 0)
     wanted = np.array([float(targets.get(d, 0.0)) for d in fitted.domains])
     gap = np.zeros(len(wanted))
-    small = judged.select("n_tokens", "posteriors")
+    small = table.select("n_tokens", "posteriors")
     if total > 0 and len(wanted):
         wanted = wanted / max(sum(targets.values()), 1e-300)
-        gap = solve(lambda points: _gather(small, points, penalty), wanted, total, penalty, steps, tolerance)
+        gap = solve(lambda points: _gather(small, points, penalty), wanted, total, penalty, steps, tolerance, _near(small, wanted, penalty, steps, tolerance, most))
         missed = {d: (round(float(w + g), 4), round(float(w), 4)) for d, w, g in zip(fitted.domains, wanted, gap, strict=True) if abs(g) > MISSED}
         if missed:
-            warnings.warn(f"shares that miss their targets, as (share, target): {missed}", stacklevel=2)
+            warnings.warn(f"shares that miss their targets, as (share, target): {missed}", stacklevel=3)
+    return table.withColumn("rate", rate_of(F.col("posteriors"), gap, penalty)), fitted.domains
 
-    def rates(batches):
-        for b in batches:
-            p = _posteriors(b.column("posteriors"))
-            r = rates_at(p, gap, penalty) if p.shape[1] else np.ones(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.float64())], names=[*names, "n_tokens", "posteriors", "rate"])
 
-    return judged.mapInArrow(rates, typed + ", rate double")
+def _near(small: DataFrame, wanted: np.ndarray, penalty: float, steps: int, tolerance: float, most: int) -> np.ndarray | None:
+    """The gap that at most `most` rows would have by themselves: where the steps over all rows begin, so that few are left. No result depends on it
+    by more than the tolerance."""
+    some = small.where("n_tokens > 0").orderBy(F.xxhash64("n_tokens", "posteriors")).limit(most).collect()
+    p, n = np.array([r["posteriors"] for r in some]), np.array([r["n_tokens"] for r in some], np.float64)
+    try:
+        return solve(lambda points: dual_sums(p, n, points, penalty), wanted, n.sum(), penalty, 4 * steps, tolerance)
+    except RuntimeError:
+        return None
 
 
 def _gather(judged: DataFrame, points: np.ndarray, penalty: float) -> np.ndarray:
@@ -191,10 +216,14 @@ TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = mix(docs.select("doc_id", "text", "lang", "source", "n_chars"), domains(spark, sf_dir, docs), TARGETS)
+    """docs, with all their columns, with n_tokens, posteriors, rate and copies."""
+    out = mix(docs, domains(spark, sf_dir, docs), TARGETS)
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    got = mixed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
-    return got.select("doc_id", "n_tokens", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))], "rate", "copies")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got, names = rated(docs, domains(spark, sf_dir, docs), TARGETS, ["doc_id"])
+    known = {d: F.col("posteriors")[k] for k, d in enumerate(names)}
+    own = [known.get(d, F.lit(None).cast("double")).alias(f"p_{d}") for d in sorted(TARGETS)]
+    return got.select("doc_id", "n_tokens", *own, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))

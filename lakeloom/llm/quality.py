@@ -11,6 +11,8 @@ are not learned from; repeated rows get equal scores; other columns are passed o
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,20 +29,20 @@ class Model:
     def __init__(self, grades: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
         self.grades, self.weights, self.thresholds = grades, weights, thresholds
 
-    def tails(self, texts: list[bytes]) -> np.ndarray:
+    def tails(self, texts: Iterable[bytes]) -> np.ndarray:
         """P(grade > k) for each text and each k but the last."""
         z = T.score(texts, T.grams, self.weights, 0.0)
         return T.sigmoid(z[:, None] - self.thresholds[None, :])
 
-    def judge(self, texts: list[bytes], grade: float) -> tuple[np.ndarray, np.ndarray]:
+    def judge(self, texts: Iterable[bytes], grade: float) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and P(rating >= grade)."""
         if not len(self.thresholds):
-            only = float(self.grades[0]) if len(self.grades) else 0.0
-            return np.full(len(texts), only), np.ones(len(texts))
+            n, only = sum(1 for _ in texts), float(self.grades[0]) if len(self.grades) else 0.0
+            return np.full(n, only), np.ones(n)
         tails = self.tails(texts)
-        expected = self.grades[0] + tails @ np.diff(self.grades)
+        n, expected = len(tails), self.grades[0] + tails @ np.diff(self.grades)
         k = int(np.searchsorted(self.grades, grade, "left"))
-        return expected, np.ones(len(texts)) if k == 0 else tails[:, min(k, len(self.grades) - 1) - 1] if k < len(self.grades) else np.zeros(len(texts))
+        return expected, np.ones(n) if k == 0 else tails[:, min(k, len(self.grades) - 1) - 1] if k < len(self.grades) else np.zeros(n)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE, steps: int = 120, penalty: float = 1e-5) -> Model:
@@ -78,8 +80,8 @@ def graded(docs: DataFrame, labelled: DataFrame, grade: float = 1.0, least: floa
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled, most))
 
     def run(batches):
-        for b in batches:
-            expected, tail = model.value.judge(K.as_bytes(b.column("text")), grade)
+        for b in K.slices(batches):
+            expected, tail = model.value.judge(K.each_bytes(b.column("text")), grade)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= least, pa.bool_())], names=["doc_id", "expected_grade", "tail", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
@@ -89,12 +91,11 @@ def keep(docs: DataFrame, labelled: DataFrame, grade: float = 1.0, least: float
     """The rows of docs, with their columns, that are kept."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled, most))
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(model.value.judge(K.as_bytes(b.column("text")), grade)[1] >= least, pa.bool_()))
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in column:
+            yield pa.array(model.value.judge(K.each_bytes(c), grade)[1] >= least, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(run, "boolean")(F.col("text")))
 
 
 def ratings(spark, sf_dir: str) -> DataFrame:

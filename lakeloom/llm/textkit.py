@@ -1,8 +1,9 @@
 """Vectorised byte, word and window hashing over batches of texts.
 
 All hashes are computed with numpy over one byte buffer that holds many documents, so that no
-Python code runs per word. A buffer holds at most about ``CHUNK`` bytes (one longer text is cut into
-overlapping chunks where an operator allows it), which bounds the memory of a worker.
+Python code runs per word. A buffer holds at most about ``CHUNK`` bytes, which bounds the memory of a worker: runs()
+groups short texts and leaves a longer one alone, and pieces() cuts that between words into pieces that overlap by as many words
+as a window needs. A single word that is longer is hashed chunk by chunk.
 """
 
 from __future__ import annotations
@@ -78,6 +79,27 @@ class Grams:
         return mix((self.sums[n:] - self.sums[:k]) * self.down[:k] + _U(n))
 
 
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Grams(buf).of(starts, ends) for ascending starts and ends, with CHUNK prefix sums at a time."""
+    table, size = BYTE, CHUNK
+    up, down = _BYTES.upto(size + 1)
+    at_start, at_end, back = np.zeros(len(starts), _U), np.zeros(len(ends), _U), np.ones(len(starts), _U)
+    total, step, undo = 0, 1, 1
+    for a in range(0, len(buf) + 1, size):
+        part = buf[a : a + size]
+        sums = np.zeros(len(part) + 1, _U)
+        np.cumsum(table[part] * up[: len(part)] * _U(step), out=sums[1:])
+        sums += _U(total)
+        for at, out in ((starts, at_start), (ends, at_end)):
+            here = slice(*np.searchsorted(at, [a, a + size]))
+            out[here] = sums[at[here] - a]
+            if at is starts:
+                back[here] = down[at[here] - a] * _U(undo)
+        total = int(sums[-1])
+        step, undo = step * pow(_P, size, 1 << 64) % (1 << 64), undo * pow(_inverse(_P), size, 1 << 64) % (1 << 64)
+    return mix((at_end - at_start) * back + (ends - starts).astype(_U))
+
+
 class Words:
     """The words of some texts: byte ranges, hashes, and the first word of each text (``first``, one more than texts)."""
 
@@ -87,8 +109,6 @@ class Words:
         self.data = data
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = kind[data]
-        if not kind[10]:
-            pass
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
@@ -96,6 +116,15 @@ class Words:
         self.text_end = self.text_start + lengths
         self.first = np.append(np.searchsorted(self.starts, self.text_start), len(self.starts))
         self._hash: np.ndarray | None = None
+        self._grams: Grams | None = None
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, both ascending."""
+        if len(self.data) > 2 * CHUNK:
+            return range_hashes(self.data, starts, ends)
+        if self._grams is None:
+            self._grams = Grams(self.data)
+        return self._grams.of(starts, ends)
 
     @property
     def counts(self) -> np.ndarray:
@@ -104,7 +133,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = Grams(self.data).of(self.starts, self.ends)
+            self._hash = self.ranges(self.starts, self.ends)
         return self._hash
 
     def text_of(self) -> np.ndarray:
@@ -150,11 +179,79 @@ def runs(texts: Iterable[bytes], most: int = CHUNK) -> Iterator[tuple[int, list[
         yield first, group
 
 
+def pieces(group: list[bytes], kind: np.ndarray, after: int, lower: bool = False, most: int | None = None) -> Iterator[tuple[list[bytes], int | None]]:
+    """A group of runs() as it is, with None; or its one long text cut between words: each piece with `after` more words, and the number of
+    its bytes that no later piece has. A window of after + 1 words lies in exactly one piece."""
+    most = CHUNK if most is None else most
+    if len(group) != 1 or len(group[0]) <= most:
+        yield group, None
+        return
+    text = group[0]
+    buf = np.frombuffer(text, np.uint8)
+    inside = kind[LOWER] if lower else kind
+
+    def gap(at: int) -> int:
+        """The first place from `at` on that is in no word."""
+        while at < len(buf):
+            out = np.flatnonzero(~inside[buf[at : at + (1 << 16)]])
+            if len(out):
+                return at + int(out[0])
+            at += 1 << 16
+        return len(buf)
+
+    def beyond(at: int) -> int:
+        """Where `after` more words have ended."""
+        reach = 64 * (after + 1)
+        while after and at + reach < len(buf):
+            edge = np.flatnonzero(np.diff(inside[buf[at : at + reach]].astype(np.int8), prepend=0) == -1)
+            if len(edge) >= after:
+                return at + int(edge[after - 1])
+            reach *= 4
+        return len(buf) if after else at
+
+    a = 0
+    while a < len(text):
+        cut = gap(a + most)
+        yield [text[a : beyond(cut)]], cut - a
+        a = cut
+
+
+def word_counts(group: list[bytes], kind: np.ndarray = BLANK_WORD, lower: bool = False) -> list[int]:
+    """Words of each text of a group of runs()."""
+    found = [(Words(part, kind, lower).counts, cut) for part, cut in pieces(group, kind, 0, lower)]
+    return found[0][0].tolist() if found[0][1] is None else [int(sum(n[0] for n, _ in found))]
+
+
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 byte strings; null counts as empty."""
+    return list(each_bytes(column))
+
+
+def each_bytes(column) -> Iterator[bytes]:
+    """as_bytes() one by one."""
     import pyarrow as pa
 
-    return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for k in range(0, len(column), 64):
+        yield from (x or b"" for x in column[k : k + 64].to_pylist())
+
+
+SLICE = 8 << 20
+
+
+def slices(batches, column: str = "text", most: int | None = None):
+    """Record batches cut into such of at most about `most` bytes of text, which bounds what a worker holds of them."""
+    import pyarrow.compute as pc
+
+    most = SLICE if most is None else most
+    for b in batches:
+        if b.num_rows:
+            at = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                yield b.slice(i, j - i)
+        else:
+            yield b
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -163,28 +260,3 @@ def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     np.add.at(delta, starts, 1)
     np.add.at(delta, ends, -1)
     return np.cumsum(delta[:-1]) > 0
-
-
-# -- packed sorted integers --------------------------------------------------------------------
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Sorted uint64 values as bytes: differences in groups of equal byte width."""
-    if not len(values):
-        return b""
-    d = np.diff(values, prepend=_U(0))
-    width = max(1, (int(d[1:].max()).bit_length() + 7) // 8) if len(d) > 1 else 1
-    head = np.array([len(values), width, int(d[0])], dtype="<u8").tobytes()
-    body = d[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return head + body.tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    if not blob:
-        return np.zeros(0, _U)
-    n, width, first = (int(x) for x in np.frombuffer(blob[:24], "<u8"))
-    d = np.zeros((n, 8), np.uint8)
-    d[1:, :width] = np.frombuffer(blob, np.uint8, (n - 1) * width, 24).reshape(n - 1, width)
-    out = d.reshape(-1).view("<u8").astype(_U)
-    out[0] = first
-    return np.cumsum(out, dtype=_U)

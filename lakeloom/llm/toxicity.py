@@ -12,6 +12,8 @@ score. Defined cases: null texts are empty and get the score of a text without w
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +37,7 @@ class Model:
         self.used, self.values, self.bias = used, weights[used], bias
         self._full = None
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: Iterable[bytes]) -> np.ndarray:
         if self._full is None:
             self._full = np.zeros(T.WORD_COLUMNS)
             self._full[self.used] = self.values
@@ -54,17 +56,11 @@ def fit(docs: DataFrame, labelled: DataFrame, positive: int = POSITIVE, unlabell
     u, _ = T.sample(docs, docs.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).alias("y")).where(~is_held_out(F.col("id"))), T.words, unlabelled)
     if not p.n or not u.n:
         return Model(np.zeros(T.WORD_COLUMNS), -100.0)
-    in_p, in_u = np.bincount(p.col, minlength=T.WORD_COLUMNS), np.bincount(u.col, minlength=T.WORD_COLUMNS)
+    in_p, in_u = p.seen(T.WORD_COLUMNS), u.seen(T.WORD_COLUMNS)
     share = (in_p + in_u + 1) / (p.n + u.n + 2)
     gap = np.abs(in_p / p.n - in_u / u.n) / np.sqrt(share * (1 - share) * (1 / p.n + 1 / u.n))
     fit_for = (in_p + in_u >= least_seen) & (gap >= significant)  # the others differ by chance
-    for s in (p, u):
-        k = fit_for[s.col]
-        s.row, s.col, s.val = s.row[k], s.col[k], s.val[k].astype(np.float64)
-    columns = np.flatnonzero(fit_for)
-    place = np.zeros(T.WORD_COLUMNS, np.int64)
-    place[columns] = np.arange(len(columns))
-    p.col, u.col = place[p.col], place[u.col]
+    p, u, columns = p.only(fit_for), u.only(fit_for), np.flatnonzero(fit_for)
     d = len(columns)
     theta = np.zeros(d + 1)
     theta[d] = np.log(prior / (1 - prior))
@@ -91,8 +87,8 @@ def scored(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled))
 
     def run(batches):
-        for b in batches:
-            s = model.value.score(K.as_bytes(b.column("text")))
+        for b in K.slices(batches):
+            s = model.value.score(K.each_bytes(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], schema=ARROW)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id").cast("long")).alias("held_out"), "text").mapInArrow(run, RESULT)

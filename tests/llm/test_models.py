@@ -78,12 +78,39 @@ def test_mixing_meets_targets(spark):
     assert np.allclose((rate * n) @ p / n.sum(), [0.3, 0.3, 0.4], atol=0.01) and (rate >= 0).all()
     assert np.allclose(p.sum(1), 1)
     assert abs(np.mean([x["copies"] for x in got]) - rate.mean()) < 0.1
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumn("rate", F.lit(1)), labelled, targets)
+    again = mixing.mix(docs.withColumn("rate", F.lit(-1.0)).withColumn("row", F.lit(7)), labelled, targets)
+    assert again.columns.count("rate") == 1 and sorted(x["rate"] for x in again.collect()) == sorted(rate) and again.where("row = 7").count() == len(rate)
     assert {x["rate"] for x in mixing.mix(docs, labelled.limit(0), targets).collect()} == {1.0}
     assert mixing.mix(docs.limit(0), labelled, targets).count() == 0
 
 
+def test_mixing_query_on_any_labels(spark, tmp_path):
+    r = random.Random(6)
+    kinds = {"en": "abcd", "fr": "mnop", "de": "uvwx", "es": "efgh", "it": "ijkl"}
+    rows = [(i, text(r, 30, kinds[k]), k) for i, k in enumerate(r.choices(list(kinds), k=300))]
+    rows += [(5, "abc dcb " * 30, "en"), (5, rows[5][1], rows[5][2]), (None, None, None), (901, "", "fr")]
+    docs = spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def run(name, docs, ids):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        return {(x["doc_id"], x["n_tokens"], k): x for k, x in enumerate(sorted(mixing.op9_mixing(spark, f"{tmp_path}/{name}").collect(), key=str))}.values()
+
+    none = run("none", docs, [])
+    assert len(none) == len(rows) and all(x["rate"] == 1 and x["copies"] == 1 and x["p_en"] is None for x in none)
+    one = run("one", docs, [x[0] for x in rows if x[2] == "fr"])
+    assert all(x["p_fr"] == 1 and x["p_de"] is None for x in one)
+    three = run("three", docs, [x[0] for x in rows if x[2] in ("fr", "en", "de")])
+    assert all(x["p_es"] is None and abs(x["p_fr"] + x["p_en"] + x["p_de"] - 1) < 1e-9 for x in three)
+    five = run("five", docs, [x[0] for x in rows])
+    lang = {x[0]: x[2] for x in rows if x[0] != 5}
+    sure = [x for x in five if x["doc_id"] in lang and x["n_tokens"]]
+    assert np.mean([x[f"p_{lang[x['doc_id']]}"] > 0.5 for x in sure if lang[x["doc_id"]] != "it"]) > 0.95
+    assert all(x["p_en"] + x["p_fr"] + x["p_de"] + x["p_es"] < 0.5 for x in sure if lang[x["doc_id"]] == "it")
+    assert list(map(str, five)) == list(map(str, run("again", docs.repartition(5), [x[0] for x in rows])))
+    assert not run("empty", docs.limit(0), [1, 2])
+
+
 @pytest.mark.parametrize("shares", [(0.62, 0.145, 0.129, 0.106), (0.95, 0.03, 0.015, 0.005), (0.97, 0.02, 0.009, 0.001)])
 def test_rates_of_rare_domains(shares):
     wanted, penalty, n = np.array([0.4, 0.2, 0.2, 0.2]), 1e-3, 1000 * np.array(shares)
