@@ -33,9 +33,10 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates for the target weights, and each document as many times as its copies say."""
+    """Each document as many times as its copies say, with its rate for the target weights and the number of the copy."""
     got = mixing.mixed(spark, docs, sf_dir).where("copies > 0")
-    return got.select("doc_id", "text", "lang", "source", "n_chars", "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    own = [c for c in docs.columns if c not in ("rate", "copy", "copies", *mixing.RESULT)]
+    return got.select(*own, "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 STAGES = [
