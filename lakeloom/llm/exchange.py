@@ -32,8 +32,11 @@ def parts(spark: SparkSession, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each), 1)
 
 
+BITS = 255
+
+
 def put(columns: list[np.ndarray]) -> bytes:
-    """Integer arrays of equal length as one byte string: each from its least value, in as few bytes as it needs."""
+    """Integer arrays of equal length as one byte string: each from its least value, in as few bytes as it needs, or in bits."""
     n = len(columns[0])
     out = [np.array([n, len(columns)], "<u8").tobytes()]
     for c in columns:
@@ -41,6 +44,9 @@ def put(columns: list[np.ndarray]) -> bytes:
         low = c.min() if n else _U(0)
         c = c - low
         width = (int(c.max()).bit_length() + 7) // 8 if n else 0
+        if width == 1 and c.max() == 1:
+            out += [np.array([int(low), BITS], "<u8").tobytes(), np.packbits(c.astype(bool)).tobytes()]
+            continue
         out.append(np.array([int(low), width], "<u8").tobytes())
         out.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes())
     return b"".join(out)
@@ -53,6 +59,11 @@ def get(blob: bytes) -> list[np.ndarray]:
     for _ in range(k):
         low, width = (int(x) for x in np.frombuffer(blob, "<u8", 2, at))
         at += 16
+        if width == BITS:
+            size = -(-n // 8)
+            out.append(np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=n).astype(_U) + _U(low))
+            at += size
+            continue
         full = np.zeros((n, 8), np.uint8)
         full[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
         at += n * width
@@ -75,16 +86,33 @@ def dealt(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, by
     """A blob for each part; sorted by part, then by the first column."""
     if not len(part):
         return
-    order = np.lexsort((columns[0], part))
+    first = columns[0]
+    order = np.argsort(part, kind="stable") if (first[1:] >= first[:-1]).all() else np.lexsort((first, part))
     part, columns = part[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
         yield int(part[a]), put([c[a:b] for c in columns])
 
 
+_SPREAD = _U(0x9E3779B97F4A7C15)
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """A bijection of hashes that spreads them evenly, also where only small ones are left (as the least ones of windows are)."""
+    return h * _SPREAD
+
+
+def dealt_in_order(g: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[tuple[int, bytes]]:
+    """A blob for each of n buckets of ascending spread() values g; columns go with g."""
+    part = ((g >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(g)], strict=True) if len(g) else ():
+        yield int(part[a]), put([g[a:b], *(c[a:b] for c in columns)])
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """Even shares of hashes, also where only small hashes are left (as the least ones of windows are)."""
-    return (((h * _U(0x9E3779B97F4A7C15)) >> _U(32)) * _U(n) >> _U(32)).astype(np.int32)
+    return ((spread(h) >> _U(32)) * _U(n) >> _U(32)).astype(np.int32)
 
 
 def _murmur(x: np.ndarray) -> np.ndarray:

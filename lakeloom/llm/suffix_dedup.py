@@ -46,18 +46,6 @@ _PLACE = 22  # bits for a place in a chunk
 _MASK = _U((1 << _PLACE) - 1)
 
 
-def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive values."""
-    n = len(x) - w + 1
-    size = -(-len(x) // w) * w
-    full = np.full(size, ~_U(0), _U)
-    full[: len(x)] = x
-    rows = full.reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-
-
 def _chunks(texts: list[bytes], length: int):
     """(numbers of the texts, their bytes, places where they start in these texts): many short texts, or a piece of a long one
     that overlaps the next by length - 1 bytes."""
@@ -88,7 +76,7 @@ def suffixes(texts: list[bytes], length: int):
         h = grams.every(GRAM)
         n = len(buf) - length + 1
         key = (h & ~_MASK) | (_MASK - np.arange(len(h), dtype=_U))
-        anchor = (_MASK - (_slide_min(key, length - GRAM + 1) & _MASK)).astype(np.int64)
+        anchor = (_MASK - (K.slide_min(key, length - GRAM + 1) & _MASK)).astype(np.int64)
         del key
         sizes = np.array([len(t) for t in group])
         first = np.cumsum(sizes) - sizes

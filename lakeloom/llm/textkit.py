@@ -140,9 +140,10 @@ class Words:
         """The number of the text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (numbers of words) and hashes of the n-word windows that lie in one text."""
-        h = self.hash
+    def windows(self, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Starts (numbers of words) and hashes of the n-word windows that lie in one text. Another salt gives hashes that are independent
+        but for words with equal hashes."""
+        h = mix(self.hash ^ _U(salt * 0x5851F42D4C957F2D)) if salt else self.hash
         m = len(h)
         if m < n:
             return np.zeros(0, np.int64), np.zeros(0, _U)
@@ -254,9 +255,21 @@ def slices(batches, column: str = "text", most: int | None = None):
             yield b
 
 
+def slide_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive values."""
+    n = len(x) - w + 1
+    if w == 1 or n <= 0:
+        return x[: max(n, 0)]
+    full = np.full(-(-len(x) // w) * w, ~_U(0), _U)
+    full[: len(x)] = x
+    rows = full.reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """Boolean mask of the places that lie in any range [start, end)."""
-    delta = np.zeros(size + 1, np.int32)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, ends, -1)
-    return np.cumsum(delta[:-1]) > 0
+    if not len(starts):
+        return np.zeros(size, bool)
+    return np.cumsum(np.bincount(starts, minlength=size + 1)[:size] - np.bincount(ends, minlength=size + 1)[:size]) > 0

@@ -74,7 +74,48 @@ def test_substring(spark, seed, n, base):
     assert kept == Counter((x[0], x[3]) for x in want)
 
 
+@pytest.mark.parametrize("n,base", [(13, 4), (8, 8)])
+def test_substring_in_pieces(spark, monkeypatch, n, base):
+    """Texts that are cut into many pieces give what whole ones give."""
+    rows = corpus(4, 30)
+    r = random.Random(4)
+    long = " ".join(r.choice(["aa", "b", "ccc", "dé", "q" * 700]) for _ in range(900))
+    rows += [(2000, long), (2001, " x " + long[700:3000] + "  " + long), (2002, "z" * 5000), (2003, " " * 5000 + "end"), (2004, " " * 3000 + long[:900] + " " * 3000)]
+    whole = substring_dedup._finish(n), substring_dedup._cut(n)
+    import pyarrow as pa
+
+    docs = pa.table({"part": pa.array([0] * len(rows), pa.int32()), "id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()), "row": pa.array(list(range(len(rows))))})
+
+    def result():
+        replies, prior = None, 0
+        for length in substring_dedup.lengths(n, base):
+            run = substring_dedup._entries(prior, length, n, 3)
+            entries = run(docs) if replies is None else run(docs, replies)
+            found = [substring_dedup._repeated(1 if length < n else 2)(entries.filter(pa.compute.equal(entries.column("part"), b))) for b in range(3)]
+            replies, prior = pa.concat_tables(found), length
+        return whole[0](docs, replies), whole[1](docs, replies)
+
+    a = result()
+    assert sum(a[0].column("n_removed").to_pylist()) > 100
+    monkeypatch.setattr(textkit, "CHUNK", 300)
+    b = result()
+    assert a[0].equals(b[0]) and a[1].equals(b[1])
+
+
+def test_a_hot_window_is_one_entry_of_a_shard():
+    import pyarrow as pa
+
+    hot = " ".join(f"w{i}" for i in range(20))
+    docs = pa.table({"part": pa.array([5] * 400, pa.int32()), "id": pa.array(range(400), pa.int64()), "text": pa.array([f"{hot} own{i}" for i in range(400)])})
+    for prior, length, n in ((0, 4, 1), (0, 13, 2)):
+        told = substring_dedup._entries(prior, length, 13, 1)(docs)
+        h, *_, least, several, shard = exchange.get_all(told.column("payload").to_pylist(), n + 3)
+        assert len(h) <= 400 + 8 and set(shard.tolist()) == {5}
+        assert sorted(least[several > 0].tolist()) == [0] * int((several > 0).sum())
+
+
 def test_cut_leaves_other_texts(spark):
+    assert [r["doc_id"] for r in substring_dedup.cut(frame(spark, [(1, "q " * 20), (2, "q " * 20), (3, ""), (4, None)]), emptied=False).orderBy("doc_id").collect()] == [1, 3, 4]
     rows = [(1, "a  b\nc"), (2, None), (3, "x " + " ".join(f"w{i}" for i in range(20)) + "\n  end"), (4, " y  " + " ".join(f"w{i}" for i in range(20)) + "\n z ")]
     got = {r["doc_id"]: r["text"] for r in substring_dedup.cut(frame(spark, rows)).collect()}
     assert got == {1: "a  b\nc", 2: None, 3: rows[2][1], 4: " y  z"}
