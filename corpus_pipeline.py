@@ -21,9 +21,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out words of passages that repeat an earlier document; documents of which nothing is left go. Documents that
-    lose nothing keep their text as it is."""
-    cut = substring_dedup.cut(docs, words=50, base=25).where("length(text) > 0")
+    """Takes out words of passages that repeat an earlier document; documents that lose all they have go. Documents that
+    lose nothing, null and empty texts among them, keep their text as it is."""
+    cut = substring_dedup.cut(docs, words=50, base=25, emptied=False)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
