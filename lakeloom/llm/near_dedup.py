@@ -3,25 +3,28 @@
 1. One pass over the text gives each document's set size, a 128-bit key of its set, and its registers.
    Documents with equal sets are one class, represented by the smallest id.
 2. Registers are banded; classes that share a band key are candidates. In a bucket of at most SMALL
-   classes all pairs are tested. In a larger one only pairs with its hub are, where the hub is the
+   classes all pairs are. In a larger one only pairs with its hub are, where the hub is the
    class with the least share of rare elements: those that at most RARE classes of the large buckets have.
-3. The candidates are verified on their full sets (the hub's set travels to the shards of its partners).
+3. The similarity of each candidate pair is estimated from both sketches by the joint likelihood; pairs that are FAR standard errors
+   or more under the threshold go, the others are verified on their full sets (the hub's set travels to the shards of its partners).
 4. What may still link two components inside large buckets is found in two ways. Pairs that share a rare element
    come from an inverted index of the rare elements, whose lists have at most RARE classes. For a pair that shares none, both
    classes' rare elements lie outside the intersection, which bounds its similarity: classes that are not yet
-   in their hub's component are compared in blocks with all others of the bucket by this bound, then by the joint
-   likelihood of the two sketches, at FAR standard errors under the threshold. What is left is verified
+   in their hub's component are compared in blocks with all others of the bucket by this bound. What is left is estimated and verified
    like the others. So no bucket is cut off and no pair list of a whole group is made.
 
-With 24 bands of 4 registers a pair at similarity 0.85 shares no band with probability 2e-8.
+With 24 bands of 4 registers a pair at similarity 0.85 shares no band with probability 2e-8; an estimate is FAR errors off about once in a million pairs
+at the threshold.
 
 Defined cases: null texts, and texts without words, have the empty set and link with nothing; with
-fewer words than a shingle the whole sequence is the one element; a null id links with nothing and is not kept; rows with one id are the same document (each row is reported); an empty table gives
+fewer words than a shingle the whole sequence is the one element; texts of any length are hashed in pieces; a null id links with nothing and is not kept; rows with one id are the same document (each row is reported); an empty table gives
 an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +36,7 @@ from . import setsketch as S
 from . import textkit as K
 
 _U = np.uint64
-REGISTERS, ROWS, SMALL, RARE, FAR, BLOCK = 96, 4, 24, 64, 5.0, 1024
+REGISTERS, ROWS, SMALL, RARE, FAR, BLOCK, OTHERS = 96, 4, 24, 64, 5.0, 1024, 1 << 15
 _SKETCH = "id long, n_shingles long, key1 long, key2 long, registers binary, bands array<long>"
 
 
@@ -53,12 +56,28 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
+def text_sets(group: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of a group of runs(), a long text by pieces."""
+    found, words = [], 0
+    for part, cut in K.pieces(group, K.BLANK_WORD, k - 1, lower=True):
+        if cut is None:
+            return shingle_sets(part, k)
+        w = K.Words(part, K.BLANK_WORD, lower=True)
+        found.append(np.unique(w.windows(k)[1]))
+        words += int(np.searchsorted(w.starts, cut))
+    if words < k:  # all its words are in the piece that has the first one
+        w = K.Words(group, K.BLANK_WORD, lower=True)
+        return (w.whole(np.array([0])), np.array([0, 1])) if words else (np.zeros(0, _U), np.array([0, 0]))
+    h = np.unique(np.concatenate(found))
+    return h, np.array([0, len(h)])
+
+
 def _sketch(k: int):
     def run(batches):
-        for b in batches:
+        for b in K.slices(batches):
             sizes, k1, k2, regs, bands = [], [], [], [], []
-            for _, group in K.runs(K.as_bytes(b.column("text"))):
-                h, first = shingle_sets(group, k)
+            for _, group in K.runs(K.each_bytes(b.column("text"))):
+                h, first = text_sets(group, k)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
                 sums = np.concatenate([np.zeros((1, 2), _U), np.cumsum(np.stack([K.mix(h), K.mix(h ^ _U(0xABCDEF))], 1), 0, dtype=_U)]) if len(h) else np.zeros((1, 2), _U)
@@ -85,10 +104,10 @@ def _sets(k: int):
     """Packed sets of documents: (part, id, payload)."""
 
     def run(batches):
-        for b in batches:
+        for b in K.slices(batches):
             blobs = []
-            for _, group in K.runs(K.as_bytes(b.column("text"))):
-                h, first = shingle_sets(group, k)
+            for _, group in K.runs(K.each_bytes(b.column("text"))):
+                h, first = text_sets(group, k)
                 blobs += [h[first[i] : first[i + 1]].tobytes() for i in range(len(group))]
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("id"), pa.array(blobs, pa.binary())], names=["part", "id", "payload"])
 
@@ -181,58 +200,79 @@ _MAIL = "part int, hub long, leaf long, payload binary"
 def _post(sets: pa.Table, wants: pa.Table) -> pa.Table:
     """Of a shard: the sets of its hubs, to the shards of their partners."""
     at = {i: k for k, i in enumerate(sets.column("id").to_pylist())}
-    own = sets.column("payload")
     pairs = [(t, h, at[h]) for h, t in zip(wants.column("hub").to_pylist(), wants.column("target").to_pylist(), strict=True) if h in at]
-    return pa.table({"part": pa.array([p[0] for p in pairs], pa.int32()), "hub": pa.array([p[1] for p in pairs], pa.int64()), "leaf": pa.array([None] * len(pairs), pa.int64()), "payload": pa.array([own[p[2]].as_py() for p in pairs], pa.binary())})
+    own = sets.column("payload").take(pa.array([p[2] for p in pairs], pa.int64()))
+    return pa.table({"part": pa.array([p[0] for p in pairs], pa.int32()), "hub": pa.array([p[1] for p in pairs], pa.int64()), "leaf": pa.nulls(len(pairs), pa.int64()), "payload": own})
+
+
+def _far(threshold: float) -> float:
+    """Estimates under this are too far from the threshold."""
+    return threshold - FAR * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
+
+
+def _likely(threshold: float):
+    """Whether the similarity of two sketches, by the joint likelihood, is not far under the threshold."""
+    far = _far(threshold)
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b, size_a, size_b in columns:
+            found = []
+            for k in range(0, len(a), 4096):
+                part = slice(k, k + 4096)
+                x, y = (np.frombuffer(b"".join(c[part].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (a, b))
+                found.append(S.joint_jaccard(x, y, size_a[part].to_numpy(), size_b[part].to_numpy()) >= far)
+            yield pa.array(np.concatenate(found) if found else np.zeros(0, bool), pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
 
 
 def _verify(num: int, den: int):
     """Of a shard: its documents against the sets of their hubs; den * intersection >= num * union."""
 
     def run(sets: pa.Table, mail: pa.Table) -> pa.Table:
-        blob = dict(zip(sets.column("id").to_pylist(), sets.column("payload").to_pylist(), strict=True))
+        at = {i: k for k, i in enumerate(sets.column("id").to_pylist())}
+        blob = sets.column("payload").combine_chunks()
         hubs, by_leaf = {}, {}
-        for hub, leaf, payload in zip(*(mail.column(c).to_pylist() for c in ("hub", "leaf", "payload")), strict=True):
-            if leaf is None:
-                hubs[hub] = np.frombuffer(payload, _U)
+        for hub, leaf, payload in zip(*(mail.column(c) for c in ("hub", "leaf", "payload")), strict=True):
+            if leaf.is_valid:
+                by_leaf.setdefault(hub.as_py(), []).append(leaf.as_py())
             else:
-                by_leaf.setdefault(hub, []).append(leaf)
+                hubs[hub.as_py()] = payload
         a, b = [], []
         for hub, leaves in by_leaf.items():
-            if (own := hubs.get(hub)) is None:
+            if hub not in hubs:
                 continue
-            there = [(x, np.frombuffer(blob[x], _U)) for x in leaves if x in blob]
+            own, there = np.frombuffer(hubs[hub].as_buffer(), _U), [x for x in leaves if x in at]
             for k in range(0, len(there), 256):
-                part = there[k : k + 256]
-                n = np.array([len(s) for _, s in part])
-                values = np.concatenate([s for _, s in part])
+                theirs = [np.frombuffer(blob[at[x]].as_buffer(), _U) for x in there[k : k + 256]]
+                n, values = np.array([len(s) for s in theirs]), np.concatenate(theirs)
                 slot = np.searchsorted(own, values)
                 slot[slot == len(own)] = 0
                 both = np.add.reduceat((own[slot] == values).astype(np.int64), np.cumsum(n) - n)
                 for i in np.flatnonzero(den * both >= num * (n + len(own) - both)):
                     a.append(hub)
-                    b.append(part[i][0])
+                    b.append(there[k + i])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _rest(threshold: float):
-    """Of a block of a large bucket: pairs of its unsettled classes with the others that may still link."""
-    error = FAR * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+    """Of a block of a large bucket's unsettled classes (mine) and one of all its classes: the pairs that may still link."""
+    far = _far(threshold)
 
     def run(table: pa.Table) -> pa.Table:
         node, size, rare, comp = (table.column(c).to_numpy() for c in ("node", "n_shingles", "n_rare", "component"))
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        mine = np.flatnonzero(table.column("mine").to_numpy(zero_copy_only=False))
+        mine = table.column("mine").to_numpy(zero_copy_only=False)
         out_a, out_b = [], []
-        for i in mine:
+        for i in np.flatnonzero(mine):
             most = np.minimum(size - rare, size[i] - rare[i])
             least = np.maximum(np.maximum(size + rare[i], size[i] + rare), size + size[i] - most)
-            j = np.flatnonzero((comp != comp[i]) & (most >= threshold * least))
+            j = np.flatnonzero(~mine & (comp != comp[i]) & (most >= threshold * least))
             if len(j):
                 est = S.joint_jaccard(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), size[i]), size[j])
-                j = j[est >= threshold - error]
+                j = j[est >= far]
                 out_a.append(node[j])
                 out_b.append(np.full(len(j), node[i]))
         a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
@@ -251,19 +291,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     given = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = spill.write(given.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
     some = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = some.groupBy("key1", "key2", "n_shingles").agg(F.min("id").alias("node"))
+    classes = some.groupBy("key1", "key2", "n_shingles").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     nodes = spill.write(some.groupBy("key1", "key2", "n_shingles").agg(F.min_by(F.struct("registers", "bands"), "id").alias("s"), F.min("id").alias("node")).select("node", "n_shingles", "s.*"), "classes")
     banded = nodes.select(F.explode("bands").alias("band"), "node")
     keys = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = spill.write(banded.join(keys, "band"), "met")  # classes that share a band key
-    links = _links(spark, given, nodes, met, shingle, percent)
+    keys = spill.write(keys, "bands")
+    hot = spill.write(graph.hot_keys(keys, ["band"], int(keys.agg(F.sum("n")).first()[0] or 0)), "hot-bands")
+    met = spill.write(graph.salted(banded, hot, ["band"], "node").join(graph.copied(keys, hot, ["band"]), ["band", "_salt"]), "met")  # classes that share a band key
+    links = _links(spark, given, nodes, met, hot, shingle, percent)
     comp = graph.components(links) if links is not None else spark.createDataFrame([], "node long, component long")
-    by_class = classes.join(comp, "node", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    out = sketches.select("id", "n_shingles", "key1", "key2").join(by_class, ["key1", "key2", "n_shingles"], "left")
+    own = ["key1", "key2", "n_shingles"]
+    by_class = classes.join(comp, "node", "left").where("component IS NOT NULL OR n > 1").select(*own, F.coalesce("component", "node").alias("component_id"))
+    hot = spill.write(graph.hot_keys(classes, own, some.count()), "hot-classes")  # one class may have very many copies
+    rows = graph.salted(sketches.select("id", *own), hot, own, "id")
+    out = rows.join(graph.copied(by_class, hot, own), [*own, "_salt"], "left")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(spark, given: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+def _links(spark, given: DataFrame, nodes: DataFrame, met: DataFrame, hot: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     wanted = spill.write(met.select(F.col("node").alias("id")).distinct(), "wanted")
     if wanted.isEmpty():
         return None
@@ -271,10 +316,17 @@ def _links(spark, given: DataFrame, nodes: DataFrame, met: DataFrame, shingle: i
     shards, buckets = X.parts(spark, size, 32 << 20), X.parts(spark, size, 32 << 20)
     texts = graph.only(given, wanted, "id").withColumn("part", X.shard_column(shards, "id"))
     sets = spill.write(texts.select("part", "id", "text").mapInArrow(_sets(shingle), "part int, id long, payload binary").dropDuplicates(["id"]), "sets")
+    likely = _likely(percent / 100)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs (hub, leaf), which are distinct."""
-        pairs = pairs.withColumn("part", X.shard_column(shards, "leaf"))
+        pairs = spill.write(pairs, "candidates")
+        busy = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+        busy = spill.write(graph.hot_keys(busy, ["hub"], pairs.count()), "hot-hubs")
+        side = lambda k: nodes.select(F.col("node").alias(k), F.col("registers").alias(f"{k}_sketch"), F.col("n_shingles").alias(f"{k}_size"))
+        both = graph.salted(pairs, busy, ["hub"], "leaf").join(graph.copied(side("hub"), busy, ["hub"]), ["hub", "_salt"]).join(side("leaf"), "leaf")
+        pairs = both.where(likely("hub_sketch", "leaf_sketch", "hub_size", "leaf_size")).select("hub", "leaf")
+        pairs = spill.write(pairs.withColumn("part", X.shard_column(shards, "leaf")), "likely")
         wants = pairs.select(X.shard_column(shards, "hub").alias("own"), "hub", F.col("part").alias("target")).distinct()
         mail = sets.groupBy("part").cogroup(wants.groupBy("own")).applyInArrow(_post, _MAIL)
         mail = mail.unionByName(pairs.select("part", "hub", "leaf", F.lit(None).cast("binary").alias("payload")))
@@ -294,22 +346,26 @@ def _links(spark, given: DataFrame, nodes: DataFrame, met: DataFrame, shingle: i
     )
     rank = F.struct(F.col("n_rare") / F.col("n_shingles"), F.col("node"))
     hubs = spill.write(large.select("band", "node").join(stats.drop("registers"), "node").groupBy("band").agg(F.min_by("node", rank).alias("hub")), "hubs")
-    stars = large.select("band", "node").join(hubs, "band").where("hub <> node").select("hub", F.col("node").alias("leaf"))
+    stars = large.select("band", "_salt", "node").join(graph.copied(hubs, hot, ["band"]), ["band", "_salt"]).where("hub <> node").select("hub", F.col("node").alias("leaf"))
     first = verified(pairs.unionByName(stars).select(F.least("hub", "leaf").alias("x"), F.greatest("hub", "leaf").alias("y"), "hub", "leaf").dropDuplicates(["x", "y"]).select("hub", "leaf"))
     comp = graph.components(first)
     entries = own.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "payload", F.coalesce("component", "id").alias("component")).mapInArrow(_elements(buckets, ["id", "component"]), X.BLOB)
     sharing = X.by_bucket(X.by_bucket(entries, buckets, _sharing(shards)), shards, _as_pairs, "hub long, leaf long")
     # Pairs that share no rare element: these lie outside the intersection and bound the similarity from above.
     may = stats.where((F.col("n_shingles") - F.col("n_rare")) * 100 >= F.col("n_shingles") * percent).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = large.select("band", "node").join(may.drop("registers"), "node")
+    open_ = large.select("band", "_salt", "node").join(may.drop("registers"), "node")
     split = open_.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     hub_comp = hubs.join(split, "band").join(comp.select(F.col("node").alias("hub"), "component"), "hub", "left").select("band", F.coalesce("component", "hub").alias("main"))
-    open_ = spill.write(open_.join(hub_comp, "band").select("band", "node", "n_shingles", "n_rare", "component", (F.col("component") != F.col("main")).alias("mine")), "open")
-    counts = open_.where("mine").groupBy("band").agg(F.count(F.lit(1)).alias("n_mine"))
-    blocks = open_.join(counts, "band").withColumn("n_blocks", F.ceil(F.col("n_mine") / BLOCK).cast("int"))
-    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("mine", F.col("mine") & (F.pmod(F.hash("node"), F.col("n_blocks")) == F.col("block")))
-    blocks = blocks.drop("n_shingles", "n_rare").join(stats, "node")
-    rest = blocks.groupBy("band", "block").applyInArrow(_rest(percent / 100), "hub long, leaf long")
+    open_ = spill.write(open_.join(graph.copied(hub_comp, hot, ["band"]), ["band", "_salt"]).select("band", "node", "n_shingles", "n_rare", "component", (F.col("component") != F.col("main")).alias("mine")), "open")
+    counts = open_.groupBy("band").agg(F.count(F.when(F.col("mine"), 1)).alias("n_mine"), F.count(F.lit(1)).alias("n_all"))
+    blocks = open_.join(F.broadcast(counts) if counts.count() <= graph.SMALL else counts, "band")
+    blocks = blocks.withColumn("rows", F.ceil(F.col("n_mine") / BLOCK).cast("int")).withColumn("columns", F.ceil(F.col("n_all") / OTHERS).cast("int"))
+    blocks = blocks.select("band", "node", "component", "mine", "rows", "columns")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = blocks.where("mine").withColumn("i", F.pmod(F.hash("node"), F.col("rows"))).withColumn("j", each("columns"))
+    others = blocks.withColumn("mine", F.lit(False)).withColumn("i", each("rows")).withColumn("j", F.pmod(F.hash("node"), F.col("columns")))
+    work = mine.unionByName(others).drop("rows", "columns").join(stats, "node")
+    rest = work.groupBy("band", "i", "j").applyInArrow(_rest(percent / 100), "hub long, leaf long")
     return first.unionByName(verified(rest.unionByName(sharing).distinct()))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, exchange, near_dedup, substring_dedup, suffix_dedup, textkit
+from lakeloom.llm import decontaminate, exchange, graph, near_dedup, substring_dedup, suffix_dedup, textkit
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 SCHEMA = "doc_id long, text string, part int, id string, payload string"  # columns with clashing names
@@ -166,8 +166,11 @@ def test_index_family_levels(spark):
     assert (np.sort(merged) == merged).all()
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_decontaminate(spark, seed):
+@pytest.mark.parametrize("seed,together", [(0, 4), (1, 1)])
+def test_decontaminate(spark, monkeypatch, seed, together):
+    if together == 1:  # several passes
+        monkeypatch.setattr(decontaminate, "TOGETHER", 1)
+        monkeypatch.setattr(decontaminate, "BLOCK", 400)
     rows = corpus(seed)
     r = random.Random(seed)
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
@@ -177,7 +180,7 @@ def test_decontaminate(spark, seed):
         items.append((str(k), " , ".join(w[: r.randint(0, 25)]).upper()))
     items += [("a", None), (None, "x y"), ("b", "--"), ("3", items[3][1])]
     hits = {}
-    bench = [(i, tok(t)) for i, t in items if i is not None and tok(t)]
+    bench = [(i, tok(t)) for i, t in items if tok(t)]  # an item without an id hits, but is not named
     want = []
     for i, t in rows:
         w = tok(t)
@@ -188,19 +191,31 @@ def test_decontaminate(spark, seed):
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in own:
                     gone[k : k + n] = True
-                    found.add(name)
+                    found |= {name} - {None}
         want.append((i, len(w), int(gone.sum()), len(found), sha(",".join(sorted(found)).encode()), bool(gone.any())))
     hits = spark.createDataFrame(items, "item_id string, text string")
     got = decontaminate.contamination(frame(spark, rows), hits).collect()
     assert Counter(map(tuple, got)) == Counter(want)
     clean = decontaminate.clean(frame(spark, rows), hits)
     assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(x for x, w in zip(rows, want) if not w[5])
-    blocks = decontaminate.blocks(hits, block=200)
-    assert len(blocks) > 1 and sum(len(b.value.names) for b in blocks) == 14
+    blocks = list(decontaminate.blocks(hits, block=200))
+    assert len(blocks) > 1 and sum(len(b.names) for b in blocks) == 15
     nothing = decontaminate.contamination(frame(spark, rows), hits.limit(0)).collect()
     assert all(x["n_hit"] == 0 for x in nothing)
 
 
+def test_decontaminate_in_pieces(monkeypatch):
+    r = random.Random(8)
+    bench = [(str(k), " ".join(r.choice("ab cd ef gh".split()) + str(r.randint(0, 5)) for _ in range(r.choice([3, 12, 30])))) for k in range(20)]
+    text = " ".join(x for k in range(60) for x in (bench[r.randrange(20)][1], "- " * r.randint(0, 300), f"Q{k}")).encode()
+    texts = [b"", text, b"ab1 cd2", b"--- " * 500, bench[0][1].encode()]
+    index = [decontaminate.Index(bench[:10]), decontaminate.Index(bench[10:])]
+    whole = list(decontaminate._judge(index, texts, 10))
+    monkeypatch.setattr(textkit, "CHUNK", 200)
+    cut = list(decontaminate._judge(index, texts, 10))
+    assert [(m.tolist(), names) for m, names in whole] == [(m.tolist(), names) for m, names in cut] and whole[1][0].sum() > 100
+
+
 def brute_near(rows, k, percent):
     sets = []
     for _, t in rows:
@@ -241,11 +256,24 @@ def mutated(seed, n):
 @pytest.mark.parametrize("seed,k,percent,small", [(0, 3, 85, 24), (1, 3, 85, 2), (2, 5, 80, 2)])
 def test_near_dedup(spark, monkeypatch, seed, k, percent, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    if small == 2:  # large buckets in blocks, and keys that are dealt to several tasks
+        monkeypatch.setattr(near_dedup, "BLOCK", 5)
+        monkeypatch.setattr(near_dedup, "OTHERS", 7)
+        monkeypatch.setattr(graph, "HOT", 3)
     rows = mutated(seed, 90)
     got = near_dedup.near_duplicates(frame(spark, rows), k, percent).collect()
     assert Counter(map(tuple, got)) == Counter(brute_near(rows, k, percent))
 
 
+def test_shingles_in_pieces(monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "Bb", "cé", "d" * 90]) for _ in range(n)).encode() for n in (800, 3, 2, 1)] + [b"", b" " * 900, b"x" * 900, b" " * 400 + b"p Q" + b" " * 400]
+    whole = [near_dedup.text_sets([t], 3)[0].tolist() for t in texts]
+    monkeypatch.setattr(textkit, "CHUNK", 100)
+    assert [near_dedup.text_sets([t], 3)[0].tolist() for t in texts] == whole
+    assert [len(x) for x in whole[3:]] == [1, 0, 0, 1, 1]
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [(1, "a")]).limit(0)
     assert substring_dedup.remove_repeats(empty).count() == 0
