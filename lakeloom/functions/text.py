@@ -7,7 +7,10 @@ U+001C to U+001F, which Java's blanks do not hold.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +65,20 @@ def byte_string(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
+def fast_byte_ids(text: Column) -> Column:
+    """byte_ids() by Arrow batches, without a string for each byte: for whole corpora."""
+    return F.arrow_udf(_bytes_of, "array<int>")(F.coalesce(text, F.lit("")))
+
+
+def _bytes_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for c in columns:
+        raw = c.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        yield pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(data.astype(np.int32)))
+
+
 def byte_ids(text: Column) -> Column:
-    """UTF-8 bytes as an array of integers."""
+    """UTF-8 bytes as an array of integers, from native expressions."""
     chars = F.filter(F.split(byte_string(text), F.lit(""), F.lit(-1)), lambda c: c != "")
     return F.transform(chars, F.ascii)

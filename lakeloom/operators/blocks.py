@@ -46,6 +46,14 @@ def split_tokens(stream: DataFrame, total: int, train_split: float) -> DataFrame
     return stream.select(F.when(is_train, "train").otherwise("val").alias("split"), F.when(is_train, F.col("pos")).otherwise(F.col("pos") - cut).alias("pos"), "token_id")
 
 
+def split_sizes(placed: DataFrame, total: int, train_split: float) -> DataFrame:
+    """(split, n_tokens) of positions(), from documents' places alone."""
+    cut = split_index(total, train_split)
+    train = F.coalesce(F.sum(F.greatest(F.least(F.lit(cut) - F.col("start"), F.col("n")), F.lit(0))), F.lit(0)).cast("long")
+    both = placed.agg(train.alias("train"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("all"))
+    return both.select(F.explode(F.array(F.struct(F.lit("train").alias("split"), F.col("train").alias("n_tokens")), F.struct(F.lit("val").alias("split"), (F.col("all") - F.col("train")).alias("n_tokens")))).alias("s")).select("s.*")
+
+
 def batches(stream: DataFrame, block_size: int, batch_size: int, by: list[str] | None = None) -> DataFrame:
     """(by, batch_id, row, x, y): rows of block_size + 1 consecutive tokens that do not overlap; x without the last, y without
     the first. Incomplete rows and batches are dropped."""

@@ -9,9 +9,10 @@ from __future__ import annotations
 import base64
 import json
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,19 +227,51 @@ def encode(text: Column, bpe: Bpe) -> Column:
     return F.flatten(F.transform(pieces, lambda p: F.coalesce(F.when(ids[p].isNotNull(), F.array(ids[p])), plain(p))))
 
 
-def encode_distinct(df: DataFrame, bpe: Bpe, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, token_ids) for large vocabularies: every distinct chunk is encoded once (Arrow batches), then joined back."""
+class Encoder:
+    """Encodes texts in a worker. Ids of up to `most` distinct chunks are remembered, so frequent chunks are merged once."""
+
+    def __init__(self, bpe: Bpe, most: int = 1 << 18):
+        import regex
+
+        bpe._check()
+        self.pattern, self.ranks, self.most = regex.compile(bpe.pattern), {p: k for k, p in enumerate(bpe.merges)}, most
+        self.specials, self.known = bpe.specials, {}
+        self.special = regex.compile("|".join(regex.escape(x) for x in bpe.specials)) if bpe.specials else None
+
+    def plain(self, text: str, out: list[int]) -> None:
+        known = self.known
+        for m in self.pattern.finditer(text):
+            chunk = m.group()
+            ids = known.get(chunk)
+            if ids is None:
+                ids = merge_word(list(chunk.encode()), self.ranks)
+                if len(known) >= self.most:
+                    known.clear()
+                known[chunk] = ids
+            out += ids
+
+    def ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            self.plain(text[at : m.start()], out)
+            out.append(self.specials[m.group()])
+            at = m.end()
+        self.plain(text[at:] if at else text, out)
+        return out
+
+
+def encode_cached(text: Column, bpe: Bpe) -> Column:
+    """encode() for vocabularies of any size, in Arrow batches: a row for each text in and out, no shuffle. Null stays null."""
     bpe._check()
-    long = df.select(*keys, F.posexplode(chunks(F.col(text), bpe.pattern)).alias("_at", "chunk"))
-    ranks = {p: k for k, p in enumerate(bpe.merges)}
 
-    @F.pandas_udf("array<int>")
-    def run(c: pd.Series) -> pd.Series:
-        return c.map(lambda x: merge_word(list(x.encode()), ranks))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(bpe)
+        for c in columns:
+            parts = [pa.array([None if t is None else encoder.ids(t) for t in c[k : k + 256].to_pylist()], pa.list_(pa.int32())) for k in range(0, len(c), 256)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    coded = long.select("chunk").distinct().select("chunk", run("chunk").alias("ids"))
-    grouped = long.join(coded, "chunk").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "ids"))).alias("all"))
-    return grouped.select(*keys, F.flatten(F.transform("all", lambda x: x["ids"])).alias("token_ids"))
+    return F.arrow_udf(run, "array<int>")(text)
 
 
 def merge_word(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
@@ -287,22 +320,47 @@ def make_tokenizer(kind: str, **options) -> Bpe:
     return Bpe(trained=False, **options)
 
 
-def tiktoken_encode(df: DataFrame, keys: list[str], ranks_path: str, pattern: str, specials: dict[str, int] | None = None, text: str = "text") -> DataFrame:
-    """(keys, token_ids) with a published ranks file whose place is given; Arrow batches."""
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """A published ranks file: a token in base64 and its rank on each line."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
-    @F.pandas_udf("array<int>")
-    def run(t: pd.Series) -> pd.Series:
-        import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials or {})
-        return t.map(lambda x: enc.encode(x, allowed_special="all"))
+def from_ranks(ranks: dict[bytes, int], pattern: str = GPT4_PATTERN, most: int | None = None, specials: dict[str, int] | None = None) -> Bpe:
+    """The merges of the first `most` published tokens of several bytes, in order of rank, under this library's ids: a token's two parts are what the
+    tokens before it make of its bytes."""
+    order = sorted((r, t) for t, r in ranks.items() if len(t) > 1)[:most]
+    known: dict[tuple[int, int], int] = {}
+    for _, token in order:
+        parts = merge_word(list(token), known)
+        if len(parts) != 2:
+            raise TokenizerError(f"token {token!r} is not made of two")
+        known[(parts[0], parts[1])] = len(known)
+    return Bpe(list(known), dict(specials or {}), pattern)
+
 
-    return df.select(*keys, run(F.col(text)).alias("token_ids"))
+def decode_ranks(ids: Column, ranks: bytes, spark) -> Column:
+    """Text of ids of a published ranks file; an unknown id is an error."""
+    held = spark.sparkContext.broadcast(ranks)
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = {i: b for b, i in read_ranks(held.value).items()}
+        for c in columns:
+            parts = [pa.array([None if x is None else b"".join(known[i] for i in x).decode("utf-8", "replace") for x in c[k : k + 256].to_pylist()], pa.string()) for k in range(0, len(c), 256)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-def save_text(text: str, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    return F.arrow_udf(run, "string")(ids)
+
+
+def tiktoken_encode(df: DataFrame, keys: list[str], ranks: bytes, pattern: str, specials: dict[str, int] | None = None, text: str = "text") -> DataFrame:
+    """(keys, token_ids) with a published ranks file, whose bytes the driver read once and broadcasts; Arrow batches."""
+    held = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import tiktoken
 
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(held.value), special_tokens=specials or {})
+        for c in columns:
+            parts = [pa.array([None if t is None else enc.encode(t, allowed_special="all") for t in c[k : k + 256].to_pylist()], pa.list_(pa.int32())) for k in range(0, len(c), 256)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
+    return df.select(*keys, F.arrow_udf(run, "array<int>")(F.col(text)).alias("token_ids"))

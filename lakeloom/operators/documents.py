@@ -43,8 +43,8 @@ def shuffled(docs: DataFrame, key: str, seed: int | None, most: int = 1 << 20) -
 
 
 def hash_shuffled(docs: DataFrame, seed: int, *keys: str) -> DataFrame:
-    """A repeatable order of any number of documents, by a seeded hash; `shuffle_key` orders them."""
-    return docs.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *keys))
+    """A repeatable order of any number of documents: by `shuffle_key`, the MD5 of seed and keys."""
+    return docs.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])))
 
 
 def join_documents(docs: DataFrame, key: str, separator: str = "\n\n") -> DataFrame:

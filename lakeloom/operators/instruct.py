@@ -242,15 +242,36 @@ def assemble_stream(lines: DataFrame, key: str = "key", order: str = "seq", line
     return grouped.select(key, F.array_join(F.transform("all", lambda x: x["c"]), "").alias("text"))
 
 
+def draw(key: Column, seed: int, which: str) -> Column:
+    """A uniform number in [0, 1) from the MD5 of seed, key and a name: the same on any partitioning."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(which)))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
 def planned_tasks(spark, n: int, seed: int) -> DataFrame:
     """(pos, mode, task_type, prompt) of n instructions to generate: modes by weight, task types uniformly."""
     alone, given = F.array(*map(F.lit, T.TASKS_ALONE)), F.array(*map(F.lit, T.TASKS_WITH_INPUT))
-    rows = spark.range(n).select(F.col("id").alias("pos"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"))
+    rows = spark.range(n).select(F.col("id").alias("pos"), draw(F.col("id"), seed, "mode").alias("u"), draw(F.col("id"), seed, "task").alias("v"))
     rows = rows.withColumn("mode", F.when(F.col("u") < T.MODE_WEIGHTS["A"], "A").otherwise("B"))
     pick = F.when(F.col("mode") == "A", F.element_at(alone, (F.floor(F.col("v") * len(T.TASKS_ALONE)) + 1).cast("int"))).otherwise(F.element_at(given, (F.floor(F.col("v") * len(T.TASKS_WITH_INPUT)) + 1).cast("int")))
     return rows.select("pos", "mode", pick.alias("task_type")).withColumn("prompt", task_prompt(F.col("mode"), F.col("task_type")))
 
 
+def generated_samples(spark, n: int, seed: int, make: Callable[[int], Callable[[str, str], str]], endpoints: int = 1) -> DataFrame:
+    """(pos, instruction, input, output) of up to n generated samples: a task is planned, the provider asked for an instruction, the reply parsed (empty ones are
+    left out, so there may be fewer than n), and the provider asked for the answer. make is that of call_provider()."""
+    asked = call_provider(planned_tasks(spark, n, seed).withColumn("system", F.lit("")), "pos", make, endpoints=endpoints)
+    parsed = asked.select("pos", parse_task(F.col("raw"), F.col("mode")).alias("task")).where("task IS NOT NULL").select("pos", "task.*")
+    answered = call_provider(parsed.withColumn("system", F.lit("")).withColumn("prompt", response_prompt()), "pos", make, endpoints=endpoints)
+    return answered.select("pos", "instruction", "input", strip(F.col("raw")).alias("output"))
+
+
+def with_responses(df: DataFrame, key: str, make: Callable[[int], Callable[[str, str], str]], endpoints: int = 1) -> DataFrame:
+    """df with generated_response: the stripped reply of a model to each formatted sample without its output."""
+    asked = call_provider(df.withColumn("system", F.lit("")).withColumn("prompt", format_input()), key, make, endpoints=endpoints)
+    return asked.withColumn("generated_response", strip(F.col("raw"))).drop("system", "prompt", "raw")
+
+
 def parse_task(raw: Column, mode: Column) -> Column:
     """struct(instruction, input) of a reply: plain text in mode A, JSON in mode B; unreadable JSON is an error, empty parts give null."""
     parsed = F.from_json(strip(raw), "instruction string, input string", {"mode": "FAILFAST"})

@@ -144,6 +144,38 @@ def generate_ids(next_logits, prompt: list[int], new_tokens: int, context_length
             return
 
 
+def context_length(model, fallback: int = 1024) -> int:
+    """The context that a model was made for: its own attribute, that of its configuration (an object or a dict), or the fallback."""
+    own = getattr(model, "context_length", None)
+    config = getattr(model, "config", None)
+    if own is None and config is not None:
+        own = config.get("context_length") if isinstance(config, dict) else getattr(config, "context_length", None)
+    return int(own) if own else fallback
+
+
+def token_steps(prompts: DataFrame, key: str, make_model, new_tokens: int, context_length: int, ids: str = "token_ids", eos: int | None = None, choose=None) -> DataFrame:
+    """(key, step, token_id): a row for each new token, in the order in which they are made, eos included."""
+
+    def run(batches):
+        model = make_model()
+        for b in batches:
+            for k, p in zip(b.column(key), b.column(ids).to_pylist(), strict=True):
+                got = list(generate_ids(model, p, new_tokens, context_length, eos, choose))
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(got), b.column(key).type), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.int64())], names=[key, "step", "token_id"])
+
+    kind = dict(prompts.dtypes)[key]
+    return prompts.select(key, ids).mapInArrow(run, f"`{key}` {kind}, step int, token_id long")
+
+
+def generate_and_decode(prompts: DataFrame, key: str, bpe, make_model, new_tokens: int, context_length: int, text: str = "text", eos: int | None = None, choose=None) -> DataFrame:
+    """(key, generated_text): prompts encoded, continued, and the new ids up to eos decoded."""
+    from .bpe import decode, encode_cached
+
+    coded = prompts.select(key, encode_cached(F.col(text), bpe).alias("token_ids"))
+    made = generate(coded, key, make_model, new_tokens, context_length, "token_ids", eos, choose)
+    return made.select(key, decode(F.transform("generated", lambda x: x.cast("int")), bpe).alias("generated_text"))
+
+
 def generate(prompts: DataFrame, key: str, make_model, new_tokens: int, context_length: int, ids: str = "token_ids", eos: int | None = None, choose=None) -> DataFrame:
     """(key, generated): new ids for each prompt without the prompt, up to and without eos; make_model() runs once in a worker."""
 

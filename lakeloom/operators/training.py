@@ -32,3 +32,11 @@ def best_so_far(history: DataFrame, run: str, step: str = "iter", value: str = "
 def cadence(history: DataFrame, step: str, every: int) -> DataFrame:
     """Steps that are logged, evaluated or saved: the multiples of `every`, 0 too."""
     return history.where(F.col(step) % every == 0)
+
+
+def evaluate(losses: DataFrame, position: str, loss: str, n: int, batches: int, evaluations: int) -> DataFrame:
+    """(evaluation, mean_loss) over `batches` losses each. The loader goes on where the evaluation before ended, and from the end of its n losses
+    (position 0 to n - 1) to their start."""
+    spark = losses.sparkSession
+    wanted = spark.range(evaluations * batches).select(F.floor(F.col("id") / batches).alias("evaluation"), (F.col("id") % n).alias(position))
+    return wanted.join(losses.select(F.col(position).cast("long").alias(position), loss), position).groupBy("evaluation").agg(F.avg(loss).alias("mean_loss"))

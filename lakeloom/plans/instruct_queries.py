@@ -65,11 +65,72 @@ def judge_prompts(spark, sf_dir):
     return _samples(spark, sf_dir).withColumn("generated_response", F.col("instruction")).select("conv_id", "turn", F.md5(I.judge_prompt()).alias("prompt"))
 
 
-@query("task_prompts")
+def _draw(seed: int, which: str, key: str = "pos") -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {key} || ':{which}'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+def _tasks_sql(n: int, seed: int) -> str:
+    """The planned tasks, as `planned` (pos, mode, task_type, prompt)."""
+    values = ", ".join(f"({_q(mode)}, {i}, {_q(name)}, {_q(text.replace('{task_description}', about))})" for mode, text, tasks in (("A", T.ASK_ALONE, T.TASKS_ALONE), ("B", T.ASK_WITH_INPUT, T.TASKS_WITH_INPUT)) for i, (name, about) in enumerate(tasks.items()))
+    return f"""kinds(mode, i, task_type, prompt) AS (VALUES {values}), sizes AS (SELECT mode, count(*) AS size FROM kinds GROUP BY mode),
+    drawn AS (SELECT pos, CASE WHEN {_draw(seed, 'mode')} < 0.7 THEN 'A' ELSE 'B' END AS mode, {_draw(seed, 'task')} AS v FROM (SELECT unnest(generate_series(0, {n - 1})) AS pos)),
+    planned AS (SELECT pos, mode, task_type, prompt FROM drawn JOIN sizes USING (mode) JOIN kinds USING (mode) WHERE i = floor(v * size))"""
+
+
+@query("task_prompts", f"WITH {_tasks_sql(1000, 7)} SELECT * FROM planned")
 def task_prompts(spark, sf_dir):
     return I.planned_tasks(spark, 1000, 7)
 
 
+@query(
+    "generation_loop",
+    f"""WITH {_tasks_sql(500, 3)}, told AS (SELECT *, length(prompt) AS n FROM planned), task AS (SELECT pos, mode, 'do ' || n AS instruction, CASE WHEN mode = 'B' THEN 'on ' || n ELSE '' END AS input FROM told WHERE mode = 'A' OR n % 5 <> 0)
+    SELECT pos, instruction, input, 'answer ' || length(instruction || chr(10) || chr(10) || CASE WHEN input <> '' THEN input || chr(10) || chr(10) ELSE '' END || 'Answer directly and concisely.') AS output FROM task""",
+)
+def generation_loop(spark, sf_dir):
+    """500 tasks through a deterministic provider, whose input is empty for every prompt of a length that five divides in mode B."""
+    with_input = T.ASK_WITH_INPUT.partition("{")[0]
+
+    def make(i):
+        def reply(system, prompt):
+            n = len(prompt)
+            if prompt.endswith("Answer directly and concisely."):
+                return f" answer {n}\n"
+            return f' {{"instruction": "do {n}", "input": "{f"on {n}" if n % 5 else ""}"}} ' if prompt.startswith(with_input) else f"\ndo {n} "
+
+        return reply
+
+    return I.generated_samples(spark, 500, 3, make, 2)
+
+
+@query("model_responses", f"WITH {_ROWS} SELECT conv_id, turn, instruction, input, output, '<' || length({_PROMPT}) || '>' AS generated_response FROM samples")
+def model_responses(spark, sf_dir):
+    """A deterministic model stands in: it replies with the prompt's length between blanks."""
+    rows = _samples(spark, sf_dir).withColumn("pos", F.col("conv_id") * 1000000 + F.col("turn"))
+    return I.with_responses(rows, "pos", lambda i: lambda system, prompt: f"  <{len(prompt)}>\n").drop("pos")
+
+
+@query("provider_payloads", """SELECT 'ollama' AS provider, '{"model": "m", "messages": [{"role": "user", "content": "hi"}], "stream": true, "think": false, "options": {"temperature": 0.5, "num_predict": 9}, "format": "json"}' AS payload
+    UNION ALL SELECT 'openai', '{"model": "m", "input": [{"role": "user", "content": "hi"}], "temperature": 0.5, "max_output_tokens": 9, "text": {"format": {"type": "json_schema", "name": "output", "schema": {"type": "object"}, "strict": true}}}'""")
+def provider_payloads(spark, sf_dir):
+    """Requests with some options set and the others left out."""
+    import json
+
+    said, options = [{"role": "user", "content": "hi"}], I.Options(temperature=0.5, num_predict=9)
+    rows = [("ollama", I.ollama_payload(said, "m", options, "json", False)), ("openai", I.openai_payload(said, "m", options, {"type": "object"}))]
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in rows], "provider string, payload string")
+
+
+@query("task_replies", f"""WITH {_ROWS} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN trim(instruction, chr(10) || chr(9) || ' ') ELSE instruction END AS instruction, CASE WHEN conv_id % 2 = 0 THEN '' ELSE output END AS input FROM samples
+    WHERE CASE WHEN conv_id % 2 = 0 THEN trim(instruction, chr(10) || chr(9) || ' ') <> '' ELSE instruction <> '' AND output <> '' END""")
+def task_replies(spark, sf_dir):
+    """Replies in both modes, plain text and JSON, parsed back; those with an empty part are left out."""
+    rows = _samples(spark, sf_dir).withColumn("mode", F.when(F.col("conv_id") % 2 == 0, "A").otherwise("B"))
+    raw = F.when(F.col("mode") == "A", F.concat(F.lit(" \n"), "instruction", F.lit("\n"))).otherwise(F.concat(F.lit("\n"), F.to_json(F.struct("instruction", F.col("output").alias("input"))), F.lit(" ")))
+    parsed = rows.select("conv_id", "turn", I.parse_task(raw, F.col("mode")).alias("task"))
+    return parsed.where("task IS NOT NULL").select("conv_id", "turn", "task.*")
+
+
 _RAW = """raw AS (SELECT conv_id, turn, instruction, input, output, CASE (conv_id + turn) % 3
     WHEN 0 THEN 'x **[New Instruction]** ' || instruction || chr(10) || ' [End] y [New Answer] ' || output || ' [End] z' WHEN 1 THEN '[Better Answer]  ' || output || ' [End]' ELSE '[New Instruction] ' || instruction || ' [End]' END AS raw FROM samples)"""
 
@@ -148,18 +209,18 @@ def instruction_split(spark, sf_dir):
 
 @query(
     "collate",
-    f"""WITH {_ROWS}, {_NUMBERED}, t AS (SELECT pos, pos // 8 AS batch, list_transform(generate_series(1, CAST(least(length(instruction), 63) AS BIGINT)), lambda i: ascii(instruction[i])) AS s FROM numbered),
-    l AS (SELECT *, least(max(len(s) + 1) OVER (PARTITION BY batch), 64) AS size FROM t),
+    f"""WITH {_ROWS}, {_NUMBERED}, t AS (SELECT pos, pos // 8 AS batch, list_transform(generate_series(1, CAST(length(instruction) AS BIGINT)), lambda i: ascii(instruction[i]))[1:1023] AS s FROM numbered),
+    l AS (SELECT *, least(max(len(s) + 1) OVER (PARTITION BY batch), 1024) AS size FROM t),
     f AS (SELECT pos, size, list_concat(s, list_transform(generate_series(1, CAST(size - len(s) AS BIGINT)), lambda i: 101)) AS full_ FROM l),
     g AS (SELECT pos, size, full_[1:size - 1] AS inputs, full_[2:size] AS targets FROM f)
     SELECT pos, CAST(size - 1 AS INTEGER) AS n, CAST(list_sum(list_transform(inputs, lambda x, i: x * i)) AS BIGINT) AS input_sum,
         CAST(list_sum(list_transform(targets, lambda x, i: CASE WHEN x = 101 AND i > list_position(targets, 101) THEN -100 ELSE x END * i)) AS BIGINT) AS target_sum FROM g""",
 )
 def collate(spark, sf_dir):
-    """Prefixes of 63 characters of the instructions, as the SQL has them; collate_samples takes whole samples."""
-    chars = F.transform(F.filter(F.split(F.substring("instruction", 1, 63), F.lit(""), F.lit(-1)), lambda c: c != ""), F.ascii)
+    """Whole instructions, up to the model's context of 1,024, which is the operator's feature; collate_samples takes whole samples without one."""
+    chars = F.transform(F.filter(F.split("instruction", F.lit(""), F.lit(-1)), lambda c: c != ""), F.ascii)
     rows = _numbered(spark, sf_dir).select("pos", F.floor(F.col("pos") / 8).alias("batch"), chars.alias("ids"))
-    return _sums(B.collate(rows, "batch", "ids", pad=101, longest=64))
+    return _sums(B.collate(rows, "batch", "ids", pad=101))
 
 
 def _sums(got):

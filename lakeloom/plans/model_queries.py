@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lakeloom.functions import vectors as V
 from lakeloom.operators import model as M
 from lakeloom.operators import training as R
+from lakeloom.operators.bpe import Bpe
+from lakeloom.operators.instruct import draw
+from lakeloom.operators.ranking import prefix_sum
 from lakeloom.sources.tables import table
 
 from .base import query
@@ -60,10 +64,61 @@ def greedy(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", V.pick(F.col("x"), "greedy").alias("token"))
 
 
-@query("multinomial")
+@query(
+    "multinomial",
+    f"""WITH {_L}, e AS (SELECT vec_id, unnest(generate_series(0, len(x) - 1)) AS idx, unnest(x) / 0.7 AS v, CAST('0x' || substr(md5('5:' || vec_id || ':pick'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM l),
+    k AS (SELECT * FROM e QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY v DESC) <= 40), p AS (SELECT *, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM k),
+    c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY v DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+    q AS (SELECT vec_id, idx, u, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM c WHERE before <= 0.95),
+    s AS (SELECT vec_id, idx, u, sum(p) OVER (PARTITION BY vec_id ORDER BY idx) AS upto FROM q)
+    SELECT vec_id, CAST(coalesce(min(idx) FILTER (upto > u), 63) AS INTEGER) AS token FROM s GROUP BY vec_id""",
+)
 def multinomial(spark, sf_dir):
-    u = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    return _logits(spark, sf_dir).select("vec_id", V.pick(F.col("x"), "sample", 0.7, 40, 0.95, u).alias("token"))
+    """Draws with temperature, top-k and top-p, from uniform numbers that depend on the row alone."""
+    return _logits(spark, sf_dir).select("vec_id", V.pick(F.col("x"), "sample", 0.7, 40, 0.95, draw(F.col("vec_id"), 5, "pick")).alias("token"))
+
+
+_PROMPTS = "p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) % 97)[1:5] AS ids FROM embeddings)"
+
+
+def _prompts(spark, sf_dir):
+    """Five token ids for each vector."""
+    ids = F.transform(F.slice("embedding", 1, 5), lambda v: F.floor(F.abs(v.cast("double")) * 1000) % 97)
+    return table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("token_ids"))
+
+
+def _summing_model():
+    """A model whose next token is the sum of its context modulo 97."""
+    return lambda ids: np.eye(97)[sum(ids) % 97]
+
+
+@query(
+    "token_steps",
+    f"""WITH RECURSIVE {_PROMPTS}, r AS (SELECT vec_id, 0 AS n, ids FROM p
+        UNION ALL SELECT vec_id, n + 1, list_append(ids, CAST(list_sum(ids[greatest(len(ids) - 3, 1):]) AS BIGINT) % 97) FROM r WHERE n < 12 AND (n = 0 OR ids[len(ids)] <> 13))
+    SELECT vec_id, CAST(n - 1 AS INTEGER) AS step, ids[len(ids)] AS token_id FROM r WHERE n > 0""",
+)
+def token_steps(spark, sf_dir):
+    return M.token_steps(_prompts(spark, sf_dir), "vec_id", _summing_model, 12, 4, eos=13)
+
+
+@query(
+    "generate",
+    f"""WITH RECURSIVE {_PROMPTS}, r AS (SELECT vec_id, 0 AS n, ids FROM p
+        UNION ALL SELECT vec_id, n + 1, list_append(ids, CAST(list_sum(ids[greatest(len(ids) - 3, 1):]) AS BIGINT) % 97) FROM r WHERE n < 12 AND (n = 0 OR ids[len(ids)] <> 13)),
+    m AS (SELECT vec_id, max(n) AS n, arg_max(ids, n) AS ids FROM r GROUP BY vec_id), g AS (SELECT vec_id, ids[6:] AS g FROM m)
+    SELECT vec_id, array_to_string(CASE WHEN list_contains(g, 13) THEN g[1:list_position(g, 13) - 1] ELSE g END, ',') AS generated FROM g""",
+)
+def generate(spark, sf_dir):
+    """New ids without the prompt, up to the end token."""
+    got = M.generate(_prompts(spark, sf_dir), "vec_id", _summing_model, 12, 4, eos=13)
+    return got.select("vec_id", F.array_join(F.transform("generated", lambda x: x.cast("string")), ",").alias("generated"))
+
+
+@query("generate_and_decode", "SELECT item_id, array_to_string(list_transform(generate_series(0, 9), lambda i: chr(CAST(97 + (strlen(text) + i) % 26 AS INTEGER))), '') AS generated_text FROM benchmark")
+def generate_and_decode(spark, sf_dir):
+    """Prompts in bytes, continued by a model whose next byte follows from the length of its context."""
+    return M.generate_and_decode(table(spark, sf_dir, "benchmark"), "item_id", Bpe(), lambda: lambda ids: np.eye(256)[97 + len(ids) % 26], 10, 1 << 20)
 
 
 @query("layer_norm", f"WITH {_L}, m AS (SELECT vec_id, x, list_avg(x) AS m, list_avg(list_transform(x, lambda v: v * v)) - list_avg(x) ** 2 AS var FROM l), n AS (SELECT vec_id, list_transform(x, lambda v: (v - m) / sqrt(var + 1e-5)) AS y FROM m) {_long_sql('y', 'y')} FROM n")
@@ -91,11 +146,79 @@ def rope(spark, sf_dir):
     return _long(_logits(spark, sf_dir), V.rope(F.col("x"), F.col("vec_id") % 100), "y")
 
 
-@query("gelu")
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(generate_series(0, 28), lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * pow(v / sqrt(2), 2 * n + 1) / (factorial(CAST(n AS INTEGER)) * (2 * n + 1))))"
+
+
+@query("gelu", f"WITH {_L}, n AS (SELECT vec_id, list_transform(x, lambda v: 0.5 * v * (1 + {_ERF})) AS y FROM l) {_long_sql('y', 'y')} FROM n")
 def gelu(spark, sf_dir):
+    """The SQL sums erf's series, which is exact enough for these values."""
     return _long(_logits(spark, sf_dir), V.gelu(F.col("x")), "y")
 
 
+@query(
+    "mlp",
+    f"""WITH {_L}, h AS (SELECT vec_id, list_transform(generate_series(0, 7), lambda j: list_sum(list_transform(generate_series(1, 8), lambda i: x[i] * x[8 + j + 1] + 0.0))) AS h FROM l),
+    g AS (SELECT vec_id, list_transform(h, lambda v: 0.5 * v * (1 + {_ERF})) AS g FROM h) SELECT vec_id, round(list_sum(g), 6) + 0.0 AS y FROM g""",
+)
+def mlp(spark, sf_dir):
+    """A feed-forward layer of each vector's own making: inputs x[1..8], weights x[9..16] for all of them, GELU, and a sum."""
+    x = F.col("x")
+    hidden = F.transform(F.slice(x, 9, 8), lambda w: V.total(F.transform(F.slice(x, 1, 8), lambda v: v * w)))
+    rows = _logits(spark, sf_dir).select("vec_id", F.explode(hidden).alias("h")).select("vec_id", V.gelu(F.array("h")).alias("g"))
+    return rows.groupBy("vec_id").agg((F.round(F.sum(F.element_at("g", 1)), 6) + 0.0).alias("y"))
+
+
+_WEIGHTS = f"{_L}, w AS (SELECT CASE vec_id % 4 WHEN 0 THEN 'h.' || vec_id // 4 || '.attn.c_attn.weight' WHEN 1 THEN 'h.' || vec_id // 4 || '.ln_1.bias' WHEN 2 THEN 'h.' || vec_id // 4 || '.mlp.c_fc.weight' ELSE 'h.' || vec_id // 4 || '.attn.masked_bias' END AS name, vec_id % 4 AS kind, vec_id // 4 AS block, x FROM l)"
+
+
+def _weights(spark, sf_dir):
+    """The vectors as weights of a published model: fused matrices of 4 x 12, vectors, matrices of 8 x 8, and a buffer that goes."""
+    block = F.floor(F.col("vec_id") / 4).cast("string")
+    kinds = [(".attn.c_attn.weight", F.array(F.lit(4), F.lit(12)), F.slice("x", 1, 48)), (".ln_1.bias", F.array(F.lit(64)), F.col("x")), (".mlp.c_fc.weight", F.array(F.lit(8), F.lit(8)), F.col("x")), (".attn.masked_bias", F.array(F.lit(64)), F.col("x"))]
+    pick = lambda i: F.element_at(F.array(*[k[i] if i else F.lit(k[0]) for k in kinds]), (F.col("vec_id") % 4 + 1).cast("int"))
+    return _logits(spark, sf_dir).select(F.concat(F.lit("h."), block, pick(0)).alias("name"), pick(1).alias("shape"), pick(2).alias("data"))
+
+
+@query(
+    "remap_weights",
+    f"""WITH {_WEIGHTS}, t AS (
+        SELECT 'blocks.' || block || '.attn.' || part || '_proj.weight' AS name, '4,4' AS shape, list_transform(generate_series(0, 15), lambda k: x[(k % 4) * 12 + f + k // 4 + 1]) AS y FROM w, (VALUES ('q', 0), ('k', 4), ('v', 8)) p(part, f) WHERE kind = 0
+        UNION ALL SELECT 'blocks.' || block || '.ln1.shift', '64', x FROM w WHERE kind = 1
+        UNION ALL SELECT 'blocks.' || block || '.mlp.fc1.weight', '8,8', list_transform(generate_series(0, 63), lambda k: x[(k % 8) * 8 + k // 8 + 1]) FROM w WHERE kind = 2)
+    SELECT name, shape, round(list_sum(list_transform(y, lambda v, i: v * i)), 6) + 0.0 AS checksum FROM t""",
+)
+def remap_weights(spark, sf_dir):
+    got = M.remap_weights(_weights(spark, sf_dir))
+    return got.select("name", F.array_join(F.transform("shape", lambda v: v.cast("string")), ",").alias("shape"), (F.round(V.total(F.transform("data", lambda v, i: v * (i + 1))), 6) + 0.0).alias("checksum"))
+
+
+@query("parameter_groups", f"WITH {_WEIGHTS} SELECT name, CASE WHEN kind IN (0, 2) THEN 0.1 ELSE 0.0 END AS weight_decay FROM w")
+def parameter_groups(spark, sf_dir):
+    return R.parameter_groups(_weights(spark, sf_dir).select("name"), 0.1)
+
+
+@query(
+    "evaluate",
+    """WITH l AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value, count(*) OVER () AS n FROM events), w AS (SELECT i // 1000 AS evaluation, i % (SELECT any_value(n) FROM l) AS pos FROM (SELECT unnest(generate_series(0, 19999)) AS i))
+    SELECT evaluation, round(avg(value), 6) AS mean_loss FROM w JOIN l USING (pos) GROUP BY evaluation""",
+)
+def evaluate(spark, sf_dir):
+    """Events stand in for validation batches: 20 evaluations of 1,000, which go round more than once."""
+    events = prefix_sum(table(spark, sf_dir, "events").select("event_id", "value", F.lit(1).alias("one")), "event_id", "one", "pos")
+    return R.evaluate(events, "pos", "value", events.count(), 1000, 20).select("evaluation", F.round("mean_loss", 6).alias("mean_loss"))
+
+
+@query("cadence", "SELECT event_id FROM events WHERE event_id % 100 = 0")
+def cadence(spark, sf_dir):
+    return R.cadence(table(spark, sf_dir, "events"), "event_id", 100).select("event_id")
+
+
+@query("gpt2_sizes", "SELECT * FROM (VALUES ('124M', 124.439808), ('355M', 354.823168), ('774M', 774.030080), ('1558M', 1557.611200)) t(size, millions)")
+def gpt2_sizes(spark, sf_dir):
+    """Parameters of the published models."""
+    return spark.createDataFrame([(k, M.gpt2_parameters(k)) for k in M.GPT2_SIZES], "size string, millions double").select("size", F.col("millions").cast("decimal(10,6)").alias("millions"))
+
+
 def _sequences(spark, sf_dir):
     """The vectors as sequences of 16 positions."""
     return _logits(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("seq"), (F.col("vec_id") % 16).alias("pos"), "x")

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from lakeloom.operators.bpe import encode
 from lakeloom.sources.tables import table
 from lakeloom.streaming import encode as S
 
-from .base import query
-from .token_queries import small_bpe
+from .base import query, scratch
+from .text_queries import _GPT4
+from .token_queries import _IDS, _hex, _merged, small_bpe, token_sums
+
+
+_MERGED_IDS = f"""j AS (SELECT doc_id, {_merged(f"array_to_string(list_transform({_GPT4}, lambda c: {_hex('c')}), '|')")} AS s FROM documents), t AS (SELECT doc_id, {_IDS} AS ids FROM j)"""
 
 
-@query("stream_encode", "SELECT item_id, len(text) > 0 AS same FROM benchmark")
+@query("stream_encode", f"WITH {_MERGED_IDS} SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(ids, lambda x, i: x * (i % 1000))) AS BIGINT) AS checksum FROM t")
 def stream_encode(spark, sf_dir):
-    """Encoding a stream gives the ids of the batch plan. The stream's state goes to the folder that executors share."""
-    batch = table(spark, sf_dir, "benchmark")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    batch.write.parquet(f"{folder}/in")
-    stream = S.read_documents(spark, f"{folder}/in", batch.schema)
-    S.write_encoded(stream, small_bpe(), f"{folder}/out", f"{folder}/state", "item_id").awaitTermination()
-    got = spark.read.parquet(f"{folder}/out")
-    own = batch.select("item_id", encode(F.col("text"), small_bpe()).alias("ids"))
-    return got.join(own, "item_id").select("item_id", (F.col("token_ids") == F.col("ids")).alias("same"))
+    """Documents encoded by a stream that runs until all files are read."""
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "stream")
+    docs.write.parquet(f"{folder}/in")
+    stream = S.read_documents(spark, f"{folder}/in", docs.schema)
+    S.write_encoded(stream, small_bpe(), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return token_sums(spark.read.parquet(f"{folder}/out"), "token_ids", "doc_id")
+
+
+@query(
+    "stream_windows",
+    """WITH e AS (SELECT *, event_id % 2 AS half FROM events), seen AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM e WHERE half = 0)
+    SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM e, seen WHERE half = 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY ALL""",
+)
+def stream_windows(spark, sf_dir):
+    """Events in two files that come one after the other: those of the second whose windows had closed by the watermark are left out."""
+    folder = scratch(spark, "windows")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).coalesce(1).write.parquet(f"{folder}/{half}")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/[01]")
+        S.write_windows(S.windowed_counts(source, "ts", "event_type"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    got = S.read_windows(spark, f"{folder}/out")
+    return got.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
 @query("event_windows", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,33 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, indent: int = 2, escaped: bool = False) -> None:
+    """One JSON file that holds an array of all rows, indented, characters unescaped unless asked. Rows are formatted by all tasks; the driver passes
+    on one partition at a time. An existing file is replaced."""
+    names, space = df.columns, " " * indent
+
+    def run(batches):
+        for b in batches:
+            rows = (json.dumps(r, indent=indent, ensure_ascii=escaped) for r in b.to_pylist())
+            text = ["\n".join(space + line for line in r.split("\n")) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["value"])
+
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        some = False
+        for row in df.select(*names).mapInArrow(run, "value string").toLocalIterator():
+            out.write(bytearray(((",\n" if some else "[\n") + row["value"]).encode()))
+            some = True
+        out.write(bytearray(b"\n]" if some else b"[]"))
+    finally:
+        out.close()
+
+
 def rewrite_unescaped(spark: SparkSession, source: str, target: str, schema: str = SAMPLE) -> None:
-    """JSON with escapes rewritten as plain UTF-8."""
-    read_json(spark, source, schema).write.json(target)
+    """A JSON array or JSON lines with escapes rewritten as an array in plain UTF-8."""
+    write_json_array(read_json(spark, source, schema), target)
 
 
 class Registry:

@@ -119,7 +119,7 @@ def test_pair_counts(spark):
 def test_distinct_chunks(spark):
     bpe = P.Bpe(train(spark, SENTENCE, 280).merges)
     df = spark.createDataFrame(list(enumerate(["Hello test", "world! Hello"])), "k long, text string")
-    a = {r["k"]: r["token_ids"] for r in P.encode_distinct(df, bpe, ["k"]).collect()}
+    a = {r["k"]: r["token_ids"] for r in df.select("k", P.encode_cached(F.col("text"), bpe).alias("token_ids")).collect()}
     b = {r["k"]: r["x"] for r in df.select("k", P.encode(F.col("text"), bpe).alias("x")).collect()}
     assert a == b
 
@@ -127,5 +127,25 @@ def test_distinct_chunks(spark):
 def test_published_ranks(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([(0, "hello world"), (1, "")], "k long, text string")
-    got = {r["k"]: r["token_ids"] for r in P.tiktoken_encode(df, ["k"], tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, {"<|endoftext|>": 50256}).collect()}
+    got = {r["k"]: r["token_ids"] for r in P.tiktoken_encode(df, ["k"], open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), tokenizers.PATTERN, {"<|endoftext|>": 50256}).collect()}
     assert len(got[0]) == 2 and got[1] == []
+
+
+def test_encoder_forgets(spark):
+    """What is remembered is bounded, and does not change ids."""
+    bpe = train(spark, "the cat sat on the mat " * 3, 280)
+    text = " ".join(fuzz(60, 9))
+    assert P.Encoder(bpe, most=2).ids(text) == P.Encoder(bpe).ids(text)
+
+
+def test_published_ranks_as_merges():
+    import tiktoken
+    import public_tokenizers as tokenizers
+
+    ranks = P.read_ranks(open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    bpe = P.from_ranks(ranks, P.GPT4_PATTERN, most=3000)
+    kept = {t: r for t, r in ranks.items() if len(t) == 1} | {t: 256 + k for k, t in enumerate(t for _, t in sorted((r, t) for t, r in ranks.items() if len(t) > 1)[:3000])}
+    other = tiktoken.Encoding("own", pat_str=P.GPT4_PATTERN, mergeable_ranks=kept, special_tokens={})
+    own = {i: b for i, b in bpe.vocabulary.items()}
+    for text in [*fuzz(100, 3), "the quick brown foxes jumped over lazy dogs' houses"]:
+        assert [own[i] for i in P.Encoder(bpe).ids(text)] == [other.decode_single_token_bytes(i) for i in other.encode_ordinary(text)]

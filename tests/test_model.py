@@ -71,3 +71,13 @@ def test_counts_and_rates(spark):
     names = spark.createDataFrame([("a.bias",), ("ln1.scale",), ("w",)], "name string")
     assert {r["name"]: r["weight_decay"] for r in R.parameter_groups(names, 0.1).collect()} == {"a.bias": 0.0, "ln1.scale": 0.0, "w": 0.1}
     assert [r["iter"] for r in R.cadence(spark.range(7).withColumnRenamed("id", "iter"), "iter", 3).collect()] == [0, 3, 6]
+
+
+def test_context_length():
+    from types import SimpleNamespace as N
+
+    from lakeloom.operators.model import context_length
+
+    assert context_length(N(context_length=7), 1) == 7
+    assert context_length(N(config={"context_length": 8}), 1) == context_length(N(config=N(context_length=8)), 1) == 8
+    assert context_length(object(), 9) == context_length(N(config={}), 9) == 9

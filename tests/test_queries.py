@@ -9,6 +9,7 @@ import pytest
 from lakeloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
+SQL = registry.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -28,13 +29,13 @@ def _rows(names, rows):
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    if name in registry.ORACLES:
-        rel = duck.execute(registry.ORACLES[name])
+    if name in SQL:
+        rel = duck.execute(SQL[name])
         names = [d[0] for d in rel.description]
         assert sorted(names) == sorted(df.columns)
         assert _rows(df.columns, got) == _rows(names, rel.fetchall())
     else:
-        assert got
+        assert name == "documents_shuffled" and got  # test_text compares its order with Python's
 
 
 def test_entry_and_guards(spark):

@@ -15,8 +15,15 @@ def test_text_and_json(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(rows))
     (tmp_path / "a.jsonl").write_text("\n" + json.dumps(rows[0]) + "\n\n")
     assert S.read_json(spark, str(tmp_path / "a.json")).collect() == S.read_json(spark, str(tmp_path / "a.jsonl")).collect()
-    S.rewrite_unescaped(spark, str(tmp_path / "a.json"), str(tmp_path / "b"))
-    assert "ié" in "".join(p.read_text() for p in (tmp_path / "b").glob("part*"))
+    S.rewrite_unescaped(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
+    assert (tmp_path / "b.json").read_text() == json.dumps(rows, indent=2, ensure_ascii=False)
+    many = [{"instruction": f"é\n{i}", "input": None, "output": "[]"} for i in range(30)]
+    df = spark.createDataFrame(many, S.SAMPLE).repartition(4).sortWithinPartitions("instruction")
+    S.write_json_array(df, str(tmp_path / "c.json"))
+    text = (tmp_path / "c.json").read_text()
+    assert text == json.dumps(json.loads(text), indent=2, ensure_ascii=False) and sorted(json.loads(text), key=str) == sorted(many, key=str)
+    S.write_json_array(df.limit(0), str(tmp_path / "d.json"))
+    assert (tmp_path / "d.json").read_text() == "[]"
 
 
 def test_registry(spark, tmp_path):

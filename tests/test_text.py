@@ -81,6 +81,15 @@ def test_vocabulary(spark):
         V.check_vocabulary(vocab.where("id < 0"))
 
 
+def test_prefix_sum_of_sparse_keys(spark):
+    from lakeloom.operators.ranking import prefix_sum
+
+    keys = [-(2**50), -7, 0, 1, 5000, 2**40, 2**60]
+    got = {r["k"]: r["s"] for r in prefix_sum(spark.createDataFrame([(k, 10 + i) for i, k in enumerate(keys)], "k long, v long").repartition(3), "k", "v", "s").collect()}
+    assert got == {k: sum(10 + j for j in range(i)) for i, k in enumerate(keys)}
+    assert prefix_sum(spark.createDataFrame([], "k long, v long"), "k", "v", "s").count() == 0
+
+
 def test_prefix_sum_and_ranks(spark):
     from lakeloom.operators.ranking import prefix_sum, rank_strings
 
