@@ -8,13 +8,17 @@ feature in the labelled pages, made by ``labelled_pages()`` from a grammar of pa
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments sums below zero, and
 any region of prose above.
 
-From the region the text of its blocks is taken: containers that the fit marks as boilerplate inside it (an advert
+What a container is, its tag says (nav, aside, footer, ...), its ARIA role, or the first telling name among its classes or in its id. A name tells by its last
+word that is not a generic one ("cookie-notice", "comment-list"); names that describe a state ("has-sidebar", "ad-free") tell nothing, and
+classes of paragraphs, list items and cells never hide their text.
+
+From the region the text of its blocks is taken: boilerplate containers inside it (an advert
 between two paragraphs) are left out, character references are decoded, white space in a block becomes one
 space, blocks are joined by one newline.
 
 Defined cases: null or empty html, and pages without words in their body, give an empty text; unclosed,
-crossed or cut-off tags close with the block that holds them; texts of any length are read whole; of equal sums the
-earlier and longer region wins; repeated rows give repeated results; other columns are ignored.
+crossed or cut-off tags close with the block that holds them; texts of any length are read whole; of equal sums the region that
+ends first wins, and of these the one that begins last; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ import html as _html
 import math
 import random
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as K
+
 RESULT = "page_id long, url string, text string, n_chars long"
 ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -43,7 +50,7 @@ KINDS = {
     "menu": "nav menu navbar breadcrumb breadcrumbs pagination pager toc tabs toolbar skip navigation",
     "header": "header banner masthead topbar logo",
     "footer": "footer copyright colophon legal contentinfo bottom",
-    "sidebar": "aside sidebar related recommended recommendations widget popular trending complementary sidenav rail",
+    "sidebar": "aside sidebar related related-posts related-articles recommended recommendations widget popular trending complementary sidenav rail",
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall disclaimer dialog announcement",
     "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted adsense banner-ad",
     "form": "form search login fieldset button input searchbox",
@@ -52,25 +59,49 @@ KINDS = {
     "main": "article main content post entry story body-text articlebody",
 }
 _KIND = {w: k for k, ws in KINDS.items() for w in ws.split()}
-CONTAINERS = frozenset("div section article main aside nav header footer form ul ol dl table fieldset dialog details figure menu td li p span button label".split())
+# Parts of a name that say nothing of what it names, and those that make it describe a state.
+GENERIC = frozenset("area bar block body box button buttons col column container content group holder inner item items layout left link links list main outer panel region right row section site top widget wrap wrapper".split())
+STATES = frozenset("has with without no not is js hide hidden show free ready enabled disabled".split())
+CONTAINERS = frozenset("div section article main aside nav header footer form ul ol dl table fieldset dialog details figure menu button label".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def _named(name: str) -> str | None:
+    """The kind that one class or id tells."""
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    if not words or (len(words) > 1 and (words[0] in STATES or words[-1] in STATES)):
+        return None
+    whole = _KIND.get("-".join(words))
+    if whole:
+        return whole
+    while len(words) > 1 and words[-1] in GENERIC:
+        if words[-1] in _KIND and words[-2] not in _KIND:  # "main-content", "left-sidebar"
+            break
+        words.pop()
+    return _KIND.get(words[-1])
+
+
 def _kind(tag: str, attributes: str) -> str | None:
     """The kind of container that a start tag opens; None if it tells nothing."""
+    own = _KIND.get(tag) if tag in CONTAINERS else None
+    found: dict[str, str] = {}
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            value, name = (a or b or c).lower(), name.lower()
-            if name == "hidden" and "=" not in attributes[: attributes.lower().find("hidden") + 7].rpartition("hidden")[2] or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            value, name = a or b or c, name.lower()
+            if name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
                 return "notice"
             if name in ("class", "id", "role") and tag in CONTAINERS:
-                words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower())
-                found = [_KIND[w] for w in words if w in _KIND]
-                if found:
-                    return next((k for k in found if k != "main"), "main")
-    return _KIND.get(tag) if tag in CONTAINERS else None
+                kind = next((k for k in map(_named, value.split()) if k), None)
+                if kind:
+                    found.setdefault(name, kind)
+    if "role" in found:
+        return found["role"]
+    if own is not None and own != "main":  # <aside class="post"> is an aside
+        return own
+    kinds = list(found.values())
+    return next((k for k in kinds if k != "main"), "main" if kinds else own)
 
 
 def tokens(page: str):
@@ -132,13 +163,16 @@ def tokens(page: str):
             close = close.lower()
             if close == "a":
                 in_link = 0
+            inside = kinds[-1]
             if any(t == close for t, _ in stack):
                 _pop(stack, kinds, {close})
             if close not in INLINE and close not in RAW:
                 block += 1
-            yield ("end", close if close in _KNOWN else "other", kinds[-1]), 0, None, block, kinds[-1]
+            yield LEAVE if inside == "main" and kinds[-1] != "main" else ("end", close if close in _KNOWN else "other", kinds[-1]), 0, None, block, kinds[-1]
 
 
+#: The tag that ends a container of main text: what follows may be another text, or a teaser of one.
+LEAVE = ("leave", "main")
 _KNOWN = frozenset("p li a div ul nav br h1 h2 h3 b td tr table span article section".split())
 
 
@@ -178,15 +212,19 @@ def labelled_pages(n: int = 60, seed: int = 3) -> list[tuple[str, list[tuple[int
     for _ in range(n):
         before = [f"<nav>{links(r.randint(3, 8))}</nav>", f"<header><div>{words(4)}</div></header>", f'<div class="ad">{words(r.randint(4, 14))}</div>', f'<div class="cookie-notice">{words(12)}</div>', f"<form><label>{words(2)}</label></form>"]
         after = [f"<footer><p>{words(r.randint(4, 15))}</p></footer>", f"<aside><h3>{words(2)}</h3>{links(4)}</aside>", f'<div id="comments">' + "".join(f"<p>{words(r.randint(5, 20))}</p>" for _ in range(3)) + "</div>", f'<div class="share">{links(3)}</div>']
+        card = r.choice(["entry", "story", "post teaser", "entry-content"])
+        teasers = [f'<div class="{card}"><h3>{words(3)}</h3><p>{words(r.randint(4, 25))}</p></div>' if r.random() < 0.3 else "" for _ in range(2)]
         r.shuffle(before)
         r.shuffle(after)
         paragraphs = [f"<p>{words(r.randint(8, 60))}</p>" for _ in range(r.randint(2, 8))]
         if r.random() < 0.3:
             paragraphs.insert(1, f"<ul><li>{words(9)}</li><li>{words(7)}</li></ul>")
         body = f"<h1>{words(6)}</h1>" + "".join(paragraphs)
-        tag = r.choice(["article", "main", 'div class="content"', "div"])
-        head = "<html><body>" + "".join(before[: r.randint(1, 5)]) + f"<{tag}>"
-        out.append((head + body + f"</{tag.split()[0]}>" + "".join(after[: r.randint(1, 4)]) + "</body></html>", [(len(head), len(head) + len(body))]))
+        tag = r.choice(["article", "main", 'div class="content"', 'div id="main-content"', 'section class="story has-sidebar"', "div"])
+        if tag == "div":  # nothing tells the teasers from such a text
+            teasers = ["", ""]
+        head = "<html><body>" + "".join(before[: r.randint(1, 5)]) + teasers[0] + f"<{tag}>"
+        out.append((head + body + f"</{tag.split()[0]}>" + teasers[1] + "".join(after[: r.randint(1, 4)]) + "</body></html>", [(len(head), len(head) + len(body))]))
     return out
 
 
@@ -211,9 +249,25 @@ def weights() -> dict:
     for f in inside.keys() | outside.keys():
         odds = math.log((inside.get(f, 0) + 1) / (outside.get(f, 0) + 1))
         out[f] = max(-6.0, min(3.0, odds)) if f[0] in ("word", "link-word") else min(-0.1, 0.25 * odds - 0.1)
+    # the end of a main container outweighs the longest teaser of the labelled pages
+    out[LEAVE] = -1.0 - max((sum(out[f] * max(1, n) for f, n, *_ in run) for page, spans in labelled_pages() for run in _beside(page, spans[0])), default=0.0)
     return out
 
 
+def _beside(page: str, span: tuple[int, int]):
+    """The main words right before and after the labelled text: a teaser's, or none."""
+    found: list[list] = [[], []]
+    side = 0
+    for token in tokens(page[: span[0]] + "\x00" + page[span[0] : span[1]] + "\x01" + page[span[1] :]):
+        if token[2] and "\x00" in token[2]:
+            side = -1
+        if token[2] and "\x01" in token[2]:
+            side = 1
+        if side >= 0 and token[0] in (("word", "main"), ("link-word", "main")):
+            found[side].append(token)
+    return found
+
+
 def _score(feature, n: int, table: dict) -> float:
     """Words that the fit has not seen in this kind of container score by the container."""
     known = table.get(feature)
@@ -223,25 +277,27 @@ def _score(feature, n: int, table: dict) -> float:
     return known * n if n else known
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    table = weights()
+def region(scores: Iterable[float]) -> tuple[int, int]:
+    """First and last place of the contiguous region with the greatest sum, by one scan; (-1, -1) if no sum is positive."""
     best = total = 0.0
     first = last = -1
     start = 0
-    seen = []
-    for i, token in enumerate(tokens(page)):
-        seen.append(token)
-        feature, n, *_ = token
-        if feature is None:
-            continue
-        total += _score(feature, n, table)
+    for i, score in enumerate(scores):
+        total += score
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, first, last = total, start, i
+    return first, last
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    if not page:
+        return ""
+    table = weights()
+    seen = list(tokens(page))
+    first, last = region(0.0 if feature is None else _score(feature, n, table) for feature, n, *_ in seen)
     if first < 0:
         return ""
     blocks: list[list[str]] = []
@@ -261,7 +317,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of rows (page_id, url, html)."""
 
     def run(batches):
-        for b in batches:
+        for b in K.slices(batches, "html"):
             text = [extract(x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], schema=ARROW)
 
