@@ -121,8 +121,10 @@ def test_cut_leaves_other_texts(spark):
     assert got == {1: "a  b\nc", 2: None, 3: rows[2][1], 4: " y  z"}
 
 
-@pytest.mark.parametrize("seed,length,batches", [(0, 64, 1), (1, 64, 3), (2, 70, 5), (3, 200, 4)])
-def test_suffix(spark, seed, length, batches):
+@pytest.mark.parametrize("seed,length,batches,local,large", [(0, 64, 1, 64, 256), (1, 64, 3, 64, 256), (2, 70, 5, 1, 256), (3, 200, 4, 64, 1), (4, 64, 4, 0, 1), (5, 64, 3, 2, 3)])
+def test_suffix(spark, monkeypatch, seed, length, batches, local, large):
+    monkeypatch.setattr(suffix_dedup, "LOCAL", local)
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
     rows = corpus(seed, 40)
     texts = [(t or "").encode() for _, t in rows]
     count = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
@@ -147,7 +149,7 @@ def test_suffix_unique_ids_and_long_text(spark, monkeypatch):
     direct = suffix_dedup.suffixes([long.encode()], 200)
     monkeypatch.undo()
     whole = suffix_dedup.suffixes([long.encode()], 200)
-    covered = lambda s: sorted(x for p, n in zip(s[3], s[4]) for x in range(p, p + n))
+    covered = lambda s: sorted(x for p, n in zip(s[-2], s[-1]) for x in range(p, p + n))
     assert covered(direct) == covered(whole) == list(range(len(long) - 199))  # each string has one run, in pieces or whole
     got = {x["doc_id"]: x for x in suffix_dedup.remove_repeated_bytes(frame(spark, rows), 200, 2).collect()}
     assert (got[1]["n_removed"], got[2]["n_removed"], got[3]["n_removed"], got[3]["n_spans"], got[4]["n_removed"]) == (300, 300, 500, 1, 0)
@@ -156,14 +158,48 @@ def test_suffix_unique_ids_and_long_text(spark, monkeypatch):
 def test_index_family_levels(spark):
     family = suffix_dedup.IndexFamily(spark, 4, 4)
     docs = frame(spark, [(i, "common passage " * 10 + str(i) * 40) for i in range(12)]).select(F.col("doc_id").alias("id"), "text")
-    arrays = docs.mapInArrow(suffix_dedup._array_of(64, 4, 5), "batch int, part int, payload binary").cache()
+    arrays = docs.mapInArrow(suffix_dedup._array_of(64, 4, 4, 5, 64), suffix_dedup._ARRAYS).where(f"kind = {suffix_dedup.ARRAY}").cache()
     sizes = []
     for b in range(5):
-        family.add(arrays.where(F.col("batch") == b))
+        family.add(arrays.where(F.col("batch") == b).select("part", "payload"))
         sizes.append([n for n, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
-    merged = [exchange.get_all([r["payload"] for r in level.where("part = 0").collect()], 5)[0] for _, level in family.levels[:1]][0]
-    assert (np.sort(merged) == merged).all()
+    for row in family.levels[0][1].collect():
+        cols = exchange.get(row["payload"])
+        assert len(cols) == suffix_dedup.KEYS + 3 and list(zip(*cols[:4])) == sorted(zip(*cols[:4]))
+
+
+def test_suffixes_are_in_byte_order():
+    r = random.Random(2)
+    text = "".join(r.choice("abc ") for _ in range(5000)).encode()
+    head, *_, place, _ = suffix_dedup.suffixes([text], 100)
+    firsts = [int(h).to_bytes(8, "big") for h in np.sort(head)]
+    assert firsts == sorted(firsts) and all(f in text for f in firsts) and len(firsts) > 50
+
+
+@pytest.mark.parametrize("large", [256, 1])
+def test_index_opened_again(spark, tmp_path, monkeypatch, large):
+    """Batches that are added to a stored family one by one, against brute force over all that is there."""
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    r = random.Random(7)
+    shared = ["".join(r.choice("abcd ") for _ in range(r.randint(70, 200))) for _ in range(4)]
+    texts = ["".join(r.choice(shared) if r.random() < 0.6 else "".join(r.choice("efgh ") for _ in range(r.randint(5, 60))) for _ in range(r.randint(0, 4))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    make = lambda part: spark.createDataFrame(part, "id long, text string").repartition(3)
+    covered = {i: np.zeros(len(t), bool) for i, t in rows}
+    for k, (a, b) in enumerate([(0, 15), (15, 16), (16, 30), (30, 40)]):
+        family = suffix_dedup.IndexFamily(spark, 3, 5, 64) if k == 0 else suffix_dedup.IndexFamily.open(spark, f"{tmp_path}/index")
+        for x in family.add_documents(make(rows[a:b]), make(rows[:b])).collect():
+            covered[x["id"]][x["start"] : x["start"] + x["size"]] = True
+        family.save(f"{tmp_path}/index")
+        count = Counter(t[j : j + 64] for t in texts[:b] for j in range(len(t) - 63))
+        for i, t in rows[:b]:
+            want = np.zeros(len(t), bool)
+            for j in range(len(t) - 63):
+                if count[t[j : j + 64]] > 1:
+                    want[j : j + 64] = True
+            assert (covered[i] == want).all()
+    assert sum(c.sum() for c in covered.values()) > 1000
 
 
 @pytest.mark.parametrize("seed,together", [(0, 4), (1, 1)])
