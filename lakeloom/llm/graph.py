@@ -35,19 +35,24 @@ def components(links: DataFrame, most: int = 100) -> DataFrame:
     halve; labels are written between rounds. Aggregates are pre-combined, and the links of a node that has very many are dealt to
     several tasks.
     """
-    both = spill.write(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "links")
-    degrees = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    hot = spill.write(hot_keys(degrees, ["b"], both.count()), "hot-nodes")
-    both = spill.write(salted(both, hot, ["b"], "a"), "links")
-    labels = spill.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"), F.col("node").alias("was")).select("node", "component"), "labels")
+    pairs = spill.write(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "links")
+    degrees = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    hot = spill.write(hot_keys(degrees, ["b"], pairs.count()), "hot-nodes")
+    both = spill.write(salted(pairs, hot, ["b"], "a"), "links")
+    spill.remove(pairs)
+    table = spill.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"), F.col("node").alias("was")).select("node", "was", "component"), "labels")
     for _ in range(most):
+        labels = table.select("node", "component")
         near = both.join(copied(labels.select(F.col("node").alias("b"), "component"), hot, ["b"]), ["b", "_salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
         new = spill.write(step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("far", "component")).alias("component")), "labels")
-        labels = new.select("node", "component")
-        if new.where("was <> component").isEmpty():
-            return labels
+        spill.remove(table)
+        table = new
+        if table.where("was <> component").isEmpty():
+            spill.remove(both)
+            spill.remove(hot)
+            return table.select("node", "component")
     raise RuntimeError("components did not settle")
 
 

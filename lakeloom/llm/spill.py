@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder of the warehouse."""
+    """spark.checkpoint.dir of the session; in local mode, where it may be unset, a folder of the warehouse. Elsewhere it is an error not to have one, since
+    a folder of one machine would not do."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not got.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = got.get() if got.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return own.rstrip("/")
 
