@@ -106,8 +106,12 @@ def reflected(df: DataFrame, raw: str = "raw", mode: str = "compat") -> DataFram
 
 def write_routes(df: DataFrame, path: str, mode: str) -> None:
     """Append successes and failures to two JSON-lines folders."""
-    df.where("status = 'success'").drop("status", "raw").write.mode("append").json(f"{path}_{mode}.jsonl")
-    df.where("status = 'failed'").drop("status").write.mode("append").json(f"{path}_{mode}_failed.jsonl")
+    df = df.persist()  # replies are asked for once
+    try:
+        df.where("status = 'success'").drop("status", "raw").write.mode("append").json(f"{path}_{mode}.jsonl")
+        df.where("status = 'failed'").drop("status").write.mode("append").json(f"{path}_{mode}_failed.jsonl")
+    finally:
+        df.unpersist()
 
 
 def to_retry(inputs: DataFrame, done: DataFrame, key: str = "pos") -> DataFrame:

@@ -10,7 +10,7 @@ from lakeloom.operators import bpe as P
 from lakeloom.operators import documents as D
 from lakeloom.operators import instruct as I
 from lakeloom.operators import wordvocab as V
-from lakeloom.sources import datasets, files
+from lakeloom.sources import datasets, files, weights
 from lakeloom.sources.tables import table
 
 from .base import query, scratch
@@ -136,6 +136,16 @@ def loss_series(spark, sf_dir):
     return datasets.loss_series({"train": [3.5, 2.5], "val": [4, 3, 2]}, spark)
 
 
+@query("safetensors", "SELECT 'v' || vec_id AS name, '8,8' AS shape, round(list_sum(list_transform(embedding, lambda v, i: CAST(CAST(v AS FLOAT) AS DOUBLE) * i)), 5) + 0.0 AS checksum FROM embeddings")
+def safetensors(spark, sf_dir):
+    """Vectors as tensors of 8 x 8 in one weights file, read again."""
+    path = scratch(spark, "weights") + ".safetensors"
+    vectors = table(spark, sf_dir, "embeddings")
+    weights.write_safetensors(vectors.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.array(F.lit(8), F.lit(8)).alias("shape"), F.transform("embedding", lambda v: v.cast("double")).alias("data")), path)
+    total = F.aggregate(F.transform("data", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return weights.read_safetensors(spark, path).select("name", F.array_join(F.transform("shape", lambda v: v.cast("string")), ",").alias("shape"), (F.round(total, 5) + 0.0).alias("checksum"))
+
+
 @query("token_types", "SELECT CAST(v AS BIGINT) AS vocab_size, CASE WHEN v <= 256 THEN 'uint8' WHEN v <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype FROM (VALUES (2), (256), (257), (65535), (65536), (100277)) t(v)")
 def token_types(spark, sf_dir):
     return spark.createDataFrame([(v, B.token_type(v)) for v in (2, 256, 257, 65535, 65536, 100277)], "vocab_size long, dtype string")

@@ -82,3 +82,64 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "t.txt").write_text("abc")
     cli.main(["summary", str(tmp_path / "t.txt")])
     assert "0.00 MB" in capsys.readouterr().out
+
+
+def _reply(url, payload, headers):
+    """A provider that needs no network: it answers by what it is asked."""
+    text = payload.get("messages", payload.get("input"))[-1]["content"]
+    if "scale from 1 to 5" in text:
+        text = "Fine. Score: 4"
+    elif text.endswith("Answer directly and concisely."):
+        text = " an answer "
+    elif "Better Answer" in text:
+        text = "[Better Answer] best [End]"
+    elif "### Instruction" in text:
+        text = " response\n"
+    else:
+        text = '{"instruction": "do é", "input": "with"}'
+    if "messages" in payload:
+        return [json.dumps({"message": {"content": c}}) + "\n" for c in (text[:3], text[3:])]
+    return [json.dumps({"output": [{"content": [{"text": text}]}, {"content": None}]})]
+
+
+def test_providers():
+    from lakeloom.sources.providers import Provider
+
+    seen = []
+
+    def send(url, payload, headers):
+        seen.append((url, payload, headers))
+        return _reply(url, payload, headers)
+
+    for kind in ("ollama", "openai"):
+        ask = Provider(kind, "m", ("http://a", "http://b"), headers={"k": "v"}, send=send)(3)
+        assert ask("", "x Answer directly and concisely.") == " an answer "
+    assert {u for u, _, _ in seen} == {"http://b"} and seen[0][1]["stream"] is True and "stream" not in seen[1][1]
+
+    def down(url, payload, headers):
+        raise OSError("down")
+
+    assert Provider("ollama", "m", ("u",), send=down)(0)("s", "p") == ""
+    with pytest.raises(OSError):
+        Provider("openai", "m", ("u",), send=down)(0)("s", "p")
+    with pytest.raises(ValueError):
+        Provider("other", "m", ("u",))
+
+
+def test_commands_with_a_model(spark, tmp_path, capsys):
+    from lakeloom import cli
+
+    more = ["--model", "m", "--url", "http://a", "--url", "http://b"]
+    cli.main(["generate", str(tmp_path / "new.json"), "--n", "6", *more], send=_reply)
+    rows = json.loads((tmp_path / "new.json").read_text())
+    assert len(rows) == 6 and {r["output"] for r in rows} == {"an answer"}
+    cli.main(["respond", str(tmp_path / "new.json"), str(tmp_path / "said.json"), *more], send=_reply)
+    said = json.loads((tmp_path / "said.json").read_text())
+    assert {r["generated_response"] for r in said} == {"response"} and len(said) == 6
+    cli.main(["evaluate", str(tmp_path / "said.json"), *more], send=_reply)
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1]) == {"n": 6, "n_parsed": 6, "mean_score": 4.0}
+    cli.main(["reflect", str(tmp_path / "new.json"), str(tmp_path / "better"), "--mode", "response", *more], send=_reply)
+    better = spark.read.json(str(tmp_path / "better_response.jsonl"))
+    assert {r["output"] for r in better.collect()} == {"best"} and better.count() == 6
+    cli.main(["download", "x", "http://host/x.txt", str(tmp_path)], fetch=lambda place: place.encode())
+    assert (tmp_path / "x.txt").read_text() == "http://host/x.txt"
