@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,27 +239,31 @@ class Encoder:
         self.specials, self.known = bpe.specials, {}
         self.special = regex.compile("|".join(regex.escape(x) for x in bpe.specials)) if bpe.specials else None
 
-    def plain(self, text: str, out: list[int]) -> None:
+    def _plain(self, text: str, out: list[bytes]) -> None:
         known = self.known
-        for m in self.pattern.finditer(text):
-            chunk = m.group()
+        found = self.pattern.findall(text) if len(text) < 1 << 20 else (m.group() for m in self.pattern.finditer(text))
+        for chunk in found:
             ids = known.get(chunk)
             if ids is None:
-                ids = merge_word(list(chunk.encode()), self.ranks)
+                ids = np.array(merge_word(list(chunk.encode()), self.ranks), "<i4").tobytes()
                 if len(known) >= self.most:
                     known.clear()
                 known[chunk] = ids
-            out += ids
+            out.append(ids)
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
+    def raw(self, text: str) -> bytes:
+        """The ids as 32-bit integers, laid end to end."""
+        out: list[bytes] = []
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            self.plain(text[at : m.start()], out)
-            out.append(self.specials[m.group()])
+            self._plain(text[at : m.start()], out)
+            out.append(self.specials[m.group()].to_bytes(4, "little"))
             at = m.end()
-        self.plain(text[at:] if at else text, out)
-        return out
+        self._plain(text[at:] if at else text, out)
+        return b"".join(out)
+
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.raw(text), "<i4").tolist()
 
 
 def encode_cached(text: Column, bpe: Bpe) -> Column:
@@ -268,7 +273,12 @@ def encode_cached(text: Column, bpe: Bpe) -> Column:
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(bpe)
         for c in columns:
-            parts = [pa.array([None if t is None else encoder.ids(t) for t in c[k : k + 256].to_pylist()], pa.list_(pa.int32())) for k in range(0, len(c), 256)]
+            parts = []
+            for k in range(0, len(c), 256):
+                raw = [None if t is None else encoder.raw(t) for t in c[k : k + 256].to_pylist()]
+                ends = np.cumsum([0] + [len(x or b"") // 4 for x in raw]).astype(np.int32)
+                ids = pa.array(np.frombuffer(b"".join(x for x in raw if x), "<i4"))
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), ids, mask=pa.array([x is None for x in raw])))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(text)
