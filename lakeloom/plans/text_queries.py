@@ -8,7 +8,7 @@ from lakeloom.functions.text import GPT2_PATTERN, GPT4_PATTERN, chunks, split_ar
 from lakeloom.functions.words import word_tokens
 from lakeloom.operators import documents as D
 from lakeloom.operators import wordvocab as V
-from lakeloom.sources.tables import table
+from lakeloom.sources.tables import table, texts
 
 from .base import query
 
@@ -17,7 +17,7 @@ _WORDS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:''[\p{L}\p{M}\p{N}_]+
 
 @query("word_vocab", f"WITH v AS (SELECT DISTINCT unnest({_WORDS}) AS token FROM documents) SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS BIGINT) AS id FROM v")
 def word_vocab(spark, sf_dir):
-    return V.build_vocabulary(table(spark, sf_dir, "documents"), specials=())
+    return V.build_vocabulary(texts(spark, sf_dir), specials=())
 
 
 _VOCAB_3 = f"""
@@ -29,7 +29,7 @@ _VOCAB_3 = f"""
 
 @query("word_vocab_min_frequency", f"WITH {_VOCAB_3} SELECT * FROM vocab")
 def word_vocab_min_frequency(spark, sf_dir):
-    return V.build_vocabulary(table(spark, sf_dir, "documents"), min_frequency=3)
+    return V.build_vocabulary(texts(spark, sf_dir), min_frequency=3)
 
 
 @query(
@@ -132,7 +132,7 @@ def characters_per_token(spark, sf_dir):
 
 
 def _chunk_query(spark, sf_dir, pattern):
-    docs = table(spark, sf_dir, "documents").select(F.explode(chunks(F.col("text"), pattern)).alias("chunk"))
+    docs = texts(spark, sf_dir).select(F.explode(chunks(F.col("text"), pattern)).alias("chunk"))
     return docs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,7 @@ from lakeloom.operators import blocks as B
 from lakeloom.operators import bpe as P
 from lakeloom.operators.ranking import prefix_sum
 from lakeloom.sources import files
-from lakeloom.sources.tables import table
+from lakeloom.sources.tables import table, texts
 
 from .base import query, scratch
 from .text_queries import _GPT4
@@ -57,7 +57,7 @@ def _ids_of(name: str, key: str) -> str:
     SELECT CAST('0x' || pair[1:2] AS INTEGER) AS left_id, CAST('0x' || pair[3:4] AS INTEGER) AS right_id, CAST(sum(n) AS BIGINT) AS total FROM p GROUP BY pair""",
 )
 def byte_pair_counts(spark, sf_dir):
-    got = P.pair_counts(P.chunk_counts(table(spark, sf_dir, "documents"), "doc_id"))
+    got = P.pair_counts(P.chunk_counts(texts(spark, sf_dir), "doc_id"))
     return got.select(P.id_of(F.substring("pair", 1, 1)).alias("left_id"), P.id_of(F.substring("pair", 2, 1)).alias("right_id"), "total")
 
 
@@ -77,7 +77,7 @@ def byte_split(spark, sf_dir):
     SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(ids, lambda x, i: x * (i % 1000))) AS BIGINT) AS checksum FROM t""",
 )
 def bpe_encode(spark, sf_dir):
-    return token_sums(table(spark, sf_dir, "documents").select("doc_id", P.encode_cached(F.col("text"), small_bpe()).alias("ids")), "ids", "doc_id")
+    return token_sums(texts(spark, sf_dir).select("doc_id", P.encode_cached(F.col("text"), small_bpe()).alias("ids")), "ids", "doc_id")
 
 
 def token_sums(df, ids, *keys):
@@ -129,14 +129,14 @@ def _large_sql() -> str:
 @query("bpe_encode_large", _large_sql)
 def bpe_encode_large(spark, sf_dir):
     """Documents with 2,000 merges of a published vocabulary."""
-    return token_sums(table(spark, sf_dir, "documents").select("doc_id", P.encode_cached(F.col("text"), large_bpe()).alias("ids")), "ids", "doc_id")
+    return token_sums(texts(spark, sf_dir).select("doc_id", P.encode_cached(F.col("text"), large_bpe()).alias("ids")), "ids", "doc_id")
 
 
 @query("published_round_trip", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def published_round_trip(spark, sf_dir):
     """Documents encoded with the whole published vocabulary of 50,256 tokens, and decoded again."""
     raw = published()
-    coded = P.tiktoken_encode(table(spark, sf_dir, "documents"), ["doc_id"], raw, P.GPT4_PATTERN)
+    coded = P.tiktoken_encode(texts(spark, sf_dir), ["doc_id"], raw, P.GPT4_PATTERN)
     return coded.select("doc_id", F.sha2(P.decode_ranks(F.col("token_ids"), raw, spark), 256).alias("sha256"))
 
 
@@ -144,7 +144,7 @@ def published_round_trip(spark, sf_dir):
 def bpe_decode(spark, sf_dir):
     """Encoding with a special token, and back."""
     joined = F.concat("text", F.lit("<|endoftext|>"), "text")
-    ids = table(spark, sf_dir, "documents").select("doc_id", P.encode_cached(joined, small_bpe()).alias("ids"))
+    ids = texts(spark, sf_dir).select("doc_id", P.encode_cached(joined, small_bpe()).alias("ids"))
     return ids.select("doc_id", F.sha2(P.decode(F.col("ids"), small_bpe()), 256).alias("sha256"))
 
 
@@ -152,14 +152,14 @@ def bpe_decode(spark, sf_dir):
 def bpe_special_tokens(spark, sf_dir):
     """A special token between a text and itself is one id, and what is around it is encoded as if alone."""
     joined = F.concat("text", F.lit("<|endoftext|>"), "text")
-    ids = table(spark, sf_dir, "documents").select("doc_id", P.encode_cached(joined, small_bpe()).alias("ids"))
+    ids = texts(spark, sf_dir).select("doc_id", P.encode_cached(joined, small_bpe()).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (F.array_position("ids", 100257) - 1).cast("long").alias("first_special"))
 
 
 @query("naive_bpe_encode", f"""WITH j AS (SELECT doc_id, {_merged(_hex('text'))} AS s FROM documents), t AS (SELECT doc_id, {_IDS} AS ids FROM j) SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(ids, lambda x, i: x * (i % 1000))) AS BIGINT) AS checksum FROM t""")
 def naive_bpe_encode(spark, sf_dir):
     """Merges over whole texts, without a pre-tokenizer."""
-    return token_sums(table(spark, sf_dir, "documents").select("doc_id", P.naive_encode(F.col("text"), small_bpe()).alias("ids")), "ids", "doc_id")
+    return token_sums(texts(spark, sf_dir).select("doc_id", P.naive_encode(F.col("text"), small_bpe()).alias("ids")), "ids", "doc_id")
 
 
 def _train_sql(n: int) -> str:
@@ -179,7 +179,7 @@ def _train_sql(n: int) -> str:
 @query("bpe_train", _train_sql(64))
 def bpe_train(spark, sf_dir):
     """The first 64 merges of the documents in order."""
-    got = P.train(table(spark, sf_dir, "documents"), "doc_id", 256 + 64)
+    got = P.train(texts(spark, sf_dir), "doc_id", 256 + 64)
     return spark.createDataFrame([(k, a, b, 256 + k) for k, (a, b) in enumerate(got.merges)], "rank int, left_id int, right_id int, new_id int")
 
 
@@ -219,12 +219,12 @@ def tokenizer_readable(spark, sf_dir):
     SELECT CAST('0x' || pair[1:2] AS INTEGER) AS left_id, CAST('0x' || pair[3:4] AS INTEGER) AS right_id, CAST(total AS BIGINT) AS total FROM r ORDER BY r.total DESC, tie LIMIT 1""",
 )
 def bpe_first_merge(spark, sf_dir):
-    got = P.pair_counts(P.chunk_counts(table(spark, sf_dir, "documents"), "doc_id")).orderBy(F.desc("total"), "tie").limit(1)
+    got = P.pair_counts(P.chunk_counts(texts(spark, sf_dir), "doc_id")).orderBy(F.desc("total"), "tie").limit(1)
     return got.select(P.id_of(F.substring("pair", 1, 1)).alias("left_id"), P.id_of(F.substring("pair", 2, 1)).alias("right_id"), "total")
 
 
 def _stream(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", fast_byte_ids(F.col("text")).alias("token_ids"))
+    docs = texts(spark, sf_dir).select("doc_id", fast_byte_ids(F.col("text")).alias("token_ids"))
     return B.positions(docs, "doc_id")
 
 
