@@ -55,6 +55,14 @@ ORACLES = {
         sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    # the layouts of these tables have one article element each, whose blocks are p, h1, ul and li; fixtures and brute force test what other pages hold
+    "op6_html_extract": r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+    b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(h, '(?s)<script.*?</script>|<!--.*?-->', '', 'g'), '<br>', ' ', 'g'), '</?(?:p|h1|ul|li)[^>]*>') AS pieces FROM a),
+    c AS (SELECT page_id, url, list_transform(pieces, lambda x: regexp_replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g')) AS pieces FROM b),
+    d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(pieces, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
+    SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+    """,
     "op1_embedding_dedup": r"""
     WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
     ok AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_max(list_transform(x, lambda y: abs(y))) > 0),
