@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, decontaminate, embedding_dedup, html_extract, mixing, near_dedup, prefix_trie, quality, resample, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
@@ -15,8 +15,50 @@ QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_toxicity": toxicity.op3_toxicity,
     "op9_mixing": mixing.op9_mixing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op13_resample": resample.op13_resample,
 }
+
+
+def _crc(x: str) -> str:
+    """SQL: unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    byte = f"CAST('0x' || substr(hex(encode({x})), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)"
+    given = f"list_concat([CAST(4294967295 AS BIGINT)], list_transform(generate_series(1, CAST(strlen({x}) AS BIGINT)), lambda i: {byte}))"
+    step = "list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda s, z: xor(s >> 1, CASE WHEN s & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))"
+    return f"xor(list_reduce({given}, lambda c, b: {step}), CAST(4294967295 AS BIGINT))"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
+    "op11_prefix_trie": f"""
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS place, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, {_crc('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    own AS (SELECT c.conv_id, 0 AS k, place, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND place <= h UNION ALL SELECT c.conv_id, 1, place, x FROM c JOIN t USING (conv_id) WHERE place > h),
+    r AS (SELECT c.conv_id, coalesce(ts, []) AS ts FROM c LEFT JOIN (SELECT conv_id, list(x ORDER BY k, place) AS ts FROM own GROUP BY conv_id) USING (conv_id)),
+    p AS (SELECT conv_id, ts, unnest(generate_series(0, len(ts))) AS depth FROM r),
+    n AS (SELECT depth, ts[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len(ts) = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY ALL),
+    kids AS (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    e AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.prefix[n.depth].t) ELSE 0 END AS saved FROM n LEFT JOIN kids ON kids.depth = n.depth AND kids.prefix = n.prefix),
+    up AS (SELECT unnest(generate_series(0, depth)) AS a, prefix, depth, n_children, saved FROM e),
+    sums AS (SELECT a AS depth, prefix[1:a] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY ALL)
+    SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+    FROM e JOIN sums ON sums.depth = e.depth AND sums.prefix = e.prefix LEFT JOIN e above ON above.depth = e.depth - 1 AND above.prefix = e.prefix[1:e.depth - 1]
+    """,
+    "op13_resample": f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    f AS (SELECT doc_id, unnest(ws) AS w FROM d),
+    b AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+    words AS (SELECT w, {_crc('w')} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM b)),
+    raw AS (SELECT bucket, count(*) AS s FROM f JOIN words USING (w) GROUP BY bucket),
+    target AS (SELECT bucket, count(*) AS t FROM b JOIN words USING (w) GROUP BY bucket),
+    sizes AS (SELECT CAST((SELECT count(*) FROM f) AS DOUBLE) AS s_all, CAST((SELECT count(*) FROM b) AS DOUBLE) AS t_all),
+    gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * (s_all + 10000)) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM raw FULL JOIN target USING (bucket), sizes),
+    sums AS (SELECT doc_id, sum(gain) AS weight FROM f JOIN words USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+    scored AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN sums USING (doc_id)),
+    fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT * FROM fit WHERE rank <= (SELECT count(*) FROM fit) * 10 // 100) USING (doc_id)
+    """,
     "op4_chat_format": r"""
     WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
