@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, mixing, near_dedup, prefix_trie, quality, resample, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, decontaminate, embedding_dedup, html_extract, mixing, near_dedup, prefix_trie, quality, resample, substring_dedup, suffix_dedup, suffix_tree_lm, toxicity
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_suffix_tree_lm": suffix_tree_lm.op12_suffix_tree_lm,
     "op13_resample": resample.op13_resample,
 }
 
@@ -44,6 +45,27 @@ ORACLES = {
     SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
     FROM e JOIN sums ON sums.depth = e.depth AND sums.prefix = e.prefix LEFT JOIN e above ON above.depth = e.depth - 1 AND above.prefix = e.prefix[1:e.depth - 1]
     """,
+    # a blank is the end of a text, two are its start
+    "op12_suffix_tree_lm": f"""
+    WITH d AS (SELECT doc_id, {_crc('CAST(doc_id AS VARCHAR)')} % 10 = 0 AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), ' ') AS ws FROM documents),
+    t AS (SELECT doc_id, held_out, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] ELSE '  ' END AS p1, CASE WHEN i > 2 THEN ws[i - 2] WHEN i = 2 THEN '  ' END AS p2 FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM d)),
+    c1 AS (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY w),
+    c2 AS (SELECT p1, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY ALL),
+    c3 AS (SELECT p2, p1, w, count(*) AS n FROM t WHERE NOT held_out AND p2 IS NOT NULL GROUP BY ALL),
+    sizes AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens, count(*) AS kinds FROM c1),
+    s1 AS (SELECT p1, CAST(sum(n) AS BIGINT) AS total, count(*) AS next FROM c2 GROUP BY p1 HAVING sum(n) >= 3),
+    g1 AS (SELECT p1, c2.w AS w, c2.n AS n, total, next, (c1.n + 0.1::DOUBLE) / (tokens + 0.1::DOUBLE * (kinds + 1)) AS root FROM c2 JOIN s1 USING (p1) JOIN c1 ON c1.w = c2.w, sizes),
+    k1 AS (SELECT p1, any_value(total) AS total, any_value(next) AS next FROM g1 GROUP BY p1 HAVING sum(n * CAST(round(65536 * ln(n / (total * root))) AS BIGINT)) >= 65536 * any_value(next)),
+    s2 AS (SELECT p2, p1, CAST(sum(n) AS BIGINT) AS total, count(*) AS next FROM c3 GROUP BY ALL HAVING sum(n) >= 3),
+    g2 AS (SELECT c3.*, s2.total AS total, s2.next AS next, (c1.n + 0.1::DOUBLE) / (tokens + 0.1::DOUBLE * (kinds + 1)) AS root, k1.total AS t1, k1.next AS n1, c2.n AS c2 FROM c3 JOIN s2 USING (p2, p1) JOIN c1 USING (w) JOIN c2 ON c2.p1 = c3.p1 AND c2.w = c3.w LEFT JOIN k1 ON k1.p1 = c3.p1, sizes),
+    h2 AS (SELECT *, CASE WHEN t1 IS NULL THEN root ELSE (c2 + n1 * root) / (t1 + n1) END AS below FROM g2),
+    k2 AS (SELECT p2, p1, any_value(total) AS total, any_value(next) AS next FROM h2 GROUP BY p2, p1 HAVING sum(n * CAST(round(65536 * ln(n / (total * below))) AS BIGINT)) >= 65536 * any_value(next)),
+    r AS (SELECT doc_id, held_out, i, coalesce(c1.n, 0) AS n, (coalesce(c1.n, 0) + 0.1::DOUBLE) / (tokens + 0.1::DOUBLE * (kinds + 1)) AS root, coalesce(c2.n, 0) AS c2, coalesce(c3.n, 0) AS c3, k1.total AS t1, k1.next AS n1, k2.total AS t2, k2.next AS n2
+        FROM t LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.p1 = t.p1 AND c2.w = t.w LEFT JOIN c3 ON c3.p2 = t.p2 AND c3.p1 = t.p1 AND c3.w = t.w LEFT JOIN k1 ON k1.p1 = t.p1 LEFT JOIN k2 ON k2.p2 = t.p2 AND k2.p1 = t.p1, sizes),
+    q AS (SELECT *, CASE WHEN t1 IS NULL THEN root ELSE (c2 + n1 * root) / (t1 + n1) END AS one FROM r)
+    SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (n > 0) AS n_known, (SELECT tokens FROM sizes) AS train_tokens, sum(log10(root) ORDER BY i) AS base_score,
+        sum(log10(CASE WHEN t2 IS NULL THEN one ELSE (c3 + n2 * one) / (t2 + n2) END) ORDER BY i) AS score FROM q GROUP BY doc_id, held_out
+    """,
     "op13_resample": f"""
     WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
     f AS (SELECT doc_id, unnest(ws) AS w FROM d),
