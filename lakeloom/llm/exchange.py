@@ -8,6 +8,7 @@ follow the size of the input, so each group stays a few megabytes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -71,6 +72,54 @@ def get(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def put_keys(keys: np.ndarray) -> bytes:
+    """Ascending different uint64 keys as Rice-coded gaps: about the logarithm of the mean gap and 1.5 bits each."""
+    gaps = np.diff(keys)
+    n = len(gaps)
+    low = max(0, int(gaps.mean()).bit_length() - 1) if n else 0
+    ends = np.cumsum((gaps >> _U(low)).astype(np.int64) + 1)
+    unary = np.zeros(int(ends[-1]) if n else 0, bool)
+    unary[ends - 1] = True
+    rest = np.unpackbits(gaps.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - low :]
+    return np.array([n, low, len(unary), keys[0]], "<u8").tobytes() + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
+
+
+def get_keys(blob: bytes) -> np.ndarray:
+    n, low, size, first = (int(x) for x in np.frombuffer(blob, "<u8", 4))
+    a = 32 + -(-size // 8)
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, a - 32, 32), count=size)) + 1
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n * low // 8), a), count=n * low).reshape(n, low)
+    out = np.full(n + 1, first, _U)
+    out[1:] += np.cumsum((np.diff(ends, prepend=0) - 1).astype(_U) * _U(1 << low) + np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(_U))
+    return out
+
+
+def squeeze(columns: list[np.ndarray]) -> bytes:
+    """Integer arrays with mostly small values as one byte string: byte plane by byte plane, deflated."""
+    out = [len(columns).to_bytes(8, "little")]
+    for c in columns:
+        c = c.astype(np.int64).view(_U) if c.dtype != _U else c
+        low = int(c.view(np.int64).min()) if len(c) else 0
+        c = c - _U(low % (1 << 64))
+        width = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        data = zlib.compress(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+        out += [np.array([len(c), low, width, len(data)], "<i8").tobytes(), data]
+    return b"".join(out)
+
+
+def stretch(blob: bytes) -> list[np.ndarray]:
+    """The arrays of squeeze(), as uint64."""
+    at, out = 8, []
+    for _ in range(int.from_bytes(blob[:8], "little")):
+        n, low, width, size = (int(x) for x in np.frombuffer(blob, "<i8", 4, at))
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(zlib.decompress(blob[at + 32 : at + 32 + size]), np.uint8).reshape(width, n).T
+        out.append(full.reshape(-1).view("<u8").astype(_U) + _U(low % (1 << 64)))
+        at += 32 + size
+    return out
+
+
 def get_all(blobs: Iterable[bytes], k: int) -> list[np.ndarray]:
     """All blobs' columns, one after the other."""
     got = [get(b) for b in blobs]

@@ -10,7 +10,7 @@ different next tokens:
 
 so each state is a distribution over the V learned tokens and one for all others, as the root (the base score) is.
 
-Counts of the corpus never meet in one place. A shard of documents tells the buckets of an exchange (exchange.py) each different n-gram once, with its
+Counts of the corpus never meet in one place. Documents are packed where they are read, about 16 MB of text to a shard. A shard tells the buckets of an exchange (exchange.py) each different n-gram once, with its
 count in documents that are learned from, and gets the corpus' count back in the same order; one shard of those that have it is named its owner, so that
 owners together count the different next tokens of a context. Longer n-grams are told only where their context is frequent enough. A hot word is one
 entry for each shard. The gains of the divergence test are summed as integers (2**-16 nats), so no result depends on the partitioning.
@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +37,14 @@ _U = np.uint64
 PAD, END = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344)
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 UNIT = 65536
-STATES = 100  # kind of the messages on contexts of k tokens: STATES + k; on grams of k tokens: k
-TOLD = "kind int, part int, payload binary"
-TOLD_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
-REPLY = "part int, kind int, bucket int, payload binary"
-REPLY_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+#: Bytes of text in a shard.
+SHARD = 16 << 20
+MEMO, STATES = 0, 100  # kinds of messages: a shard's own notes; on contexts of k tokens STATES + k; on grams of k tokens k
+HELD = "part long, payload binary"
+TOLD = "kind int, part long, payload binary"
+TOLD_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("payload", pa.binary())])
+REPLY = "part long, kind int, bucket long, payload binary"
+REPLY_ARROW = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("payload", pa.binary())])
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -65,14 +69,54 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hashes, _U), (sizes, np.int64)))
 
 
-class _Shard:
-    """Token positions of a shard's documents."""
+def _packed(texts, ids: list[int | None]) -> bytes:
+    """A shard's documents: ids, numbers of tokens, the different tokens' hashes in order, and each position's number among these, byte plane by byte plane."""
+    token, sizes = _tokens(texts)
+    words, own = np.unique(token, return_inverse=True)
+    planes = own.astype("<u4").view(np.uint8).reshape(-1, 4).T[: 1 + int(len(words) > 256) + 2 * int(len(words) > 65536)]
+    parts = [X.put([np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.int64), sizes]), X.put_keys(words), *(zlib.compress(np.ascontiguousarray(p).tobytes(), 1) for p in planes)]
+    return np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
+
+
+def held(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(part, payload): the documents in shards of about SHARD bytes of text, cut where they are read."""
+
+    def run(batches):
+        number, size, texts, ids = 0, 0, [], []
+
+        def out():
+            shard = (TaskContext.get().partitionId() << 32) + number
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([_packed(texts, ids)], pa.binary())], names=["part", "payload"])
 
-    def __init__(self, docs: pa.Table):
-        self.ids = docs.column("id").combine_chunks()
-        self.token, self.sizes = _tokens(K.each_bytes(docs.column("text").combine_chunks()))
+        for b in K.slices(batches):
+            for i, t in zip(b.column("id").to_pylist(), K.each_bytes(b.column("text")), strict=True):
+                if texts and size + len(t) > SHARD:
+                    yield out()
+                    number, size, texts, ids = number + 1, 0, [], []
+                texts.append(t)
+                ids.append(i)
+                size += len(t) + 1
+        if texts:
+            yield out()
+
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, HELD)
+
+
+class _Shard:
+    """Token positions of a shard's documents. Keys have the first `bits` bits of hashes."""
+
+    def __init__(self, blob: bytes, bits: int):
+        n = int.from_bytes(blob[:8], "little")
+        ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(blob, "<u8", n, 8).astype(np.int64)])
+        parts = [blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        ids, null, sizes = X.get(parts[0])
+        self.ids = pa.array(ids.view(np.int64), mask=null > 0)
+        self.sizes = sizes.astype(np.int64)
+        planes = [np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint32) for x in parts[2:]]
+        self.token = X.get_keys(parts[1])[sum(x << np.uint32(8 * i) for i, x in enumerate(planes))]
+        self.shift = _U(64 - bits)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.token)) - np.repeat(self.starts, self.sizes)
+        self.place = (np.arange(len(self.token)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
         self.held = np.array([held_out(i) for i in self.ids.to_pylist()], bool)
         self.learned = np.repeat(~self.held, self.sizes)
         self._context: list[np.ndarray] = [np.zeros(len(self.token), _U)]
@@ -85,40 +129,55 @@ class _Shard:
         return out
 
     def context(self, k: int) -> np.ndarray:
-        """Hashes of the last k tokens; they mean something where place >= k - 1."""
+        """Keys of the last k tokens; they mean something where place >= k - 1."""
         while len(self._context) <= k:
             j = len(self._context)
             self._context.append(K.mix(self._context[-1] * _M1 + self.before(self.token, j, PAD) + _U(j)))
-        return self._context[k]
+        return self._context[k] >> self.shift
 
     def gram(self, k: int) -> np.ndarray:
-        """Hashes of k tokens, of which the position's is the last."""
-        return self.token if k == 1 else K.mix(self.context(k - 1) * _M2 + self.token)
+        """Keys of k tokens, of which the position's is the last."""
+        if k == 1:
+            return self.token >> self.shift
+        self.context(k - 1)
+        return K.mix(self._context[k - 1] * _M2 + self.token) >> self.shift
 
 
-def _tell(kind: int, keys: np.ndarray, columns: list[np.ndarray], shard: int, n: int) -> list[tuple[int, int, bytes]]:
-    """Ascending keys with their columns, for n buckets; keys travel as gaps."""
-    part = ((keys >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+def _tell(kind: int, keys: np.ndarray, columns: list[np.ndarray], shard: int, n: int, bits: int) -> list[tuple[int, int, bytes]]:
+    """Ascending keys with their columns, for n buckets: the keys' size and they, then the columns."""
+    part = ((keys >> _U(bits - 32)) * _U(n) >> _U(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(part)) + 1
     edges = list(zip([0, *cuts], [*cuts, len(keys)], strict=True)) if len(keys) else []
-    return [(kind, int(part[a]), keys[a].tobytes() + X.put([np.diff(keys[a:b], prepend=keys[a]), *(c[a:b] for c in columns), np.full(b - a, shard, _U)])) for a, b in edges]
+    out = []
+    for a, b in edges:
+        packed = X.put_keys(keys[a:b])
+        out.append((kind, int(part[a]), len(packed).to_bytes(8, "little") + packed + X.squeeze([*(c[a:b] for c in columns), np.array([shard], _U)])))
+    return out
+
+
+def _heard(blob: bytes) -> list[np.ndarray]:
+    """The keys and columns of _tell()."""
+    size = 8 + int.from_bytes(blob[:8], "little")
+    return [X.get_keys(blob[8:size]), *X.stretch(blob[size:])]
 
 
 def _told(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], schema=TOLD_ARROW)
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary()))], schema=TOLD_ARROW)
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _bucket(gain: float):
     """Answers a bucket's shards, in the order in which each told its keys: for grams the count, times two, plus one for the owner; for contexts the number of
-    next tokens and the gain."""
-    blobs = table.column("payload").to_pylist()
+    next tokens where they are states, else 0. A shard's notes go back to it."""
+    return lambda table: _answered(table, gain)
+
+
+def _answered(table: pa.Table, gain: float) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    got = []
-    for b in blobs:
-        gaps, *rest = X.get(b[8:])
-        got.append([np.cumsum(gaps) + np.frombuffer(b, "<u8", 1)[0], *rest])
-    got.sort(key=lambda g: int(g[-1][0]))
-    key, *values, shard = (np.concatenate(c) for c in zip(*got, strict=True))
+    blobs = table.column("payload").to_pylist()
+    if kind == MEMO:
+        return _replies([(bucket, kind, 0, blobs[0])])
+    got = sorted(map(_heard, blobs), key=lambda g: int(g[-1][0]))
+    key, *values = (np.concatenate(c) for c in list(zip(*got, strict=True))[:-1])
     order = np.argsort(key, kind="stable")
     sorted_ = key[order]
     new = np.append(True, sorted_[1:] != sorted_[:-1])
@@ -135,27 +194,57 @@ def _bucket(table: pa.Table) -> pa.Table:
         owner[order] = some & (seen - np.repeat(seen[at] - some[at], np.diff(np.append(at, len(key)))) == 1)
         answers = [total[back] * _U(2) + owner.astype(_U)]
     else:
-        answers = [np.add.reduceat(v[order].view(np.int64), at)[back] for v in values]
+        following, gained = (np.add.reduceat(v[order].view(np.int64), at) for v in values)
+        answers = [np.where(gained >= gain * UNIT * following, following, 0)[back]]
     ends = np.cumsum([len(g[0]) for g in got])
-    rows = [(int(g[-1][0]), X.put([v[e - len(g[0]) : e] for v in answers])) for g, e in zip(got, ends, strict=True)]
-    n = len(rows)
-    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=REPLY_ARROW)
+    return _replies([(int(g[-1][0]), kind, bucket, X.squeeze([v[e - len(g[0]) : e] for v in answers])) for g, e in zip(got, ends, strict=True)])
+
+
+def _replies(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], schema=REPLY_ARROW)
 
 
 class _Answers:
-    """Replies to a shard, by kind."""
+    """Replies to a shard, by kind: what it noted of earlier ones, and the new ones."""
 
     def __init__(self, replies: pa.Table):
+        self.notes: dict[int, list[np.ndarray]] = {}
+        self.new: dict[int, list[bytes]] = {}
         rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True)
-        self.by_kind: dict[int, list[bytes]] = {}
         for k, _, payload in sorted(rows, key=lambda r: r[:2]):
-            self.by_kind.setdefault(k, []).append(payload)
-
-    def get(self, kind: int, columns: int) -> list[np.ndarray]:
-        return X.get_all(self.by_kind.pop(kind, []), columns)
-
-
-def _pass(number: int, depth: int, least: int, gain: float, buckets: int, tokens: int, kinds: int):
+            if k == MEMO:
+                at = 0
+                while at < len(payload):
+                    kind, size = (int(x) for x in np.frombuffer(payload, "<u8", 2, at))
+                    self.notes[kind] = X.stretch(payload[at + 16 : at + 16 + size])
+                    at += 16 + size
+            else:
+                self.new.setdefault(k, []).append(payload)
+
+    def _got(self, kind: int) -> np.ndarray:
+        got = [X.stretch(b)[0] for b in self.new.pop(kind)]
+        return np.concatenate(got) if got else np.zeros(0, _U)
+
+    def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the told grams, and which of them are this shard's own (of new answers only)."""
+        if kind in self.new:
+            got = self._got(kind)
+            self.notes[kind] = [got >> _U(1)]
+            return (got >> _U(1)).astype(np.int64), (got & _U(1)) > 0
+        got = self.notes.get(kind, [np.zeros(0, _U)])[0].astype(np.int64)
+        return got, np.zeros(len(got), bool)
+
+    def states(self, kind: int) -> np.ndarray:
+        if kind in self.new:
+            self.notes[kind] = [self._got(kind)]
+        return self.notes.get(kind, [np.zeros(0, _U)])[0].astype(np.float64)
+
+    def memo(self) -> bytes:
+        packed = {k: X.squeeze(v) for k, v in self.notes.items()}
+        return b"".join(np.array([k, len(x)], "<u8").tobytes() + x for k, x in packed.items())
+
+
+def _pass(number: int, depth: int, least: int, buckets: int, tokens: int, kinds: int, bits: int):
     """What a shard does with its documents and the replies so far. Pass 1 tells tokens and pairs; pass p tells the contexts of p - 1 tokens and the grams of
     p + 1 tokens; pass depth + 2 scores."""
 
@@ -163,12 +252,10 @@ def _pass(number: int, depth: int, least: int, gain: float, buckets: int, tokens
         last = number == depth + 2
         if not docs.num_rows:
             return pa.Table.from_batches([], RESULT_ARROW) if last else _told([])
-        s, me, rows = _Shard(docs), docs.column("part")[0].as_py(), []
-        learned = s.learned.astype(np.int64)
-
+        s, me, rows = _Shard(docs.column("payload")[0].as_py(), bits), docs.column("part")[0].as_py(), []
         def tell_grams(k: int, where: np.ndarray) -> None:
             keys, inverse = np.unique(s.gram(k)[where], return_inverse=True)
-            rows.extend(_tell(k, keys, [np.bincount(inverse, learned[where], len(keys)).astype(_U)], me, buckets))
+            rows.extend(_tell(k, keys, [np.bincount(inverse[s.learned[where]], minlength=len(keys)).astype(_U)], me, buckets, bits))
 
         everywhere = np.ones(len(s.token), bool)
         if number == 1:
@@ -180,10 +267,10 @@ def _pass(number: int, depth: int, least: int, gain: float, buckets: int, tokens
         def count(k: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Counts of grams of k tokens at each position (0 where not told), and first positions of those that this shard owns."""
             _, first, inverse = np.unique(s.gram(k)[where], return_index=True, return_inverse=True)
-            got = answers.get(k, 1)[0]
+            got, own = answers.counts(k)
             out = np.zeros(len(s.token), np.int64)
-            out[where] = (got >> _U(1)).astype(np.int64)[inverse]
-            return out, np.flatnonzero(where)[first[(got & _U(1)) > 0]]
+            out[where] = got[inverse]
+            return out, np.flatnonzero(where)[first[own]]
 
         c, _ = count(1, everywhere)
         texts = int(c[s.sizes[0] - 1])  # as often as the end token, texts were learned from
@@ -204,21 +291,20 @@ def _pass(number: int, depth: int, least: int, gain: float, buckets: int, tokens
                 at = np.flatnonzero(used)
                 total = np.zeros(len(keys), np.int64)
                 np.add.at(total, inverse, gained[at])
-                rows.extend(_tell(STATES + k, keys, [kinds_here.astype(_U), total.view(_U)], me, buckets))
+                rows.extend(_tell(STATES + k, keys, [kinds_here.astype(_U), total.view(_U)], me, buckets, bits))
                 if k < depth:
                     c = longer
                     tell_grams(k + 2, _next(s, c, k, least))
                 break
-            t, g = (x.view(np.int64) for x in answers.get(STATES + k, 2))
-            t, g = t[inverse].astype(np.float64), g[inverse]
-            state = g >= gain * UNIT * t
+            t = answers.states(STATES + k)[inverse]
+            state = t > 0
             at = np.flatnonzero(used)[state]
             p = p.copy()
             p[at] = (longer[at] + t[state] * p[at]) / (n[at] + t[state])
             c = longer
             where = _next(s, c, k, least)
         if not last:
-            return _told(rows)
+            return _told([*rows, (MEMO, me, answers.memo())])
         sums = lambda x: np.add.reduceat(x, s.starts)
         columns = [s.ids, pa.array(s.held), pa.array(s.sizes), pa.array(sums(known.astype(np.int64))), pa.array(np.full(len(s.sizes), tokens)), pa.array(sums(np.log10(root))), pa.array(sums(np.log10(p)))]
         return pa.Table.from_arrays(columns, schema=RESULT_ARROW)
@@ -242,14 +328,14 @@ def vocabulary_size(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             ids = b.column("id").to_pylist()
             token, sizes = _tokens(t for t, i in zip(K.each_bytes(b.column("text")), ids, strict=True) if not held_out(i))
             keys, n = np.unique(token, return_counts=True)
-            rows = _tell(1, keys, [n.astype(_U)], 0, buckets)
+            rows = _tell(1, keys, [n.astype(_U)], 0, buckets, 64)
             yield from _told(rows).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], TOLD_ARROW)]
 
     def sums(table: pa.Table) -> pa.Table:
         n, keys = 0, []
         for b in table.column("payload").to_pylist():
-            gaps, count, _ = X.get(b[8:])
-            keys.append(np.cumsum(gaps) + np.frombuffer(b, "<u8", 1)[0])
+            key, count, _ = _heard(b)
+            keys.append(key)
             n += int(count.sum())
         return pa.table({"n": pa.array([n], pa.int64()), "v": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
 
@@ -263,17 +349,17 @@ def score(docs: DataFrame, depth: int = 2, least: int = 3, gain: float = 1.0, id
     are the documents whose crc32 (of the id as text) is no multiple of 10."""
     spark = docs.sparkSession
     _, size = X.text_size(docs, text)
-    shards, buckets = X.parts(spark, size, 8 << 20), X.parts(spark, size, 12 << 20)
+    buckets = X.parts(spark, size, 12 << 20)
     tokens, kinds = vocabulary_size(docs, id_column, text)
-    held = X.sharded(docs, shards, id_column, text)
+    bits = min(64, max(40, 2 * tokens.bit_length() + 2))  # of N grams, less than an eighth of one is expected to have another's key
+    shards = held(docs, id_column, text).groupBy("part")
     replies = None
     for number in range(1, depth + 3):
-        run = _pass(number, depth, least, gain, buckets, tokens, kinds)
+        run = _pass(number, depth, least, buckets, tokens, kinds, bits)
         if number == depth + 2:
-            return held.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, RESULT)
-        entries = held.groupBy("part").applyInArrow(run, TOLD) if replies is None else held.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, TOLD)
-        got = entries.groupBy("kind", "part").applyInArrow(_bucket, REPLY)
-        replies = got if replies is None else replies.unionByName(got)
+            return shards.cogroup(replies.groupBy("part")).applyInArrow(run, RESULT)
+        entries = shards.applyInArrow(run, TOLD) if replies is None else shards.cogroup(replies.groupBy("part")).applyInArrow(run, TOLD)
+        replies = entries.groupBy("kind", "part").applyInArrow(_bucket(gain), REPLY)
 
 
 def op12_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:

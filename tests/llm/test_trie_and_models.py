@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import prefix_trie, resample, suffix_tree_lm, textkit
+from lakeloom.llm import exchange, prefix_trie, resample, suffix_tree_lm, textkit
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, node string, depth int, at int"
 
@@ -183,6 +183,7 @@ def test_suffix_tree_odd_tables(spark, monkeypatch):
     rows = docs(5)
     usual = sorted(str(tuple(r)) for r in suffix_tree_lm.score(frame(spark, rows)).collect())
     monkeypatch.setattr(suffix_tree_lm.X, "parts", lambda spark, size, each: 3)
+    monkeypatch.setattr(suffix_tree_lm, "SHARD", 2000)
     assert sorted(str(tuple(r)) for r in suffix_tree_lm.score(frame(spark, rows).repartition(2)).collect()) == usual
 
 
@@ -200,3 +201,13 @@ def test_block_hashes():
     assert len(set(h.tolist())) == len(h) - 1 and h[0] == h[-1]
     assert (textkit.block_hashes(buf, starts[keep], ends[keep], step=3) == h).all()
     assert not set(textkit.block_hashes(buf, starts[keep], ends[keep], salt=1).tolist()) & set(h.tolist())
+
+
+def test_sorted_keys_travel_whole():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 1000):
+        for high in (n + 5, 1 << 40, 1 << 64):
+            keys = np.unique(rng.integers(0, high, n, dtype=np.uint64, endpoint=high < 1 << 64) if high < 1 << 64 else rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64, endpoint=True))
+            assert (exchange.get_keys(exchange.put_keys(keys)) == keys).all()
+    edge = np.array([0, 1, (1 << 64) - 1], np.uint64)
+    assert (exchange.get_keys(exchange.put_keys(edge)) == edge).all()
