@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from lakeloom.errors import TokenizerError
 from lakeloom.functions.text import GPT4_PATTERN, byte_string, chunks
 
+from . import bpe_train
+from .merging import merge_word
+
 # Special tokens and their ids.
 DEFAULT_SPECIALS = {"<|endoftext|>": 100257}
 GPT4_SPECIALS = {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276}
@@ -124,7 +127,7 @@ def train(df: DataFrame, order: str, vocab_size: int, text: str = "text", patter
     """Learn vocab_size - 256 merges from the texts in order.
 
     Chunks are counted once, distributed. Up to `on_driver` distinct chunks (a checked number) the merges are then found on the
-    driver with incremental counts; beyond, each merge is one distributed aggregation over the distinct chunks. Both give the same merges.
+    driver with incremental counts; beyond, by rounds of distributed jobs over an index of the chunks (bpe_train.py). Both give the same merges.
     """
     if pattern is not None and vocab_size < BYTES:
         raise TokenizerError(f"vocab_size must be at least {BYTES}")
@@ -134,7 +137,7 @@ def train(df: DataFrame, order: str, vocab_size: int, text: str = "text", patter
             rows = counts.orderBy("first_text", "first_pos").select("chunk", "n").toLocalIterator()
             merges = learn([([ord(c) for c in r["chunk"]], r["n"]) for r in rows], max(0, vocab_size - BYTES))
         else:
-            merges = _learn_distributed(counts, max(0, vocab_size - BYTES))
+            merges = bpe_train.learn(counts, max(0, vocab_size - BYTES))
     finally:
         counts.unpersist()
     out = Bpe(merges, {}, pattern or GPT4_PATTERN)
@@ -143,17 +146,6 @@ def train(df: DataFrame, order: str, vocab_size: int, text: str = "text", patter
     return out
 
 
-def _learn_distributed(counts: DataFrame, n: int) -> list[tuple[int, int]]:
-    merges: list[tuple[int, int]] = []
-    while len(merges) < n:
-        best = most_frequent_pair(counts.withColumn("chunk", merge_all(F.col("chunk"), merges)))
-        if best is None:
-            break
-        a, b = (ord(c) - 0x800 * (ord(c) >= 0xE000) for c in best["pair"])
-        merges.append((a, b))
-    return merges
-
-
 def learn(words: list[tuple[list[int], int]], n: int) -> list[tuple[int, int]]:
     """Merges from distinct chunks in order of first appearance, with the numbers of pairs kept up to date."""
     total: dict[tuple[int, int], int] = defaultdict(int)
@@ -284,24 +276,6 @@ def encode_cached(text: Column, bpe: Bpe) -> Column:
     return F.arrow_udf(run, "array<int>")(text)
 
 
-def merge_word(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
-    """The present pair of lowest rank is merged until none is left."""
-    while len(ids) > 1:
-        best = min(zip(ids, ids[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
-                out.append(BYTES + ranks[best])
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
-
-
 def naive_encode_compat(text: Column) -> Column:
     """The raw bytes, which is what encoding without a pre-tokenizer gave historically."""
     from lakeloom.functions.text import byte_ids

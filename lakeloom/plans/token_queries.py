@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.text import byte_ids, fast_byte_ids
 from lakeloom.operators import blocks as B
 from lakeloom.operators import bpe as P
+from lakeloom.operators import stream_bpe
 from lakeloom.operators.ranking import prefix_sum
 from lakeloom.sources import files
 from lakeloom.sources.tables import table, texts
@@ -183,6 +184,30 @@ def bpe_train(spark, sf_dir):
     return spark.createDataFrame([(k, a, b, 256 + k) for k, (a, b) in enumerate(got.merges)], "rank int, left_id int, right_id int, new_id int")
 
 
+@query("bpe_train_distributed", _train_sql(128))
+def bpe_train_distributed(spark, sf_dir):
+    """The first 128 merges by rounds of distributed jobs, whatever the number of distinct chunks."""
+    got = P.train(texts(spark, sf_dir), "doc_id", 256 + 128, on_driver=0)
+    return spark.createDataFrame([(k, a, b, 256 + k) for k, (a, b) in enumerate(got.merges)], "rank int, left_id int, right_id int, new_id int")
+
+
+def _naive_train_sql(n: int) -> str:
+    """n merges of one string, a character (U+0100 + its id) for each token."""
+    return f"""WITH RECURSIVE b AS (SELECT hex(encode(string_agg(text, '' ORDER BY doc_id))) AS h FROM documents),
+    r AS (SELECT 0 AS k, '' AS best, array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x: chr(256 + CAST('0x' || x AS INTEGER))), '') AS s FROM b
+        UNION ALL (WITH c AS (SELECT regexp_extract_all(s, '(?s).') AS l FROM r), u AS (SELECT unnest(l) AS a, unnest(l[2:]) AS b, unnest(generate_series(1, len(l))) AS i FROM c),
+            top AS (SELECT a || b AS pair FROM u WHERE b IS NOT NULL GROUP BY pair ORDER BY count(*) DESC, min(i) LIMIT 1)
+        SELECT k + 1, pair, replace(s, pair, chr(512 + k)) FROM r, top WHERE k < {n}))
+    SELECT CAST(k - 1 AS INTEGER) AS rank, CAST(unicode(best[1]) - 256 AS INTEGER) AS left_id, CAST(unicode(best[2]) - 256 AS INTEGER) AS right_id, CAST(255 + k AS INTEGER) AS new_id FROM r WHERE k > 0"""
+
+
+@query("naive_bpe_train", _naive_train_sql(32))
+def naive_bpe_train(spark, sf_dir):
+    """The first 32 merges of all documents as one unbroken stream of bytes."""
+    got = stream_bpe.train(table(spark, sf_dir, "documents"), "doc_id", 32)
+    return spark.createDataFrame([(k, a, b, 256 + k) for k, (a, b) in enumerate(got)], "rank int, left_id int, right_id int, new_id int")
+
+
 def _vocabulary_sql() -> str:
     """Tokens' bytes, put together from the merges one after the other."""
     merges = small_bpe().merges
