@@ -25,11 +25,16 @@ from .ranking import prefix_sum
 
 BYTES = 256
 #: Bytes of a range at least, and ranges at most.
-RANGE, MOST = 1 << 20, 1 << 20
+RANGE, MOST = 1 << 18, 1 << 20
 MADE = "kind int, no long, ids binary, pair long, total long, at long, first long, last long, tail long, n long"
 
 
-def ranges(df: DataFrame, key: str, text: str = "text", size: int | None = None) -> DataFrame:
+def code_for(n: int) -> str:
+    """The integers that hold ids after n merges."""
+    return "<u2" if BYTES + n <= 1 << 16 else "<i4"
+
+
+def ranges(df: DataFrame, key: str, text: str = "text", size: int | None = None, code: str = "<u2") -> DataFrame:
     """(no, ids): the texts' bytes in order of key, cut into ranges of equal size."""
     raw = df.select(F.col(key).cast("long").alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("raw")).withColumn("n", F.octet_length("raw").cast("long")).where("n > 0")
     total = int(raw.agg(F.sum("n")).first()[0] or 0)
@@ -45,7 +50,7 @@ def ranges(df: DataFrame, key: str, text: str = "text", size: int | None = None)
 
     def joined(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("at").to_pylist(), table.column("raw").to_pylist(), table.column("room").to_pylist(), strict=True), key=lambda r: r[0])
-        ids = np.frombuffer(b"".join(raw[:room] for _, raw, room in rows), np.uint8).astype("<i4").tobytes()
+        ids = np.frombuffer(b"".join(raw[:room] for _, raw, room in rows), np.uint8).astype(code).tobytes()
         return pa.table({"no": pa.array([table.column("no")[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.binary())})
 
     return pieces.groupBy("no").applyInArrow(joined, "no long, ids binary")
@@ -57,7 +62,8 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
     if n <= 0:
         return merges
     spark = df.sparkSession
-    made = keep(ranges(df, key, text, size).mapInArrow(_round({}, {}), MADE), "stream-bpe", "kind")
+    code = code_for(n)
+    made = keep(ranges(df, key, text, size, code).mapInArrow(_round({}, {}, code), MADE), "stream-bpe", "kind")
     while len(merges) < n:
         edges = [tuple(r) for r in made.where("kind = 0 AND n > 0").select("no", "n", "first", "last", "tail").orderBy("no").collect()]
         batch = _next(spark, made, edges, n - len(merges))
@@ -67,7 +73,7 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
         merges += [(p >> 32, p & 0xFFFFFFFF) for p in batch]
         if len(merges) == n:
             break
-        after = keep(made.where("kind = 0").select("no", "ids").mapInArrow(_round(new, stitched(edges, new)), MADE), "stream-bpe", "kind")
+        after = keep(made.where("kind = 0").select("no", "ids").mapInArrow(_round(new, stitched(edges, new), code), MADE), "stream-bpe", "kind")
         drop(made)
         made = after
     drop(made)
@@ -132,7 +138,7 @@ def merged(ids: np.ndarray, new: dict[int, int]) -> np.ndarray:
     return out[stays]
 
 
-def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]]):
+def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]], code: str):
     """Ranges after a round's merges (kind 0, with their edges), and their pairs (kind 1: number, first range and place, one row for each pair and task)."""
 
     def run(batches):
@@ -140,11 +146,11 @@ def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]]):
         first: dict[int, tuple[int, int]] = {}
         for b in batches:
             for no, raw in zip(b.column("no").to_pylist(), b.column("ids"), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<i4")
+                ids = np.frombuffer(raw.as_buffer(), code)
                 dropped, last = borders.get(no, (False, -1))
                 ids = merged(ids[1:] if dropped else ids, new)
                 if last >= 0:
-                    ids = np.append(ids[:-1], np.int32(last))
+                    ids = np.append(ids[:-1], np.array(last, code))
                 if len(ids) > 1:
                     pairs, at, n = np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_index=True, return_counts=True)
                     for p, i, k in zip(pairs.tolist(), at.tolist(), n.tolist(), strict=True):
@@ -153,7 +159,7 @@ def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]]):
                             first[p] = (no, i)
                 other = np.flatnonzero(ids != ids[-1]) if len(ids) else ids
                 edge = [int(ids[0]), int(ids[-1]), len(ids) - (int(other[-1]) + 1 if len(other) else 0), len(ids)] if len(ids) else [-1, -1, 0, 0]
-                yield _batch([(0, no, ids.astype("<i4").tobytes(), None, None, None, *edge)])
+                yield _batch([(0, no, ids.astype(code).tobytes(), None, None, None, *edge)])
         yield _batch([(1, first[p][0], None, p, k, first[p][1], None, None, None, None) for p, k in total.items()])
 
     return run

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.errors import TokenizerError
 from lakeloom.functions.words import END_OF_TEXT, UNKNOWN, join_words, word_tokens
 
+from .lookup import look_up
 from .ranking import rank_strings
 
 
@@ -35,15 +36,16 @@ def check_vocabulary(vocab: DataFrame, unknown: str = UNKNOWN) -> int:
 
 
 def encode_words(df: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text", unknown: str = UNKNOWN) -> DataFrame:
-    """(keys, pos, token_id) in long form; words that the vocabulary lacks get the unknown id."""
+    """(keys, pos, token_id) in long form; words that the vocabulary lacks get the unknown id. Words of very many positions are not shuffled."""
     unknown_id = check_vocabulary(vocab, unknown)
-    long = df.select(*keys, F.posexplode(word_tokens(F.col(text))).alias("pos", "token"))
-    return long.join(vocab, "token", "left").select(*keys, F.col("pos").cast("long").alias("pos"), F.coalesce("id", F.lit(unknown_id)).cast("long").alias("token_id"))
+    long = df.select(*keys, F.posexplode(word_tokens(F.col(text))).alias("_pos", "_word"))
+    side = vocab.select(F.col("token").alias("_word"), F.col("id").alias("_word_id"))
+    return look_up(long, side, "_word").select(*keys, F.col("_pos").cast("long").alias("pos"), F.coalesce("_word_id", F.lit(unknown_id)).cast("long").alias("token_id"))
 
 
 def decode_words(ids: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text) from (keys, pos, token_id); an unknown id is an error."""
-    names = ids.join(vocab.select(F.col("id").alias("token_id"), "token"), "token_id", "left")
-    known = F.coalesce("token", F.raise_error(F.concat(F.lit("unknown token id "), F.col("token_id").cast("string"))).cast("string"))
+    names = look_up(ids.select(*keys, "pos", F.col("token_id").alias("_word_id")), vocab.select(F.col("id").alias("_word_id"), F.col("token").alias("_word")), "_word_id")
+    known = F.coalesce("_word", F.raise_error(F.concat(F.lit("unknown token id "), F.col("_word_id").cast("string"))).cast("string"))
     grouped = names.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", known.alias("token")))).alias("tokens"))
     return grouped.select(*keys, join_words(F.transform("tokens", lambda t: t["token"])).alias("text"))

@@ -8,6 +8,7 @@ from lakeloom.functions.text import GPT2_PATTERN, GPT4_PATTERN, chunks, split_ar
 from lakeloom.functions.words import word_tokens
 from lakeloom.operators import documents as D
 from lakeloom.operators import wordvocab as V
+from lakeloom.sources.shared import keep
 from lakeloom.sources.tables import table, texts
 
 from .base import query
@@ -43,24 +44,25 @@ def word_token_counts(spark, sf_dir):
 
 @query(
     "word_encode",
-    f"""WITH {_VOCAB_3}, tok AS (SELECT item_id, unnest({_WORDS}) AS token, unnest(generate_series(0, len({_WORDS}) - 1)) AS pos FROM benchmark)
-    SELECT item_id, pos, coalesce(id, (SELECT id FROM vocab WHERE token = '<|UNK|>')) AS token_id FROM tok LEFT JOIN vocab USING (token)""",
+    f"""WITH {_VOCAB_3}, tok AS (SELECT doc_id, unnest({_WORDS}) AS token, unnest(generate_series(0, len({_WORDS}) - 1)) AS pos FROM documents)
+    SELECT doc_id, pos, coalesce(id, (SELECT id FROM vocab WHERE token = '<|UNK|>')) AS token_id FROM tok LEFT JOIN vocab USING (token)""",
 )
 def word_encode(spark, sf_dir):
-    vocab = V.build_vocabulary(table(spark, sf_dir, "documents"), min_frequency=3)
-    return V.encode_words(table(spark, sf_dir, "benchmark"), vocab, ["item_id"])
+    docs = texts(spark, sf_dir)
+    vocab = keep(V.build_vocabulary(docs, min_frequency=3), "vocabulary")
+    return V.encode_words(docs, vocab, ["doc_id"])
 
 
 @query(
     "word_decode",
-    f"""WITH tok AS (SELECT item_id, unnest({_WORDS}) AS token, unnest(generate_series(0, len({_WORDS}) - 1)) AS pos FROM benchmark)
-    SELECT item_id, trim(string_agg(CASE WHEN token IN ('.', ',', '!', '?', ';', ':', '-', '(', ')', '[', ']', '{{', '}}', '\\', '"') THEN token ELSE ' ' || token END, '' ORDER BY pos)) AS text
-    FROM tok GROUP BY item_id""",
+    f"""WITH tok AS (SELECT doc_id, unnest({_WORDS}) AS token, unnest(generate_series(0, len({_WORDS}) - 1)) AS pos FROM documents)
+    SELECT doc_id, trim(string_agg(CASE WHEN token IN ('.', ',', '!', '?', ';', ':', '-', '(', ')', '[', ']', '{{', '}}', '\\', '"') THEN token ELSE ' ' || token END, '' ORDER BY pos)) AS text
+    FROM tok GROUP BY doc_id""",
 )
 def word_decode(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    vocab = V.build_vocabulary(items)
-    return V.decode_words(V.encode_words(items, vocab, ["item_id"]), vocab, ["item_id"])
+    docs = texts(spark, sf_dir)
+    vocab = keep(V.build_vocabulary(docs), "vocabulary")
+    return V.decode_words(keep(V.encode_words(docs, vocab, ["doc_id"]), "word-ids"), vocab, ["doc_id"])
 
 
 @query(
