@@ -42,7 +42,7 @@ _SKETCH = "id long, n_shingles long, key1 long, key2 long, registers binary, ban
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the sorted distinct shingle hashes of text i are hashes[first[i]:first[i + 1]]."""
-    w = K.Words(texts, K.BLANK_WORD, lower=True)
+    w = K.MixedWords(texts, K.BLANK_WORD, lower=True)
     at, h = w.windows(k)
     of = w.text_of()[at]
     few = np.flatnonzero((w.counts > 0) & (w.counts < k))
@@ -62,11 +62,11 @@ def text_sets(group: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     for part, cut in K.pieces(group, K.BLANK_WORD, k - 1, lower=True):
         if cut is None:
             return shingle_sets(part, k)
-        w = K.Words(part, K.BLANK_WORD, lower=True)
+        w = K.MixedWords(part, K.BLANK_WORD, lower=True)
         found.append(np.unique(w.windows(k)[1]))
         words += int(np.searchsorted(w.starts, cut))
     if words < k:  # all its words are in the piece that has the first one
-        w = K.Words(group, K.BLANK_WORD, lower=True)
+        w = K.MixedWords(group, K.BLANK_WORD, lower=True)
         return (w.whole(np.array([0])), np.array([0, 1])) if words else (np.zeros(0, _U), np.array([0, 0]))
     h = np.unique(np.concatenate(found))
     return h, np.array([0, len(h)])

@@ -43,7 +43,7 @@ def lengths(words: int, base: int) -> list[int]:
     return out
 
 
-def _least(w: K.Words, base: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _least(w: K.MixedWords, base: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of `words` words: its start and the hash of its least window of base words."""
     at, h = w.windows(base)
     wide, _ = w.windows(words)
@@ -84,7 +84,7 @@ def _told(shard: int, keys: list[np.ndarray], ids: np.ndarray, buckets: int) ->
     return list(X.dealt_in_order(keys[0][first], [*(k[first] for k in keys[1:]), least.view(_U), several.astype(_U), np.full(len(at), shard, _U)], buckets))
 
 
-def _keys(w: K.Words, words: int, sel: np.ndarray) -> list[np.ndarray]:
+def _keys(w: K.MixedWords, words: int, sel: np.ndarray) -> list[np.ndarray]:
     """The two hashes, of 64 and 32 bits, of the selected windows."""
     return [X.spread(w.windows(words)[1][sel]), w.windows(words, 1)[1][sel] >> _U(32)]
 
@@ -105,7 +105,7 @@ def _entries(prior: int, length: int, words: int, buckets: int):
         owners: list[np.ndarray] = []
         for first, group in K.runs(K.each_bytes(docs.column("text").combine_chunks())):
             for part, _ in K.pieces(group, K.BLANK_WORD, words - 1):
-                w = K.Words(part, K.BLANK_WORD)
+                w = K.MixedWords(part, K.BLANK_WORD)
                 doc = first + w.text_of()
                 wide, least = _least(w, prior or length, words)
                 sel = valid[doc[wide]]
@@ -188,7 +188,7 @@ def _removed(docs: pa.Table, replies: pa.Table, words: int):
         found: list[list] = [[] for _ in group]
         carried = np.zeros(0, bool)
         for part, cut in K.pieces(group, K.BLANK_WORD, words - 1):
-            w = K.Words(part, K.BLANK_WORD)
+            w = K.MixedWords(part, K.BLANK_WORD)
             doc = first + w.text_of()
             at, h = w.windows(words)
             gone = valid[doc[at]] & _has(known[0], X.spread(h))

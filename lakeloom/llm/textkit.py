@@ -163,10 +163,13 @@ class Words:
         """The number of the text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def _window_words(self, salt: int) -> np.ndarray:
+        return mix(self.hash ^ _U(salt * 0x5851F42D4C957F2D)) if salt else self.hash
+
     def windows(self, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Starts (numbers of words) and hashes of the n-word windows that lie in one text. Another salt gives hashes that are independent
         but for words with equal hashes."""
-        h = mix(self.hash ^ _U(salt * 0x5851F42D4C957F2D)) if salt else self.hash
+        h = self._window_words(salt)
         m = len(h)
         if m < n:
             return np.zeros(0, np.int64), np.zeros(0, _U)
@@ -189,6 +192,26 @@ class Words:
         return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(_U))
 
 
+class MixedWords(Words):
+    """Words hashed by block_hashes(): different words have different hashes but for chance, and two salts are independent."""
+
+    def __init__(self, texts: list[bytes], kind: np.ndarray, lower: bool = False):
+        super().__init__(texts, kind, lower)
+        self._salted: dict[int, np.ndarray] = {}
+
+    def _of(self, salt: int) -> np.ndarray:
+        if salt not in self._salted:
+            self._salted[salt] = block_hashes(self.data, self.starts, self.ends, salt)
+        return self._salted[salt]
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self._of(0)
+
+    def _window_words(self, salt: int) -> np.ndarray:
+        return self._of(salt)
+
+
 def runs(texts: Iterable[bytes], most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts in groups of up to about `most` bytes, each with the number of its first text."""
     group: list[bytes] = []

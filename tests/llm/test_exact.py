@@ -330,3 +330,21 @@ def test_packing():
     x, y = exchange.get(exchange.put([a, b]))
     assert (x == a).all() and (y.view(np.int64) == b).all()
     assert [len(c) for c in exchange.get(exchange.put([a[:0], b[:0]]))] == [0, 0]
+
+
+def thue_morse(n=1024):
+    """A word over a and b and its complement, which polynomials modulo 2**64 cannot tell apart."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_long_words_are_different(spark):
+    a, b = thue_morse()
+    own = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*own, a])), (2, " ".join([*own, b])), (3, " ".join([*own, a])), (4, a), (5, b), (6, f"x y {a}"), (7, f"x y {b}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 0, 5: 0, 6: 0, 7: 0}
+    linked = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert linked[4] == 4 and linked[5] == 5 and linked[6] == 6 and linked[7] == 7 and linked[3] == 1
