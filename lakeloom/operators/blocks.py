@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeloom.errors import DataLoaderError
 
 from .ranking import prefix_sum
+from .shuffling import shuffled_place
 
 # Bounds of the automatic buffer size.
 BUFFER_BATCHES, BUFFER_LEAST, BUFFER_MOST = 500, 10_000, 10_000_000
@@ -190,15 +191,10 @@ def fraction_split(df: DataFrame, position: str, n: int, train: float = 0.85, te
 
 
 def sample_batches(df: DataFrame, position: str, batch_size: int, n: int, drop_last: bool = False, seed: int | None = None) -> DataFrame:
-    """df with batch_id and row: batch_size samples in order of position (0 to n - 1), or in a seeded order; with drop_last the incomplete
+    """df with batch_id and row: batch_size samples in order of position (0 to n - 1), or in a seeded order that each row computes; with drop_last the incomplete
     last batch goes."""
-    if seed is None:
-        placed = df.withColumn("_at", F.col(position).cast("long"))
-    else:
-        from .documents import permutation
-
-        order = df.sparkSession.createDataFrame([(old, new) for new, old in enumerate(permutation(n, seed))], "_old long, _at long")
-        placed = df.join(order, F.col(position) == F.col("_old")).drop("_old")
+    at = F.col(position).cast("long") if seed is None else shuffled_place(F.col(position).cast("long"), n, seed)
+    placed = df.withColumn("_at", at)
     out = placed.withColumn("batch_id", F.floor(F.col("_at") / batch_size).cast("long")).withColumn("row", (F.col("_at") % batch_size).cast("int")).drop("_at")
     return out.where(F.col("batch_id") < n // batch_size) if drop_last else out
 

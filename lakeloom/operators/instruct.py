@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import strip
+from lakeloom.sources.shared import drop, keep
 
 from . import prompts as T
 
@@ -105,13 +106,11 @@ def reflected(df: DataFrame, raw: str = "raw", mode: str = "compat") -> DataFram
 
 
 def write_routes(df: DataFrame, path: str, mode: str) -> None:
-    """Append successes and failures to two JSON-lines folders."""
-    df = df.persist()  # replies are asked for once
-    try:
-        df.where("status = 'success'").drop("status", "raw").write.mode("append").json(f"{path}_{mode}.jsonl")
-        df.where("status = 'failed'").drop("status").write.mode("append").json(f"{path}_{mode}_failed.jsonl")
-    finally:
-        df.unpersist()
+    """Append successes and failures to two JSON-lines folders, from one written table: replies are asked for once, also if an executor is lost."""
+    kept = keep(df, "routes")
+    kept.where("status = 'success'").drop("status", "raw").write.mode("append").json(f"{path}_{mode}.jsonl")
+    kept.where("status = 'failed'").drop("status").write.mode("append").json(f"{path}_{mode}_failed.jsonl")
+    drop(kept)
 
 
 def to_retry(inputs: DataFrame, done: DataFrame, key: str = "pos") -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lakeloom.operators import blocks as B
 from lakeloom.operators import instruct as I
 from lakeloom.operators import prompts as T
+from lakeloom.operators import shuffling
+from lakeloom.operators.pairing import pair_files
+from lakeloom.operators.reply_store import ReplyStore
 from lakeloom.sources.tables import table
 
-from .base import query
+from .base import query, scratch
 
 
 def _q(text: str) -> str:
@@ -251,6 +254,50 @@ def sample_batches(spark, sf_dir):
     return B.sample_batches(rows, "pos", 8, rows.count(), drop_last=True).select("conv_id", "turn", "batch_id", "row")
 
 
+def _shuffled_sql(n: str, seed: int) -> str:
+    """SQL: the place of `pos` in the seeded order of n (a column) rows, rounds and all."""
+    a, b = "CAST(ceil(sqrt(n)) AS BIGINT)", "((n + CAST(ceil(sqrt(n)) AS BIGINT) - 1) // CAST(ceil(sqrt(n)) AS BIGINT))"
+    x = "[v % a, v // a]"
+    for k, (c, d, e) in enumerate(shuffling.keys(seed)):
+        mixed = f"(s[{1 if k % 2 else 2}] * {c} + {d}) % 2147483647 * {e} % 2147483629"
+        new = f"[s[1], (s[2] + {mixed}) % b]" if k % 2 else f"[(s[1] + {mixed}) % a, s[2]]"
+        x = f"list_transform([{x}], lambda s: {new})[1]"
+    cell = f"list_transform([{x}], lambda s: s[1] + s[2] * a)[1]"
+    return f"(SELECT *, list_reduce(list_concat([CAST(pos AS BIGINT), 0], range(1, 41)), lambda v, i: CASE WHEN i = 0 OR v >= n THEN {cell} ELSE v END) AS place FROM (SELECT *, {a} AS a, {b} AS b FROM {n}))"
+
+
+@query("shuffled_batches", f"WITH {_ROWS}, {_NUMBERED}, placed AS {_shuffled_sql('numbered', 7)} SELECT conv_id, turn, CAST(place // 8 AS BIGINT) AS batch_id, CAST(place % 8 AS INTEGER) AS row FROM placed WHERE place // 8 < n // 8")
+def shuffled_batches(spark, sf_dir):
+    """Batches in a seeded order, the incomplete last one dropped."""
+    rows = _numbered(spark, sf_dir)
+    return B.sample_batches(rows, "pos", 8, rows.count(), drop_last=True, seed=7).select("conv_id", "turn", "batch_id", "row")
+
+
+@query("response_pairs", f"WITH {_ROWS}, {_NUMBERED} SELECT pos, instruction, length(output) AS n_baseline, length(instruction) AS n_other FROM numbered")
+def response_pairs(spark, sf_dir):
+    """Two files of responses, of which one lacks keys, paired row by row."""
+    folder = scratch(spark, "pairs")
+    rows = _samples(spark, sf_dir).orderBy("conv_id", "turn")
+    rows.select("instruction", F.col("output").alias("generated_response")).write.parquet(f"{folder}/a")
+    rows.select(F.lit("").alias("instruction"), F.col("instruction").alias("generated_response")).write.parquet(f"{folder}/b")
+    got = pair_files(spark, f"{folder}/a", f"{folder}/b")
+    return got.select("pos", "instruction", F.length("generated_response").cast("long").alias("n_baseline"), F.length("generated_response_other").cast("long").alias("n_other"))
+
+
+@query(
+    "stored_replies",
+    f"WITH {_ROWS}, p AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'one question' ELSE instruction END AS prompt FROM samples), n AS (SELECT count(DISTINCT prompt) AS n_asked FROM p) SELECT conv_id, turn, 'about ' || length(prompt) AS raw, n_asked FROM p, n",
+)
+def stored_replies(spark, sf_dir):
+    """Replies through a store in two goes: the first one asks for half of the conversations, the second only for what is not stored; a third of the prompts are one."""
+    prompt = F.when(F.col("conv_id") % 3 == 0, "one question").otherwise(F.col("instruction"))
+    rows = _samples(spark, sf_dir).select("conv_id", "turn", F.lit("").alias("system"), prompt.alias("prompt"))
+    store = ReplyStore(spark, scratch(spark, "replies"), "a model", I.Options(seed=1))
+    make = lambda i: lambda system, prompt: f"about {len(prompt)}"
+    asked = store.fill(rows.where("conv_id % 2 = 0"), make) + store.fill(rows, make) + store.fill(rows, make)
+    return store.answered(rows).select("conv_id", "turn", "raw", F.lit(asked).cast("long").alias("n_asked"))
+
+
 @query("chat_chatml", "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS text FROM conversations GROUP BY conv_id")
 def chat_chatml(spark, sf_dir):
     return I.chat_template(table(spark, sf_dir, "conversations"), "chatml")
