@@ -297,6 +297,63 @@ def decode(ids: Column, bpe: Bpe) -> Column:
     return F.make_valid_utf8(F.encode(F.array_join(pieces, ""), "ISO-8859-1").cast("string"))
 
 
+class Decoder:
+    """Bytes of token ids in a worker: all tokens' bytes end to end and where each begins, and the special tokens beside."""
+
+    def __init__(self, bpe: Bpe):
+        tokens = [bytes([i]) for i in range(BYTES)]
+        for a, b in bpe.merges:
+            tokens.append(tokens[a] + tokens[b])
+        others = {i: s.encode() for s, i in bpe.specials.items() if i >= len(tokens)}
+        self.named = np.array(sorted(others), np.int64)
+        tokens += [others[int(i)] for i in self.named]
+        self.plain = BYTES + len(bpe.merges)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def raw(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids end to end, and how many each has; an unknown id is an error."""
+        ids = ids.astype(np.int64)
+        known = (ids >= 0) & (ids < self.plain)
+        at = ids.copy()
+        if not known.all():
+            k = np.searchsorted(self.named, ids[~known])
+            hit = np.append(self.named, -1)[k] == ids[~known]
+            if not hit.all():
+                raise TokenizerError(f"Unknown token ID: {ids[~known][~hit][0]}")
+            at[~known] = self.plain + k
+        n = self.sizes[at]
+        first = np.cumsum(n) - n
+        return self.data[np.repeat(self.starts[at] - first, n) + np.arange(int(n.sum()))], n
+
+
+def decode_cached(ids: Column, bpe: Bpe) -> Column:
+    """decode() for vocabularies of any size, in Arrow batches: no literal for each token. Null stays null; malformed UTF-8 becomes U+FFFD, an unknown id (or a null
+    among the ids) is an error."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(bpe)
+        for c in columns:
+            parts = []
+            for k in range(0, len(c), 64):
+                own = c[k : k + 64]
+                flat = own.flatten()
+                if flat.null_count:
+                    raise TokenizerError("Unknown token ID: null")
+                data, n = decoder.raw(flat.to_numpy(zero_copy_only=False))
+                counts = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ends = np.append(0, np.cumsum(n))[np.cumsum(counts)]
+                blob, at, texts = data.tobytes(), 0, []
+                for end, there in zip(ends.tolist(), own.is_valid().to_pylist(), strict=True):
+                    texts.append(blob[at:end].decode("utf-8", "replace") if there else None)
+                    at = end
+                parts.append(pa.array(texts, pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return F.arrow_udf(run, "string")(ids)
+
+
 def make_tokenizer(kind: str, **options) -> Bpe:
     """A tokenizer by its name; only "regex_bpe" can be trained for datasets."""
     if kind != "regex_bpe":

@@ -108,6 +108,12 @@ def published(name: str = "byte_bpe_50k.tiktoken") -> bytes:
 LARGE = 2000
 
 
+@lru_cache(maxsize=1)
+def published_bpe() -> P.Bpe:
+    """All merges of a published vocabulary."""
+    return P.from_ranks(P.read_ranks(published()))
+
+
 @lru_cache(maxsize=1)
 def large_bpe() -> P.Bpe:
     """The first 2,000 merges of a published vocabulary."""
@@ -136,9 +142,29 @@ def bpe_encode_large(spark, sf_dir):
 @query("published_round_trip", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def published_round_trip(spark, sf_dir):
     """Documents encoded with the whole published vocabulary of 50,256 tokens, and decoded again."""
-    raw = published()
-    coded = P.tiktoken_encode(texts(spark, sf_dir), ["doc_id"], raw, P.GPT4_PATTERN)
-    return coded.select("doc_id", F.sha2(P.decode_ranks(F.col("token_ids"), raw, spark), 256).alias("sha256"))
+    bpe = published_bpe()
+    coded = texts(spark, sf_dir).select("doc_id", P.encode_cached(F.col("text"), bpe).alias("ids"))
+    return coded.select("doc_id", F.sha2(P.decode_cached(F.col("ids"), bpe), 256).alias("sha256"))
+
+
+def _published_sql() -> str:
+    """Distinct chunks as lists of ids; in a step each chunk does the first of its merges of lowest rank."""
+    ranks = ", ".join(f"({a},{b},{256 + k})" for k, (a, b) in enumerate(published_bpe().merges))
+    return f"""WITH RECURSIVE m(a, b, new) AS (VALUES {ranks}), c AS (SELECT doc_id, unnest({_GPT4}) AS chunk, unnest(generate_series(1, len({_GPT4}))) AS seq FROM documents),
+    d AS (SELECT row_number() OVER () AS no, chunk, list_transform(regexp_extract_all(hex(encode(chunk)), '..'), lambda x: CAST('0x' || x AS INTEGER)) AS ids FROM (SELECT DISTINCT chunk FROM c)),
+    r AS (SELECT no, ids, false AS over FROM d
+        UNION ALL (WITH p AS (SELECT no, unnest(ids) AS a, unnest(ids[2:]) AS b, unnest(generate_series(1, len(ids))) AS i FROM r WHERE NOT over),
+            best AS (SELECT no, min((new, i)) AS f FROM p JOIN m USING (a, b) GROUP BY no)
+        SELECT r.no, CASE WHEN f IS NULL THEN ids ELSE list_concat(ids[1:f[2] - 1], [f[1]], ids[f[2] + 2:]) END, f IS NULL FROM r LEFT JOIN best USING (no) WHERE NOT over)),
+    t AS (SELECT chunk, r.ids FROM r JOIN d USING (no) WHERE over),
+    o AS (SELECT doc_id, flatten(list(ids ORDER BY seq)) AS ids FROM c JOIN t USING (chunk) GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_tokens, CAST(coalesce(list_sum(list_transform(ids, lambda x, i: x * (i % 1000))), 0) AS BIGINT) AS checksum FROM documents LEFT JOIN o USING (doc_id)"""
+
+
+@query("published_encode", _published_sql)
+def published_encode(spark, sf_dir):
+    """Ids of documents with all 50,000 merges of a published vocabulary."""
+    return token_sums(texts(spark, sf_dir).select("doc_id", P.encode_cached(F.col("text"), published_bpe()).alias("ids")), "ids", "doc_id")
 
 
 @query("bpe_decode", "SELECT doc_id, sha256(text || '<|endoftext|>' || text) AS sha256 FROM documents")
@@ -146,7 +172,7 @@ def bpe_decode(spark, sf_dir):
     """Encoding with a special token, and back."""
     joined = F.concat("text", F.lit("<|endoftext|>"), "text")
     ids = texts(spark, sf_dir).select("doc_id", P.encode_cached(joined, small_bpe()).alias("ids"))
-    return ids.select("doc_id", F.sha2(P.decode(F.col("ids"), small_bpe()), 256).alias("sha256"))
+    return ids.select("doc_id", F.sha2(P.decode_cached(F.col("ids"), small_bpe()), 256).alias("sha256"))
 
 
 @query("bpe_special_tokens", f"WITH {_ids_of('documents', 'doc_id')} SELECT doc_id, CAST(2 * len(ids) + 1 AS BIGINT) AS n_tokens, CAST(2 * list_sum(ids) + 100257 AS BIGINT) AS total, CAST(len(ids) AS BIGINT) AS first_special FROM t")

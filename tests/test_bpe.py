@@ -149,3 +149,43 @@ def test_published_ranks_as_merges():
     own = {i: b for i, b in bpe.vocabulary.items()}
     for text in [*fuzz(100, 3), "the quick brown foxes jumped over lazy dogs' houses"]:
         assert [own[i] for i in P.Encoder(bpe).ids(text)] == [other.decode_single_token_bytes(i) for i in other.encode_ordinary(text)]
+
+
+def test_decoding_by_arrays(spark):
+    bpe = train(spark, "the cat sat on the mat " * 9, 290)
+    bpe.specials = {"<|a|>": 1000, "<|endoftext|>": 100257, "<|same|>": 97}
+    ids = [[1000, 116, 256, 100257], [], None, [0xFF, 0xC3, 97], [255 + len(bpe.merges)], list("é中".encode()), [100257]]
+    df = spark.createDataFrame(list(enumerate(ids)), "i long, t array<int>").repartition(2)
+    got = [r["x"] for r in df.select("i", P.decode_cached(F.col("t"), bpe).alias("x")).orderBy("i").collect()]
+    want = [r["x"] for r in df.select("i", P.decode(F.col("t"), bpe).alias("x")).orderBy("i").collect()]
+    assert got == want and got[2] is None and got[1] == ""
+    assert df.limit(0).select(P.decode_cached(F.col("t"), bpe)).count() == 0
+    for bad in ([256 + len(bpe.merges)], [-1], [999999], [None]):
+        with pytest.raises(Exception, match="Unknown token ID"):
+            spark.createDataFrame([(bad,)], "t array<int>").select(P.decode_cached(F.col("t"), bpe)).collect()
+
+
+def test_whole_published_vocabulary(spark):
+    """Tokens of all merges, as bytes, are those of an independent encoder."""
+    tiktoken = pytest.importorskip("tiktoken")
+    from lakeloom.plans.token_queries import published, published_bpe
+
+    ranks = P.read_ranks(published())
+    other = tiktoken.Encoding("own", pat_str=GPT4_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = published_bpe()
+    vocabulary = bpe.vocabulary
+    assert len(vocabulary) == len(ranks)
+    texts = fuzz(60, 8) + ["x" * 5000 + " 12345678901234567890", "Ünïcödé 中文 " * 50]
+    for t, ids in zip(texts, column(spark, texts, P.encode_cached(F.col("t"), bpe)), strict=True):
+        assert [vocabulary[i] for i in ids] == other.decode_tokens_bytes(other.encode(t))
+
+
+def test_sql_without_a_file(monkeypatch):
+    from lakeloom.plans import registry, token_queries
+
+    monkeypatch.setenv("LAKELOOM_TOKENIZERS", "/nowhere")
+    token_queries.large_bpe.cache_clear(), token_queries.published_bpe.cache_clear()
+    got = registry.oracles()
+    assert "bpe_encode" in got and "published_encode" not in got
+    monkeypatch.delenv("LAKELOOM_TOKENIZERS")
+    assert "published_encode" in registry.oracles()
