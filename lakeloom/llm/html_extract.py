@@ -10,7 +10,8 @@ any region of prose above.
 
 What a container is, its tag says (nav, aside, footer, ...), its ARIA role, or the first telling name among its classes or in its id. A name tells by its last
 word that is not a generic one ("cookie-notice", "comment-list"); names that describe a state ("has-sidebar", "ad-free") tell nothing, and
-classes of paragraphs, list items and cells never hide their text.
+classes of paragraphs, list items and cells never hide their text. A container that holds most of the page's words, with no main text beside it, is a
+wrapper whatever its name: see read().
 
 From the region the text of its blocks is taken: boilerplate containers inside it (an advert
 between two paragraphs) are left out, character references are decoded, white space in a block becomes one
@@ -60,7 +61,7 @@ KINDS = {
 }
 _KIND = {w: k for k, ws in KINDS.items() for w in ws.split()}
 # Parts of a name that say nothing of what it names, and those that make it describe a state.
-GENERIC = frozenset("area bar block body box button buttons col column container content group holder inner item items layout left link links list main outer panel region right row section site top widget wrap wrapper".split())
+GENERIC = frozenset("area bar block body box button buttons col column container content group holder inner item items left link links list main outer panel region right row section site top widget wrap wrapper".split())
 STATES = frozenset("has with without no not is js hide hidden show free ready enabled disabled".split())
 CONTAINERS = frozenset("div section article main aside nav header footer form ul ol dl table fieldset dialog details figure menu button label".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
@@ -104,13 +105,58 @@ def _kind(tag: str, attributes: str) -> str | None:
     return next((k for k in kinds if k != "main"), "main" if kinds else own)
 
 
-def tokens(page: str):
+class Inside:
+    """A boilerplate container of a page: its kind, and the words (not of links) and the main words that stand in it."""
+
+    __slots__ = ("kind", "main", "words")
+
+    def __init__(self, kind: str, words: int, main: int):
+        self.kind, self.words, self.main = kind, words, main
+
+
+class Open:
+    """The elements that are open, with the kind that each brought, and how many there are of each name."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Inside | None]] = []
+        self.kinds = ["plain"]
+        self.names: dict[str, int] = {}
+        self.words = self.main = 0
+
+    def push(self, tag: str, kind: str | None, container: Inside | None) -> None:
+        self.stack.append((tag, container))
+        self.kinds.append(_inherit(self.kinds[-1], kind))
+        self.names[tag] = self.names.get(tag, 0) + 1
+
+    def pop(self, names, inner: bool = False) -> None:
+        """Close the innermost open element of these names and what is open in it."""
+        if not any(self.names.get(n) for n in names):
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in names:
+                self.cut(i)
+                return
+            if inner and self.stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
+                return
+
+    def cut(self, i: int) -> None:
+        for tag, container in self.stack[i:]:
+            self.names[tag] -= 1
+            if container is not None:
+                container.words, container.main = self.words - container.words, self.main - container.main
+        del self.stack[i:]
+        del self.kinds[i + 1 :]
+
+
+def tokens(page: str, wrappers: frozenset[int] = frozenset(), found: list[Inside] | None = None):
     """Tokens of a page: (feature, is_word, text, block, container path's kind). A text piece is one token with its words counted.
 
-    Yields (feature, n_words, raw text or None, block number, kind); tags have n_words 0.
+    Yields (feature, n_words, raw text or None, block number, kind); tags have n_words 0. The boilerplate containers are told to `found` in order; those numbered
+    in `wrappers` say nothing of what they hold.
     """
-    stack: list[tuple[str, str | None]] = []  # open elements with the kind they brought
-    kinds: list[str] = ["plain"]
+    open_ = Open()
+    stack, kinds = open_.stack, open_.kinds
+    found = [] if found is None else found
     block = 0
     in_link = 0
     raw_until: re.Pattern | None = None
@@ -133,6 +179,9 @@ def tokens(page: str):
             n = len(text.split())
             kind = kinds[-1]
             if n:
+                if not in_link:
+                    open_.words += n
+                    open_.main += n * (kind == "main")
                 yield ("link-word" if in_link else "word", kind), n, text, block, kind
             elif text:
                 yield None, 0, text, block, kind
@@ -145,16 +194,20 @@ def tokens(page: str):
                 yield ("tag", "raw", kinds[-1]), 0, None, block, kinds[-1]
                 continue
             if tag not in INLINE and tag != "br":
-                if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-                    _pop(stack, kinds, {"p"})
+                if tag in CLOSES_P:
+                    open_.pop({"p"})
                 if tag in SELF_CLOSING:
-                    _pop(stack, kinds, SELF_CLOSING[tag], inner=True)
+                    open_.pop(SELF_CLOSING[tag], inner=True)
                 block += 1
                 in_link = 0
-            kind = _kind(tag, attributes)
             if tag not in VOID:
-                stack.append((tag, kind))
-                kinds.append(_inherit(kinds[-1], kind))
+                kind, container = _kind(tag, attributes), None
+                if kind not in (None, "main"):
+                    container = Inside(kind, open_.words, open_.main)
+                    found.append(container)
+                    if len(found) - 1 in wrappers:
+                        kind = None
+                open_.push(tag, kind, container)
                 if tag == "a":
                     in_link = 1
             yield ("tag", tag if tag in _KNOWN else "other", kinds[-1]), 0, " " if tag == "br" else None, block, kinds[-1]
@@ -164,11 +217,38 @@ def tokens(page: str):
             if close == "a":
                 in_link = 0
             inside = kinds[-1]
-            if any(t == close for t, _ in stack):
-                _pop(stack, kinds, {close})
+            open_.pop({close})
             if close not in INLINE and close not in RAW:
                 block += 1
             yield LEAVE if inside == "main" and kinds[-1] != "main" else ("end", close if close in _KNOWN else "other", kinds[-1]), 0, None, block, kinds[-1]
+    open_.cut(0)
+    found.append(Inside("page", open_.words, open_.main))
+
+
+#: What share of a page's words a container has to hold to be a wrapper of the page; words of readers' comments are often the most of a page.
+MOST, MOST_COMMENTS = 0.5, 0.9
+#: Main words outside from which a container is no wrapper.
+ELSEWHERE = 15
+
+
+def read(page: str) -> list:
+    """The tokens of a page. A container that holds most of the page's words while there is no main text beside it (a form around the whole page, a main text in a
+    "legal" box) is the page's wrapper and no boilerplate, whatever its name."""
+    found: list[Inside] = []
+    seen = list(tokens(page, found=found))
+    whole = found.pop()
+    large = [i for i, c in enumerate(found) if c.words > (MOST_COMMENTS if c.kind == "comments" else MOST) * whole.words]
+    if not large:
+        return seen
+    again: list[Inside] = []  # they lie one in the other, so it is told at once what is main when none of them hides it
+    list(tokens(page, frozenset(large), again))
+    whole = again.pop()
+    wrappers = []
+    for i in large:
+        if whole.main - again[i].main >= ELSEWHERE:
+            break
+        wrappers.append(i)
+    return list(tokens(page, frozenset(wrappers))) if wrappers else seen
 
 
 #: The tag that ends a container of main text: what follows may be another text, or a teaser of one.
@@ -187,17 +267,6 @@ def _inherit(outer: str, own: str | None) -> str:
     return own
 
 
-def _pop(stack, kinds, names, inner: bool = False) -> None:
-    """Close the innermost open element of these names and what is open in it."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in names:
-            del stack[i:]
-            del kinds[i + 1 :]
-            return
-        if inner and stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
-            return
-
-
 def labelled_pages(n: int = 60, seed: int = 3) -> list[tuple[str, list[tuple[int, int]]]]:
     """Pages with their main text's place, as (html, [(start, end)]): made from layouts, for the fit of the weights."""
     r = random.Random(seed)
@@ -296,7 +365,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     table = weights()
-    seen = list(tokens(page))
+    seen = read(page)
     first, last = region(0.0 if feature is None else _score(feature, n, table) for feature, n, *_ in seen)
     if first < 0:
         return ""

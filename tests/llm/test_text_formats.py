@@ -1,6 +1,7 @@
 """Chat formatting and main-text extraction."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,41 @@ def test_region_is_a_maximum():
         # of equal sums the one that ends first, and of these the one that begins last
         want = min((k for k in sums if sums[k] == best), key=lambda k: (k[1], -k[0])) if best > 0 else (-1, -1)
         assert H.region(x) == want
+
+
+PARAGRAPHS = [" ".join(f"{w}{i}" for i in range(30)) + "." for w in ("alpha", "beta", "gamma", "delta", "omega", "sigma")]
+BODY = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+MENU = "<nav><ul>" + "".join(f'<li><a href="/{i}">menu {i}</a></li>' for i in range(6)) + "</ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><form id="aspnetForm" action="x"><input type="hidden" value="1">{MENU}<div>{BODY}</div></form></body>',
+        f'<body><form id="aspnetForm">{MENU}<article>{BODY}</article><footer>c 2020</footer></form></body>',
+        f'<body>{MENU}<div class="sidebar-layout"><article>{BODY}</article></div></body>',
+        f'<body>{MENU}<div class="widget"><article>{BODY}</article></div></body>',
+        f'<body>{MENU}<div class="legal">{BODY}</div></body>',
+        f'<body>{MENU}<div id="legal-content">{BODY}</div></body>',
+        f'<body>{MENU}<div class="reviews">{BODY}</div></body>',
+        f'<body>{MENU}<div id="bottom">{BODY}</div></body>',
+        f'<body><div class="modal"><div class="popup"><div class="promo">{BODY}</div></div></div></body>',
+    ],
+)
+def test_names_do_not_empty_a_page(page):
+    assert H.extract(page) == "\n".join(PARAGRAPHS)
+
+
+def test_boilerplate_stays_out_however_long():
+    comments = "".join(f"<p>reader {i} says {PARAGRAPHS[i % 6]}</p>" for i in range(20))
+    page = f'<body>{MENU}<article>{BODY}</article><div id="comments">{comments}</div><form>{"<label>name</label>" * 90}</form></body>'
+    assert H.extract(page) == "\n".join(PARAGRAPHS)
+    assert H.extract(f'<body><div>{BODY}</div><aside class="related">{BODY[:60]}</aside></body>') == "\n".join(PARAGRAPHS)
+
+
+def test_deep_nesting_is_linear():
+    for tag in ("div", "b", "ul><li", 'div class="widget"', "p><span"):
+        began = time.time()
+        page = f"<{tag}>" * 20_000 + "<article>" + BODY + "</article>"
+        assert H.extract(page).endswith(PARAGRAPHS[-1])
+        assert time.time() - began < 5
