@@ -1,17 +1,23 @@
-"""Mixing documents to target weights of domains, with soft membership.
+"""Mixing documents with target weights of domains, by soft membership.
 
 A softmax classifier on hashed text, trained on a labelled table, gives each document's posterior over the domains. A
 document's rate r >= 0 is how often it is to be used. With n tokens and posterior p, a domain's expected total is the sum of
-r n p over all documents; the rates solve
+r n p over all documents; the rates are to solve
 
-    min 1/2 |totals / T - targets|^2 + penalty / 2 * sum (n / T) (r - 1)^2,  r >= 0
+    min 1/2 sum over domains of (totals / T - targets)^2 / share,  r >= 0
 
-(T: all tokens). At the minimum r = max(0, 1 - p g / penalty), where g is the domains' gap totals / T - targets that these very rates
-leave; this is the minimum of a strictly convex function of g (the dual), which Newton steps find. A step sums, in one distributed pass, the
-dual's value, slope and curvature at several lengths of the step (numbers by domains x domains); they begin at the gap of a bounded sample and end when g is the gap to within
-tolerance x penalty, and it is an error if the bound on steps comes first. Rates follow from g and a document's posteriors, so no state is kept anywhere
-that could be lost. The penalty holds rates near 1: a domain that has to be used r times ends penalty x (r - 1) below its target.
-Gaps over MISSED are warned about.
+(T: all tokens, share: a domain's part of them before mixing). With gap = totals / T - targets, the gradient of a document's rate is p . (gap / share), so a
+step of projected gradient is
+
+    r <- max(0, r - p . (gap / share))
+
+Dividing by the share gives each domain its own step, so a rare domain moves as fast as a hot one; a whole step never overshoots, since the
+matrix of sums n p p' / T has the shares as its row sums. Steps go on until each target of a domain that has tokens is met to within TOLERANCE; where targets cannot
+be met (posteriors that never are sure enough), steps end when they change nothing any more, and the gaps are warned about.
+
+Many rates meet the targets; the steps begin near those closest to 1: r = max(0, 1 - p . start), the dual solution of a bounded sample with a small penalty
+on (r - 1)^2. Rates follow from start, the gaps of the steps so far and a document's own posteriors, as a column expression, so a step is one
+aggregation without Python, and no state is kept anywhere that could be lost.
 
 Copies are floor(r + u), u uniform from a hash of the id, so their expected number is r.
 
@@ -35,8 +41,12 @@ from . import spill
 from . import textkit as K
 
 SAMPLE = 6000
+#: Steps end when no share is further than this from its target.
+TOLERANCE = 5e-4
 #: A domain's share that is further than this from its target is warned about.
-MISSED = 0.01
+MISSED = 1e-3
+#: Penalties on (r - 1)^2 with which the sample's rates are sought, until its targets are met.
+PENALTIES = (1e-3, 1e-4, 1e-5, 1e-6)
 RESULT = ("n_tokens", "posteriors", "rate")
 #: Lengths of a Newton step that are tried in one pass.
 LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
@@ -116,25 +126,46 @@ def solve(gather: Callable[[np.ndarray], np.ndarray], wanted: np.ndarray, total:
     raise RuntimeError(f"rates not found in {steps} steps: the optimality condition is off by {np.abs(slope).max():.3g}, {least:.3g} is asked for")
 
 
-def _posteriors(p: pa.Array) -> np.ndarray:
-    flat = p.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(p), -1) if len(p) else np.zeros((0, 0))
-
-
-def rate_of(posteriors, gap: np.ndarray, penalty: float):
-    """rates_at() as a column expression on an array of posteriors; 1 where there are no domains."""
-    if not len(gap):
+def rate_of(posteriors, moves: list[np.ndarray]):
+    """The rate after moves r <- max(0, r - p . move) from 1, as a column expression on an array of posteriors; 1 where there are no domains."""
+    moves = [m for m in moves if len(m)]
+    if not moves:
         return F.lit(1.0)
-    terms = F.zip_with(posteriors, F.array(*[F.lit(float(g)) for g in gap]), lambda p, g: p * g)
-    return F.greatest(F.lit(0.0), 1 - F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.lit(penalty))
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], penalty: float = 1e-3, steps: int = 40, tolerance: float = 1e-4, most: int = SAMPLE, text: str = "text") -> DataFrame:
+    given = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
+    dot = lambda m: F.aggregate(F.zip_with(posteriors, m, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(given, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - dot(m)))
+
+
+def rates_after(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
+    """rate_of() of an array of posteriors."""
+    r = np.ones(len(p))
+    for m in moves:
+        r = np.maximum(0.0, r - p @ m)
+    return r
+
+
+def descend(gather: Callable[[list[np.ndarray]], np.ndarray], share: np.ndarray, wanted: np.ndarray, start: np.ndarray | None, steps: int, tolerance: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Moves of projected gradient until the targets of domains with a share are met, and the gaps that are left. gather(moves) gives the shares at the rates after
+    these moves."""
+    moves = [] if start is None else [start]
+    scale = np.where(share > 0, 1 / np.maximum(share, 1e-300), 0.0)
+    value = np.inf
+    for k in range(steps + 1):
+        gap = gather(moves) - wanted
+        now = float(gap @ (scale * gap))
+        if np.abs(gap[share > 0]).max(initial=0.0) <= tolerance or k == steps or now > value * (1 - 1e-3):
+            break
+        value = now
+        moves.append(scale * gap)
+    return moves, gap
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], steps: int = 60, tolerance: float = TOLERANCE, most: int = SAMPLE, text: str = "text") -> DataFrame:
     """docs with n_tokens, posteriors (array, domains in sorted order) and rate."""
-    return rated(docs, labelled, targets, docs.columns, penalty, steps, tolerance, most, text)[0]
+    return rated(docs, labelled, targets, docs.columns, steps, tolerance, most, text)[0]
 
 
-def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], columns: list[str], penalty: float = 1e-3, steps: int = 40, tolerance: float = 1e-4, most: int = SAMPLE, text: str = "text") -> tuple[DataFrame, list[str]]:
+def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], columns: list[str], steps: int = 60, tolerance: float = TOLERANCE, most: int = SAMPLE, text: str = "text") -> tuple[DataFrame, list[str]]:
     """The given columns of docs with n_tokens, posteriors and rate, and the domains that the posteriors stand for.
 
     Texts go to Python once, alone, and only (n_tokens, posteriors) come back; the table that the passes read holds the given columns, of
@@ -162,41 +193,41 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], colum
     table = table.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("judged.n_tokens").alias("n_tokens"), F.col("judged.posteriors").alias("posteriors"))
     total = float(table.agg(F.sum("n_tokens")).first()[0] or 0)
     wanted = np.array([float(targets.get(d, 0.0)) for d in fitted.domains])
-    gap = np.zeros(len(wanted))
-    small = table.select("n_tokens", "posteriors")
+    moves: list[np.ndarray] = []
+    small = table.select("n_tokens", "posteriors").where("n_tokens > 0")
     if total > 0 and len(wanted):
         wanted = wanted / max(sum(targets.values()), 1e-300)
-        gap = solve(lambda points: _gather(small, points, penalty), wanted, total, penalty, steps, tolerance, _near(small, wanted, penalty, steps, tolerance, most))
+        gather = lambda m: _shares(small, m, len(wanted), total)
+        moves, gap = descend(gather, gather([]), wanted, _near(small, wanted, most, tolerance), steps, tolerance)
         missed = {d: (round(float(w + g), 4), round(float(w), 4)) for d, w, g in zip(fitted.domains, wanted, gap, strict=True) if abs(g) > MISSED}
         if missed:
             warnings.warn(f"shares that miss their targets, as (share, target): {missed}", stacklevel=3)
-    return table.withColumn("rate", rate_of(F.col("posteriors"), gap, penalty)), fitted.domains
+    return table.withColumn("rate", rate_of(F.col("posteriors"), moves)), fitted.domains
 
 
-def _near(small: DataFrame, wanted: np.ndarray, penalty: float, steps: int, tolerance: float, most: int) -> np.ndarray | None:
-    """The gap that at most `most` rows would have by themselves: where the steps over all rows begin, so that few are left. No result depends on it
-    by more than the tolerance."""
-    some = small.where("n_tokens > 0").orderBy(F.xxhash64("n_tokens", "posteriors")).limit(most).collect()
+def _near(small: DataFrame, wanted: np.ndarray, most: int, tolerance: float) -> np.ndarray | None:
+    """The first move: to the rates closest to 1 that meet the targets on at most `most` rows by themselves."""
+    some = small.orderBy(F.xxhash64("n_tokens", "posteriors"), "n_tokens").limit(most).collect()
     p, n = np.array([r["posteriors"] for r in some]), np.array([r["n_tokens"] for r in some], np.float64)
-    try:
-        return solve(lambda points: dual_sums(p, n, points, penalty), wanted, n.sum(), penalty, 4 * steps, tolerance)
-    except RuntimeError:
-        return None
-
-
-def _gather(judged: DataFrame, points: np.ndarray, penalty: float) -> np.ndarray:
-    """dual_sums() over all rows."""
-    shape = (len(points), 1 + points.shape[1] + points.shape[1] ** 2)
-
-    def run(batches):
-        got = np.zeros(shape)
-        for b in batches:
-            if b.num_rows:
-                got += dual_sums(_posteriors(b.column("posteriors")), b.column("n_tokens").to_numpy().astype(np.float64), points, penalty)
-        yield pa.RecordBatch.from_arrays([pa.array(range(got.size), pa.int32()), pa.array(got.reshape(-1), pa.float64())], names=["k", "total"])
-
-    rows = judged.mapInArrow(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()
-    return np.array([x["total"] for x in sorted(rows, key=lambda x: x["k"])]).reshape(shape)
+    found, left = None, np.inf
+    for penalty in PENALTIES:
+        try:
+            gap = solve(lambda points: dual_sums(p, n, points, penalty), wanted, n.sum(), penalty, 200, 1e-3, None if found is None else found * penalty)  # noqa: B023
+        except (RuntimeError, np.linalg.LinAlgError):
+            break
+        if np.abs(gap).max() > 0.5 * left:  # what is left cannot be met
+            break
+        found, left = gap / penalty, np.abs(gap).max()
+        if left <= tolerance:
+            break
+    return found
+
+
+def _shares(small: DataFrame, moves: list[np.ndarray], k: int, total: float) -> np.ndarray:
+    """The domains' shares at the rates after moves: one aggregation."""
+    used = small.select(F.col("posteriors").alias("p"), (F.col("n_tokens") * rate_of(F.col("posteriors"), moves)).alias("n"))
+    row = used.agg(*[F.sum(F.col("n") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
+    return np.array([float(x or 0.0) for x in row]) / total
 
 
 def copies(rate, id_column):

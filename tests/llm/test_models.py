@@ -125,17 +125,38 @@ def test_rates_of_rare_domains(shares):
         mixing.solve(lambda points: mixing.dual_sums(p, n, points, penalty), wanted, n.sum(), penalty, 1, 1e-4)
 
 
-def test_mixing_with_a_rare_domain(spark):
+@pytest.mark.parametrize("counts", [(950, 30, 15, 5), (2910, 60, 27, 3)])
+def test_mixing_with_a_rare_domain(spark, recwarn, counts):
     r = random.Random(5)
     kinds = {"w": "abcd", "x": "mnop", "y": "uvwx", "z": "efgh"}
-    own = ["w"] * 950 + ["x"] * 30 + ["y"] * 15 + ["z"] * 5
+    own = [k for k, n in zip(kinds, counts) for _ in range(n)]
     rows = [(i, text(r, 40, kinds[k])) for i, k in enumerate(own)]
     labelled = spark.createDataFrame(list(enumerate(own)), "id long, y string")
-    with pytest.warns(UserWarning, match="miss their targets"):
-        got = mixing.mix(frame(spark, rows), labelled, {"w": 0.4, "x": 0.2, "y": 0.2, "z": 0.2}).collect()
+    got = mixing.mix(frame(spark, rows), labelled, {"w": 0.4, "x": 0.2, "y": 0.2, "z": 0.2}).collect()
     p, n, rate = np.array([x["posteriors"] for x in got]), np.array([x["n_tokens"] for x in got]), np.array([x["rate"] for x in got])
-    left = (rate * n) @ p / n.sum() - np.array([0.4, 0.2, 0.2, 0.2])
-    assert np.allclose(rate, np.maximum(0, 1 - p @ left / 1e-3), atol=1e-2)
+    assert np.allclose((rate * n) @ p / n.sum(), [0.4, 0.2, 0.2, 0.2], atol=1e-3) and (rate >= 0).all()
+    assert not [w for w in recwarn if "miss their targets" in str(w.message)]
+
+
+@pytest.mark.parametrize("shares", [(0.62, 0.145, 0.129, 0.106), (0.97, 0.02, 0.009, 0.001)])
+def test_descent_against_all_rates_by_hand(shares):
+    """Moves that rates are made from again and again, against rates that are kept and moved in place; perfect and soft posteriors."""
+    r = np.random.default_rng(4)
+    wanted = np.array([0.4, 0.2, 0.2, 0.2])
+    for p in (np.eye(4)[r.choice(4, 4000, p=np.array(shares) / sum(shares))], r.dirichlet(np.array(shares) * 0.2, 4000)):
+        n = r.integers(1, 500, 4000).astype(float)
+        share = n @ p / n.sum()
+        moves, gap = mixing.descend(lambda m: (mixing.rates_after(p, m) * n) @ p / n.sum(), share, wanted, None, 60, 5e-4)
+        rate, seen = np.ones(len(n)), share > 0
+        for _ in moves:
+            rate = np.maximum(0, rate - p @ (((rate * n) @ p / n.sum() - wanted) / np.maximum(share, 1e-300)))
+        assert np.allclose(rate, mixing.rates_after(p, moves)) and np.abs(gap[seen]).max() <= 1e-3
+
+
+def test_targets_that_cannot_be_met():
+    p, n = np.full((100, 2), 0.5), np.ones(100)
+    moves, gap = mixing.descend(lambda m: (mixing.rates_after(p, m) * n) @ p / n.sum(), n @ p / n.sum(), np.array([0.9, 0.1]), None, 60, 5e-4)
+    assert len(moves) < 5 and np.allclose(gap, [-0.4, 0.4], atol=1e-2)
 
 
 def brute_links(rows, similarity):

@@ -77,13 +77,12 @@ def test_mixing_stage(spark, docs):
     judged = {r["doc_id"]: r for r in mixing.mixed(spark, docs, SF).collect()}
     p, n = np.array([r["posteriors"] for r in judged.values()]), np.array([r["n_tokens"] for r in judged.values()], float)
     rate = np.array([r["rate"] for r in judged.values()])
-    # projected gradient on all rates, step by step, from the written posteriors
+    # the least squares of the shares, by many small steps on all rates from 1
     wanted, total, r = np.array([mixing.TARGETS[d] for d in sorted(mixing.TARGETS)]), n.sum(), np.ones(len(n))
-    loss = lambda r: 0.5 * (((r * n) @ p / total - wanted) ** 2).sum() + 1e-3 / 2 * (n / total * (r - 1) ** 2).sum()
+    left = lambda r: (r * n) @ p / total - wanted
     for _ in range(20000):
-        r = np.maximum(0, r - 0.9 * (p @ ((r * n) @ p / total - wanted) + 1e-3 * (r - 1)))
-    some = n > 0
-    assert np.allclose(rate[some], r[some], atol=2e-2) and loss(rate) <= loss(r) + 1e-9
+        r = np.maximum(0, r - 0.9 * (p @ left(r)))
+    assert (rate >= 0).all() and np.abs(left(rate)).max() <= max(1e-3, 2 * np.abs(left(r)).max())
     rows = STAGES["mixing"](spark, docs, SF).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in rows} == {i: r["copies"] for i, r in judged.items() if r["copies"]}
 
