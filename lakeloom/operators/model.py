@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lakeloom.errors import EmbeddingsError
 from lakeloom.functions import vectors as V
 
+from .attention import attention  # noqa: F401  part of this module's interface
+
 # Sizes of the published GPT-2 models.
 GPT2_SIZES = {
     "124M": {"vocab_size": 50257, "context_length": 1024, "num_layers": 12, "num_heads": 12, "embed_dim": 768, "hidden_dim": 3072},
@@ -29,30 +31,6 @@ def embed(tokens: DataFrame, token_table: DataFrame, position_table: DataFrame,
     return tokens.join(t, "token_id").join(p, "pos").select(*keys, "pos", V.add(F.col("_t"), F.col("_p")).alias("x"))
 
 
-def attention(df: DataFrame, sequence: str, pos: str, q: str = "q", k: str = "k", v: str = "v", causal: bool = True, heads: int = 1) -> DataFrame:
-    """(sequence, pos, y): softmax(q k / sqrt(head size)) v within each sequence; with causal, over positions up to the query's."""
-    if heads > 1:
-        width = F.size(q) / heads
-        cut = lambda c: F.slice(F.col(c), (F.col("head") * width + 1).cast("int"), width.cast("int")).alias(c)
-        split = df.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1)))).select(sequence, pos, "head", cut(q), cut(k), cut(v))
-        one = _attend(split, [sequence, "head"], pos, q, k, v, causal)
-        return one.groupBy(sequence, pos).agg(F.sort_array(F.collect_list(F.struct("head", "y"))).alias("all")).select(sequence, pos, F.flatten(F.transform("all", lambda x: x["y"])).alias("y"))
-    return _attend(df, [sequence], pos, q, k, v, causal)
-
-
-def _attend(df, by, pos, q, k, v, causal):
-    left = df.select(*by, pos, F.col(q).alias("_q"))
-    right = df.select(*by, F.col(pos).alias("_at"), F.col(k).alias("_k"), F.col(v).alias("_v"))
-    pairs = left.join(right, by)
-    pairs = pairs.where(F.col("_at") <= F.col(pos)) if causal else pairs
-    scored = pairs.select(*by, pos, F.struct("_at", (V.dot(F.col("_q"), F.col("_k")) / F.sqrt(F.size("_q"))).alias("s"), "_v").alias("r"))
-    rows = scored.groupBy(*by, pos).agg(F.sort_array(F.collect_list("r")).alias("r"))
-    weights = rows.withColumn("_w", V.softmax(F.transform("r", lambda x: x["s"])))
-    zero = F.transform(F.element_at("r", 1)["_v"], lambda _: F.lit(0.0))
-    y = F.aggregate(F.arrays_zip(F.col("r").alias("r"), F.col("_w").alias("w")), zero, lambda a, x: F.zip_with(a, x["r"]["_v"], lambda p, t: p + x["w"] * t))
-    return weights.select(*by, pos, y.alias("y"))
-
-
 def cross_entropy(logits: DataFrame, logit: str = "logits", target: str = "target", ignore: int = -100) -> DataFrame:
     """One row: the mean of -ln softmax[target] over targets that are not ignored."""
     log_sum = V.let(F.array_max(logit), lambda m: m + F.log(V.total(F.transform(F.col(logit), lambda x: F.exp(x - m)))))
