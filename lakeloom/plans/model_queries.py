@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lakeloom.functions import vectors as V
+from lakeloom.operators import experts as E
 from lakeloom.operators import model as M
 from lakeloom.operators import training as R
 from lakeloom.operators.bpe import Bpe
@@ -284,3 +285,30 @@ def learning_rates(spark, sf_dir):
 def best_so_far(spark, sf_dir):
     """Events stand in for evaluation steps."""
     return R.best_so_far(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "is_best")
+
+
+_ROUTED = f"""{_L}, c AS (SELECT vec_id, x, unnest(generate_series(0, 7)) AS expert, unnest(x[1:8]) AS logit FROM l),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, expert) - 1 AS choice FROM c), k AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS gate FROM r WHERE choice < 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY expert ORDER BY choice, vec_id) - 1 AS place, (SELECT CAST(ceil(count(*) * 2 / 8.0) AS BIGINT) FROM l) AS most FROM k)"""
+
+
+def _routed(spark, sf_dir):
+    rows = _logits(spark, sf_dir)
+    return E.route(rows.select("vec_id", "x", F.slice("x", 1, 8).alias("logits")), "vec_id", "logits", "x", 2, E.capacity(rows.count(), 8, 2))
+
+
+@query("expert_routing", f"WITH {_ROUTED} SELECT vec_id AS token, CAST(choice AS INTEGER) AS choice, CAST(expert AS INTEGER) AS expert, round(gate, 6) AS gate, place, place < most AS sent FROM p")
+def expert_routing(spark, sf_dir):
+    """Two of eight experts for each vector, whose first components are the router's logits; every expert takes its even share."""
+    return _routed(spark, sf_dir).select("token", F.col("choice").cast("int").alias("choice"), "expert", F.round("gate", 6).alias("gate"), "place", "sent")
+
+
+@query(
+    "expert_outputs",
+    f"WITH {_ROUTED}, w AS (SELECT vec_id AS expert, x AS w FROM l WHERE vec_id < 8), y AS (SELECT vec_id AS token, i - 1 AS idx, sum(CASE WHEN place < most THEN gate * x[i] * w[i] ELSE 0 END) AS y FROM p JOIN w USING (expert), (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY vec_id, i) SELECT token, CAST(idx AS INTEGER) AS idx, round(y, 6) + 0.0 AS y FROM y",
+)
+def expert_outputs(spark, sf_dir):
+    """What the experts (a vector each, multiplied component by component) return for the tokens they take, weighted and summed."""
+    experts = _logits(spark, sf_dir).where("vec_id < 8").select(F.col("vec_id").alias("expert"), F.col("x").alias("weights"))
+    got = E.combine(_routed(spark, sf_dir), experts, lambda x, w: F.zip_with(x, w, lambda a, b: a * b))
+    return got.select("token", F.posexplode("y").alias("idx", "_y")).select("token", "idx", (F.round("_y", 6) + 0.0).alias("y"))
