@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import vectors as V
 from lakeloom.operators import experts as E
 from lakeloom.operators import model as M
+from lakeloom.operators import tiles
 from lakeloom.operators import training as R
 from lakeloom.operators.bpe import Bpe
 from lakeloom.operators.instruct import draw
@@ -312,3 +313,36 @@ def expert_outputs(spark, sf_dir):
     experts = _logits(spark, sf_dir).where("vec_id < 8").select(F.col("vec_id").alias("expert"), F.col("x").alias("weights"))
     got = E.combine(_routed(spark, sf_dir), experts, lambda x, w: F.zip_with(x, w, lambda a, b: a * b))
     return got.select("token", F.posexplode("y").alias("idx", "_y")).select("token", "idx", (F.round("_y", 6) + 0.0).alias("y"))
+
+
+def _block_sql() -> str:
+    """A block on sequences of 16 vectors of 16 components; the weights are parts of the first 96 vectors, a tenth of them."""
+    def table(first, n, a, b):
+        return f"(SELECT list(list_transform(x[{a}:{b}], lambda v: v / 10) ORDER BY vec_id) FROM l WHERE vec_id >= {first} AND vec_id < {first + n})"
+
+    def times(x, w, n_in, n_out):
+        return f"list_transform(generate_series(1, {n_out}), lambda j: list_sum(list_transform(generate_series(1, {n_in}), lambda i: {x}[i] * {w}[i][j])))"
+
+    def norm(x):
+        return f"list_transform({x}, lambda v: (v - list_avg({x})) / sqrt(list_avg(list_transform({x}, lambda u: (u - list_avg({x})) * (u - list_avg({x})))) + 1e-5))"
+
+    add = lambda x, y: f"list_transform(generate_series(1, 16), lambda i: {x}[i] + {y}[i])"
+    return f"""WITH {_L}, w AS (SELECT {table(0, 16, 1, 16)} AS wq, {table(0, 16, 17, 32)} AS wk, {table(0, 16, 33, 48)} AS wv, {table(0, 16, 49, 64)} AS wo, {table(16, 16, 1, 64)} AS w1, {table(32, 64, 1, 16)} AS w2),
+    t AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, x[1:16] AS x FROM l), n AS (SELECT seq, pos, x, {norm('x')} AS h FROM t),
+    p AS (SELECT seq, pos, x, {times('h', 'wq', 16, 16)} AS q, {times('h', 'wk', 16, 16)} AS k, {times('h', 'wv', 16, 16)} AS v FROM n, w),
+    s AS (SELECT a.seq, a.pos, head, exp(list_dot_product(a.q[head * 4 + 1:head * 4 + 4], b.k[head * 4 + 1:head * 4 + 4]) / 2) AS e, b.v[head * 4 + 1:head * 4 + 4] AS v FROM p a JOIN p b ON a.seq = b.seq AND b.pos <= a.pos, (SELECT unnest(generate_series(0, 3)) AS head)),
+    o AS (SELECT seq, pos, head, i, sum(e * v[i]) / sum(e) AS y FROM s, (SELECT unnest(generate_series(1, 4)) AS i) GROUP BY ALL), y AS (SELECT seq, pos, list(y ORDER BY head, i) AS y FROM o GROUP BY seq, pos),
+    r AS (SELECT seq, pos, x, {times('y', 'wo', 16, 16)} AS y FROM y JOIN p USING (seq, pos), w), m AS (SELECT seq, pos, {add('x', 'y')} AS x FROM r), f AS (SELECT seq, pos, x, {norm('x')} AS h FROM m),
+    u AS (SELECT seq, pos, x, {times('h', 'w1', 16, 64)} AS u FROM f, w), g AS (SELECT seq, pos, x, list_transform(u, lambda v: 0.5 * v * (1 + {_ERF})) AS g FROM u), d AS (SELECT seq, pos, x, {times('g', 'w2', 64, 16)} AS y FROM g, w)
+    SELECT seq, pos, CAST(unnest(generate_series(0, 15)) AS INTEGER) AS idx, round(unnest({add('x', 'y')}), 5) + 0.0 AS y FROM d"""
+
+
+@query("transformer_block", _block_sql())
+def transformer_block(spark, sf_dir):
+    """A pre-norm block of four heads; its weights are parts of the first 96 vectors."""
+    rows = _logits(spark, sf_dir)
+    part = lambda first, n, a, size: rows.where(f"vec_id >= {first} AND vec_id < {first + n}").select((F.col("vec_id") - first).alias("i"), F.transform(F.slice("x", a, size), lambda v: v / 10).alias("row"))
+    weights = {"q_proj": part(0, 16, 1, 16), "k_proj": part(0, 16, 17, 16), "v_proj": part(0, 16, 33, 16), "out_proj": part(0, 16, 49, 16), "fc1": part(16, 16, 1, 64), "fc2": part(32, 64, 1, 16)}
+    given = _sequences(spark, sf_dir).select("seq", "pos", F.slice("x", 1, 16).alias("x"))
+    got = tiles.transformer_block(given, weights, 4)
+    return got.select("seq", "pos", F.posexplode("y").alias("idx", "_y")).select("seq", "pos", "idx", (F.round("_y", 5) + 0.0).alias("y"))
