@@ -11,8 +11,6 @@ Defined cases: null and empty texts add nothing; texts follow each other in orde
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +23,9 @@ from .ranking import prefix_sum
 
 BYTES = 256
 #: Bytes of a range at least, and ranges at most.
-RANGE, MOST = 1 << 18, 1 << 20
+RANGE, MOST = 1 << 16, 1 << 20
+#: Pairs of tokens up to which a task counts in an array of all of them.
+DENSE = 1 << 22
 MADE = "kind int, no long, ids binary, pair long, total long, at long, first long, last long, tail long, n long"
 
 
@@ -44,13 +44,13 @@ def ranges(df: DataFrame, key: str, text: str = "text", size: int | None = None,
 
     def piece(b):
         a = F.greatest(b * size - F.col("start"), F.lit(0))
-        return F.struct(b.alias("no"), (F.col("start") + a).alias("at"), F.col("raw").substr((a + 1).cast("int"), F.lit(size)).alias("raw"), (b * size + size - F.col("start") - a).alias("room"))
+        return F.struct(b.alias("no"), (F.col("start") + a).alias("at"), F.col("raw").substr((a + 1).cast("int"), (b * size + size - F.col("start") - a).cast("int")).alias("raw"))
 
     pieces = placed.select(F.explode(F.transform(F.sequence(low, high), piece)).alias("p")).select("p.*")
 
     def joined(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("at").to_pylist(), table.column("raw").to_pylist(), table.column("room").to_pylist(), strict=True), key=lambda r: r[0])
-        ids = np.frombuffer(b"".join(raw[:room] for _, raw, room in rows), np.uint8).astype(code).tobytes()
+        rows = sorted(zip(table.column("at").to_pylist(), table.column("raw").to_pylist(), strict=True))
+        ids = np.frombuffer(b"".join(raw for _, raw in rows), np.uint8).astype(code).tobytes()
         return pa.table({"no": pa.array([table.column("no")[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.binary())})
 
     return pieces.groupBy("no").applyInArrow(joined, "no long, ids binary")
@@ -62,8 +62,8 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
     if n <= 0:
         return merges
     spark = df.sparkSession
-    code = code_for(n)
-    made = keep(ranges(df, key, text, size, code).mapInArrow(_round({}, {}, code), MADE), "stream-bpe", "kind")
+    code, tokens = code_for(n), (BYTES + n) * ((BYTES + n) ** 2 <= DENSE)
+    made = keep(ranges(df, key, text, size, code).mapInArrow(_round({}, {}, code, tokens), MADE), "stream-bpe", "kind")
     while len(merges) < n:
         edges = [tuple(r) for r in made.where("kind = 0 AND n > 0").select("no", "n", "first", "last", "tail").orderBy("no").collect()]
         batch = _next(spark, made, edges, n - len(merges))
@@ -73,7 +73,7 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
         merges += [(p >> 32, p & 0xFFFFFFFF) for p in batch]
         if len(merges) == n:
             break
-        after = keep(made.where("kind = 0").select("no", "ids").mapInArrow(_round(new, stitched(edges, new), code), MADE), "stream-bpe", "kind")
+        after = keep(made.where("kind = 0").select("no", "ids").mapInArrow(_round(new, stitched(edges, new), code, tokens), MADE), "stream-bpe", "kind")
         drop(made)
         made = after
     drop(made)
@@ -138,12 +138,44 @@ def merged(ids: np.ndarray, new: dict[int, int]) -> np.ndarray:
     return out[stays]
 
 
-def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]], code: str):
+class Counts:
+    """Pairs of the ranges of a task: their number and first place. tokens: how many there are, if pairs of them are to be counted in an array, else 0."""
+
+    def __init__(self, tokens: int):
+        self.tokens = tokens
+        if tokens:
+            self.total, self.no, self.at = (np.full(tokens * tokens, x, np.int64) for x in (0, np.iinfo(np.int64).max, 0))
+        self.other: dict[int, list[int]] = {}
+
+    def add(self, no: int, ids: np.ndarray) -> None:
+        if not self.tokens:
+            pairs, at, n = np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_index=True, return_counts=True)
+            for p, i, k in zip(pairs.tolist(), at.tolist(), n.tolist(), strict=True):
+                own = self.other.setdefault(p, [0, no, i])
+                own[:] = own[0] + k, *min((own[1], own[2]), (no, i))
+            return
+        codes = ids[:-1].astype(np.int64) * self.tokens + ids[1:]
+        here = np.bincount(codes, minlength=len(self.total))
+        self.total += here
+        first = np.flatnonzero((here > 0) & (no < self.no))
+        if len(first):
+            at = np.empty(len(here), np.int64)
+            at[codes[::-1]] = np.arange(len(codes))[::-1]  # the last one that is written is the first one
+            self.no[first], self.at[first] = no, at[first]
+
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        """(pair, number, range, place)."""
+        if not self.tokens:
+            return [(p, *x) for p, x in self.other.items()]
+        some = np.flatnonzero(self.total)
+        return list(zip((some // self.tokens << 32 | some % self.tokens).tolist(), self.total[some].tolist(), self.no[some].tolist(), self.at[some].tolist(), strict=True))
+
+
+def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]], code: str, tokens: int):
     """Ranges after a round's merges (kind 0, with their edges), and their pairs (kind 1: number, first range and place, one row for each pair and task)."""
 
     def run(batches):
-        total: Counter = Counter()
-        first: dict[int, tuple[int, int]] = {}
+        counts = Counts(tokens)
         for b in batches:
             for no, raw in zip(b.column("no").to_pylist(), b.column("ids"), strict=True):
                 ids = np.frombuffer(raw.as_buffer(), code)
@@ -152,15 +184,11 @@ def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]], code: str)
                 if last >= 0:
                     ids = np.append(ids[:-1], np.array(last, code))
                 if len(ids) > 1:
-                    pairs, at, n = np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_index=True, return_counts=True)
-                    for p, i, k in zip(pairs.tolist(), at.tolist(), n.tolist(), strict=True):
-                        total[p] += k
-                        if p not in first or (no, i) < first[p]:
-                            first[p] = (no, i)
+                    counts.add(no, ids)
                 other = np.flatnonzero(ids != ids[-1]) if len(ids) else ids
                 edge = [int(ids[0]), int(ids[-1]), len(ids) - (int(other[-1]) + 1 if len(other) else 0), len(ids)] if len(ids) else [-1, -1, 0, 0]
                 yield _batch([(0, no, ids.astype(code).tobytes(), None, None, None, *edge)])
-        yield _batch([(1, first[p][0], None, p, k, first[p][1], None, None, None, None) for p, k in total.items()])
+        yield _batch([(1, no, None, p, k, at, None, None, None, None) for p, k, no, at in counts.rows()])
 
     return run
 

@@ -70,8 +70,9 @@ def slow_stream(data, n):
     return merges
 
 
-@pytest.mark.parametrize("size", [1, 3, 50, 100_000])
-def test_stream_training(spark, size):
+@pytest.mark.parametrize("size,dense", [(1, 1 << 22), (3, 0), (50, 0), (100_000, 1 << 22)])
+def test_stream_training(spark, monkeypatch, size, dense):
+    monkeypatch.setattr(stream_bpe, "DENSE", dense)
     given = ["aaaaaaa", None, "aab" * 11, "", "é" * 9 + "abab", "aaaaa" * 9, "the cat, the hat"]
     data = "".join(t or "" for t in given).encode()
     df = spark.createDataFrame([(7 * i, t) for i, t in enumerate(given)], "k long, text string").repartition(3)
