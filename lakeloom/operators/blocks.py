@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.errors import DataLoaderError
 
-from .ranking import prefix_sum
+from .ranking import GROUPS, prefix_sum
 from .shuffling import shuffled_place
 
 # Bounds of the automatic buffer size.
@@ -86,6 +89,76 @@ def batches_of(placed: DataFrame, block_size: int, batch_size: int) -> DataFrame
     return out.select("batch_id", "row", F.slice("ids", 1, block_size).alias("x"), F.slice("ids", 2, block_size).alias("y"))
 
 
+def packed_batches(docs: DataFrame, key: str, raw: Column, block_size: int, batch_size: int, code: str = "u1") -> DataFrame:
+    """(batch_id, row, x, y) as batches() gives, from documents in order of an integer key whose tokens are packed in a binary column (numbers of the NumPy type
+    `code`). Documents are shuffled once, by ranges of keys; in a range the stream is cut into rows where it lies, and only the pieces at the ranges' ends are put
+    together by a second, small shuffle. Null tokens are none; keys must be distinct.
+    """
+    width, item = block_size + 1, np.dtype(code).itemsize
+    rows = docs.select(F.col(key).cast("long").alias("_key"), raw.alias("raw")).withColumn("n", F.floor(F.octet_length("raw") / item).cast("long")).where("n > 0")
+    ends = rows.agg(F.min("_key"), F.max("_key")).first()
+    if ends[0] is None:
+        return docs.sparkSession.createDataFrame([], "batch_id long, row int, x array<int>, y array<int>")
+    range_ = F.floor(F.col("_key") / max(256, -(-(ends[1] - ends[0] + 1) // GROUPS))).cast("long")
+    sums = rows.groupBy(range_.alias("range")).agg(F.sum("n").alias("_sum"))
+    before = sums.select("range", "_sum", F.coalesce(F.sum("_sum").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    known = before.collect()  # at most GROUPS rows
+    full = epoch_batches(sum(r["_sum"] for r in known), block_size, batch_size)
+    known = docs.sparkSession.createDataFrame([(r["range"], r["_before"]) for r in known], "range long, _before long")
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("range", range_).withColumn("_inside", inside).join(F.broadcast(known), "range").select((F.col("_before") + F.col("_inside")).cast("long").alias("start"), "raw")
+
+    def cut(pieces: bool):
+        def run(batches):
+            held, at = np.zeros(0, code), 0  # what has come since the last whole row, and where it begins
+            for b in batches:
+                starts = b.column("start").to_pylist()
+                parts, first = [held], at
+                out = []
+                size = len(held)
+                for start, x in zip(starts, b.column("raw"), strict=True):
+                    ids = np.frombuffer(x.as_buffer(), code)
+                    if start != first + size:
+                        out.append((first, np.concatenate(parts)))
+                        parts, first, size = [], start, 0
+                    parts.append(ids)
+                    size += len(ids)
+                data = np.concatenate(parts)
+                keep_ = min(len(data), (first + len(data)) % width)
+                out.append((first, data[: len(data) - keep_]))
+                held, at = data[len(data) - keep_ :], first + len(data) - keep_
+                for o in out:
+                    yield from _rows_of(*o, width, pieces)
+            yield from _rows_of(at, held, width, pieces)
+
+        return run
+
+    schema = "block long, at long, ids array<int>"
+    whole = placed.mapInArrow(cut(False), schema).select("block", "ids")
+    parts = placed.mapInArrow(cut(True), schema).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("all")).select("block", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids")).where(F.size("ids") == width)
+    got = whole.unionByName(parts).where(F.col("block") < full * batch_size)
+    return got.select(F.floor(F.col("block") / batch_size).cast("long").alias("batch_id"), (F.col("block") % batch_size).cast("int").alias("row"), F.slice("ids", 1, block_size).alias("x"), F.slice("ids", 2, block_size).alias("y"))
+
+
+def _rows_of(first: int, data: np.ndarray, width: int, pieces: bool):
+    """The whole rows of a part of the stream that begins at position first, or else what is before and after them."""
+    head = min(len(data), -first % width)
+    n = (len(data) - head) // width
+    if not pieces:
+        if n:
+            block = (first + head) // width + np.arange(n)
+            yield _listed(block, block * width, data[head : head + n * width], np.arange(n + 1) * width)
+        return
+    for a, x in ((first, data[:head]), (first + head + n * width, data[head + n * width :])):
+        if len(x):
+            yield _listed(np.array([a // width]), np.array([a]), x, np.array([0, len(x)]))
+
+
+def _listed(block: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(at, pa.int64()), lists], names=["block", "at", "ids"])
+
+
 def epoch_batches(n: int, block_size: int, batch_size: int) -> int:
     return n // (batch_size * (block_size + 1))
 

@@ -307,7 +307,7 @@ def _sizes(spark, sf_dir):
         CAST(list_sum(list_transform(generate_series(1, 64), lambda i: i * CAST('0x' || substr(row_hex, 2 * i - 1, 2) AS BIGINT))) AS BIGINT) AS x_checksum FROM s""",
 )
 def training_blocks(spark, sf_dir):
-    got = B.batches_of(_stream(spark, sf_dir), 64, 8)
+    got = B.packed_batches(table(spark, sf_dir, "documents"), "doc_id", F.encode("text", "UTF-8"), 64, 8)
     checksum = F.aggregate(F.transform("x", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return got.select("batch_id", "row", F.element_at("x", 1).cast("long").alias("first_x"), F.element_at("y", -1).cast("long").alias("last_y"), checksum.alias("x_checksum"))
 

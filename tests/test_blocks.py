@@ -107,3 +107,20 @@ def test_sample_batches(spark):
     got = B.sample_batches(df, "id", 3, 10, drop_last=True, seed=1).collect()
     assert len(got) == 9 and sorted((r["batch_id"], r["row"]) for r in got) == [(b, k) for b in range(3) for k in range(3)]
     assert B.sample_batches(df, "id", 3, 10).where("batch_id = 3").count() == 1
+
+
+@pytest.mark.parametrize("code,keys", [("u1", 1), ("<i4", 1), ("<u2", 977)])
+def test_packed_batches(spark, code, keys):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    docs = [(k * keys - 300, r.integers(0, 200, int(n)).astype(code)) for k, n in enumerate(r.choice([0, 1, 2, 7, 40, 900], 700))]
+    stream = np.concatenate([x for _, x in docs])
+    df = spark.createDataFrame([(k, bytearray(x.tobytes()), 1, "b") for k, x in docs] + [(10**7, None, 1, "b")], "k long, raw binary, start long, block string").repartition(5)
+    got = {(x["batch_id"], x["row"]): (x["x"], x["y"]) for x in B.packed_batches(df, "k", F.col("raw"), 16, 3, code).collect()}
+    n = len(stream) // 51
+    assert sorted(got) == [(b, i) for b in range(n) for i in range(3)]
+    for (b, i), (x, y) in got.items():
+        row = stream[(3 * b + i) * 17 :][:17].tolist()
+        assert x == row[:-1] and y == row[1:]
+    assert B.packed_batches(df.limit(0), "k", F.col("raw"), 16, 3, code).count() == 0
