@@ -28,7 +28,8 @@ def test_against_sql(spark, duck, name):
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(df.columns)
     order = [names.index(c) for c in df.columns]
-    assert sorted(map(str, got)) == sorted(str(tuple(r[i] for i in order)) for r in rel.fetchall())
+    shown = lambda r: str(tuple(f"{x:.10g}" if isinstance(x, float) else x for x in r))
+    assert sorted(map(shown, got)) == sorted(shown([r[i] for i in order]) for r in rel.fetchall())
 
 
 def test_all_are_there():
