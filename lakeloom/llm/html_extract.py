@@ -227,8 +227,8 @@ def tokens(page: str, wrappers: frozenset[int] = frozenset(), found: list[Inside
 
 #: What share of a page's words a container has to hold to be a wrapper of the page; words of readers' comments are often the most of a page.
 MOST, MOST_COMMENTS = 0.5, 0.9
-#: Main words outside from which a container is no wrapper.
-ELSEWHERE = 15
+#: Words that a wrapper holds at least: a footer may be longer than a very short text.
+LEAST = 50
 
 
 def read(page: str) -> list:
@@ -237,7 +237,7 @@ def read(page: str) -> list:
     found: list[Inside] = []
     seen = list(tokens(page, found=found))
     whole = found.pop()
-    large = [i for i, c in enumerate(found) if c.words > (MOST_COMMENTS if c.kind == "comments" else MOST) * whole.words]
+    large = [i for i, c in enumerate(found) if c.words >= LEAST and c.words > (MOST_COMMENTS if c.kind == "comments" else MOST) * whole.words]
     if not large:
         return seen
     again: list[Inside] = []  # they lie one in the other, so it is told at once what is main when none of them hides it
@@ -245,7 +245,7 @@ def read(page: str) -> list:
     whole = again.pop()
     wrappers = []
     for i in large:
-        if whole.main - again[i].main >= ELSEWHERE:
+        if whole.main > again[i].main:
             break
         wrappers.append(i)
     return list(tokens(page, frozenset(wrappers))) if wrappers else seen

@@ -148,6 +148,14 @@ def test_boilerplate_stays_out_however_long():
     assert H.extract(f'<body><div>{BODY}</div><aside class="related">{BODY[:60]}</aside></body>') == "\n".join(PARAGRAPHS)
 
 
+def test_short_texts_beside_longer_boilerplate():
+    notes = " ".join(f"note{i}" for i in range(40))
+    for tag in ("article", "div"):
+        page = f"<body>{MENU}<{tag}><h1>A title</h1><p>Five words of short text.</p></{tag}><footer>&copy; {notes}</footer></body>"
+        assert H.extract(page) == "A title\nFive words of short text."
+    assert H.extract(f"<body><article><p>Only a few words.</p></article><footer>{notes} {notes}</footer></body>") == "Only a few words."
+
+
 def test_deep_nesting_is_linear():
     for tag in ("div", "b", "ul><li", 'div class="widget"', "p><span"):
         began = time.time()
