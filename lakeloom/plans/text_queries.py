@@ -74,10 +74,9 @@ def corpus_summary(spark, sf_dir):
     return D.corpus_summary(table(spark, sf_dir, "documents"), "lang", "source")
 
 
-def _corpora(spark, sf_dir):
-    """One text for each source: its documents between blank lines."""
-    docs = table(spark, sf_dir, "documents")
-    return D.join_documents(docs.select("source", F.col("doc_id").alias("doc_pos"), F.concat(F.lit(" "), F.col("text"), F.lit(" \n")).alias("doc")), "source")
+def _framed(spark, sf_dir):
+    """Documents with a blank before and a blank and a newline behind."""
+    return table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("doc_pos"), F.concat(F.lit(" "), F.col("text"), F.lit(" \n")).alias("doc"))
 
 
 _CORPORA = "corpora AS (SELECT source, string_agg(' ' || text || ' ' || chr(10), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source)"
@@ -91,7 +90,7 @@ _PIECES = r"list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), la
     SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY seq) - 1 AS INTEGER) AS doc_pos, doc FROM k""",
 )
 def documents_split(spark, sf_dir):
-    return D.split_documents(_corpora(spark, sf_dir), "source", method="double_newline", min_chars=50)
+    return D.split_in_order(_framed(spark, sf_dir), "source", "doc_pos", "doc", min_chars=50)
 
 
 @query(
@@ -107,7 +106,8 @@ def documents_split_regex(spark, sf_dir):
 
 @query("documents_joined", f"WITH {_CORPORA} SELECT source, text FROM corpora")
 def documents_joined(spark, sf_dir):
-    return _corpora(spark, sf_dir)
+    """One text for each source: its documents between blank lines."""
+    return D.join_documents(_framed(spark, sf_dir), "source")
 
 
 @query(
@@ -121,7 +121,7 @@ def documents_min_length(spark, sf_dir):
 
 @query("documents_shuffled")
 def documents_shuffled(spark, sf_dir):
-    return D.split_documents(_corpora(spark, sf_dir), "source", method="double_newline", shuffle=True, seed=42)
+    return D.split_in_order(_framed(spark, sf_dir), "source", "doc_pos", "doc", shuffle=True, seed=42)
 
 
 @query(

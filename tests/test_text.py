@@ -61,6 +61,36 @@ def test_seeded_shuffle(spark):
     assert D.hash_shuffled(docs, 1, "doc").count() == 3
 
 
+def test_split_in_order_is_the_split_of_the_joined_texts(spark):
+    """Documents of a key come from its rows: no task holds the text of a key, and an order may be of more than 2**20 documents."""
+    ends = ["", "\n", "\n\n", "\n\n\n", " \n", "\n \n"]
+    r = random.Random(3)
+    texts = [None if i % 17 == 0 else r.choice(ends) + "\n\n".join(r.choice(["ab", "c\nd", "", " e ", "long enough"]) for _ in range(r.randint(0, 5))) + r.choice(ends) for i in range(300)]
+    rows = [(r.choice(["x", "y", None]), i * 977 - 40, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k string, no long, doc string").repartition(5)
+    for least in (0, 3):
+        want = {}
+        for k in ("x", "y", None):
+            pieces = [p.strip() for p in regex.split(r"\n{2,}", "\n\n".join(t for key, _, t in rows if key == k and t is not None)) if p.strip()]
+            want[k] = [p for p in pieces if len(p) >= least]
+        got = D.split_in_order(df, "k", "no", "doc", min_chars=least).collect()
+        assert sorted((str(x["k"]), x["doc_pos"], x["doc"]) for x in got) == sorted((str(k), i, p) for k, ps in want.items() for i, p in enumerate(ps))
+        got = D.split_in_order(df, "k", "no", "doc", min_chars=least, shuffle=True, seed=42).collect()
+        assert sorted((str(x["k"]), x["doc_pos"], x["doc"]) for x in got) == sorted((str(k), i, ps[o]) for k, ps in want.items() for i, o in enumerate(D.permutation(len(ps), 42)))
+    assert D.split_in_order(df.limit(0), "k", "no", "doc", shuffle=True, seed=1).count() == 0
+    order = list(range(1000))
+    random.Random(7).shuffle(order)
+    assert D.permutation(1000, 7) == order
+
+
+def test_shuffled_has_no_most(spark):
+    n = (1 << 20) + 5
+    docs = spark.range(n).select(F.lit(None).cast("string").alias("key"), F.col("id").cast("int").alias("doc_pos"), F.col("id").alias("doc"))
+    got = D.shuffled(docs, "key", 42)
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("doc_pos"), F.max("doc_pos")).first()[:] == (n, n, n - 1)
+    assert [r["doc"] for r in got.where("doc_pos < 3").orderBy("doc_pos").collect()] == D.permutation(n, 42)[:3]
+
+
 def test_split_documents_min_length(spark):
     df = spark.createDataFrame([(1, "one line\n\nshort\n\nanother line here")], "k long, text string")
     rows = D.split_documents(df, "k", method="double_newline", min_chars=8).orderBy("doc_pos").collect()
