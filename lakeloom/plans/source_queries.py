@@ -34,7 +34,7 @@ def json_array(spark, sf_dir):
     """Samples as one JSON array."""
     path = scratch(spark, "array") + ".json"
     files.write_json_array(_samples(spark, sf_dir).select("conv_id", "turn", "instruction", "input", "output"), path)
-    return files.read_json(spark, path, _KEYED)
+    return files.read_json(spark, path, _KEYED, indent=2)
 
 
 @query("json_lines", f"WITH {_ROWS} SELECT * FROM samples UNION ALL SELECT * FROM samples")
@@ -52,9 +52,9 @@ def json_unescaped(spark, sf_dir):
     """An array with escapes rewritten without: the texts stay, the escapes of other than ASCII characters go."""
     path = scratch(spark, "escaped")
     files.write_json_array(_samples(spark, sf_dir).select("instruction", "input", "output"), f"{path}.json", escaped=True)
-    files.rewrite_unescaped(spark, f"{path}.json", f"{path}-plain.json")
+    files.rewrite_unescaped(spark, f"{path}.json", f"{path}-plain.json", indent=2)
     whole = F.concat("instruction", "input", "output")
-    got = files.read_json(spark, f"{path}-plain.json").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(whole)).cast("long").alias("characters"), F.sum(F.octet_length(whole)).cast("long").alias("bytes"))
+    got = files.read_json(spark, f"{path}-plain.json", indent=2).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(whole)).cast("long").alias("characters"), F.sum(F.octet_length(whole)).cast("long").alias("bytes"))
     plain = spark.read.text(f"{path}-plain.json").agg(F.count(F.when(F.col("value").rlike(r"\\\\u00[89a-f]|\\\\u0[1-9a-f]|\\\\u[1-9a-f]"), 1)).cast("int").alias("escapes"))
     return got.crossJoin(plain)  # one row each
 

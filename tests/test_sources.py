@@ -26,6 +26,35 @@ def test_text_and_json(spark, tmp_path):
     assert (tmp_path / "d.json").read_text() == "[]"
 
 
+def test_json_arrays_by_all_tasks(spark, tmp_path, monkeypatch):
+    """No row of an array comes to the driver, and an array that was written here is read in parts, wherever they are cut."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    many = [{"instruction": f'é\n  }},\n  {{"{i}', "input": None if i % 7 == 0 else "]\n", "output": "[\\n  }]," * (i % 5)} for i in range(3000)]
+    df = spark.createDataFrame(many, S.SAMPLE).repartition(7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        for indent, escaped in ((2, False), (4, True)):
+            path = str(tmp_path / f"a{indent}.json")
+            S.write_json_array(df, path, indent, escaped)
+            text = open(path).read()
+            assert text == json.dumps(json.loads(text), indent=indent, ensure_ascii=escaped) and sorted(json.loads(text), key=str) == sorted(many, key=str)
+            got = S.read_json(spark, path, S.SAMPLE, indent)
+            assert got.rdd.getNumPartitions() > 4 and sorted((r.asDict() for r in got.collect()), key=str) == sorted(many, key=str)
+        assert S.read_json(spark, path, S.SAMPLE, 4).schema == S.read_json(spark, path, S.SAMPLE).schema
+        for n in (0, 1):
+            S.write_json_array(df.limit(n), str(tmp_path / "few.json"))
+            assert S.read_json(spark, str(tmp_path / "few.json"), S.SAMPLE, 2).count() == n
+        with pytest.raises(Exception):
+            (tmp_path / "bad.json").write_text('[\n  {\n    "input": "a"\n  },\n  {\n    "inp\n  }\n]')
+            S.read_json(spark, str(tmp_path / "bad.json"), S.SAMPLE, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_registry(spark, tmp_path):
     calls = []
     reg = S.Registry({"x": "place/x.txt"}, lambda place: calls.append(place) or b"data")
