@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,8 +71,26 @@ def fast_byte_ids(text: Column) -> Column:
     return F.arrow_udf(_bytes_of, "array<int>")(F.coalesce(text, F.lit("")))
 
 
-def _bytes_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+#: Bytes of texts that a worker turns into tokens, or of tokens that it turns into texts, before it hands them on.
+PIECE = 1 << 20
+
+
+def pieces_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches of texts, binaries or lists of numbers in pieces of about PIECE bytes (a value may be longer), so what a worker makes of a batch does not grow with it; an empty batch is one piece."""
     for c in columns:
+        listed = pa.types.is_list(c.type)
+        sizes = pc.fill_null(pc.list_value_length(c) if listed else pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes.astype(np.int64)) * (c.type.value_type.bit_width // 8 if listed else 1), 0
+        while True:
+            to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + PIECE, "right")))
+            yield c.slice(at, to - at)
+            at = to
+            if at >= len(c):
+                break
+
+
+def _bytes_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for c in pieces_of(columns):
         raw = c.cast(pa.large_binary())
         offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]

@@ -189,3 +189,23 @@ def test_sql_without_a_file(monkeypatch):
     assert "bpe_encode" in got and "published_encode" not in got
     monkeypatch.delenv("LAKELOOM_TOKENIZERS")
     assert "published_encode" in registry.oracles()
+
+
+def test_workers_hand_on_pieces_of_a_batch(spark):
+    """What a worker makes of a batch of texts does not grow with the batch."""
+    import pyarrow as pa
+
+    from lakeloom.functions import text as T
+
+    texts = ["ab" * (1 << 17) if i % 3 else None for i in range(30)] + ["", "é" * (T.PIECE + 1)]
+    pieces = list(T.pieces_of(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [x for p in pieces for x in p.to_pylist()] == texts and max(p.nbytes for p in pieces[:-2]) <= T.PIECE + (1 << 18) and len(pieces) > 4
+    lists = [[i] * 100_000 for i in range(20)] + [None]
+    pieces = list(T.pieces_of(iter([pa.array(lists, pa.list_(pa.int32()))])))
+    assert [x for p in pieces for x in p.to_pylist()] == lists and len(pieces) > 9
+    made = list(T._bytes_of(iter([pa.array([t or "" for t in texts])])))
+    assert len(made) > 4 and [len(x) for m in made for x in m.to_pylist()] == [len((t or "").encode()) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    tokenizer = P.Bpe([(97, 98), (256, 256)], {})
+    back = rows.select("i", "t", P.decode_cached(P.encode_cached(F.col("t"), tokenizer), tokenizer).alias("x")).collect()
+    assert len(back) == len(texts) and all(r["t"] == r["x"] == texts[r["i"]] for r in back)
