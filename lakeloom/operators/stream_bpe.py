@@ -4,7 +4,8 @@ The stream is a table of ranges of consecutive tokens. A round takes several mer
 by itself, and what lies across the border of two ranges is stitched: a border is known by the last token of one range and the first of the next one
 that is not empty, and a run of one token (``aaaa`` merges in twos from its beginning) hands on whether its last token is still alone. Borders
 are the driver's: ranges grow with the stream, so there are at most MOST of them (a few dozen bytes each). Pairs are counted by range, added up
-distributed, and only the head of their ranking is collected. Ties go to the pair that comes first in the stream.
+distributed, and only the head of their ranking is collected. Ties go to the pair that comes first in the stream. Tasks bring the
+ranges up to date by the rounds since they were stored; they are stored anew every FOLD rounds only, and compressed well.
 
 Defined cases: null and empty texts add nothing; texts follow each other in order of an integer key, which must be distinct; fewer than two tokens end the training.
 """
@@ -24,6 +25,8 @@ from .ranking import prefix_sum
 BYTES = 256
 #: Bytes of a range at least, and ranges at most.
 RANGE, MOST = 1 << 16, 1 << 20
+#: Rounds after which the ranges are stored with the merges done.
+FOLD = 2
 #: Pairs of tokens up to which a task counts in an array of all of them.
 DENSE = 1 << 22
 MADE = "kind int, no long, ids binary, pair long, total long, at long, first long, last long, tail long, n long"
@@ -63,7 +66,8 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
         return merges
     spark = df.sparkSession
     code, tokens = code_for(n), (BYTES + n) * ((BYTES + n) ** 2 <= DENSE)
-    made = keep(ranges(df, key, text, size, code).mapInArrow(_round({}, {}, code, tokens), MADE), "stream-bpe", "kind")
+    stored = made = keep(ranges(df, key, text, size, code).mapInArrow(_round([], code, tokens, True), MADE), "stream-bpe", "kind", codec="zstd")
+    steps: list[tuple[dict, dict]] = []  # the rounds that the stored ranges lack
     while len(merges) < n:
         edges = [tuple(r) for r in made.where("kind = 0 AND n > 0").select("no", "n", "first", "last", "tail").orderBy("no").collect()]
         batch = _next(spark, made, edges, n - len(merges))
@@ -73,9 +77,17 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
         merges += [(p >> 32, p & 0xFFFFFFFF) for p in batch]
         if len(merges) == n:
             break
-        after = keep(made.where("kind = 0").select("no", "ids").mapInArrow(_round(new, stitched(edges, new), code, tokens), MADE), "stream-bpe", "kind")
-        drop(made)
+        steps.append((new, stitched(edges, new)))
+        fold = len(steps) == FOLD
+        after = keep(stored.where("kind = 0").select("no", "ids").mapInArrow(_round(list(steps), code, tokens, fold), MADE), "stream-bpe", "kind", codec="zstd")
+        if made is not stored:
+            drop(made)
+        if fold:
+            drop(stored)
+            stored, steps = after, []
         made = after
+    if made is not stored:
+        drop(stored)
     drop(made)
     return merges
 
@@ -171,23 +183,24 @@ class Counts:
         return list(zip((some // self.tokens << 32 | some % self.tokens).tolist(), self.total[some].tolist(), self.no[some].tolist(), self.at[some].tolist(), strict=True))
 
 
-def _round(new: dict[int, int], borders: dict[int, tuple[bool, int]], code: str, tokens: int):
-    """Ranges after a round's merges (kind 0, with their edges), and their pairs (kind 1: number, first range and place, one row for each pair and task)."""
+def _round(steps: list[tuple[dict[int, int], dict[int, tuple[bool, int]]]], code: str, tokens: int, store: bool):
+    """Ranges after the merges of some rounds (kind 0, with their edges; the ids if they are to be stored), and their pairs (kind 1: number, first range and place, one row for each pair and task)."""
 
     def run(batches):
         counts = Counts(tokens)
         for b in batches:
             for no, raw in zip(b.column("no").to_pylist(), b.column("ids"), strict=True):
                 ids = np.frombuffer(raw.as_buffer(), code)
-                dropped, last = borders.get(no, (False, -1))
-                ids = merged(ids[1:] if dropped else ids, new)
-                if last >= 0:
-                    ids = np.append(ids[:-1], np.array(last, code))
+                for new, borders in steps:
+                    dropped, last = borders.get(no, (False, -1))
+                    ids = merged(ids[1:] if dropped else ids, new)
+                    if last >= 0:
+                        ids = np.append(ids[:-1], np.array(last, code))
                 if len(ids) > 1:
                     counts.add(no, ids)
                 other = np.flatnonzero(ids != ids[-1]) if len(ids) else ids
                 edge = [int(ids[0]), int(ids[-1]), len(ids) - (int(other[-1]) + 1 if len(other) else 0), len(ids)] if len(ids) else [-1, -1, 0, 0]
-                yield _batch([(0, no, ids.astype(code).tobytes(), None, None, None, *edge)])
+                yield _batch([(0, no, ids.astype(code).tobytes() if store else None, None, None, None, *edge)])
         yield _batch([(1, no, None, p, k, at, None, None, None, None) for p, k, no, at in counts.rows()])
 
     return run

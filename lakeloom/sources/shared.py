@@ -17,10 +17,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df as a written table: no lineage, and nothing is lost with an executor."""
+def keep(df: DataFrame, name: str, *partition_by: str, codec: str | None = None) -> DataFrame:
+    """df as a written table: no lineage, and nothing is lost with an executor. codec: the files' compression, if not the session's."""
     path = folder(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out

@@ -130,3 +130,20 @@ def test_long_chunks():
     began = time.time()
     got = merge_word([r.choice(b"abcde") for _ in range(1 << 20)], ranks)
     assert len(got) < 1 << 20 and time.time() - began < 60
+
+
+def test_stream_ranges_are_stored_every_other_round(spark, monkeypatch):
+    """Ranges are not written in each round, and merges across borders are the same."""
+    from lakeloom.operators import stream_bpe as S
+
+    kept, own = [], S.keep
+    monkeypatch.setattr(S, "keep", lambda *a, **k: kept.append(own(*a, **k)) or kept[-1])
+    monkeypatch.setattr(S, "drop", lambda t: None)
+    r = random.Random(11)
+    texts = ["".join(r.choice("aab c") for _ in range(r.randint(0, 60))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    want = S.train(df, "k", 14, size=10**6)
+    held = [t.where("ids IS NOT NULL").count() > 0 for t in kept]
+    assert held == [i % S.FOLD == 0 for i in range(len(held))] and len(held) > S.FOLD + 1
+    assert S.train(df, "k", 14, size=3) == want
+    assert want == slow_stream("".join(texts).encode(), 14)
