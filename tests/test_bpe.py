@@ -209,3 +209,19 @@ def test_workers_hand_on_pieces_of_a_batch(spark):
     tokenizer = P.Bpe([(97, 98), (256, 256)], {})
     back = rows.select("i", "t", P.decode_cached(P.encode_cached(F.col("t"), tokenizer), tokenizer).alias("x")).collect()
     assert len(back) == len(texts) and all(r["t"] == r["x"] == texts[r["i"]] for r in back)
+
+
+def test_chunks_are_counted_without_sorting_them(spark):
+    """First places are one integer where they fit; numbers of texts that do not fit, or are null, give the same."""
+    texts = [t for t in fuzz(200, 9)] + ["a a a b", "b a"]
+    for numbers in ([5 * i - 300 for i in range(202)], [(i - 100) << 40 for i in range(202)], [None, *range(201)], [(1 << 32) - 1 - i for i in range(202)], [i - (1 << 32) for i in range(202)]):
+        df = spark.createDataFrame(list(zip(numbers, texts, strict=True)), "k long, text string").repartition(3)
+        counts = P.chunk_counts(df, "k")
+        assert P.packs(df, "k") == (None not in numbers and max(numbers) < 1 << 32)
+        assert ("SortAggregate" in counts._jdf.queryExecution().executedPlan().toString()) != P.packs(df, "k")
+        want = {}
+        for k, t in sorted(zip(numbers, texts, strict=True), key=lambda x: (x[0] is not None, x[0])):
+            for i, c in enumerate(regex.findall(GPT4_PATTERN, t)):
+                want.setdefault(c.encode().decode("latin-1"), [k, i, 0])[2] += 1
+        assert {r["chunk"]: [r["first_text"], r["first_pos"], r["n"]] for r in counts.collect()} == want
+    assert P.chunk_counts(df.limit(0), "k").count() == 0
