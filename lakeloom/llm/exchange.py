@@ -74,6 +74,8 @@ def get(blob: bytes) -> list[np.ndarray]:
 
 def put_keys(keys: np.ndarray) -> bytes:
     """Ascending different uint64 keys as Rice-coded gaps: about the logarithm of the mean gap and 1.5 bits each."""
+    if not len(keys):
+        return b""
     gaps = np.diff(keys)
     n = len(gaps)
     low = max(0, int(gaps.mean()).bit_length() - 1) if n else 0
@@ -85,6 +87,8 @@ def put_keys(keys: np.ndarray) -> bytes:
 
 
 def get_keys(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, _U)
     n, low, size, first = (int(x) for x in np.frombuffer(blob, "<u8", 4))
     a = 32 + -(-size // 8)
     ends = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, a - 32, 32), count=size)) + 1

@@ -13,7 +13,8 @@ so each state is a distribution over the V learned tokens and one for all others
 Counts of the corpus never meet in one place. Documents are packed where they are read, about 16 MB of text to a shard. A shard tells the buckets of an exchange (exchange.py) each different n-gram once, with its
 count in documents that are learned from, and gets the corpus' count back in the same order; one shard of those that have it is named its owner, so that
 owners together count the different next tokens of a context. Longer n-grams are told only where their context is frequent enough. A hot word is one
-entry for each shard. The gains of the divergence test are summed as integers (2**-16 nats), so no result depends on the partitioning.
+entry for each shard. What a shard has heard it hears again in later passes, from the same shuffle files. The gains of the divergence test are summed as
+integers (2**-16 nats), so no result depends on the partitioning.
 
 Defined cases: a null or empty text is one end token; a null id counts as held out and gives held_out = true; rows of one id are scored (and learned
 from) each; an empty table gives an empty result; if nothing is learned from, N = V = 0 and all tokens have probability 1 (the one unknown token); other columns are
@@ -39,7 +40,7 @@ _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 UNIT = 65536
 #: Bytes of text in a shard.
 SHARD = 16 << 20
-MEMO, STATES = 0, 100  # kinds of messages: a shard's own notes; on contexts of k tokens STATES + k; on grams of k tokens k
+STATES = 100  # kinds of messages: on contexts of k tokens STATES + k; on grams of k tokens k
 HELD = "part long, payload binary"
 TOLD = "kind int, part long, payload binary"
 TOLD_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("payload", pa.binary())])
@@ -70,12 +71,18 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(texts, ids: list[int | None]) -> bytes:
-    """A shard's documents: ids, numbers of tokens, the different tokens' hashes in order, and each position's number among these, byte plane by byte plane."""
+    """A shard's documents: ids, numbers of tokens, the different tokens' hashes (frequent ones first, by powers of two; in order among such), and each position's
+    number among these, byte plane by byte plane."""
     token, sizes = _tokens(texts)
-    words, own = np.unique(token, return_inverse=True)
-    planes = own.astype("<u4").view(np.uint8).reshape(-1, 4).T[: 1 + int(len(words) > 256) + 2 * int(len(words) > 65536)]
-    parts = [X.put([np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.int64), sizes]), X.put_keys(words), *(zlib.compress(np.ascontiguousarray(p).tobytes(), 1) for p in planes)]
-    return np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
+    words, own, n = np.unique(token, return_inverse=True, return_counts=True)
+    power = np.frexp(n)[1]
+    order = np.argsort(-power, kind="stable")
+    number = np.empty(len(words), "<u4")
+    number[order] = np.arange(len(words))
+    planes = number[own].view(np.uint8).reshape(-1, 4).T[: 1 + int(len(words) > 256) + 2 * int(len(words) > 65536)]
+    keys = [X.put_keys(k) for k in np.split(words[order], np.flatnonzero(np.diff(power[order])) + 1)]
+    parts = [X.put([np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.int64), sizes]), *keys, *(zlib.compress(np.ascontiguousarray(p).tobytes(), 1) for p in planes)]
+    return np.array([len(keys), len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
 
 
 def held(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -106,14 +113,14 @@ class _Shard:
     """Token positions of a shard's documents. Keys have the first `bits` bits of hashes."""
 
     def __init__(self, blob: bytes, bits: int):
-        n = int.from_bytes(blob[:8], "little")
-        ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(blob, "<u8", n, 8).astype(np.int64)])
+        keys, n = (int(i) for i in np.frombuffer(blob, "<u8", 2))
+        ends = 8 * (n + 2) + np.cumsum([0, *np.frombuffer(blob, "<u8", n, 16).astype(np.int64)])
         parts = [blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         ids, null, sizes = X.get(parts[0])
         self.ids = pa.array(ids.view(np.int64), mask=null > 0)
         self.sizes = sizes.astype(np.int64)
-        planes = [np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint32) for x in parts[2:]]
-        self.token = X.get_keys(parts[1])[sum(x << np.uint32(8 * i) for i, x in enumerate(planes))]
+        planes = [np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint32) for x in parts[1 + keys :]]
+        self.token = np.concatenate([X.get_keys(k) for k in parts[1 : 1 + keys]])[sum(x << np.uint32(8 * i) for i, x in enumerate(planes))]
         self.shift = _U(64 - bits)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.place = (np.arange(len(self.token)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
@@ -144,14 +151,15 @@ class _Shard:
 
 
 def _tell(kind: int, keys: np.ndarray, columns: list[np.ndarray], shard: int, n: int, bits: int) -> list[tuple[int, int, bytes]]:
-    """Ascending keys with their columns, for n buckets: the keys' size and they, then the columns."""
+    """Ascending keys with their columns, for n buckets: the keys' size and they, then the columns. Single tokens are told to every bucket, if there are none too."""
     part = ((keys >> _U(bits - 32)) * _U(n) >> _U(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    edges = list(zip([0, *cuts], [*cuts, len(keys)], strict=True)) if len(keys) else []
+    edges = np.searchsorted(part, np.arange(n + 1)).tolist()
     out = []
-    for a, b in edges:
+    for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a == b and kind != 1:
+            continue
         packed = X.put_keys(keys[a:b])
-        out.append((kind, int(part[a]), len(packed).to_bytes(8, "little") + packed + X.squeeze([*(c[a:b] for c in columns), np.array([shard], _U)])))
+        out.append((kind, bucket, len(packed).to_bytes(8, "little") + packed + X.squeeze([*(c[a:b] for c in columns), np.array([shard], _U)])))
     return out
 
 
@@ -167,20 +175,19 @@ def _told(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 def _bucket(gain: float):
     """Answers a bucket's shards, in the order in which each told its keys: for grams the count, times two, plus one for the owner; for contexts the number of
-    next tokens where they are states, else 0. A shard's notes go back to it."""
+    next tokens where they are states, else 0. On single tokens it adds how many different ones it has that are learned."""
     return lambda table: _answered(table, gain)
 
 
 def _answered(table: pa.Table, gain: float) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
     blobs = table.column("payload").to_pylist()
-    if kind == MEMO:
-        return _replies([(bucket, kind, 0, blobs[0])])
     got = sorted(map(_heard, blobs), key=lambda g: int(g[-1][0]))
     key, *values = (np.concatenate(c) for c in list(zip(*got, strict=True))[:-1])
-    order = np.argsort(key, kind="stable")
+    order, more = np.argsort(key, kind="stable"), []
     sorted_ = key[order]
-    new = np.append(True, sorted_[1:] != sorted_[:-1])
+    new = np.ones(len(key), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     back = np.empty(len(order), np.int64)
@@ -192,12 +199,13 @@ def _answered(table: pa.Table, gain: float) -> pa.Table:
         seen = np.cumsum(some)
         owner = np.zeros(len(key), bool)
         owner[order] = some & (seen - np.repeat(seen[at] - some[at], np.diff(np.append(at, len(key)))) == 1)
-        answers = [total[back] * _U(2) + owner.astype(_U)]
+        answers = total[back] * _U(2) + owner.astype(_U)
+        more = [np.array([np.count_nonzero(total)], _U)] if kind == 1 else []
     else:
         following, gained = (np.add.reduceat(v[order].view(np.int64), at) for v in values)
-        answers = [np.where(gained >= gain * UNIT * following, following, 0)[back]]
+        answers = np.where(gained >= gain * UNIT * following, following, 0)[back]
     ends = np.cumsum([len(g[0]) for g in got])
-    return _replies([(int(g[-1][0]), kind, bucket, X.squeeze([v[e - len(g[0]) : e] for v in answers])) for g, e in zip(got, ends, strict=True)])
+    return _replies([(int(g[-1][0]), kind, bucket, X.squeeze([answers[e - len(g[0]) : e], *more])) for g, e in zip(got, ends, strict=True)])
 
 
 def _replies(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -205,46 +213,30 @@ def _replies(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 class _Answers:
-    """Replies to a shard, by kind: what it noted of earlier ones, and the new ones."""
+    """Replies to a shard, by kind and in the order of buckets."""
 
     def __init__(self, replies: pa.Table):
-        self.notes: dict[int, list[np.ndarray]] = {}
-        self.new: dict[int, list[bytes]] = {}
+        self.of: dict[int, list[bytes]] = {}
         rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True)
         for k, _, payload in sorted(rows, key=lambda r: r[:2]):
-            if k == MEMO:
-                at = 0
-                while at < len(payload):
-                    kind, size = (int(x) for x in np.frombuffer(payload, "<u8", 2, at))
-                    self.notes[kind] = X.stretch(payload[at + 16 : at + 16 + size])
-                    at += 16 + size
-            else:
-                self.new.setdefault(k, []).append(payload)
-
-    def _got(self, kind: int) -> np.ndarray:
-        got = [X.stretch(b)[0] for b in self.new.pop(kind)]
-        return np.concatenate(got) if got else np.zeros(0, _U)
+            self.of.setdefault(k, []).append(payload)
+
+    def _got(self, kind: int, column: int = 0) -> np.ndarray:
+        return np.concatenate([np.zeros(0, _U), *(X.stretch(b)[column] for b in self.of.get(kind, []))])
 
     def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the told grams, and which of them are this shard's own (of new answers only)."""
-        if kind in self.new:
-            got = self._got(kind)
-            self.notes[kind] = [got >> _U(1)]
-            return (got >> _U(1)).astype(np.int64), (got & _U(1)) > 0
-        got = self.notes.get(kind, [np.zeros(0, _U)])[0].astype(np.int64)
-        return got, np.zeros(len(got), bool)
+        """Counts of the told grams, and which of them are this shard's own."""
+        got = self._got(kind)
+        return (got >> _U(1)).astype(np.int64), (got & _U(1)) > 0
 
     def states(self, kind: int) -> np.ndarray:
-        if kind in self.new:
-            self.notes[kind] = [self._got(kind)]
-        return self.notes.get(kind, [np.zeros(0, _U)])[0].astype(np.float64)
+        return self._got(kind).astype(np.float64)
 
-    def memo(self) -> bytes:
-        packed = {k: X.squeeze(v) for k, v in self.notes.items()}
-        return b"".join(np.array([k, len(x)], "<u8").tobytes() + x for k, x in packed.items())
+    def vocabulary(self) -> int:
+        return int(self._got(1, 1).sum())
 
 
-def _pass(number: int, depth: int, least: int, buckets: int, tokens: int, kinds: int, bits: int):
+def _pass(number: int, depth: int, least: int, buckets: int, tokens: int, bits: int):
     """What a shard does with its documents and the replies so far. Pass 1 tells tokens and pairs; pass p tells the contexts of p - 1 tokens and the grams of
     p + 1 tokens; pass depth + 2 scores."""
 
@@ -274,7 +266,7 @@ def _pass(number: int, depth: int, least: int, buckets: int, tokens: int, kinds:
 
         c, _ = count(1, everywhere)
         texts = int(c[s.sizes[0] - 1])  # as often as the end token, texts were learned from
-        p = (c + 0.1) / (tokens + 0.1 * (kinds + 1))
+        p = (c + 0.1) / (tokens + 0.1 * (answers.vocabulary() + 1))
         root, known = p, c > 0
         where = everywhere
         for k in range(1, min(depth, number - 1) + 1):
@@ -304,7 +296,7 @@ def _pass(number: int, depth: int, least: int, buckets: int, tokens: int, kinds:
             c = longer
             where = _next(s, c, k, least)
         if not last:
-            return _told([*rows, (MEMO, me, answers.memo())])
+            return _told(rows)
         sums = lambda x: np.array([np.add.accumulate(x[a : a + n])[-1] for a, n in zip(s.starts.tolist(), s.sizes.tolist(), strict=True)])  # noqa: E731  in the text's order
         columns = [s.ids, pa.array(s.held), pa.array(s.sizes), pa.array(sums(known.astype(np.int64))), pa.array(np.full(len(s.sizes), tokens)), pa.array(sums(np.log10(root))), pa.array(sums(np.log10(p)))]
         return pa.Table.from_arrays(columns, schema=RESULT_ARROW)
@@ -317,31 +309,16 @@ def _next(s: _Shard, c: np.ndarray, k: int, least: int) -> np.ndarray:
     return (s.place >= k) & (s.before(c, 1, 0) >= least)
 
 
-def vocabulary_size(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[int, int]:
-    """(N, V): tokens of the documents that are learned from, and different ones."""
-    spark = docs.sparkSession
-    _, size = X.text_size(docs, text)
-    buckets = X.parts(spark, size // 4, 16 << 20)
+def learned_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> int:
+    """Tokens of the documents that are learned from."""
 
     def run(batches):
         for b in K.slices(batches):
-            ids = b.column("id").to_pylist()
-            token, sizes = _tokens(t for t, i in zip(K.each_bytes(b.column("text")), ids, strict=True) if not held_out(i))
-            keys, n = np.unique(token, return_counts=True)
-            rows = _tell(1, keys, [n.astype(_U)], 0, buckets, 64)
-            yield from _told(rows).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], TOLD_ARROW)]
-
-    def sums(table: pa.Table) -> pa.Table:
-        n, keys = 0, []
-        for b in table.column("payload").to_pylist():
-            key, count, _ = _heard(b)
-            keys.append(key)
-            n += int(count.sum())
-        return pa.table({"n": pa.array([n], pa.int64()), "v": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
+            learned = (t for t, i in zip(K.each_bytes(b.column("text")), b.column("id").to_pylist(), strict=True) if not held_out(i))
+            n = sum(n + 1 for _, group in K.runs(learned) for n in K.word_counts(group))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    entries = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, TOLD)
-    r = entries.groupBy("part").applyInArrow(sums, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return int(r["n"] or 0), int(r["v"] or 0)
+    return int(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def score(docs: DataFrame, depth: int = 2, least: int = 3, gain: float = 1.0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,16 +327,17 @@ def score(docs: DataFrame, depth: int = 2, least: int = 3, gain: float = 1.0, id
     spark = docs.sparkSession
     _, size = X.text_size(docs, text)
     buckets = X.parts(spark, size, 12 << 20)
-    tokens, kinds = vocabulary_size(docs, id_column, text)
+    tokens = learned_tokens(docs, id_column, text)
     bits = min(64, max(40, 2 * tokens.bit_length() + 2))  # of N grams, less than an eighth of one is expected to have another's key
-    shards = held(docs, id_column, text).groupBy("part")
-    replies = None
+    shards = held(docs, id_column, text).repartition(buckets, "part").groupBy("part")
+    heard = None  # replies of all passes, each shuffled once: one partitioning, which the union keeps
     for number in range(1, depth + 3):
-        run = _pass(number, depth, least, buckets, tokens, kinds, bits)
+        run = _pass(number, depth, least, buckets, tokens, bits)
         if number == depth + 2:
-            return shards.cogroup(replies.groupBy("part")).applyInArrow(run, RESULT)
-        entries = shards.applyInArrow(run, TOLD) if replies is None else shards.cogroup(replies.groupBy("part")).applyInArrow(run, TOLD)
-        replies = entries.groupBy("kind", "part").applyInArrow(_bucket(gain), REPLY)
+            return shards.cogroup(heard.groupBy("part")).applyInArrow(run, RESULT)
+        entries = shards.applyInArrow(run, TOLD) if heard is None else shards.cogroup(heard.groupBy("part")).applyInArrow(run, TOLD)
+        replies = entries.groupBy("kind", "part").applyInArrow(_bucket(gain), REPLY).repartition(buckets, "part")
+        heard = replies if heard is None else heard.unionByName(replies)
 
 
 def op12_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:

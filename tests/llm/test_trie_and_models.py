@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,30 @@ def test_suffix_tree_odd_tables(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in suffix_tree_lm.score(frame(spark, rows).repartition(2)).collect()) == usual
 
 
+def test_suffix_tree_passes_tell_only_what_is_new():
+    S, given = suffix_tree_lm, [f"a b a b c a b d{i}".encode() for i in range(6)]
+    held = pa.table({"part": pa.array([7], pa.int64()), "payload": pa.array([S._packed(given, list(range(6)))], pa.binary())})
+    learned = [i for i in range(6) if not S.held_out(i)]
+    heard = []
+    for number, kinds in enumerate(({1, 2}, {S.STATES + 1, 3}, {S.STATES + 2}), 1):
+        told = S._pass(number, 2, 1, 3, 9 * len(learned), 64)(held, *([pa.concat_tables(heard)] if heard else []))
+        assert set(told.column("kind").to_pylist()) == kinds
+        messages = told.to_pylist()
+        for k, part in {(m["kind"], m["part"]) for m in messages}:
+            heard.append(S._bucket(1.0)(S._told([(k, part, m["payload"]) for m in messages if (m["kind"], m["part"]) == (k, part)])))
+    assert S._Answers(pa.concat_tables(heard)).vocabulary() == 4 + len(learned)
+    out = S._pass(4, 2, 1, 3, 9 * len(learned), 64)(held, pa.concat_tables(heard))
+    assert out.column("n_tokens").to_pylist() == [9] * 6
+
+
+def test_suffix_tree_shuffles_replies_once(spark):
+    got = suffix_tree_lm.score(frame(spark, docs(3)))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # packed documents, then what is told and answered in three passes; the union of answers keeps their partitioning
+    assert "Union" in plan and len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan)) - len(re.findall(r"ReusedExchange.*Exchange hashpartitioning", plan)) <= 7
+
+
 def test_block_hashes():
     turned = lambda s: s.translate(str.maketrans("ab", "ba"))
     a = "a"
