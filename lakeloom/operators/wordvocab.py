@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.errors import TokenizerError
 from lakeloom.functions.words import END_OF_TEXT, UNKNOWN, join_words, word_tokens
 
-from .lookup import look_up
+from .lookup import look_up_arrays
 from .ranking import rank_strings
 
 
@@ -35,17 +35,32 @@ def check_vocabulary(vocab: DataFrame, unknown: str = UNKNOWN) -> int:
     return int(row["id"])
 
 
-def encode_words(df: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text", unknown: str = UNKNOWN) -> DataFrame:
-    """(keys, pos, token_id) in long form; words that the vocabulary lacks get the unknown id. Words of very many positions are not shuffled."""
+def encode_documents(df: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text", unknown: str = UNKNOWN) -> DataFrame:
+    """(keys, ids): the ids of each text's words in order; words that the vocabulary lacks get the unknown id."""
     unknown_id = check_vocabulary(vocab, unknown)
-    long = df.select(*keys, F.posexplode(word_tokens(F.col(text))).alias("_pos", "_word"))
-    side = vocab.select(F.col("token").alias("_word"), F.col("id").alias("_word_id"))
-    return look_up(long, side, "_word").select(*keys, F.col("_pos").cast("long").alias("pos"), F.coalesce("_word_id", F.lit(unknown_id)).cast("long").alias("token_id"))
+    found = look_up_arrays(df.select(*keys, text), word_tokens, F.octet_length(text), vocab.select("token", F.col("id").cast("long")), "ids")
+    return found.select(*keys, F.transform("ids", lambda i: F.coalesce(i, F.lit(unknown_id).cast("long"))).alias("ids"))
+
+
+def encode_words(df: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text", unknown: str = UNKNOWN) -> DataFrame:
+    """(keys, pos, token_id): encode_documents() in long form."""
+    return encode_documents(df, vocab, keys, text, unknown).select(*keys, F.posexplode("ids").alias("_pos", "token_id")).select(*keys, F.col("_pos").cast("long").alias("pos"), "token_id")
+
+
+def _decoded(ids: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
+    names = look_up_arrays(ids.select(*keys, "ids"), lambda c: c, F.size("ids") * 8, vocab.select(F.col("id").cast("long"), "token"), "tokens", "unknown token id")
+    return names.select(*keys, join_words(F.col("tokens")).alias("text"))
+
+
+def decode_documents(ids: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text) from (keys, ids); rows without ids have no text, those with the same keys have one, place by place. An unknown id is an error."""
+    some = ids.select(*keys, "ids").where(F.size("ids") > 0)
+    if some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return _decoded(some, vocab, keys)
+    return decode_words(some.select(*keys, F.posexplode("ids").alias("pos", "token_id")), vocab, keys)
 
 
 def decode_words(ids: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text) from (keys, pos, token_id); an unknown id is an error."""
-    names = look_up(ids.select(*keys, "pos", F.col("token_id").alias("_word_id")), vocab.select(F.col("id").alias("_word_id"), F.col("token").alias("_word")), "_word_id")
-    known = F.coalesce("_word", F.raise_error(F.concat(F.lit("unknown token id "), F.col("_word_id").cast("string"))).cast("string"))
-    grouped = names.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", known.alias("token")))).alias("tokens"))
-    return grouped.select(*keys, join_words(F.transform("tokens", lambda t: t["token"])).alias("text"))
+    grouped = ids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("token_id").cast("long").alias("id")))).alias("_ids"))
+    return _decoded(grouped.select(*keys, F.transform("_ids", lambda i: i["id"]).alias("ids")), vocab, keys)

@@ -62,7 +62,7 @@ def word_encode(spark, sf_dir):
 def word_decode(spark, sf_dir):
     docs = texts(spark, sf_dir)
     vocab = keep(V.build_vocabulary(docs), "vocabulary")
-    return V.decode_words(keep(V.encode_words(docs, vocab, ["doc_id"]), "word-ids"), vocab, ["doc_id"])
+    return V.decode_documents(keep(V.encode_documents(docs, vocab, ["doc_id"]), "word-ids", codec="zstd"), vocab, ["doc_id"])
 
 
 @query(
