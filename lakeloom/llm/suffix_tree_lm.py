@@ -18,7 +18,7 @@ integers (2**-16 nats), so no result depends on the partitioning.
 
 Defined cases: a null or empty text is one end token; a null id counts as held out and gives held_out = true; rows of one id are scored (and learned
 from) each; an empty table gives an empty result; if nothing is learned from, N = V = 0 and all tokens have probability 1 (the one unknown token); other columns are
-ignored. A text is hashed 1 MB at a time; a shard holds about 50 bytes for each of its words.
+ignored. A text is hashed 1 MB at a time; a pass holds about 80 bytes for each word of its shard.
 """
 
 from __future__ import annotations
@@ -74,12 +74,13 @@ def _packed(texts, ids: list[int | None]) -> bytes:
     """A shard's documents: ids, numbers of tokens, the different tokens' hashes (frequent ones first, by powers of two; in order among such), and each position's
     number among these, byte plane by byte plane."""
     token, sizes = _tokens(texts)
-    words, own, n = np.unique(token, return_inverse=True, return_counts=True)
-    power = np.frexp(n)[1]
+    found = _Sorted(slice(None), token, 64)
+    words, power = found.keys, np.frexp(found.sizes)[1]
     order = np.argsort(-power, kind="stable")
-    number = np.empty(len(words), "<u4")
+    number, own = np.empty(len(words), "<u4"), np.empty(len(token), "<u4")
     number[order] = np.arange(len(words))
-    planes = number[own].view(np.uint8).reshape(-1, 4).T[: 1 + int(len(words) > 256) + 2 * int(len(words) > 65536)]
+    own[found.positions] = found.each(number)
+    planes = own.view(np.uint8).reshape(-1, 4).T[: 1 + int(len(words) > 256) + 2 * int(len(words) > 65536)]
     keys = [X.put_keys(k) for k in np.split(words[order], np.flatnonzero(np.diff(power[order])) + 1)]
     parts = [X.put([np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.int64), sizes]), *keys, *(zlib.compress(np.ascontiguousarray(p).tobytes(), 1) for p in planes)]
     return np.array([len(keys), len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
@@ -109,6 +110,67 @@ def held(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, HELD)
 
 
+def _in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of keys of `bits` bits in ascending order of these, then of their own; where in that order each different key begins; and these. A place and as many of
+    its key's first bits as there is room for are sorted as one number; keys that this does not tell apart are put in order afterwards."""
+    low = _U(max(len(keys) - 1, 0).bit_length())
+    lost = _U(max(0, bits + int(low) - 64))
+    packed = keys >> lost
+    packed <<= low
+    packed |= np.arange(len(keys), dtype=_U)
+    packed.sort()
+    packed &= (_U(1) << low) - _U(1)
+    order = packed.view(np.int64)
+    got = keys[order]
+    if (got[1:] < got[:-1]).any():
+        alike = np.append(0, np.cumsum(np.diff(got >> lost) > 0))
+        at = np.flatnonzero(np.isin(alike, alike[1:][got[1:] < got[:-1]]))
+        order[at] = order[at][np.argsort(got[at], kind="stable")]
+        got = keys[order]
+    starts = np.flatnonzero(np.append(True, got[1:] != got[:-1])[: len(keys)])
+    return order, starts, got[starts]
+
+
+class _Sorted:
+    """Positions (a slice: all) by ascending keys, which go with them."""
+
+    def __init__(self, at: np.ndarray | slice, keys: np.ndarray, bits: int):
+        order, self.starts, self.keys = _in_order(keys, bits)
+        self.positions = order if isinstance(at, slice) else at[order]
+
+    @property
+    def first(self) -> np.ndarray:
+        return self.positions[self.starts]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts, append=len(self.positions))
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """Sums for each different key."""
+        return np.add.reduceat(x[self.positions], self.starts, dtype=np.int64)
+
+    def each(self, x: np.ndarray) -> np.ndarray:
+        """The value of the key of each of `positions`."""
+        return np.repeat(x, self.sizes)
+
+
+class _Numbered:
+    """The same where keys follow from small numbers: nothing is sorted but the numbers' keys."""
+
+    def __init__(self, at: np.ndarray | slice, keys: np.ndarray, number: np.ndarray):
+        every, group = np.unique(keys, return_inverse=True)
+        some = np.bincount(group, np.bincount(number, minlength=len(keys)), len(every)) > 0
+        self.positions, self.keys = at, every[some]
+        self.own = (np.cumsum(some) - 1)[group][number]
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.own, x[self.positions], len(self.keys)).astype(np.int64)
+
+    def each(self, x: np.ndarray) -> np.ndarray:
+        return x[self.own]
+
+
 class _Shard:
     """Token positions of a shard's documents. Keys have the first `bits` bits of hashes."""
 
@@ -120,13 +182,14 @@ class _Shard:
         self.ids = pa.array(ids.view(np.int64), mask=null > 0)
         self.sizes = sizes.astype(np.int64)
         planes = [np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint32) for x in parts[1 + keys :]]
-        self.token = np.concatenate([X.get_keys(k) for k in parts[1 : 1 + keys]])[sum(x << np.uint32(8 * i) for i, x in enumerate(planes))]
-        self.shift = _U(64 - bits)
+        self.words = np.concatenate([X.get_keys(k) for k in parts[1 : 1 + keys]])
+        self.number = sum(x << np.uint32(8 * i) for i, x in enumerate(planes))
+        self.words = np.append(self.words, PAD)  # the last number: before a text's first token
+        self.bits, self.shift = bits, _U(64 - bits)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.place = (np.arange(len(self.token)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
+        self.place = np.arange(len(self.number), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.sizes)
         self.held = np.array([held_out(i) for i in self.ids.to_pylist()], bool)
         self.learned = np.repeat(~self.held, self.sizes)
-        self._context: list[np.ndarray] = [np.zeros(len(self.token), _U)]
 
     def before(self, x: np.ndarray, k: int, start) -> np.ndarray:
         """x at the k-th position before; `start` before a text's first."""
@@ -135,19 +198,26 @@ class _Shard:
         out[self.place < k] = start
         return out
 
-    def context(self, k: int) -> np.ndarray:
-        """Keys of the last k tokens; they mean something where place >= k - 1."""
-        while len(self._context) <= k:
-            j = len(self._context)
-            self._context.append(K.mix(self._context[-1] * _M1 + self.before(self.token, j, PAD) + _U(j)))
-        return self._context[k] >> self.shift
+    def context(self, k: int, at: np.ndarray | slice) -> np.ndarray:
+        """Hashes of the last k tokens of some positions, which mean something where place >= k - 1."""
+        out = _U(0)
+        for j in range(1, k + 1):
+            out = K.mix(out * _M1 + self.words[self.before(self.number, j, len(self.words) - 1)[at]] + _U(j))
+        return out
+
+    def contexts(self, k: int, where: np.ndarray) -> _Sorted | _Numbered:
+        """Positions by the key of their last k tokens."""
+        at = np.flatnonzero(where)
+        if k == 1:
+            return _Numbered(at, K.mix(self.words + _U(1)) >> self.shift, self.before(self.number, 1, len(self.words) - 1)[at])
+        return _Sorted(at, self.context(k, at) >> self.shift, self.bits)
 
-    def gram(self, k: int) -> np.ndarray:
-        """Keys of k tokens, of which the position's is the last."""
+    def grams(self, k: int, where: np.ndarray) -> _Sorted | _Numbered:
+        """Positions by the key of k tokens, of which the position's is the last."""
+        at = slice(None) if where.all() else np.flatnonzero(where)
         if k == 1:
-            return self.token >> self.shift
-        self.context(k - 1)
-        return K.mix(self._context[k - 1] * _M2 + self.token) >> self.shift
+            return _Numbered(at, self.words >> self.shift, self.number[at])
+        return _Sorted(at, K.mix(self.context(k - 1, at) * _M2 + self.words[self.number[at]]) >> self.shift, self.bits)
 
 
 def _tell(kind: int, keys: np.ndarray, columns: list[np.ndarray], shard: int, n: int, bits: int) -> list[tuple[int, int, bytes]]:
@@ -225,9 +295,9 @@ class _Answers:
         return np.concatenate([np.zeros(0, _U), *(X.stretch(b)[column] for b in self.of.get(kind, []))])
 
     def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the told grams, and which of them are this shard's own."""
+        """Counts of the told grams, in 4 bytes if there is room, and which of them are this shard's own."""
         got = self._got(kind)
-        return (got >> _U(1)).astype(np.int64), (got & _U(1)) > 0
+        return (got >> _U(1)).astype(np.uint32 if got.max(initial=_U(0)) < _U(1 << 33) else np.int64), (got & _U(1)) > 0
 
     def states(self, kind: int) -> np.ndarray:
         return self._got(kind).astype(np.float64)
@@ -246,59 +316,63 @@ def _pass(number: int, depth: int, least: int, buckets: int, tokens: int, bits:
             return pa.Table.from_batches([], RESULT_ARROW) if last else _told([])
         s, me, rows = _Shard(docs.column("payload")[0].as_py(), bits), docs.column("part")[0].as_py(), []
         def tell_grams(k: int, where: np.ndarray) -> None:
-            keys, inverse = np.unique(s.gram(k)[where], return_inverse=True)
-            rows.extend(_tell(k, keys, [np.bincount(inverse[s.learned[where]], minlength=len(keys)).astype(_U)], me, buckets, bits))
+            grams = s.grams(k, where)
+            rows.extend(_tell(k, grams.keys, [grams.total(s.learned).view(_U)], me, buckets, bits))
 
-        everywhere = np.ones(len(s.token), bool)
+        everywhere = np.ones(len(s.number), bool)
         if number == 1:
             tell_grams(1, everywhere)
             tell_grams(2, everywhere)
             return _told(rows)
         answers = _Answers(replies)
 
-        def count(k: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Counts of grams of k tokens at each position (0 where not told), and first positions of those that this shard owns."""
-            _, first, inverse = np.unique(s.gram(k)[where], return_index=True, return_inverse=True)
+        def count(k: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Counts of grams of k tokens at each position (0 where not told), and which positions are the first of those that this shard owns (k > 1)."""
+            grams = s.grams(k, where)
             got, own = answers.counts(k)
-            out = np.zeros(len(s.token), np.int64)
-            out[where] = got[inverse]
-            return out, np.flatnonzero(where)[first[own]]
+            out, first = np.zeros(len(s.number), got.dtype), np.zeros(len(s.number), bool)
+            out[grams.positions] = grams.each(got)
+            if k > 1:
+                first[grams.first[own]] = True
+            return out, first
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            """Sums of each text, in its order."""
+            return np.array([np.add.accumulate(x[a : a + n])[-1] for a, n in zip(s.starts.tolist(), s.sizes.tolist(), strict=True)])
 
         c, _ = count(1, everywhere)
         texts = int(c[s.sizes[0] - 1])  # as often as the end token, texts were learned from
         p = (c + 0.1) / (tokens + 0.1 * (answers.vocabulary() + 1))
-        root, known = p, c > 0
+        if last:
+            known, base = np.add.reduceat(c > 0, s.starts, dtype=np.int64), sums(np.log10(p))
         where = everywhere
         for k in range(1, min(depth, number - 1) + 1):
             longer, owned = count(k + 1, where)
             n = s.before(c, 1, texts)  # of the context
             used = where & (n >= least)
-            ctx = s.context(k)
-            keys, inverse = np.unique(ctx[used], return_inverse=True)
+            contexts = s.contexts(k, used)
             if k == number - 1:
-                kinds_here = np.bincount(np.searchsorted(keys, ctx[owned[used[owned]]]), minlength=len(keys))
-                here = used & s.learned
-                gained = np.zeros(len(s.token), np.int64)
-                gained[here] = np.rint(UNIT * np.log(longer[here] / (n[here] * p[here]))).astype(np.int64)
-                at = np.flatnonzero(used)
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, inverse, gained[at])
-                rows.extend(_tell(STATES + k, keys, [kinds_here.astype(_U), total.view(_U)], me, buckets, bits))
+                at = np.flatnonzero(used & s.learned)
+                ratio = n[at] * p[at]
+                np.log(np.divide(longer[at], ratio, out=ratio), out=ratio)
+                ratio *= UNIT
+                gained = np.zeros(len(s.number), np.int64)
+                gained[at] = np.rint(ratio, out=ratio)
+                del n, ratio
+                rows.extend(_tell(STATES + k, contexts.keys, [contexts.total(owned).view(_U), contexts.total(gained).view(_U)], me, buckets, bits))
                 if k < depth:
                     c = longer
                     tell_grams(k + 2, _next(s, c, k, least))
                 break
-            t = answers.states(STATES + k)[inverse]
+            t = contexts.each(answers.states(STATES + k))
             state = t > 0
-            at = np.flatnonzero(used)[state]
-            p = p.copy()
-            p[at] = (longer[at] + t[state] * p[at]) / (n[at] + t[state])
+            at, t = contexts.positions[state], t[state]
+            p[at] = (longer[at] + t * p[at]) / (n[at] + t)
             c = longer
             where = _next(s, c, k, least)
         if not last:
             return _told(rows)
-        sums = lambda x: np.array([np.add.accumulate(x[a : a + n])[-1] for a, n in zip(s.starts.tolist(), s.sizes.tolist(), strict=True)])  # noqa: E731  in the text's order
-        columns = [s.ids, pa.array(s.held), pa.array(s.sizes), pa.array(sums(known.astype(np.int64))), pa.array(np.full(len(s.sizes), tokens)), pa.array(sums(np.log10(root))), pa.array(sums(np.log10(p)))]
+        columns = [s.ids, pa.array(s.held), pa.array(s.sizes), pa.array(known), pa.array(np.full(len(s.sizes), tokens)), pa.array(base), pa.array(sums(np.log10(p)))]
         return pa.Table.from_arrays(columns, schema=RESULT_ARROW)
 
     return run if number > 1 else lambda docs: run(docs, None)

@@ -204,6 +204,39 @@ def test_suffix_tree_passes_tell_only_what_is_new():
     assert out.column("n_tokens").to_pylist() == [9] * 6
 
 
+def test_suffix_tree_sorts_no_places_beside_keys(monkeypatch):
+    """Positions are sorted as plain numbers; only the different words' keys go through np.unique."""
+    S, rng = suffix_tree_lm, np.random.default_rng(5)
+    given = [" ".join(f"w{i}" for i in rng.integers(0, 30, 200)).encode() for _ in range(20)]
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: (sizes.append(len(x)), unique(x, *a, **k))[1])
+    held = pa.table({"part": pa.array([7], pa.int64()), "payload": pa.array([S._packed(given, list(range(20)))], pa.binary())})
+    heard = []
+    for number in range(1, 4):
+        for m in S._pass(number, 2, 3, 3, 3000, 64)(held, *([pa.concat_tables(heard)] if heard else [])).to_pylist():
+            heard.append(S._bucket(1.0)(S._told([(m["kind"], m["part"], m["payload"])])))
+    assert S._pass(4, 2, 3, 3, 3000, 64)(held, pa.concat_tables(heard)).column("n_tokens").to_pylist() == [201] * 20
+    assert sizes and max(sizes) <= 32  # 30 words, the end and the start; positions are 4,020
+
+
+def test_places_in_order_of_keys():
+    rng, some = np.random.default_rng(4), np.arange(300, dtype=np.uint64)
+    alike = np.uint64(0xABCDEF << 40) + rng.integers(0, 200, 5000, dtype=np.uint64)  # differ in the bits that places take
+    for keys, bits in ((rng.integers(0, 1 << 40, 5000, dtype=np.uint64), 40), (rng.integers(0, 50, 5000, dtype=np.uint64), 56), (alike, 64), (np.append(alike[:9], rng.integers(0, 1 << 64, 5000, dtype=np.uint64)), 64), (some[:1], 64), (some[:0], 64), (some[::-1], 64)):
+        order, starts, different = suffix_tree_lm._in_order(keys, bits)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist()
+        assert keys[order[starts]].tolist() == different.tolist() == sorted(set(keys.tolist()))
+        at = np.arange(len(keys)) + 7
+        values = np.arange(len(keys) + 7)
+        groups = (suffix_tree_lm._Sorted(at, keys, bits), suffix_tree_lm._Numbered(at, np.append(unique := np.unique(keys), keys[:1] + np.uint64(1)), np.searchsorted(unique, keys).astype(np.uint32)))
+        want = defaultdict(int)
+        for p, k in zip(at.tolist(), keys.tolist(), strict=True):
+            want[k] += p
+        for g in groups:
+            assert dict(zip(g.keys.tolist(), g.total(values).tolist(), strict=True)) == want and g.keys.tolist() == sorted(want)
+            assert dict(zip(g.positions.tolist(), g.each(g.keys).tolist(), strict=True)) == dict(zip(at.tolist(), keys.tolist(), strict=True))
+
+
 def test_suffix_tree_shuffles_replies_once(spark):
     got = suffix_tree_lm.score(frame(spark, docs(3)))
     got.collect()
