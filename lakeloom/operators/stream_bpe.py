@@ -3,28 +3,40 @@
 The stream is a table of ranges of consecutive tokens. A round takes several merges that cannot influence each other (see bpe_train.py), each range does them
 by itself, and what lies across the border of two ranges is stitched: a border is known by the last token of one range and the first of the next one
 that is not empty, and a run of one token (``aaaa`` merges in twos from its beginning) hands on whether its last token is still alone. Borders
-are the driver's: ranges grow with the stream, so there are at most MOST of them (a few dozen bytes each). Pairs are counted by range, added up
+are the driver's: ranges grow with the stream, so there are about MOST of them at most (a few dozen bytes each). Pairs are counted by range, added up
 distributed, and only the head of their ranking is collected. Ties go to the pair that comes first in the stream. Tasks bring the
-ranges up to date by the rounds since they were stored; they are stored anew every FOLD rounds only, and compressed well.
+ranges up to date by the rounds since they were stored; they are stored anew every FOLD rounds only.
+
+The texts are shuffled once, into parts that are in order of the key; a part is cut into ranges by itself, so no text is placed by a sum over those before it.
+Ranges are compressed by the Python workers, one by one: what Spark reads, batches and writes for them are about half a byte a token,
+and a worker holds one range as numbers at a time.
 
 Defined cases: null and empty texts add nothing; texts follow each other in order of an integer key, which must be distinct; fewer than two tokens end the training.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.sources.shared import drop, keep
 
 from .bpe_train import HEAD, independent
-from .ranking import prefix_sum
 
 BYTES = 256
 #: Bytes of a range at least, and ranges at most.
-RANGE, MOST = 1 << 16, 1 << 20
+RANGE, MOST = 1 << 18, 1 << 20
+#: Bytes of a part, about.
+PART = 1 << 24
+#: Bytes of stored ranges that a task hands on together.
+HANDED = 1 << 20
+#: How a range is compressed.
+CODEC = "zstd"
 #: Rounds after which the ranges are stored with the merges done.
 FOLD = 2
 #: Pairs of tokens up to which a task counts in an array of all of them.
@@ -37,26 +49,12 @@ def code_for(n: int) -> str:
     return "<u2" if BYTES + n <= 1 << 16 else "<i4"
 
 
-def ranges(df: DataFrame, key: str, text: str = "text", size: int | None = None, code: str = "<u2") -> DataFrame:
-    """(no, ids): the texts' bytes in order of key, cut into ranges of equal size."""
-    raw = df.select(F.col(key).cast("long").alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("raw")).withColumn("n", F.octet_length("raw").cast("long")).where("n > 0")
-    total = int(raw.agg(F.sum("n")).first()[0] or 0)
-    size = size or max(RANGE, -(-total // MOST))
-    placed = prefix_sum(raw, "key", "n", "start")
-    low, high = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size)
-
-    def piece(b):
-        a = F.greatest(b * size - F.col("start"), F.lit(0))
-        return F.struct(b.alias("no"), (F.col("start") + a).alias("at"), F.col("raw").substr((a + 1).cast("int"), (b * size + size - F.col("start") - a).cast("int")).alias("raw"))
-
-    pieces = placed.select(F.explode(F.transform(F.sequence(low, high), piece)).alias("p")).select("p.*")
-
-    def joined(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("at").to_pylist(), table.column("raw").to_pylist(), strict=True))
-        ids = np.frombuffer(b"".join(raw for _, raw in rows), np.uint8).astype(code).tobytes()
-        return pa.table({"no": pa.array([table.column("no")[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.binary())})
-
-    return pieces.groupBy("no").applyInArrow(joined, "no long, ids binary")
+def parts(df: DataFrame, key: str, text: str, total: int) -> DataFrame:
+    """(raw): the texts' bytes in parts, in order of key from part to part and in each of them. Long texts are rows of RANGE bytes."""
+    raw = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("raw")).where("octet_length(raw) > 0")
+    piece = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / RANGE).cast("int")), lambda i: F.struct(i.alias("i"), F.substring("raw", i * RANGE + 1, F.lit(RANGE)).alias("raw")))
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // PART))
+    return raw.select("key", F.explode(piece).alias("p")).select("key", "p.*").repartitionByRange(n, "key", "i").sortWithinPartitions("key", "i").select("raw")
 
 
 def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None = None) -> list[tuple[int, int]]:
@@ -66,7 +64,9 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
         return merges
     spark = df.sparkSession
     code, tokens = code_for(n), (BYTES + n) * ((BYTES + n) ** 2 <= DENSE)
-    stored = made = keep(ranges(df, key, text, size, code).mapInArrow(_round([], code, tokens, True), MADE), "stream-bpe", "kind", codec="zstd")
+    total = int(df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
+    size = size or max(RANGE, -(-total // MOST))
+    stored = made = keep(parts(df, key, text, total).mapInArrow(_first(size, code, tokens), MADE), "stream-bpe", codec="snappy")
     steps: list[tuple[dict, dict]] = []  # the rounds that the stored ranges lack
     while len(merges) < n:
         edges = [tuple(r) for r in made.where("kind = 0 AND n > 0").select("no", "n", "first", "last", "tail").orderBy("no").collect()]
@@ -79,7 +79,7 @@ def train(df: DataFrame, key: str, n: int, text: str = "text", size: int | None
             break
         steps.append((new, stitched(edges, new)))
         fold = len(steps) == FOLD
-        after = keep(stored.where("kind = 0").select("no", "ids").mapInArrow(_round(list(steps), code, tokens, fold), MADE), "stream-bpe", "kind", codec="zstd")
+        after = keep(stored.where("kind = 0").select("no", "n", "ids").mapInArrow(_round(list(steps), code, tokens, fold), MADE), "stream-bpe", codec="snappy")
         if made is not stored:
             drop(made)
         if fold:
@@ -127,29 +127,56 @@ def stitched(edges: list[tuple], new: dict[int, int]) -> dict[int, tuple[bool, i
     return {no: (no in drops, lasts.get(no, -1)) for no in drops | set(lasts)}
 
 
-def merged(ids: np.ndarray, new: dict[int, int]) -> np.ndarray:
-    """All merges of a round on one range."""
+def merged(ids: np.ndarray, new: dict[int, int], table: np.ndarray | None = None, tokens: int = 0) -> np.ndarray:
+    """All merges of a round on one range. table: of made_of(), with the number of tokens; pairs are looked up in it instead."""
     if len(ids) < 2 or not new:
         return ids
-    codes = ids[:-1].astype(np.int64) << 32 | ids[1:]
-    keys = np.array(sorted(new), np.int64)
-    k = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    at = np.flatnonzero(keys[k] == codes)
+    if table is not None:
+        found = table.take(codes_of(ids, tokens))
+        at = np.flatnonzero(found != 0)
+        made = found[at]
+    else:
+        codes = ids[:-1].astype(np.int64) << 32 | ids[1:]
+        keys = np.array(sorted(new), np.int64)
+        k = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        at = np.flatnonzero(keys[k] == codes)
+        made = np.array([new[int(x)] for x in keys], ids.dtype)[k[at]]
     if not len(at):
         return ids
-    twice = ids[at] == ids[at + 1]
-    if twice.any():  # of each run, the pairs from its beginning
-        own = at[twice]
-        start = np.append(True, own[1:] != own[:-1] + 1)
-        offset = np.arange(len(own)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-        at = np.sort(np.concatenate([at[~twice], own[offset % 2 == 0]]))
+    if any(p >> 32 == p & 0xFFFFFFFF for p in new):  # of each run, the pairs from its beginning
+        twice = np.flatnonzero(ids[at] == ids[at + 1])
+        if len(twice):
+            own = at[twice]
+            start = np.append(True, own[1:] != own[:-1] + 1)
+            offset = np.arange(len(own)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+            some = np.ones(len(at), bool)
+            some[twice[offset % 2 == 1]] = False
+            at, made = at[some], made[some]
     out = ids.copy()
-    out[at] = np.array([new[int(x)] for x in keys], ids.dtype)[k[at]]
+    out[at] = made
     stays = np.ones(len(ids), bool)
     stays[at + 1] = False
     return out[stays]
 
 
+def codes_of(ids: np.ndarray, tokens: int) -> np.ndarray:
+    """The pairs as places of an array of all of them."""
+    codes = ids[:-1].astype(np.intp)
+    codes *= tokens
+    codes += ids[1:]
+    return codes
+
+
+def made_of(new: dict[int, int], tokens: int, code: str) -> np.ndarray | None:
+    """What each pair becomes in a round (0: nothing), if pairs are looked up in an array."""
+    if not tokens:
+        return None
+    table = np.zeros(tokens * tokens, code)
+    for p, made in new.items():
+        table[(p >> 32) * tokens + (p & 0xFFFFFFFF)] = made
+    return table
+
+
 class Counts:
     """Pairs of the ranges of a task: their number and first place. tokens: how many there are, if pairs of them are to be counted in an array, else 0."""
 
@@ -166,46 +193,106 @@ class Counts:
                 own = self.other.setdefault(p, [0, no, i])
                 own[:] = own[0] + k, *min((own[1], own[2]), (no, i))
             return
-        codes = ids[:-1].astype(np.int64) * self.tokens + ids[1:]
+        codes = codes_of(ids, self.tokens)
         here = np.bincount(codes, minlength=len(self.total))
         self.total += here
-        first = np.flatnonzero((here > 0) & (no < self.no))
-        if len(first):
-            at = np.empty(len(here), np.int64)
-            at[codes[::-1]] = np.arange(len(codes))[::-1]  # the last one that is written is the first one
-            self.no[first], self.at[first] = no, at[first]
-
-    def rows(self) -> list[tuple[int, int, int, int]]:
-        """(pair, number, range, place)."""
+        first = (here > 0) & (no < self.no)
+        if first.any():
+            place = np.flatnonzero(first.take(codes))[::-1]
+            self.at[codes[place]] = place  # the last one that is written is the first one
+            self.no[first] = no
+
+    def rows(self) -> list[np.ndarray]:
+        """Columns: pair, number, range, place."""
         if not self.tokens:
-            return [(p, *x) for p, x in self.other.items()]
+            return list(np.array([(p, *x) for p, x in self.other.items()], np.int64).reshape(-1, 4).T)
         some = np.flatnonzero(self.total)
-        return list(zip((some // self.tokens << 32 | some % self.tokens).tolist(), self.total[some].tolist(), self.no[some].tolist(), self.at[some].tolist(), strict=True))
+        return [some // self.tokens << 32 | some % self.tokens, self.total[some], self.no[some], self.at[some]]
+
+
+def _first(size: int, code: str, tokens: int):
+    """A part as ranges of size bytes; what it yields is that of _round()."""
+
+    def run(batches):
+        low, rest = TaskContext.get().partitionId() << 32, []
+
+        def cut() -> Iterator[tuple[int, np.ndarray]]:
+            nonlocal low, rest
+            for b in batches:
+                for raw in b.column("raw"):
+                    rest.append(np.frombuffer(raw.as_buffer(), np.uint8))
+                if sum(map(len, rest)) >= size:
+                    held = np.concatenate(rest)
+                    for at in range(0, len(held) - size + 1, size):
+                        yield low, held[at : at + size].astype(code)
+                        low += 1
+                    rest = [held[len(held) // size * size :].copy()]
+                else:
+                    rest = [np.concatenate(rest)] if rest else []
+            if sum(map(len, rest)):
+                yield low, np.concatenate(rest).astype(code)
+
+        yield from _told(cut(), tokens, True)
+
+    return run
 
 
 def _round(steps: list[tuple[dict[int, int], dict[int, tuple[bool, int]]]], code: str, tokens: int, store: bool):
     """Ranges after the merges of some rounds (kind 0, with their edges; the ids if they are to be stored), and their pairs (kind 1: number, first range and place, one row for each pair and task)."""
 
     def run(batches):
-        counts = Counts(tokens)
-        for b in batches:
-            for no, raw in zip(b.column("no").to_pylist(), b.column("ids"), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), code)
-                for new, borders in steps:
-                    dropped, last = borders.get(no, (False, -1))
-                    ids = merged(ids[1:] if dropped else ids, new)
-                    if last >= 0:
-                        ids = np.append(ids[:-1], np.array(last, code))
-                if len(ids) > 1:
-                    counts.add(no, ids)
-                other = np.flatnonzero(ids != ids[-1]) if len(ids) else ids
-                edge = [int(ids[0]), int(ids[-1]), len(ids) - (int(other[-1]) + 1 if len(other) else 0), len(ids)] if len(ids) else [-1, -1, 0, 0]
-                yield _batch([(0, no, ids.astype(code).tobytes() if store else None, None, None, None, *edge)])
-        yield _batch([(1, no, None, p, k, at, None, None, None, None) for p, k, no, at in counts.rows()])
+        tables = [made_of(new, tokens, code) for new, _ in steps]
+
+        def brought() -> Iterator[tuple[int, np.ndarray]]:
+            for b in batches:
+                for no, n, raw in zip(b.column("no").to_pylist(), b.column("n").to_pylist(), b.column("ids"), strict=True):
+                    ids = np.frombuffer(pa.decompress(raw.as_buffer(), n * np.dtype(code).itemsize, CODEC) if n else b"", code)
+                    for (new, borders), table in zip(steps, tables, strict=True):
+                        dropped, last = borders.get(no, (False, -1))
+                        ids = merged(ids[1:] if dropped else ids, new, table, tokens)
+                        if last >= 0:
+                            ids = np.append(ids[:-1], np.array(last, code))
+                    yield no, ids
+
+        yield from _told(brought(), tokens, store)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 7]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in MADE.split(", ")])
+def _told(ranges: Iterator[tuple[int, np.ndarray]], tokens: int, store: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of ranges, and then of their pairs."""
+    counts, rows, held = Counts(tokens), [], 0
+    for no, ids in ranges:
+        if len(ids) > 1:
+            counts.add(no, ids)
+        edge = (int(ids[0]), int(ids[-1]), _tail(ids), len(ids)) if len(ids) else (-1, -1, 0, 0)
+        raw = pa.compress(np.ascontiguousarray(ids), CODEC, asbytes=True) if store and len(ids) else b"" if store else None
+        rows.append((no, raw, *edge))
+        held += len(raw or b"") + 256
+        if held > HANDED:
+            yield _edges(rows)
+            rows, held = [], 0
+    yield _edges(rows)
+    pairs, total, no, at = (pa.array(x, pa.int64()) for x in counts.rows())
+    yield _batch(1, len(pairs), no=no, pair=pairs, total=total, at=at)
+
+
+def _tail(ids: np.ndarray) -> int:
+    """How often the last token ends them."""
+    near = np.flatnonzero(ids[-64:] != ids[-1])
+    if len(near):
+        return min(len(ids), 64) - 1 - int(near[-1])
+    other = np.flatnonzero(ids != ids[-1])
+    return len(ids) - (int(other[-1]) + 1 if len(other) else 0)
+
+
+def _edges(rows: list[tuple]) -> pa.RecordBatch:
+    names = ("no", "ids", "first", "last", "tail", "n")
+    return _batch(0, len(rows), **{c: pa.array([r[i] for r in rows], pa.binary() if c == "ids" else pa.int64()) for i, c in enumerate(names)})
+
+
+def _batch(kind: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of MADE; what is not given is null."""
+    names = [c.split()[0] for c in MADE.split(", ")]
+    given = columns | {"kind": pa.array(np.full(rows, kind), pa.int32())}
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, pa.binary() if c == "ids" else pa.int64()) for c in names], names=names)

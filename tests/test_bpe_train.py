@@ -147,3 +147,47 @@ def test_stream_ranges_are_stored_every_other_round(spark, monkeypatch):
     assert held == [i % S.FOLD == 0 for i in range(len(held))] and len(held) > S.FOLD + 1
     assert S.train(df, "k", 14, size=3) == want
     assert want == slow_stream("".join(texts).encode(), 14)
+
+
+def test_stream_is_stored_compressed(spark, monkeypatch):
+    """Ranges that Spark reads, batches and writes are compressed by the workers: under a byte a token, whatever codec the files have, and not dealt by kind."""
+    from lakeloom.operators import stream_bpe as S
+
+    kept, own = [], S.keep
+    monkeypatch.setattr(S, "keep", lambda df, name, *by, **k: kept.append((own(df, name, *by, **k), by)) or kept[-1][0])
+    monkeypatch.setattr(S, "drop", lambda t: None)
+    df = spark.createDataFrame([(i, "the cat and the hat " * 50) for i in range(200)], "k long, text string")
+    S.train(df, "k", 6)
+    held = [t.where("kind = 0 AND ids IS NOT NULL").selectExpr("sum(octet_length(ids))", "sum(n)").first() for t, _ in kept]
+    assert held[0][1] == 200_000 and all(2 * r[0] < r[1] for r in held if r[1])
+    assert not any(by for _, by in kept)
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 22])
+def test_stream_in_parts(spark, monkeypatch, dense):
+    """Many parts, texts longer than a piece, keys in any order, ranges that go over several texts: as one stream, ties too."""
+    for name, value in (("PART", 40), ("RANGE", 7), ("DENSE", dense), ("HANDED", 600)):
+        monkeypatch.setattr(stream_bpe, name, value)
+    r = random.Random(7)
+    given = {r.randint(-(10**12), 10**12): r.choice(["", None, "ab" * r.randint(1, 30), "".join(r.choice("aab é") for _ in range(r.randint(0, 40)))]) for _ in range(60)}
+    rows = list(given.items())
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, text string").repartition(5)
+    assert stream_bpe.train(df, "k", 20) == slow_stream("".join(given[k] or "" for k in sorted(given)).encode(), 20)
+
+
+def test_stream_rounds_in_a_table():
+    """Merges and counts by an array of all pairs are those without it."""
+    r = random.Random(5)
+    for _ in range(200):
+        given = [np.array([r.choice([1, 1, 2, 3]) for _ in range(r.randint(2, 200))], np.uint16) for _ in range(3)]
+        new = r.choice([{1 << 32 | 1: 6}, {1 << 32 | 2: 6, 1 << 32 | 3: 7}, {2 << 32 | 2: 6, 1 << 32 | 3: 7}])
+        table = stream_bpe.made_of(new, 8, "<u2")
+        assert all(stream_bpe.merged(x, new, table, 8).tolist() == stream_bpe.merged(x, new).tolist() for x in given)
+        a, b = stream_bpe.Counts(8), stream_bpe.Counts(0)
+        for no, x in zip((9, 4, 6), given, strict=True):
+            a.add(no, x)
+            b.add(no, x)
+        assert sorted(zip(*(c.tolist() for c in a.rows()), strict=True)) == sorted(zip(*(c.tolist() for c in b.rows()), strict=True))
+        x = given[0]
+        assert stream_bpe._tail(x) == next((i for i, v in enumerate(reversed(x.tolist())) if v != x[-1]), len(x))
